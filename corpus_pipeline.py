@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidecal.llm import mixing, packing, pii, quality_model, simhash
 from tidecal.llm.common import shared_dir, ship_package
@@ -19,7 +20,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     ship_package(spark)
     model = quality_model.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     nested = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    kinds = nested.schema.add("score", "double").add("predicted", "int")
+    kinds = T.StructType([*nested.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     scored = nested.mapInPandas(quality_model.score_batches(model), kinds)
     return scored.where("predicted = 1").select("row.*")
 

@@ -11,15 +11,20 @@ def held_out(modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, most_chars: int, modulus: int, remainder: int) -> list[tuple[str, int]]:
-    """At most `rows` (text, label) pairs, the same on every run: those with the least hash of the id.
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, most_chars: int, modulus: int, remainder: int) -> list[tuple[str, int, float]]:
+    """At most `rows` (text, label, weight), the same on every run: of each class, the half of `rows` with the least hash of the id.
 
-    Ids are drawn from the narrow labels first; only their texts come to the driver. Texts over most_chars code points are
-    not learned from (they are scored whole like all others), so the sample holds rows * most_chars characters at most.
+    The weight is the number of labelled documents of the class for each one drawn. Ids are drawn from the narrow labels
+    first; only their texts come to the driver. Texts over most_chars code points are not learned from (they are scored
+    whole like all others), so the sample holds rows * most_chars characters at most.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(modulus, remainder)).groupBy("doc_id").agg(F.min(label).alias("y"))
-    drawn = {r.doc_id: r.y for r in known.orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(rows).collect()}
+    sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    drawn: dict[int, int] = {}
+    for y in sizes:
+        drawn |= {r.doc_id: y for r in known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(rows // 2).collect()}
     if not drawn:
         return []
     found = docs.select("doc_id", "text").where(F.col("doc_id").isin(list(drawn)) & (F.length("text") <= most_chars)).dropDuplicates(["doc_id"]).collect()
-    return [(r.text, drawn[r.doc_id]) for r in sorted(found, key=lambda r: r.doc_id)]
+    here = {y: sum(drawn[r.doc_id] == y for r in found) for y in sizes}
+    return [(r.text, drawn[r.doc_id], sizes[drawn[r.doc_id]] / here[drawn[r.doc_id]]) for r in sorted(found, key=lambda r: r.doc_id)]

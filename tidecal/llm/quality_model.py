@@ -73,12 +73,13 @@ class AttentionModel:
         return self.forward(np.concatenate(bags), np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)["s"]
 
 
-def train(sample: list[tuple[str, int]], hidden: int = 16, gate: int = 8, steps: int = 300, rate: float = 0.02, ridge: float = 1e-4, seed: int = 7) -> AttentionModel:
+def train(sample: list[tuple[str, int, float]], hidden: int = 16, gate: int = 8, steps: int = 300, rate: float = 0.02, ridge: float = 1e-4, seed: int = 7) -> AttentionModel:
     """Full-batch Adam on the log loss."""
-    if len({y for _, y in sample}) < 2:
+    if len({x[1] for x in sample}) < 2:
         return AttentionModel()
-    bags = [passages(t) for t, _ in sample]
-    y = np.array([v for _, v in sample], dtype=np.float64)
+    bags = [passages(x[0]) for x in sample]
+    y, share = (np.array([x[k] for x in sample], dtype=np.float64) for k in (1, 2))
+    share /= share.sum()
     sizes = np.array([len(b) for b in bags])
     starts, x = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.concatenate(bags)
     rng = np.random.default_rng(seed)
@@ -87,7 +88,7 @@ def train(sample: list[tuple[str, int]], hidden: int = 16, gate: int = 8, steps:
     m, v = ({k: np.zeros(s) for k, s in shape.items()} for _ in range(2))
     for t in range(1, steps + 1):
         f, p = model.forward(x, starts, sizes), model.p
-        ds = (f["s"] - y) / len(y)
+        ds = (f["s"] - y) * share
         dz = ds[:, None] * p["c"]
         dz_each = dz[f["bag"]]
         datt = (dz_each * f["h"]).sum(1)

@@ -69,12 +69,12 @@ class NoisyOr:
         return 1 - clean, [x for x in spans if x[2] >= 0.5]
 
 
-def train(sample: list[tuple[str, int]], steps: int = 150, rate: float = 0.15, ridge: float = 1e-4, least_documents: int = 4) -> NoisyOr:
+def train(sample: list[tuple[str, int, float]], steps: int = 120, rate: float = 0.15, ridge: float = 1e-4, least_documents: int = 4) -> NoisyOr:
     """Full-batch Adam on the noisy-or likelihood."""
-    if len({y for _, y in sample}) < 2:
+    if len({x[1] for x in sample}) < 2:
         return NoisyOr()
     seen, parsed = Counter(), []
-    for text, _ in sample:
+    for text, _, _ in sample:
         parsed.append([{f for w in _WORD.findall(m[0].lower()) for f in features(w)} for m in _SENTENCE.finditer(text)])
         seen.update(set().union(*parsed[-1]) if parsed[-1] else ())
     index = {f: k for k, f in enumerate(sorted(f for f, n in seen.items() if n >= least_documents))}
@@ -87,7 +87,8 @@ def train(sample: list[tuple[str, int]], steps: int = 150, rate: float = 0.15, r
             document.append(d)
             n += 1
     columns, sentence, document = np.array(columns, dtype=np.int64), np.array(sentence, dtype=np.int64), np.array(document, dtype=np.int64)
-    y = np.array([v for _, v in sample], dtype=np.float64)
+    y, share = (np.array([x[k] for x in sample], dtype=np.float64) for k in (1, 2))
+    share /= share.sum()
     w, b = np.zeros(len(index)), -4.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
@@ -96,7 +97,7 @@ def train(sample: list[tuple[str, int]], steps: int = 150, rate: float = 0.15, r
         log_clean = np.bincount(document, -np.logaddexp(0, z), minlength=len(y))
         clean = np.clip(np.exp(log_clean), 0, 1 - 1e-6)
         pull = np.where(y > 0, -clean / (1 - clean), 1.0)
-        dz = s * pull[document] / len(y)
+        dz = s * (pull * share)[document]
         g, gb = np.bincount(columns, dz[sentence], minlength=len(w)) + ridge * w, dz.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -105,7 +106,7 @@ def train(sample: list[tuple[str, int]], steps: int = 150, rate: float = 0.15, r
     return NoisyOr(float(b), {f: float(w[k]) for f, k in index.items() if abs(w[k]) > 0.05})
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, sample_chars: int = 20_000, modulus: int = 4, remainder: int = 2) -> NoisyOr:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, sample_chars: int = 20_000, modulus: int = 4, remainder: int = 2) -> NoisyOr:
     return train(training_sample(docs, labels, "toxic", sample_rows, sample_chars, modulus, remainder))
 
 
