@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import days, scoring_log, surroundings  # noqa: F401
+    from . import days, learning, scoring_log, states, surroundings  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
