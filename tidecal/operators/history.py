@@ -8,13 +8,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_DAY = Window.partitionBy("entity_id").orderBy("day")
 LAGS = (357, 364, 371)
 
 
+def by_day() -> Window:
+    """One entity's days in order."""
+    return Window.partitionBy("entity_id").orderBy("day")
+
+
 def at_lag(value: str, lag: int) -> Column:
     """The value exactly `lag` days before, null where there is none."""
-    return F.max(value).over(BY_DAY.rangeBetween(-lag, -lag))
+    return F.max(value).over(by_day().rangeBetween(-lag, -lag))
 
 
 def mean_of(columns: list[Column]) -> Column:
@@ -32,7 +36,7 @@ def prior_year(df: DataFrame, value: str = "label") -> DataFrame:
 def drift(df: DataFrame, horizons: tuple[int, ...] = (1, 7, 14), span: int = 28, least: int = 7) -> DataFrame:
     """Adds drift<h>: the mean gap to the value 364 days before, over `span` calendar days that end h days ago."""
     out = df.withColumn("_gap", F.col("label") - at_lag("label", 364))
-    frames = {h: BY_DAY.rangeBetween(-span + 1 - h, -h) for h in horizons}
+    frames = {h: by_day().rangeBetween(-span + 1 - h, -h) for h in horizons}
     return out.withColumns({f"drift{h}": F.when(F.count("_gap").over(w) >= least, F.avg("_gap").over(w)) for h, w in frames.items()}).drop("_gap")
 
 
@@ -46,22 +50,22 @@ def rank_index(df: DataFrame, value: str = "volume") -> DataFrame:
 def holiday_distance(df: DataFrame, score: str = "score", above: float = 0.2, most: int = 180) -> DataFrame:
     """Adds days_until, days_since (0 on the day, null without one) and their capped logarithms."""
     flagged = F.when(F.col(score) > above, F.col("day"))
-    ahead, back = BY_DAY.rowsBetween(0, Window.unboundedFollowing), BY_DAY.rowsBetween(Window.unboundedPreceding, 0)
+    ahead, back = by_day().rowsBetween(0, Window.unboundedFollowing), by_day().rowsBetween(Window.unboundedPreceding, 0)
     out = df.withColumns({"days_until": F.min(flagged).over(ahead) - F.col("day"), "days_since": F.col("day") - F.max(flagged).over(back)})
     return out.withColumns({f"log_{c}": F.when(F.col(c).isNotNull(), F.log1p(F.least(F.col(c), F.lit(most)))) for c in ("days_until", "days_since")})
 
 
 def season_edges(df: DataFrame, gap: int = 14, rows: int = 3) -> DataFrame:
     """Adds season (runs split by gaps of more than `gap` days), season_start and season_end (first and last rows)."""
-    new = (F.col("day") - F.lag("day").over(BY_DAY) > gap).cast("int")
-    out = df.withColumn("_new", F.coalesce(new, F.lit(0))).withColumn("season", F.sum("_new").over(BY_DAY.rowsBetween(Window.unboundedPreceding, 0)))
+    new = (F.col("day") - F.lag("day").over(by_day()) > gap).cast("int")
+    out = df.withColumn("_new", F.coalesce(new, F.lit(0))).withColumn("season", F.sum("_new").over(by_day().rowsBetween(Window.unboundedPreceding, 0)))
     run = Window.partitionBy("entity_id", "season")
     return out.withColumns({"season_start": F.row_number().over(run.orderBy("day")) <= rows, "season_end": F.row_number().over(run.orderBy(F.desc("day"))) <= rows}).drop("_new")
 
 
 def time_folds(df: DataFrame, folds: int = 6) -> DataFrame:
     """Adds fold: contiguous blocks of nearly equal size in date order, per entity."""
-    return df.withColumn("fold", F.ntile(folds).over(BY_DAY))
+    return df.withColumn("fold", F.ntile(folds).over(by_day()))
 
 
 def latest(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ENTITY = Window.partitionBy("entity_id")
+
+def entity_window() -> Window:
+    return Window.partitionBy("entity_id")
+
 
 
 def daily_scores(weights: DataFrame, calendar: DataFrame, spine: DataFrame, kinds: tuple[str, ...] = ("national", "school")) -> DataFrame:
@@ -55,7 +58,7 @@ def blend(df: DataFrame, rho: float, kappa: float = 3.0, floor: float = 0.004, r
     """rho * prior + (1 - rho) * fitted, then `rounds` times: cap at kappa * prior + floor and renormalise."""
     out = df.withColumn("weight", rho * F.col("prior") + (1 - rho) * F.col("fitted"))
     for _ in range(rounds):
-        out = out.withColumn("weight", F.least(F.col("weight"), kappa * F.col("prior") + floor)).withColumn("weight", F.col("weight") / F.sum("weight").over(ENTITY))
+        out = out.withColumn("weight", F.least(F.col("weight"), kappa * F.col("prior") + floor)).withColumn("weight", F.col("weight") / F.sum("weight").over(entity_window()))
     return out
 
 
@@ -78,7 +81,7 @@ def control_events(df: DataFrame, seasonal: str, least_days: int = 15, most: int
 
 def control_design(df: DataFrame) -> DataFrame:
     """Control columns: weekday dummies, yearly waves as many as the rows allow (8, 4 or 2), and year effects from 300 rows on."""
-    n = F.count(F.lit(1)).over(ENTITY)
+    n = F.count(F.lit(1)).over(entity_window())
     out = df.withColumn("n_rows", n).withColumn("n_waves", F.when(F.col("n_rows") >= 800, 8).when(F.col("n_rows") >= 400, 4).otherwise(2))
     angle = 2 * F.pi() * F.dayofyear("date") / 365.25
     waves = {f"{f}{k}": F.when(F.col("n_waves") >= k, (F.sin if f == "sin" else F.cos)(k * angle)).otherwise(0.0) for k in range(1, 9) for f in ("sin", "cos")}
@@ -93,6 +96,6 @@ def bootstrap_summary(replicates: DataFrame, keys: list[str]) -> DataFrame:
 
 def blend_choice(r2: DataFrame, gain: float = 0.001, part: float = 0.75) -> DataFrame:
     """The blend of an entity from a table (entity_id, rho, r2; rho 1 is the prior): prior if the gain is small, else the largest rho with `part` of it."""
-    base = F.max(F.when(F.col("rho") == 1, F.col("r2"))).over(ENTITY)
-    out = r2.withColumns({"gain": F.col("r2") - base, "best": F.max("r2").over(ENTITY) - base})
+    base = F.max(F.when(F.col("rho") == 1, F.col("r2"))).over(entity_window())
+    out = r2.withColumns({"gain": F.col("r2") - base, "best": F.max("r2").over(entity_window()) - base})
     return out.groupBy("entity_id").agg(F.when(F.max("best") <= gain, 1.0).otherwise(F.max(F.when(F.col("gain") >= part * F.col("best"), F.col("rho")))).alias("rho"), F.max("best").alias("gain"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .history import BY_DAY
+from .history import by_day
 
 
 def hourly_to_daily(hourly: DataFrame) -> DataFrame:
@@ -32,12 +32,12 @@ def _guarded(value: Column, frame, least: int) -> Column:
 
 def look_back(df: DataFrame) -> DataFrame:
     """Rain of the previous 3 rows (2 values at least) and wet days of the previous 7 (5 at least); rows, not days."""
-    return df.withColumns({"rain_prev3": _guarded(F.col("precip"), BY_DAY.rowsBetween(-3, -1), 2), "wet_prev7": _guarded(flag(F.col("precip") >= 1), BY_DAY.rowsBetween(-7, -1), 5)})
+    return df.withColumns({"rain_prev3": _guarded(F.col("precip"), by_day().rowsBetween(-3, -1), 2), "wet_prev7": _guarded(flag(F.col("precip") >= 1), by_day().rowsBetween(-7, -1), 5)})
 
 
 def look_ahead(df: DataFrame) -> DataFrame:
     """Rain of the next 3 rows (2 values at least) and the next row's values."""
-    return df.withColumns({"rain_next3": _guarded(F.col("precip"), BY_DAY.rowsBetween(1, 3), 2), "temp_next": F.lead("temp_max").over(BY_DAY), "rain_next": F.lead("precip").over(BY_DAY)})
+    return df.withColumns({"rain_next3": _guarded(F.col("precip"), by_day().rowsBetween(1, 3), 2), "temp_next": F.lead("temp_max").over(by_day()), "rain_next": F.lead("precip").over(by_day())})
 
 
 def climatology(df: DataFrame, value: str, reach: int = 7) -> DataFrame:

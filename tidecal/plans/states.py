@@ -50,7 +50,7 @@ BLENDS = "b0 as (select entity_id, code, prior, 0.4 * prior + 0.6 * prior * prio
     f", c{k} as (select entity_id, code, prior, least(w, 1.1 * prior + 0.004) as w from b{k - 1}), b{k} as (select entity_id, code, prior, w / sum(w) over (partition by entity_id) as w from c{k})" for k in range(1, 9)
 )
 query("blend_weights", oracle(f"with {BLENDS} select entity_id, code, w as weight from b8", "markets"))(
-    lambda s, d: scores.blend(view(s, d, "markets").withColumn("fitted", F.col("prior") * F.col("prior") / F.sum(F.col("prior") * F.col("prior")).over(scores.ENTITY)), 0.4, kappa=1.1).select("entity_id", "code", "weight")
+    lambda s, d: scores.blend(view(s, d, "markets").withColumn("fitted", F.col("prior") * F.col("prior") / F.sum(F.col("prior") * F.col("prior")).over(scores.entity_window())), 0.4, kappa=1.1).select("entity_id", "code", "weight")
 )
 query(
     "coverage_mass",
