@@ -86,14 +86,10 @@ def emit(docs: DataFrame, **options) -> DataFrame:
     The number of copies meets its row by (doc_id, source, size). Rows that repeat in these have their copies summed and
     dealt out evenly, so the total of the mix stays.
     """
-    keys = ["_id", "_source", "_size"]
-    named = docs.withColumns({"_id": F.col("doc_id"), "_source": F.col("source"), "_size": word_count(F.col("text"))})
-    counts = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies")
-    per_key = counts.groupBy(*keys).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    same = [named[k].eqNullSafe(per_key[k]) for k in keys]
-    joined = named.join(per_key, same[0] & same[1] & same[2]).drop(*[per_key[k] for k in keys])
-    once = joined.where("_rows = 1").withColumn("_take", F.col("_copies"))
-    repeated = joined.where("_rows > 1").withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("text")) - 1)
-    repeated = repeated.withColumn("_take", F.floor(F.col("_copies") * (F.col("_k") + 1) / F.col("_rows")) - F.floor(F.col("_copies") * F.col("_k") / F.col("_rows"))).drop("_k")
-    every = once.unionByName(repeated).where("_take > 0")
-    return every.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_take").cast("int")))).select(*docs.columns)
+    size = word_count(F.col("text"))
+    key = lambda n: F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), n.cast("string"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
+    counts = mix(docs, **options).groupBy(key(F.col("size")).alias("_key")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    named = docs.withColumn("_key", key(size)).withColumn("_k", F.row_number().over(Window.partitionBy("_key").orderBy("text")) - 1)
+    share = lambda k: F.floor(F.col("_copies") * k / F.col("_rows"))
+    taken = named.join(counts, "_key").withColumn("_take", (share(F.col("_k") + 1) - share(F.col("_k"))).cast("int")).where("_take > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_take")))).select(*docs.columns)
