@@ -120,6 +120,8 @@ def component_links(members: DataFrame, cosine: float, block: int = BLOCK) -> Da
     cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cells = cut.select("component", "node", "copies", "vector", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cells = cells.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
+    # One column, else the rows of a component would stay together in the task that joined them.
+    cells = cells.withColumn("cell", F.concat_ws(":", "component", "x", "y"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         x, y = frame["x"].iloc[0], frame["y"].iloc[0]
@@ -136,7 +138,7 @@ def component_links(members: DataFrame, cosine: float, block: int = BLOCK) -> Da
                 out[rows[k : k + 512]] = near @ copies
         return pd.DataFrame({"node": frame["node"], "n": out})
 
-    return cells.groupBy("component", "x", "y").applyInPandas(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n_links"))
+    return cells.groupBy("cell").applyInPandas(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n_links"))
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
