@@ -185,6 +185,8 @@ def test_pigeonhole_thresholds_lose_no_pair():
 def test_components_of_a_long_chain(spark):
     got = components(spark.createDataFrame([(k, k + 1) for k in range(100)] + [(200, 201)], "a long, b long")).collect()
     assert {r.node: r.component for r in got} == {**{k: 0 for k in range(101)}, 200: 200, 201: 200}
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame([(k, k + 1) for k in range(100)], "a long, b long"), most_rounds=1)
 
 
 def test_licenses():
@@ -194,6 +196,7 @@ def test_licenses():
     spans = {m[0]: m for m in got[7]}
     assert spans["mit"][4] == 1 and spans["gpl"][4] == 1 and spans["mit"][1:3] == (8, 20)
     assert licenses.scan("nothing to see", known)[4:7] == ("", "", 0.0)
+    assert licenses.scan("the mit licenses123", known)[5] == "" and licenses.scan("the mit licenses", known)[5] == "mit"
     import regex
 
     rng = np.random.default_rng(0)
@@ -213,6 +216,10 @@ def test_pii():
     for _ in range(300):
         s = "".join(rng.choice(list("ab.@-_+1 "), 30))
         assert [x for x in pii._email_spans(s)] == [m.span() for m in pii.EMAIL.finditer(s)]
+    for _ in range(300):
+        s = "".join(rng.choice(list("0123.a "), 40, p=[0.2, 0.15, 0.15, 0.1, 0.3, 0.05, 0.05]))
+        assert [m.span() for m in pii._IP.finditer(s)] == [m.span() for m in pii.IP.finditer(s)]
+    assert pii.base_spans("7" * 300_000 + " 1.2.3.4") == [(300_001, 1, 300_008)]
     windows = [(f"word word +1 ({200 + k}) 555-{1000 + k} more words", [(10, 3, 27)]) for k in range(60)] + [(f"version {k} of the text", []) for k in range(40)]
     model = pii.train(windows, epochs=12)
     found = pii.all_spans(["call +1 (999) 555-7777 today" + " filler" * 60 + " +1 (321) 555-1234"], model)[0]

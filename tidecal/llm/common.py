@@ -80,7 +80,8 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """Connected components of an undirected graph with columns a and b (long): node, component (its smallest node).
 
     Alternates large-star and small-star steps; each round is two aggregations and two joins on node ids, written to the
-    shared folder. Nodes without edges don't appear. Empty edges give an empty table.
+    shared folder. Nodes without edges don't appear. Empty edges give an empty table. Raises if most_rounds don't suffice,
+    so that no unfinished result is taken for a whole one.
     """
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     total = None
@@ -99,6 +100,8 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         if state.n == state.nodes and (state.n, state.h) == total:
             break
         total = (state.n, state.h)
+    else:
+        raise RuntimeError(f"components are still changing after {most_rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
 

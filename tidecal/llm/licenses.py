@@ -85,7 +85,9 @@ def fuzzy_matches(words: str, notices: tuple[tuple[str, str], ...]) -> list[tupl
             start = end - size + 1 - offset
             if start + len(notice) // 2 < done.get(n, -1):
                 continue
-            m = patterns[n].search(words, max(0, start - k), min(len(words), start + len(notice) + k))
+            # Up to the end of a word, else a cut word would look whole.
+            stop = words.find(" ", start + len(notice) + k)
+            m = patterns[n].search(words, max(0, start - k), stop if stop >= 0 else len(words))
             if m:
                 found.add((n, m.start(), m.end(), sum(m.fuzzy_counts)))
                 done[n] = m.end()
