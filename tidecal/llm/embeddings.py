@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import components, materialise, ship_package
 
-COSINE, PASSES, WINDOW, BITS, BLOCK = 0.93, 8, 12, 62, 1024
+COSINE, PASSES, WINDOW, BITS = 0.93, 8, 12, 62
+#: Most members of a block; a component has FEW blocks at least, as far as these hold LEAST members each.
+BLOCK, FEW, LEAST = 1024, 8, 64
 
 
 def _unit(column: pd.Series) -> np.ndarray:
@@ -113,10 +115,10 @@ def component_links(members: DataFrame, cosine: float, block: int = BLOCK) -> Da
     """node, n_links of members (component, node, copies, vector): all pairs of a component, block against block.
 
     A component is cut into blocks by hash; a member goes to one cell for each block of its component, and a task
-    compares two blocks at a time.
+    compares two blocks at a time. Even a component that one block could hold is cut, so that no task gets it whole.
     """
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    cut = members.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    cut = members.join(sizes, "component").withColumn("blocks", F.greatest(F.ceil(F.col("size") / block), F.least(F.lit(FEW), F.ceil(F.col("size") / LEAST))).cast("int"))
     cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cells = cut.select("component", "node", "copies", "vector", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cells = cells.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
