@@ -136,3 +136,54 @@ def test_stream_equals_batch(spark, sf, tmp_path):
 def test_registry(spark, sf):
     assert set(registry.oracle_sql()) <= set(registry.queries())
     assert registry.flagship(spark, sf).count() > 0
+
+
+def test_leads():
+    assert evaluation.parse_leads("7, 1,7,30,") == (1, 7, 30)
+    for wrong in ("", "-1,2", "a"):
+        with pytest.raises(ValueError):
+            evaluation.parse_leads(wrong)
+
+
+def test_headline_is_one_line_or_none(spark):
+    summary = spark.createDataFrame([(90, 7, 12, 84.5, 41.2, 16.04), (7, 7, 3, 80.0, 40.0, 20.0)], "window int, lead_days int, days long, accuracy double, within_10 double, mae double")
+    text = "84% accuracy, last 90 days (12 days of data, 7-day-ahead forecasts) | 41% of entity-days within +-10 points | average miss 16.0 pts"
+    assert [r.headline for r in evaluation.headline(summary).collect()] == [text]
+    assert evaluation.headline(summary, lead=30).count() == 0
+
+
+def test_target_regions(spark):
+    areas = spark.createDataFrame([("A", "A-1", "one"), ("A", "A-2", "two"), ("A", "A-9", "far"), ("A", "A-X~", "none"), ("B", "B-1", "bee"), ("C", "C-1", "see"), ("A", None, "gone")], "country string, source_code string, source_name string")
+    rules = spark.createDataFrame([("A", "A-2", "A-22", "renamed")], "country string, source_code string, code string, name string")
+    got = {(r.code, r.name) for r in geo.target_regions(areas, ["A", "B"], ["A"], rules, ["A-9"]).collect()}
+    assert got == {("A-1", "one"), ("A-22", "renamed"), ("B", None)}
+
+
+def test_school_holidays(spark, tmp_path):
+    (tmp_path / "h.json").write_text('[{"country": "A", "startDate": "2024-01-01", "endDate": "2024-01-05", "type": "School", "name": [{"language": "DE", "text": "x"}, {"language": "EN", "text": "y"}], "subdivisions": [{"code": "A-1"}, {"code": "A-2"}]}, {"country": "A", "startDate": "2024-02-01", "endDate": "2024-02-01", "type": "Public", "temporalScope": "HalfDay", "name": []}]')
+    school = files.read_holidays(spark, str(tmp_path / "h.json"), "School").collect()
+    assert {(r.code, r.name) for r in school} == {("A-1", "y"), ("A-2", "y")}
+    assert files.read_holidays(spark, str(tmp_path / "h.json")).count() == 0
+
+
+@pytest.fixture(scope="module")
+def forecast(spark, sf):
+    return registry.queries()["forecast_output"](spark, sf).collect()
+
+
+def test_forecasts_are_blank_on_days_known_to_be_closed(forecast):
+    assert forecast and len({(r.entity_id, r.day) for r in forecast}) == len(forecast)
+    for r in forecast:
+        shut = r.known and not r.is_open
+        assert (r.prediction is None) == shut and (not shut or r.opens is None and r.closes is None)
+        assert r.prediction is None or 0 <= r.prediction <= 100
+
+
+@pytest.mark.parametrize("name", ["batch_predictions", "sub_model_predictions", "feature_importance", "feature_ablation", "yearly_backtest"])
+def test_model_queries(spark, sf, name):
+    rows = registry.queries()[name](spark, sf).collect()
+    assert rows
+    if name == "feature_importance":
+        assert sum(r.share for r in rows) == pytest.approx(1) and [r.share for r in rows] == sorted((r.share for r in rows), reverse=True)
+    if name == "feature_ablation":
+        assert {r.features for r in rows} == {"calendar", "calendar and last year", "all"} and len({r.n for r in rows}) == 1

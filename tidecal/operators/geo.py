@@ -97,3 +97,15 @@ def enrich(entities: DataFrame, fixes: DataFrame, rectangles: DataFrame) -> Data
     fixed = fixed.withColumns({"latitude": F.coalesce("_lat", "latitude"), "longitude": F.coalesce("_lon", "longitude")}).drop("_lat", "_lon")
     placed = assign_rectangles(fixed.select(F.col("entity_id").alias("point_id"), F.col("longitude").alias("lon"), F.col("latitude").alias("lat")), rectangles)
     return fixed.join(placed.withColumnRenamed("point_id", "entity_id"), "entity_id").withColumn("mismatch", F.col("rect_id") != F.col("entity_id"))
+
+
+def target_regions(features: DataFrame, countries: list[str], split: list[str], rules: DataFrame, dropped: list[str]) -> DataFrame:
+    """Region code and name of first-level areas (country, source_code, source_name).
+
+    A country that isn't split is one region by its own code. In the others a rule (country, source_code, code, name)
+    decides, else the area's own code. Codes in dropped, provisional ones (with "~") and other countries go.
+    """
+    out = features.where(F.col("country").isin(*countries)).join(rules, ["country", "source_code"], "left")
+    whole = ~F.col("country").isin(*split)
+    out = out.withColumns({"code": F.when(whole, F.col("country")).otherwise(F.coalesce("code", "source_code")), "name": F.when(~whole, F.coalesce("name", "source_name"))})
+    return out.where(~F.col("code").isin(*dropped) & ~F.col("code").contains("~"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
@@ -12,7 +14,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .evaluation import history_gate
+from .evaluation import error_by, history_gate
 
 MISSING = -999.0
 
@@ -78,6 +80,10 @@ class GatedModel:
         value = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.when(own, F.col("_full")).otherwise(F.col("_rest"))))
         return out.select(*key, "label", (F.floor(value * 10 + 0.5) / 10).alias("prediction"), (~own).alias("low_confidence"), F.when(own, F.col("_full") - F.col("_long")).alias("drift_effect"))
 
+    def raw(self, rows: DataFrame, which: str = "full") -> DataFrame:
+        """Predictions of one of the two models (full or fallback) for all rows, without gate or clip."""
+        return getattr(self, which).transform(_named(rows, self.columns)).select("entity_id", "day", "label", "prediction")
+
     def importance(self) -> list[tuple[str, float]]:
         """Share of each input of the full model, largest first."""
         weights = self.full.stages[-1].featureImportances.toArray()
@@ -89,6 +95,19 @@ def forest(train: DataFrame, rows: DataFrame, columns: list[str], entities: int)
     return tree_pipeline(estimator, columns, True).fit(_named(train, columns)).transform(_named(rows, columns)).select("entity_id", "day", "label", "prediction")
 
 
+def ablation(train: DataFrame, rows: DataFrame, sets: dict[str, list[str]], entities: int) -> DataFrame:
+    """Error of the forest on the same rows by set of columns; one fit for each of the few sets."""
+    found = [forest(train, rows, columns, entities).withColumn("features", F.lit(name)) for name, columns in sets.items()]
+    return error_by(reduce(DataFrame.unionByName, found), ["features"])
+
+
+def yearly_backtest(rows: DataFrame, columns: list[str], entities: int, years: list[int]) -> DataFrame:
+    """Predictions of whole years, each by a model that was fitted on all days before it."""
+    year = F.year("date")
+    found = [forest(rows.where(year < y), rows.where(year == y), columns, entities).withColumn("year", F.lit(y)) for y in years]
+    return reduce(DataFrame.unionByName, found)
+
+
 def ridge(train: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
     """Linear regression with entity x weekday and entity x month dummies."""
     crosses = {"by_dow": F.concat_ws("_", "entity_id", F.weekday("date")), "by_month": F.concat_ws("_", "entity_id", F.month("date"))}

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.calendar import hours_open, minutes
+from ..functions.calendar import clock, hours_open, minutes
 from .days import event_flags, hours_features, labelled
-from .history import at_lag, drift, future_spine, mean_of, prior_year
+from .history import at_lag, drift, future_drift, future_spine, mean_of, prior_year
 
 
 def open_rows(calendar: DataFrame) -> DataFrame:
@@ -77,12 +77,35 @@ def status_frame(calendar: DataFrame) -> DataFrame:
     return event_flags(out).withColumns({f"{v}_mean": mean_of([F.col(f"{v}_{k}") for k in (357, 364, 371)]) for v in names})
 
 
-def future_rows(calendar: DataFrame, days: int = 30) -> DataFrame:
-    """Features of future days of active entities, from labels only."""
-    known = labelled(calendar)
+def future_rows(calendar: DataFrame, weather: DataFrame | None = None, days: int = 30) -> DataFrame:
+    """Features of future days of active entities: calendar, events and status of last year, lags, drift, hours, weather.
+
+    weather: entity_id, day, wx_source and its columns; rows without any have wx_source 'none'. excluded is 0: a window of
+    the past holds no future day.
+    """
+    known, key = labelled(calendar), ["entity_id", "day"]
     spine = future_spine(known, days)
-    lagged = prior_year(with_future(known, spine, ["label"])).where("future").select("entity_id", "day", "py364", "py_mean")
-    return spine.join(lagged, ["entity_id", "day"]).join(is_open_lookup(calendar, spine), ["entity_id", "day"]).join(future_hours(calendar, spine), ["entity_id", "day"])
+    past = event_flags(calendar, {}).withColumn("was_open", F.when(F.col("status").isin("open", "closed"), (F.col("status") == "open").cast("double")))
+    lagged = with_future(past, spine, ["has_event", "was_open"]).withColumns({"_event": at_lag("has_event", 364), "open_last_year": at_lag("was_open", 364)})
+    lagged = lagged.where("future").select(*key, F.coalesce("_event", F.lit(0)).alias("has_event"), "open_last_year")
+    out = spine.withColumn("date", F.date_from_unix_date("day")).withColumns({"dow": F.weekday("date"), "weekend": (F.weekday("date") >= 5).cast("int"), "month": F.month("date"), "year": F.year("date"), "excluded": F.lit(0)})
+    for part in (lagged, future_drift(known, days), is_open_lookup(calendar, spine), future_hours(calendar, spine)):
+        out = out.join(part, key)
+    if weather is None:
+        return out.withColumn("wx_source", F.lit("none"))
+    return out.join(weather, key, "left").withColumn("wx_source", F.coalesce("wx_source", F.lit("none")))
+
+
+def forecast_output(rows: DataFrame, predictions: DataFrame, schedule: DataFrame) -> DataFrame:
+    """Future rows as they are published: known schedules win; a day known to be closed has neither prediction nor hours."""
+    out = apply_known_hours(known_schedule(rows.join(predictions, ["entity_id", "day"]), schedule))
+    shut = F.col("known") & ~F.col("known_open")
+    unless_shut = lambda c: F.when(~shut, c)
+    return out.select(
+        "entity_id", "day", "date", "days_ahead", F.when(F.col("known"), F.col("known_open")).otherwise(F.col("is_open")).alias("is_open"), "known",
+        *[unless_shut(F.col(c)).alias(c) for c in ("prediction", "drift_effect")], "low_confidence",
+        unless_shut(clock(F.col("open_min"))).alias("opens"), unless_shut(clock(F.col("close_min"))).alias("closes"), "wx_source",
+    )
 
 
 def closing_terciles(df: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import days, evaluation, history, models, status
+from ..operators import days, evaluation, history, models, status, weather
+from . import states
 from .adapters import view
 from .registry import query
 
@@ -83,3 +84,45 @@ def region_weights(s, d):
     full = rows.join(parts, "day", "left").fillna(0.0, ["R0", "R1", "R2", "R3", "R4"])
     full = full.withColumns({f"dow{k}": (F.col("dow") == k).cast("double") for k in range(1, 7)} | {"sin1": F.sin(2 * F.pi() * F.dayofyear("date") / 365.25), "cos1": F.cos(2 * F.pi() * F.dayofyear("date") / 365.25)})
     return models.market_weights(full, ["one", *[f"dow{k}" for k in range(1, 7)], "sin1", "cos1"], ["R0", "R1", "R2", "R3", "R4"], "lift")
+
+
+@query("batch_predictions")
+def batch_predictions(s, d):
+    """Labelled days from the cut on, scored as if made 7 days ahead."""
+    model, rows = _gated(s, d)
+    return model.predict(weather.blank_drift(rows, 7, (1, 7)))
+
+
+@query("sub_model_predictions")
+def sub_model_predictions(s, d):
+    model, rows = _gated(s, d)
+    return model.raw(rows, "fallback")
+
+
+@query("feature_importance")
+def feature_importance(s, d):
+    model, _ = _gated(s, d)
+    return s.createDataFrame(model.importance(), "feature string, share double")
+
+
+@query("feature_ablation")
+def feature_ablation(s, d):
+    rows = frame(s, d)
+    sets = {"calendar": BASIC, "calendar and last year": [*BASIC, "py364", "py_mean"], "all": COLUMNS}
+    return models.ablation(rows.where(F.col("day") <= CUT), rows.where(F.col("day") > CUT), sets, 25)
+
+
+@query("yearly_backtest")
+def yearly_backtest(s, d):
+    """Error of the last three full years, each predicted from all days before it."""
+    rows = frame(s, d)
+    return evaluation.error_by(models.yearly_backtest(rows, COLUMNS, 25, [1996, 1997, 1998]), ["year"])
+
+
+@query("forecast_output")
+def forecast_output(s, d):
+    """Future days with predictions, hours and known schedules (those of 371 days before stand in)."""
+    ahead = states.ahead(s, d)
+    model, _ = _gated(s, d)
+    found = model.predict(ahead.withColumn("label", F.lit(None).cast("double"))).drop("label")
+    return status.forecast_output(ahead, found, view(s, d, "calendar").withColumn("day", F.col("day") + 371))

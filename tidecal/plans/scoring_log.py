@@ -110,6 +110,15 @@ query("forecast_snapshot", oracle("select entity_id, day, day - 10500 as lead_da
 STATS = "count(distinct day) as days, count(*) as n, 100 - avg(abs(error)) as accuracy, 100 * avg((abs(error) <= 10)::int) as within_10, avg(abs(error)) as mae, avg(error) as bias, avg((source = 'backtest')::int) as backtest_share"
 RECENT = "rc as (select sc.*, w as window from sc cross join (select unnest([7, 14, 30, 90]) as w) where day > 10900 - w and day <= 10900)"
 query("accuracy_summary", oracle(f"with {SCORED}, {RECENT} select \"window\", lead_days, {STATS} from rc group by 1, 2", "activity", "log"))(lambda s, d: ev.accuracy_summary(scored(s, d), 10900))
+query(
+    "accuracy_headline",
+    oracle(
+        f"""with {SCORED}, {RECENT}, su as (select "window", lead_days, {STATS} from rc group by 1, 2)
+        select printf('%.0f%% accuracy, last 90 days (%d days of data, 7-day-ahead forecasts) | %.0f%% of entity-days within +-10 points | average miss %.1f pts', round_even(accuracy, 0), days, round_even(within_10, 0), round_even(mae, 1)) as headline from su where "window" = 90 and lead_days = 7""",
+        "activity",
+        "log",
+    ),
+)(lambda s, d: ev.headline(ev.accuracy_summary(scored(s, d), 10900)))
 query("accuracy_by_entity", oracle(f"with {SCORED}, {RECENT} select \"window\", lead_days, entity_id, {STATS} from rc group by 1, 2, 3", "activity", "log"))(lambda s, d: ev.accuracy_summary(scored(s, d), 10900, by=("entity_id",)))
 LEADS = (1, 7, 14, 30)
 WIDE = f"{SCORED}, wd as (select entity_id, day, any_value(actual) as actual, case when bool_or(source = 'live') then 'live' else 'backtest' end as source, {', '.join(f'max(prediction) filter (lead_days = {k}) as lead_{k}' for k in LEADS)} from sc group by 1, 2)"

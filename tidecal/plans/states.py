@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import history, holidays, models, scores, status, weather
 from ..sources.contracts import Contract, report
 from .adapters import oracle, view
-from .days import DRIFTS, FRAMES, KEY, SPINE
+from .days import DRIFTS, FRAMES, KEY, MEAN, SPINE
 from .registry import query
 from .surroundings import EITHER, FAN, ROUND4
 
@@ -153,7 +153,35 @@ query(
 query("contract_report", oracle("select 'allowed:status' as rule, sum((status not in ('open', 'closed'))::int)::bigint as n from calendar union all select 'range:label', coalesce(sum((label < 5 or label > 95)::int), 0)::bigint from calendar union all select 'missing_columns', 1::bigint union all select 'duplicate_keys', (count(*) - count(distinct (entity_id, day)))::bigint from calendar", "calendar"))(
     lambda s, d: report(cal(s, d), Contract(("entity_id", "day", "holiday"), ("entity_id", "day"), {"status": ("open", "closed")}, {"label": (5, 95)}))
 )
-query("future_rows")(lambda s, d: status.future_rows(cal(s, d)))
+LABELS = "la as (select entity_id, day, label from calendar where status = 'open' and label is not null and not predicted)"
+AHEAD = f"""{LABELS}, {SPINE.replace('from activity', 'from la')}, sd as (select *, date '1970-01-01' + day::int as d from sp), {OPEN}, {HOURS}, {chain_sql('io', 'op', 'is_open', 'avg')}, {chain_sql('oo', 'hr', 'o', 'median')}, {chain_sql('co', 'hr', 'c', 'median')},
+ u as (select entity_id, day, label, null as last_day from la union all select entity_id, day, null, last_day from sp),
+ p as (select u.*, x.label as py357, y.label as py364, z.label as py371 from u left join la x on x.entity_id = u.entity_id and x.day = u.day - 357 left join la y on y.entity_id = u.entity_id and y.day = u.day - 364 left join la z on z.entity_id = u.entity_id and z.day = u.day - 371),
+ g as (select *, label - py364 as gap from p), r as (select *, {DRIFTS} from g {FRAMES}),
+ fd as (select entity_id, day, py364, {MEAN} as py_mean, {', '.join(f'case when day - {h} <= last_day then drift{h} end as drift{h}' for h in (1, 7, 14))} from r where last_day is not null),
+ ev as (select entity_id, day, (coalesce(events, '') <> '')::int as has_event, case when status in ('open', 'closed') then (status = 'open')::int::double end as was_open from calendar),
+ wx as (select entity_id as station_id, day + 140 as day, temp_max, 'station' as wx_source from station)"""
+ahead = lambda s, d: status.future_rows(cal(s, d), _station_ahead(s, d))
+
+
+def _station_ahead(s, d):
+    """Station days 140 days later, in the place of forecasts."""
+    station = view(s, d, "station").select(F.col("entity_id").alias("station_id"), (F.col("day") + 140).alias("day"), "temp_max", F.lit("station").alias("wx_source"))
+    return station.join(F.broadcast(view(s, d, "entities").select("entity_id", (F.col("entity_id") % 5).alias("station_id"))), "station_id").drop("station_id")
+
+
+query(
+    "future_rows",
+    oracle(
+        f"""with {AHEAD} select sd.entity_id, sd.last_day, sd.day::int as day, (sd.day - sd.last_day)::int as days_ahead, d as date, (isodow(d) - 1)::int as dow, (isodow(d) >= 6)::int as weekend, month(d)::int as month, year(d)::int as year, 0 as excluded,
+        coalesce(ev.has_event, 0) as has_event, ev.was_open as open_last_year, py364, py_mean, drift1, drift7, drift14, coalesce(io.v, 1.0) as rate, coalesce(io.v, 1.0) >= 0.5 as is_open, oo.v as open_min, co.v as close_min,
+        case when co.v < oo.v then (co.v - oo.v) / 60 + 24 else (co.v - oo.v) / 60 end as duration, wx.temp_max, coalesce(wx.wx_source, 'none') as wx_source
+        from sd join fd using (entity_id, day) join io using (entity_id, day) join oo using (entity_id, day) join co using (entity_id, day)
+        left join ev on ev.entity_id = sd.entity_id and ev.day = sd.day - 364 left join wx on wx.station_id = sd.entity_id % 5 and wx.day = sd.day""",
+        "calendar",
+        "station",
+    ),
+)(ahead)
 query(
     "training_blanks",
     oracle("select entity_id, day, [0, 1, 7, 14][1 + (entity_id * 7919 + day * 104729) % 1000003 % 4] as lag, (entity_id * 7919 + day * 104729) % 1000003 % 16 < 4 as no_weather from activity", "activity"),

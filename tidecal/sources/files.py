@@ -55,11 +55,11 @@ def read_polygons(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumns(box)
 
 
-def read_public_holidays(spark: SparkSession, path: str) -> DataFrame:
-    """Holiday records as rows: whole-day ones, one row for each subdivision (or the country), English name first."""
+def read_holidays(spark: SparkSession, path: str, kind: str = "Public") -> DataFrame:
+    """Holiday records of one kind (Public, School) as rows: whole-day ones, one row for each subdivision (or the country), English name first."""
     text = "array<struct<language: string, text: string>>"
     schema = f"country string, startDate string, endDate string, type string, temporalScope string, name {text}, subdivisions array<struct<code: string>>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).where("type = 'Public' and coalesce(temporalScope, 'FullDay') = 'FullDay'")
+    rows = spark.read.schema(schema).option("multiLine", True).json(path).where((F.col("type") == kind) & (F.coalesce("temporalScope", F.lit("FullDay")) == "FullDay"))
     rows = rows.withColumn("sub", F.explode_outer("subdivisions"))
     english = F.get(F.filter("name", lambda x: x["language"] == "EN"), F.lit(0))["text"]
     return rows.select(F.coalesce("sub.code", "country").alias("code"), F.to_date("startDate").alias("start"), F.to_date("endDate").alias("end"), F.coalesce(english, F.get("name", F.lit(0))["text"]).alias("name"))
