@@ -11,6 +11,8 @@ Repeated rows give repeated rows, empty tables empty tables. Columns other than
 from __future__ import annotations
 
 import functools
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -85,12 +87,15 @@ def fuzzy_matches(words: str, notices: tuple[tuple[str, str], ...]) -> list[tupl
             start = end - size + 1 - offset
             if start + len(notice) // 2 < done.get(n, -1):
                 continue
-            # Up to the end of a word, else a cut word would look whole.
-            stop = words.find(" ", start + len(notice) + k)
-            m = patterns[n].search(words, max(0, start - k), stop if stop >= 0 else len(words))
+            # The piece places the notice but for k characters, and k more may be put in. One character before shows
+            # whether a word starts; after a cut come characters that no notice holds, more than k, so that a cut word
+            # doesn't look whole.
+            low, high = max(0, start - k - 1), start + len(notice) + 2 * k + 2
+            near = words[low:high] + ("\0" * (k + 2) if high < len(words) else "")
+            m = patterns[n].search(near, 1 if low else 0)
             if m:
-                found.add((n, m.start(), m.end(), sum(m.fuzzy_counts)))
-                done[n] = m.end()
+                found.add((n, low + m.start(), low + m.end(), sum(m.fuzzy_counts)))
+                done[n] = low + m.end()
     return sorted(found, key=lambda x: (x[1], x[0]))
 
 
@@ -98,16 +103,15 @@ def base_places(words: str) -> list[tuple[int, str]]:
     """(first word, label) of every place of a base phrase."""
     padded, out = f" {words} ", []
     for phrase, label in BASE.items():
-        at = padded.find(f" {phrase} ")
+        at, before, counted = padded.find(f" {phrase} "), 0, 0
         while at >= 0:
-            out.append((padded.count(" ", 0, at), label))
+            before, counted = before + padded.count(" ", counted, at), at
+            out.append((before, label))
             at = padded.find(f" {phrase} ", at + 1)
     return sorted(out)
 
 
 def word_spans(text: str) -> list[tuple[int, int]]:
-    import re
-
     return [m.span() for m in re.finditer("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", text)]
 
 
@@ -116,9 +120,9 @@ def scan(text: str | None, notices: tuple[tuple[str, str], ...]) -> tuple:
     base, fuzzy = base_places(words), fuzzy_matches(words, notices)
     matches = []
     if fuzzy:
-        spans = word_spans(text or "")
+        spans, gaps = word_spans(text or ""), [m.start() for m in re.finditer(" ", words)]
         for n, start, end, edits in fuzzy:
-            first, last = words.count(" ", 0, start), words.count(" ", 0, end)
+            first, last = bisect_left(gaps, start), bisect_left(gaps, end)
             matches.append((notices[n][1], spans[first][0], spans[last][1], first, edits))
     own = {x[1] for x in base}
     score = max([1.0 if base else 0.0, *(1 - edits / len(notices[n][0]) for n, _, _, edits in fuzzy)])
