@@ -1,8 +1,9 @@
 """Near-duplicate embeddings by sorted projection passes.
 
 In each pass the vectors of a label are ordered by the concatenated signs of random projections, and each is compared with
-the next `window` ones; pairs with enough cosine are kept. The pairs of all passes are united into components. Within a
-component every member is then compared with every other in blocks, so that the link counts miss none of its pairs.
+the next `window` ones; pairs with enough cosine are kept. The more vectors the largest label holds, the less likely a pair
+meets in one pass, so the number of passes follows from that size. The pairs of all passes are united into components. Within
+a component every member is then compared with every other in blocks, so that the link counts miss none of its pairs.
 
 Defined cases: a vector that is null, zero, or holds a null or non-finite component, or whose label is null, links with
 nothing. Equal vectors are compared once and counted by their number. Vectors of unequal length never link. Repeated
@@ -11,6 +12,7 @@ vec_ids are one node for components. Empty tables give empty tables; other colum
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import components, materialise, ship_package
 
 COSINE, PASSES, WINDOW, BITS = 0.93, 8, 12, 62
+#: Chance that a pair just at the cosine meets in some pass; closer pairs have a better one.
+RECALL = 0.98
 #: Most members of a block; a component has FEW blocks at least, as far as these hold LEAST members each.
 BLOCK, FEW, LEAST = 1024, 8, 64
 
@@ -39,6 +43,17 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", "label", v.alias("vector")).where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda x: x != 0))
 
 
+def passes_for(rows: int, cosine: float = COSINE, window: int = WINDOW, recall: float = RECALL, least: int = PASSES) -> int:
+    """Passes over a label of so many vectors in which a pair at the cosine meets with the chance `recall`.
+
+    A pair meets once its signs agree down to runs of about `window` rows: log2(rows / window) signs, each of which agrees
+    with chance 1 - angle / pi. So passes grow with a small power of the rows (0.18 at cosine 0.93).
+    """
+    agree = 1 - math.acos(min(1.0, max(-1.0, cosine))) / math.pi
+    meets = agree ** math.log2(max(1.0, rows / window))
+    return least if meets >= 1 else max(least, math.ceil(math.log(1 - recall) / math.log1p(-meets)))
+
+
 def keyed(vectors: DataFrame, passes: int, seed: int = 11) -> DataFrame:
     """Every vector once for each pass, with the pass's sort key: the signs of BITS projections as one number."""
 
@@ -143,12 +158,14 @@ def component_links(members: DataFrame, cosine: float, block: int = BLOCK) -> Da
     return cells.groupBy("cell").applyInPandas(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n_links"))
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row."""
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, passes: int | None = None, window: int = WINDOW) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every row. passes: by passes_for() unless given."""
     ship_package(vectors.sparkSession)
     rows = materialise(usable(vectors))
     distinct = materialise(rows.groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")))
-    partitions = max(1, min(4096, distinct.count() * passes // 4000))
+    count = distinct.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.coalesce(F.max("n"), F.lit(0)).alias("largest")).first()
+    passes = passes or passes_for(count["largest"], cosine, window)
+    partitions = max(1, min(4096, count["all"] * passes // 4000))
     ordered = keyed(distinct, passes).withColumn("group", F.concat_ws("|", F.col("label").cast("string"), "width"))
     ordered = ordered.repartitionByRange(partitions, "step", "group", "key", "node").sortWithinPartitions("step", "group", "key", "node").select("step", "group", "node", "vector")
     found = materialise(components(window_pairs(ordered, window, cosine)).withColumnRenamed("component", "root"))
