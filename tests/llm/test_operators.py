@@ -62,7 +62,8 @@ def test_pipeline_stages_keep_columns(spark, sf):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want = con.sql(queries.ORACLE_SQL[name]).df()
     got = queries.QUERIES[name](spark, sf).toPandas()[list(want.columns)]
     order = list(want.columns)
@@ -153,6 +154,27 @@ def test_embeddings_by_brute_force(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_passes_grow_slowly_with_the_vectors(spark):
+    sizes = [embeddings.passes_for(n) for n in (0, 1, 100, 10_000, 1_000_000, 1_000_000_000)]
+    assert sizes == sorted(sizes) and sizes[:3] == [8, 8, 8] and sizes[3] > 8 and sizes[-1] < 200
+    # Pairs at the cosine among so many others that 8 passes would miss some: they meet as often as stated.
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(2, 4000, 32))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    rows = [(2 * k, a[k].tolist()) for k in range(4000)] + [(2 * k + 1, (0.931 * a[k] + (1 - 0.931**2) ** 0.5 * b[k]).tolist()) for k in range(4000)]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, label int")
+    found = embeddings.near_duplicates(df).where("vec_id % 2 = 1 and component_id = vec_id - 1 and n_links = 1").count()
+    assert found >= embeddings.RECALL * 4000
+
+
+def test_least_hashed_equals_a_whole_sort(spark):
+    ids = spark.range(5000).withColumnRenamed("id", "doc_id")
+    want = [r.doc_id for r in ids.orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(300).collect()]
+    assert labelled.least_hashed(ids, "sample", 300, 5000) == want and labelled.least_hashed(ids.limit(9), "sample", 300, 9) != []
+
+
 def test_fingerprints_and_components(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
@@ -206,6 +228,10 @@ def test_licenses():
             s[int(rng.integers(0, len(s)))] = "x"
         s = licenses.normal("aa " + "".join(s) + " bb")
         assert bool(licenses.fuzzy_matches(s, known)) == bool(regex.search(r"(?b)(?<![^ ])(?:apache license){e<=1}(?![^ ])", s))
+    # One very long word full of pieces, then a notice; many places of one phrase.
+    assert licenses.fuzzy_matches("mit licens" * 50_000 + " mit licence", known)[-1][1:] == (500_001, 500_012, 1)
+    got = licenses.scan("MIT License, " * 20_000, known)
+    assert got[1:4] == (20_000, 0, 39_998) and got[7][-1][3] == 39_998
 
 
 def test_pii():

@@ -62,6 +62,15 @@ def slices_for(rows: int, least: int = 256, each: int = 200_000) -> int:
     return max(least, -(-rows // each))
 
 
+def scatter(key: Column, slices: int) -> Column:
+    """A slice from 0 for a whole number, by arithmetic that SQL engines share; null goes where 0 goes.
+
+    The high bits of a product decide, so evenly spaced keys are scattered too.
+    """
+    mixed = F.pmod(F.coalesce(key, F.lit(0)) % 2_147_483_648 * F.lit(1_640_531_527), F.lit(2_147_483_648))
+    return F.shiftright(mixed * slices, 31)
+
+
 def number_within(df: DataFrame, keys: list[str], cells: list[str], order: list[str], out: str) -> DataFrame:
     """Number the rows of each key from 0 without gaps, in the order of cells, then of order.
 

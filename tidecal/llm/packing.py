@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, number_within, slices_for, word_count
+from .common import materialise, number_within, scatter, slices_for, word_count
 
 BUCKETS = 16
 BUDGET = 65_536
@@ -71,7 +71,7 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataF
         bucket = F.when(F.col("n_tokens") <= bounds[k], k).otherwise(bucket)
     top = F.element_at(F.array(*[F.lit(int(b)) for b in bounds]).cast("array<bigint>"), F.col("bucket") + 1)
     slices = slices_for(lengths.count())
-    rows = lengths.withColumn("bucket", bucket).withColumns({"bucket_len": top, "slice": F.pmod(F.xxhash64("doc_id"), F.lit(slices))})
+    rows = lengths.withColumn("bucket", bucket).withColumns({"bucket_len": top, "slice": scatter(F.col("doc_id"), slices)})
     rows = number_within(rows, ["bucket"], ["slice"], ["doc_id", "n_tokens"], "place")
     room = F.greatest(F.lit(1), F.floor(budget / F.greatest("bucket_len", F.lit(1)))).cast("long")
     rows = rows.withColumn("batch_rows", room)

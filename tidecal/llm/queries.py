@@ -71,7 +71,79 @@ QUERIES = {
 }
 
 _P = sharding.PRIME
+
+
+def _packing_sql(buckets: int, budget: int) -> str:
+    """Each round of the dynamic program is one step r: best padding up to step j, and the last boundary before j."""
+    rounds = "".join(
+        f"""
+), r{k} AS MATERIALIZED (
+  SELECT b.j, least(b.best, m.f.cost) AS best, CASE WHEN m.f.cost < b.best THEN m.f.i ELSE -1 END AS came
+  FROM r{k - 1} b LEFT JOIN (
+    SELECT y.j, min({{'cost': r.best + y.step * (y.rows - x.rows) - (y.tokens - x.tokens), 'i': r.j}}) AS f
+    FROM r{k - 1} r JOIN steps x ON x.j = r.j JOIN steps y ON x.j < y.j GROUP BY y.j
+  ) m ON m.j = b.j"""
+        for k in range(1, buckets)
+    )
+    choices = " UNION ALL ".join(f"SELECT {k} AS k, j, came FROM r{k}" for k in range(buckets))
+    return rf"""
+WITH RECURSIVE lengths AS MATERIALIZED (
+  SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents
+), shifted AS (
+  SELECT n_tokens, greatest(length(bin(n_tokens)) - 7, 0)::BIGINT AS s FROM lengths
+), histogram AS (
+  SELECT ((n_tokens + (1::BIGINT << s) - 1) >> s) << s AS step, count(*) AS n, sum(n_tokens)::BIGINT AS t FROM shifted GROUP BY 1
+), steps AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY step) - 1 AS j, step, (sum(n) OVER (ORDER BY step))::BIGINT AS rows, (sum(t) OVER (ORDER BY step))::BIGINT AS tokens
+  FROM histogram
+), r0 AS MATERIALIZED (
+  SELECT j, step * rows - tokens AS best, -1 AS came FROM steps{rounds}
+), choices AS MATERIALIZED (
+  {choices}
+), path AS (
+  SELECT {buckets - 1} AS k, max(j) AS j FROM steps
+  UNION ALL
+  SELECT path.k - 1, CASE WHEN c.came >= 0 THEN c.came ELSE path.j END FROM path JOIN choices c ON c.k = path.k AND c.j = path.j WHERE path.k > 0
+), bounds AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY step) - 1 AS bucket, step AS bucket_len, coalesce(lag(step) OVER (ORDER BY step), -1) AS above
+  FROM (SELECT DISTINCT step FROM path JOIN steps USING (j))
+), sliced AS (
+  SELECT doc_id, n_tokens, bucket, bucket_len,
+    ((coalesce(doc_id, 0) % 2147483648 * 1640531527 % 2147483648 + 2147483648) % 2147483648 * s.n) >> 31 AS slice
+  FROM lengths JOIN bounds ON n_tokens > above AND n_tokens <= bucket_len,
+    (SELECT greatest(256, (count(*) + 199999) // 200000) AS n FROM lengths) s
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY slice, doc_id NULLS FIRST, n_tokens) - 1 AS place,
+    greatest(1, {budget} // greatest(bucket_len, 1))::BIGINT AS batch_rows
+  FROM sliced
+)
+SELECT doc_id, n_tokens, bucket::INTEGER AS bucket, bucket_len, (place // batch_rows)::BIGINT AS batch, batch_rows, bucket_len - n_tokens AS padding
+FROM placed
+"""
+
+
 ORACLE_SQL = {
+    "op2_packing": _packing_sql(packing.BUCKETS, packing.BUDGET),
+    "op3_embedding_near_dedup": f"""
+WITH RECURSIVE usable AS MATERIALIZED (
+  SELECT vec_id, label, v FROM (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL
+    AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM usable x JOIN usable y ON x.label = y.label AND x.vec_id <> y.vec_id
+  WHERE CASE WHEN len(x.v) = len(y.v) THEN list_cosine_similarity(x.v, y.v) >= {embeddings.COSINE} ELSE false END
+), reach AS (
+  SELECT vec_id AS node, vec_id AS met FROM usable
+  UNION
+  SELECT node, b FROM reach JOIN links ON met = a
+), least AS (
+  SELECT node, min(met) AS component_id FROM reach GROUP BY node
+), counts AS (
+  SELECT a AS node, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id = coalesce(component_id, vec_id) AS kept
+FROM embeddings LEFT JOIN least ON least.node = vec_id LEFT JOIN counts ON counts.node = vec_id
+""",
     "op4_sharding": f"""
 WITH docs AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
