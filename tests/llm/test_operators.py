@@ -169,6 +169,34 @@ def test_passes_grow_slowly_with_the_vectors(spark):
     assert found >= embeddings.RECALL * 4000
 
 
+def test_hubs_and_uncentred_labels_keep_every_link(spark):
+    rng = np.random.default_rng(12)
+
+    def beside(v, cosine):
+        w = rng.normal(size=v.shape)
+        w -= (w * v).sum(-1, keepdims=True) * v
+        return cosine * v + (1 - cosine**2) ** 0.5 * w / np.linalg.norm(w, axis=-1, keepdims=True)
+
+    hub = np.eye(64)[0]
+    even = rng.normal(size=(3000, 64))
+    even /= np.linalg.norm(even, axis=1)[:, None]
+    crowded = beside(np.tile(np.eye(64)[1], (2000, 1)), 0.84)
+    labels = [np.concatenate([hub[None], beside(np.tile(hub, (300, 1)), 0.94), even]), np.concatenate([crowded, beside(crowded[:500], 0.935)])]
+    rows = [(k * 10_000 + i, v.tolist(), k) for k, vectors in enumerate(labels) for i, v in enumerate(vectors)]
+    got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    for k, vectors in enumerate(labels):
+        near = vectors @ vectors.T / np.outer(*[np.linalg.norm(vectors, axis=1)] * 2) >= embeddings.COSINE
+        np.fill_diagonal(near, False)
+        least = np.arange(len(near))
+        while True:
+            lower = np.minimum(least, np.where(near, least[None, :], len(near)).min(1))
+            if (lower == least).all():
+                break
+            least = lower
+        assert [got[k * 10_000 + i].n_links for i in range(len(near))] == near.sum(1).tolist()
+        assert [got[k * 10_000 + i].component_id - k * 10_000 for i in range(len(near))] == least.tolist()
+
+
 def test_least_hashed_equals_a_whole_sort(spark):
     ids = spark.range(5000).withColumnRenamed("id", "doc_id")
     want = [r.doc_id for r in ids.orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(300).collect()]

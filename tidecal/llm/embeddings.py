@@ -1,9 +1,12 @@
-"""Near-duplicate embeddings by sorted projection passes.
+"""Near-duplicate embeddings: every pair of a label is compared, block against block.
 
-In each pass the vectors of a label are ordered by the concatenated signs of random projections, and each is compared with
-the next `window` ones; pairs with enough cosine are kept. The more vectors the largest label holds, the less likely a pair
-meets in one pass, so the number of passes follows from that size. The pairs of all passes are united into components. Within
-a component every member is then compared with every other in blocks, so that the link counts miss none of its pairs.
+A label is cut into blocks by hash, and a task compares two of them at a time. It returns each linked vector's number of
+links and one edge to the root of its tree, so a group of near copies sends as many rows as it has members, not as pairs.
+The edges of all tasks are united into components. Nothing is missed, and the work grows with the square of a label's size.
+
+near_duplicates() with `passes` given compares less: in each pass the vectors of a label are ordered by the concatenated
+signs of random projections, and each is compared with the next `window` ones. The more vectors the largest label holds, the
+less likely a pair meets in one pass. Links are then counted over all pairs of the components found.
 
 Defined cases: a vector that is null, zero, or holds a null or non-finite component, or whose label is null, links with
 nothing. Equal vectors are compared once and counted by their number. Vectors of unequal length never link. Repeated
@@ -27,6 +30,8 @@ COSINE, PASSES, WINDOW, BITS = 0.93, 8, 12, 62
 RECALL = 0.98
 #: Most members of a block; a component has FEW blocks at least, as far as these hold LEAST members each.
 BLOCK, FEW, LEAST = 1024, 8, 64
+#: Most members of a block of a label.
+LABEL_BLOCK = 4096
 
 
 def _unit(column: pd.Series) -> np.ndarray:
@@ -158,19 +163,74 @@ def component_links(members: DataFrame, cosine: float, block: int = BLOCK) -> Da
     return cells.groupBy("cell").applyInPandas(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n_links"))
 
 
+def trees(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The root of every row and column of a link matrix, -1 without links: the least row of those it hangs together with."""
+    across, rows, columns = np.ascontiguousarray(near.T), near.any(1), near.any(0)
+    row_root, column_root = np.full(len(near), -1), np.full(len(across), -1)
+    for root in np.flatnonzero(rows):
+        at = np.array([root]) if rows[root] else np.zeros(0, dtype=np.int64)
+        while len(at):
+            rows[at], row_root[at] = False, root
+            met = np.flatnonzero(near[at].any(0) & columns)
+            columns[met], column_root[met] = False, root
+            at = np.flatnonzero(across[met].any(0) & rows)
+    return row_root, column_root
+
+
+def label_links(distinct: DataFrame, cosine: float, block: int = LABEL_BLOCK) -> DataFrame:
+    """node, root, n of distinct (label, node, copies, vector): all pairs of a label, block against block.
+
+    n sums to a node's links over its rows; the rows' edges (node, root) connect what is linked. Labels are cut as
+    component_links() cuts components, so even a small label is no single task's.
+    """
+    sizes = distinct.groupBy("label").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LEAST)
+    blocks = F.greatest(F.ceil(F.col("size") / block), F.least(F.lit(FEW), F.ceil(F.col("size") / LEAST)))
+    cut = distinct.join(F.broadcast(sizes.select("label", blocks.cast("int").alias("blocks"))), "label", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = cut.select("label", "node", "copies", "vector", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = cells.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
+    cells = cells.select(F.concat_ws(":", F.col("label").cast("string"), "x", "y").alias("cell"), "x", "y", "node", "copies", "vector", "own")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        x, y = frame["x"].iloc[0], frame["y"].iloc[0]
+        widths, own = frame["vector"].map(len).to_numpy(), frame["own"].to_numpy()
+        nodes, copies, found = frame["node"].to_numpy(), frame["copies"].to_numpy(dtype=np.float64), [np.zeros((0, 3), dtype=np.int64)]
+        for width in np.unique(widths):
+            left, right = (np.flatnonzero((widths == width) & (own == side)) for side in (x, y))
+            if not len(left) or not len(right):
+                continue
+            unit, others = _unit(frame["vector"].iloc[left]), _unit(frame["vector"].iloc[right])
+            near, n, m = np.empty((len(left), len(right)), dtype=bool), np.zeros(len(left)), np.zeros(len(right))
+            for k in range(0, len(left), 512):
+                part = unit[k : k + 512] @ others.T >= cosine
+                if x == y:
+                    part[np.arange(len(part)), np.arange(k, k + len(part))] = False
+                near[k : k + 512], n[k : k + 512] = part, part @ copies[right]
+                if x != y:
+                    m += copies[left[k : k + 512]] @ part
+            for side, count, root in zip((left, right), (n, m), trees(near)):
+                hit = root >= 0
+                found.append(np.stack([nodes[side[hit]], nodes[left[root[hit]]], count[hit].astype(np.int64)], axis=1))
+        return pd.DataFrame(np.concatenate(found), columns=["node", "root", "n"])
+
+    return cells.groupBy("cell").applyInPandas(run, "node long, root long, n long")
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, passes: int | None = None, window: int = WINDOW) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row. passes: by passes_for() unless given."""
+    """vec_id, n_links, component_id and kept of every row, by all pairs of each label; with passes, by what meets in these."""
     ship_package(vectors.sparkSession)
     rows = materialise(usable(vectors))
     distinct = materialise(rows.groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")))
-    count = distinct.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.coalesce(F.max("n"), F.lit(0)).alias("largest")).first()
-    passes = passes or passes_for(count["largest"], cosine, window)
-    partitions = max(1, min(4096, count["all"] * passes // 4000))
-    ordered = keyed(distinct, passes).withColumn("group", F.concat_ws("|", F.col("label").cast("string"), "width"))
-    ordered = ordered.repartitionByRange(partitions, "step", "group", "key", "node").sortWithinPartitions("step", "group", "key", "node").select("step", "group", "node", "vector")
-    found = materialise(components(window_pairs(ordered, window, cosine)).withColumnRenamed("component", "root"))
-    members = distinct.join(found, "node").select(F.col("root").alias("component"), "node", "copies", "vector")
-    counts = component_links(members, cosine)
+    if passes is None:
+        met = materialise(label_links(distinct, cosine))
+        found = materialise(components(met.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("component", "root"))
+        counts = met.groupBy("node").agg(F.sum("n").alias("n_links"))
+    else:
+        partitions = max(1, min(4096, distinct.count() * passes // 4000))
+        ordered = keyed(distinct, passes).withColumn("group", F.concat_ws("|", F.col("label").cast("string"), "width"))
+        ordered = ordered.repartitionByRange(partitions, "step", "group", "key", "node").sortWithinPartitions("step", "group", "key", "node").select("step", "group", "node", "vector")
+        found = materialise(components(window_pairs(ordered, window, cosine)).withColumnRenamed("component", "root"))
+        counts = component_links(distinct.join(found, "node").select(F.col("root").alias("component"), "node", "copies", "vector"), cosine)
     named = distinct.join(found, "node", "left").join(counts, "node", "left").select("label", "vector", F.coalesce("root", "node").alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     linked = rows.join(named, ["label", "vector"]).groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = vectors.select("vec_id").join(linked, "vec_id", "left")
