@@ -288,6 +288,26 @@ def test_pii():
         a.p[key][k] -= 1e-5
 
 
+def test_pii_in_forms_that_the_patterns_miss(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    windows = pii.labelled_windows(docs, 6000, 900)
+    seen, train = [], pii.train
+    pii.train = lambda some: seen.extend(some) or train(some)
+    try:
+        model = pii.fit(docs)
+    finally:
+        pii.train = train
+    forms = [(w[a:b], kind) for w, spans in seen[len(windows) :] for a, kind, b in spans]
+    for kind, form in ((0, r".*\(at\).*"), (0, ".* @ .*"), (1, "[0-9]+(:[0-9]+){3}"), (1, "[0-9]+(-[0-9]+){3}"), (3, r"\([0-9]{3}\) .*"), (3, "[0-9]{3}-.*")):
+        assert any(k == kind and re.fullmatch(form, s) for s, k in forms), form
+    text = "nothing of note here " * 5 + "please write to anna.berg(at)example.org about the matter" + " and nothing more" * 5
+    start = text.index("anna")
+    assert pii.stretches(text) and not re.search("[0-9@]", text)
+    assert pii.all_spans([text], model)[0][1] == [(start, 0, start + len("anna.berg(at)example.org"))]
+    row = pii.redact(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert row.text == text.replace("anna.berg(at)example.org", "[EMAIL]")
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs, known = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

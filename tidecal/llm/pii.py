@@ -1,8 +1,8 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with CRF transitions that adds spans.
 
 The tagger is trained in numpy from labelled spans: those of the patterns in a bounded sample of documents
-(sample_rows), and rewritings of them that the patterns miss. Every kind holds a digit or "@", so the parts of a text that lie further
-than MARGIN characters from any of these hold no span and aren't tagged. The rest is cut into overlapping windows; their
+(sample_rows), and rewritings of them that the patterns miss. Every kind, as plausible() has it, holds a digit, "@" or "(at)", so
+the parts of a text that lie further than MARGIN characters from any of these aren't tagged. The rest is cut into overlapping windows; their
 emissions are averaged, weighted towards each window's middle, and one path is decoded over the whole stretch.
 
 Defined cases: a null or empty text has no spans. Spans of the tagger that touch a pattern's span, or don't have their
@@ -42,7 +42,10 @@ for _k, _c in enumerate(_CHARS):
     _TABLE[ord(_c)] = _k + 1
 _TABLE[48:58], _TABLE[97:123], _TABLE[65:91] = _DIGIT, _LOWER, _UPPER
 SYMBOLS, TAGS = _UPPER + 1, 1 + 2 * len(KINDS)
-_TRIGGER = re.compile(r"[0-9@]")
+_TRIGGER = re.compile(r"[0-9@]|\(at\)")
+
+
+_LETTERS = str.maketrans("0123456789", "abcdefghij")
 
 
 def _digits(s: str) -> str:
@@ -209,7 +212,7 @@ def train(windows: list[tuple[str, list[tuple[int, int, int]]]], epochs: int = 1
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of a text within MARGIN of a digit or "@"."""
+    """Parts of a text within MARGIN of a digit, "@" or "(at)"."""
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
         a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
@@ -304,13 +307,14 @@ def all_spans(texts: list[str | None], model: Tagger | None) -> list[tuple[list,
     return [(b, sorted(b + x)) for b, x in zip(base, extra)]
 
 
-def _rewritten(text: str, spans: list[tuple[int, int, int]], k: int) -> tuple[str, list[tuple[int, int, int]]]:
-    """The window with its spans in a form that the patterns miss."""
+def _rewritten(text: str, spans: list[tuple[int, int, int]], k: int, letters: bool = False) -> tuple[str, list[tuple[int, int, int]]]:
+    """The window with its spans in a form that the patterns miss; letters: digits of e-mail addresses become letters."""
     out, new, at = "", [], 0
     for a, kind, b in spans:
         s = text[a:b]
         if kind == 0:
             s = s.replace("@", " @ " if k % 2 else "(at)")
+            s = s.translate(_LETTERS) if letters else s
         elif kind == 1:
             s = s.replace(".", "-" if k % 2 else ":")
         elif kind == 2:
@@ -351,7 +355,8 @@ def labelled_windows(docs: DataFrame, sample_rows: int, most_windows: int) -> li
 
 def fit(docs: DataFrame, sample_rows: int = 6000, most_windows: int = 900) -> Tagger | None:
     windows = labelled_windows(docs, sample_rows, most_windows)
-    more = [_rewritten(w, s, k) for k, (w, s) in enumerate(windows) if s and k % 2 == 0]
+    # Every form of every window; half the addresses without digits, else only addresses that hold some would be learned.
+    more = [_rewritten(w, s, k // 2 + form, letters=k % 2 == 0) for k, (w, s) in enumerate(x for x in windows if x[1]) for form in range(2)]
     return train(windows + [(w, [x for x in s if x[2] <= WINDOW]) for w, s in more])
 
 
