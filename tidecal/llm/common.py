@@ -18,20 +18,33 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local folder where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local session (one machine) gets a temporary folder and a cluster the warehouse, which it shares.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="tidecal-")
     return _own_dirs[app]
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's folder inside the shared one; it is deleted when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/tidecal-{spark.sparkContext.applicationId}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: computed once, lineage cut, safe when executors go."""
+    """Write a table to the run's folder and read it back: computed once, lineage cut, safe when executors go."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidecal-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidecal_path = path
@@ -62,6 +75,11 @@ def slices_for(rows: int, least: int = 256, each: int = 200_000) -> int:
     return max(least, -(-rows // each))
 
 
+def spread_key(doc_id: Column, text: Column) -> Column:
+    """A whole number to scatter a row by: its id, or, for a null id, 32 bits of its text's MD5."""
+    return F.coalesce(doc_id, F.conv(F.substring(F.md5(F.coalesce(text, F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long"))
+
+
 def scatter(key: Column, slices: int) -> Column:
     """A slice from 0 for a whole number, by arithmetic that SQL engines share; null goes where 0 goes.
 
@@ -85,22 +103,42 @@ def number_within(df: DataFrame, keys: list[str], cells: list[str], order: list[
     return ranked.join(offsets, [*keys, *cells]).withColumn(out, (F.col("_before") + F.col("_rank") - 1).cast("long")).drop("_before", "_rank")
 
 
+#: A key with more than this share of all rows is dealt over several tasks; so there are at most that many such keys.
+HOT = 4096
+
+
+def spread_join(rows: DataFrame, few: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with few, which holds one row a key and in n how many of the `total` rows have it; n is dropped.
+
+    Rows of a key with over total / HOT of them are dealt over several tasks, to each of which the key's row of few is
+    copied. There are fewer than HOT such keys, so their list is broadcast.
+    """
+    most = max(1, total // HOT)
+    hot = few.where(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("int").alias("_tasks"))
+    salt = F.pmod(F.xxhash64(*rows.columns, F.spark_partition_id()), F.coalesce("_tasks", F.lit(1))).cast("int")
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_tasks")
+    tasks = F.greatest(F.lit(1), F.ceil(F.col("n") / most)).cast("int")
+    copied = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), tasks - 1))).drop("n")
+    return dealt.join(copied, [key, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """Connected components of an undirected graph with columns a and b (long): node, component (its smallest node).
 
     Alternates large-star and small-star steps; each round is two aggregations and two joins on node ids, written to the
-    shared folder. Nodes without edges don't appear. Empty edges give an empty table. Raises if most_rounds don't suffice,
-    so that no unfinished result is taken for a whole one.
+    shared folder. A node that many edges meet is dealt over several tasks. Nodes without edges don't appear. Empty edges
+    give an empty table. Raises if most_rounds don't suffice, so that no unfinished result is taken for a whole one.
     """
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    total = None
+    rows, total = now.count(), None
     for _ in range(most_rounds):
+        if not rows:
+            break
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).distinct()
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = spread_join(both, low, "u", 2 * rows).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = spread_join(large, least, "u", rows).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).distinct()
         following = materialise(small)
         drop_table(now)
         now = following
@@ -108,7 +146,7 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         state = now.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("u").alias("nodes"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state.n == state.nodes and (state.n, state.h) == total:
             break
-        total = (state.n, state.h)
+        rows, total = state.n, (state.n, state.h)
     else:
         raise RuntimeError(f"components are still changing after {most_rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -28,15 +28,18 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, m
 
     The weight is the number of labelled documents of the class for each one drawn. Ids are drawn from the narrow labels
     first; only their texts come to the driver. Texts over most_chars code points are not learned from (they are scored
-    whole like all others), so the sample holds rows * most_chars characters at most.
+    whole like all others), so the sample holds rows * most_chars characters at most. An id with both labels is not
+    learned from. Of several texts of one id the one with the least hash is taken; a null label or id counts as no label.
     """
-    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(modulus, remainder)).groupBy("doc_id").agg(F.min(label).alias("y"))
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(modulus, remainder)).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("high"))
+    known = known.where("y = high").select("doc_id", "y")
     sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     drawn: dict[int, int] = {}
     for y, size in sizes.items():
         drawn |= dict.fromkeys(least_hashed(known.where(F.col("y") == y), "sample", rows // 2, size), y)
     if not drawn:
         return []
-    found = docs.select("doc_id", "text").where(F.col("doc_id").isin(list(drawn)) & (F.length("text") <= most_chars)).dropDuplicates(["doc_id"]).collect()
+    short = docs.select("doc_id", "text").where(F.col("doc_id").isin(list(drawn)) & (F.length("text") <= most_chars))
+    found = short.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text")).collect()
     here = {y: sum(drawn[r.doc_id] == y for r in found) for y in sizes}
     return [(r.text, drawn[r.doc_id], sizes[drawn[r.doc_id]] / here[drawn[r.doc_id]]) for r in sorted(found, key=lambda r: r.doc_id)]
