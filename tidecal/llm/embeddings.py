@@ -1,16 +1,18 @@
-"""Near-duplicate embeddings: every pair of a label is compared, block against block.
+"""Near-duplicate embeddings by sorted projection passes.
 
-A label is cut into blocks by hash, and a task compares two of them at a time. It returns each linked vector's number of
-links and one edge to the root of its tree, so a group of near copies sends as many rows as it has members, not as pairs.
-The edges of all tasks are united into components. Nothing is missed, and the work grows with the square of a label's size.
+In each pass the vectors of a label are ordered lexicographically by the concatenated signs of random projections, and each
+is compared with its next WINDOW neighbours. Two vectors at the cosine threshold agree in a sign with a known chance, so the
+number of passes that a label needs follows from its size and the recall wanted; a label that a window holds whole needs
+one pass and loses nothing. Where more vectors than a window share the leading signs that the estimate counts on (dense
+groups, hubs, labels off the centre), the whole run is compared block against block, so density costs work and no pairs.
 
-near_duplicates() with `passes` given compares less: in each pass the vectors of a label are ordered by the concatenated
-signs of random projections, and each is compared with the next `window` ones. The more vectors the largest label holds, the
-less likely a pair meets in one pass. Links are then counted over all pairs of the components found.
+A task sends edges to the roots of its trees and not its pairs; the edges of all passes are united into components. Then
+all pairs of a component are compared once more to count links, so n_links is exact within what the passes united.
 
-Defined cases: a vector that is null, zero, or holds a null or non-finite component, or whose label is null, links with
-nothing. Equal vectors are compared once and counted by their number. Vectors of unequal length never link. Repeated
-vec_ids are one node for components. Empty tables give empty tables; other columns are ignored.
+Defined cases: a vector that is null, zero, or holds a null or non-finite component, or whose label or vec_id is null,
+links with nothing. Equal vectors are compared once and counted by their number. Vectors of unequal length never link. A
+repeated vec_id takes the largest count and the least component of its rows. Empty tables give empty tables; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -23,89 +25,107 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise, ship_package
+from .common import components, materialise, ship_package, spread_join
 
-COSINE, PASSES, WINDOW, BITS = 0.93, 8, 12, 62
+#: WINDOW: neighbours each vector is compared with in a pass; BITS: signs in a pass's sort key.
+COSINE, WINDOW, BITS = 0.93, 1024, 62
 #: Chance that a pair just at the cosine meets in some pass; closer pairs have a better one.
-RECALL = 0.98
-#: Most members of a block; a component has FEW blocks at least, as far as these hold LEAST members each.
-BLOCK, FEW, LEAST = 1024, 8, 64
-#: Most members of a block of a label.
-LABEL_BLOCK = 4096
+RECALL = 0.99
+#: Most members of a block; a group that is cut has FEW blocks at least, as far as these hold LEAST members each.
+BLOCK, FEW, LEAST = 4096, 8, 512
+#: Sorted rows a task, about.
+ROWS = 20_000
 
 
 def _unit(column: pd.Series) -> np.ndarray:
-    rows = np.stack([np.asarray(v, dtype=np.float64) for v in column])
+    rows = np.stack(column.to_numpy()).astype(np.float64)
     # Scaled first, so that very large or small components neither overflow nor vanish.
     rows = rows / np.abs(rows).max(axis=1, keepdims=True)
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, label, vector (array of doubles) of rows that can link."""
-    v = F.col("embedding").cast("array<double>")
+    """vec_id, label and vector (floats where the input has floats, else doubles) of rows that can link."""
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return vectors.select("vec_id", "label", v.alias("vector")).where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda x: x != 0))
+    known = vectors.select("vec_id", "label", F.col("embedding").cast(kind).alias("vector")).where("label is not null and vec_id is not null and vector is not null")
+    return known.where(finite & F.exists("vector", lambda x: x != 0))
 
 
-def passes_for(rows: int, cosine: float = COSINE, window: int = WINDOW, recall: float = RECALL, least: int = PASSES) -> int:
-    """Passes over a label of so many vectors in which a pair at the cosine meets with the chance `recall`.
+def leading_signs(rows: int, window: int = WINDOW) -> int:
+    """Signs after which a run of a label of so many rows is expected to fill half a window."""
+    return max(0, math.ceil(math.log2(2 * rows / window))) if rows > window else 0
 
-    A pair meets once its signs agree down to runs of about `window` rows: log2(rows / window) signs, each of which agrees
-    with chance 1 - angle / pi. So passes grow with a small power of the rows (0.18 at cosine 0.93).
+
+def passes_for(rows: int, cosine: float = COSINE, window: int = WINDOW, recall: float = RECALL, lead: int | None = None) -> int:
+    """Passes over a label of so many vectors in which a pair at the cosine agrees in all leading signs with chance `recall`.
+
+    A sign agrees with chance 1 - angle / pi, so passes grow with a small power of the rows (0.18 at cosine 0.93).
     """
-    agree = 1 - math.acos(min(1.0, max(-1.0, cosine))) / math.pi
-    meets = agree ** math.log2(max(1.0, rows / window))
-    return least if meets >= 1 else max(least, math.ceil(math.log(1 - recall) / math.log1p(-meets)))
+    meets = (1 - math.acos(min(1.0, max(-1.0, cosine))) / math.pi) ** (leading_signs(rows, window) if lead is None else lead)
+    return 1 if meets >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log1p(-meets)))
 
 
-def keyed(vectors: DataFrame, passes: int, seed: int = 11) -> DataFrame:
-    """Every vector once for each pass, with the pass's sort key: the signs of BITS projections as one number."""
+def keyed(vectors: DataFrame, seed: int = 11) -> DataFrame:
+    """uid and, for each of its label's passes, step, key (BITS signs as a number) and run (the leading signs)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for width in sorted({len(v) for v in batch["vector"]}):
-                part = batch[[len(v) == width for v in batch["vector"]]]
-                unit = _unit(part["vector"])
-                for k in range(passes):
-                    normals = np.random.default_rng([seed, k, width]).normal(size=(width, BITS))
-                    signs = (unit @ normals > 0).astype(np.int64)
-                    yield part.assign(step=np.int32(k), width=np.int32(width), key=signs @ (np.int64(1) << np.arange(BITS, dtype=np.int64)[::-1]))[["step", "label", "width", "key", "node", "vector"]]
-
-    label = dict(vectors.dtypes)["label"]
-    return vectors.select("node", "label", "vector").mapInPandas(run, f"step int, label {label}, width int, key long, node long, vector array<double>")
-
-
-def window_pairs(ordered: DataFrame, window: int, cosine: float) -> DataFrame:
-    """Pairs found among sorted rows: each with the next `window` of its pass, label and width, across partitions too.
+            widths = batch["vector"].map(len).to_numpy()
+            for width in np.unique(widths):
+                part = batch[widths == width]
+                unit, passes, lead, uid = _unit(part["vector"]), part["passes"].to_numpy(), part["lead"].to_numpy(), part["uid"].to_numpy()
+                for k in range(int(passes.max())):
+                    at = np.flatnonzero(passes > k)
+                    normals = np.random.default_rng([seed, k, int(width)]).normal(size=(width, BITS))
+                    key = (unit[at] @ normals > 0).astype(np.int64) @ (np.int64(1) << np.arange(BITS, dtype=np.int64)[::-1])
+                    yield pd.DataFrame({"uid": uid[at], "step": np.int32(k), "key": key, "run": key >> (BITS - lead[at])})
+
+    return vectors.select("uid", "vector", "passes", "lead").mapInPandas(run, "uid long, step int, key long, run long")
+
+
+def merge_roots(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Unite the trees of i and j in place; root holds every row's least known row."""
+    while len(i):
+        low = np.minimum(root[i], root[j])
+        apart = (root[i] != low) | (root[j] != low)
+        i, j, low = i[apart], j[apart], low[apart]
+        np.minimum.at(root, root[i], low)
+        np.minimum.at(root, root[j], low)
+        while (root != root[root]).any():
+            root[:] = root[root]
+
+
+def window_edges(ordered: DataFrame, window: int, cosine: float) -> DataFrame:
+    """Edges a, b among sorted rows: each with the next `window` of its pass, label and width, across partitions too.
 
     A partition streams its rows and keeps the last `window`. Its first and last rows are sent on with the partition's
     number, and the seams between neighbouring partitions are compared in a second step.
     """
-    pair = "kind int, seam int, at int, step int, group string, a long, b long, vector array<double>"
-
-    def compare(frame: pd.DataFrame, unit: np.ndarray, fresh_from: int) -> pd.DataFrame:
-        same = (frame["step"].astype(str) + "|" + frame["group"]).to_numpy()
-        nodes, a, b = frame["node"].to_numpy(), [], []
-        for gap in range(1, min(window, len(frame) - 1) + 1):
-            first = max(0, fresh_from - gap)
-            left, right = np.arange(first, len(frame) - gap), np.arange(first + gap, len(frame))
-            hit = (same[left] == same[right]) & ((unit[left] * unit[right]).sum(1) >= cosine)
-            a.append(nodes[left[hit]])
-            b.append(nodes[right[hit]])
-        a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a, b))
-        return pd.DataFrame({"kind": np.int32(0), "seam": np.int32(0), "at": np.int32(0), "step": np.int32(0), "group": "", "a": np.minimum(a, b), "b": np.maximum(a, b), "vector": None}).drop_duplicates(["a", "b"])
-
-    def padded(frame: pd.DataFrame) -> np.ndarray:
-        width = max(len(v) for v in frame["vector"])
-        out = np.zeros((len(frame), width))
-        for w in {len(v) for v in frame["vector"]}:
-            rows = [i for i, v in enumerate(frame["vector"]) if len(v) == w]
-            out[rows, :w] = _unit(frame["vector"].iloc[rows])
-        return out
-
-    def edge(rows: pd.DataFrame, kind: int, seam: int) -> pd.DataFrame:
-        return pd.DataFrame({"kind": np.int32(kind), "seam": np.int32(seam), "at": np.arange(len(rows), dtype=np.int32), "step": rows["step"].to_numpy(), "group": rows["group"].to_numpy(), "a": rows["node"].to_numpy(), "b": rows["node"].to_numpy(), "vector": rows["vector"].to_numpy()})
+    out = f"kind int, seam int, at int, step int, group string, a long, b long, vector {dict(ordered.dtypes)['vector']}"
+
+    def compare(frame: pd.DataFrame, fresh_from: int) -> np.ndarray:
+        """Edges among the rows, one of each pair being from fresh_from on."""
+        nodes, root = frame["uid"].to_numpy(), np.arange(len(frame))
+        step, group = frame["step"].to_numpy(), frame["group"].to_numpy()
+        starts = np.flatnonzero(np.append(True, (step[1:] != step[:-1]) | (group[1:] != group[:-1])))
+        for low, high in zip(starts, np.append(starts[1:], len(frame))):
+            unit = _unit(frame["vector"].iloc[low:high])
+            for k in range(0, high - low, 256):
+                top = min(high - low, k + 256 + window)
+                if low + top <= fresh_from:
+                    continue
+                i, j = np.nonzero(unit[k : k + 256] @ unit[k:top].T >= cosine)
+                hit = (j > i) & (j - i <= window) & (low + k + j >= fresh_from)
+                merge_roots(root, low + k + i[hit], low + k + j[hit])
+        hit = np.flatnonzero(root != np.arange(len(root)))
+        return np.stack([nodes[hit], nodes[root[hit]]], axis=1)
+
+    def edges(found: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"kind": np.int32(0), "seam": np.int32(0), "at": np.int32(0), "step": np.int32(0), "group": "", "a": found[:, 0], "b": found[:, 1], "vector": None})
+
+    def sent_on(rows: pd.DataFrame, kind: int, seam: int) -> pd.DataFrame:
+        return pd.DataFrame({"kind": np.int32(kind), "seam": np.int32(seam), "at": np.arange(len(rows), dtype=np.int32), "step": rows["step"].to_numpy(), "group": rows["group"].to_numpy(), "a": rows["uid"].to_numpy(), "b": rows["uid"].to_numpy(), "vector": rows["vector"].to_numpy()})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tail, head, pid = None, 0, 0
@@ -114,124 +134,117 @@ def window_pairs(ordered: DataFrame, window: int, cosine: float) -> DataFrame:
                 continue
             pid = int(batch["pid"].iloc[0])
             if head < window:
-                yield edge(batch.iloc[: window - head], 1, pid - 1)
+                yield sent_on(batch.iloc[: window - head], 1, pid - 1)
                 head += len(batch)
             frame = batch if tail is None else pd.concat([tail, batch], ignore_index=True)
-            yield compare(frame, padded(frame), 0 if tail is None else len(tail))
+            yield edges(compare(frame, 0 if tail is None else len(tail)))
             tail = frame.iloc[-window:]
         if tail is not None:
-            yield edge(tail, 2, pid)
+            yield sent_on(tail, 2, pid)
 
     def seams(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["kind", "at"], ascending=[False, True], ignore_index=True).rename(columns={"a": "node"})
-        return compare(frame, padded(frame), int((frame["kind"] == 2).sum()))[["a", "b"]]
+        frame = frame.sort_values(["kind", "at"], ascending=[False, True], ignore_index=True).rename(columns={"a": "uid"})
+        return pd.DataFrame(compare(frame, int((frame["kind"] == 2).sum())), columns=["a", "b"])
 
-    both = materialise(ordered.withColumn("pid", F.spark_partition_id()).mapInPandas(run, pair))
+    both = materialise(ordered.withColumn("pid", F.spark_partition_id()).mapInPandas(run, out))
     across = both.where("kind > 0").groupBy("seam").applyInPandas(seams, "a long, b long")
     return both.where("kind = 0").select("a", "b").unionAll(across).distinct()
 
 
-def component_links(members: DataFrame, cosine: float, block: int = BLOCK) -> DataFrame:
-    """node, n_links of members (component, node, copies, vector): all pairs of a component, block against block.
+def block_links(members: DataFrame, cosine: float, block: int = BLOCK) -> DataFrame:
+    """uid, root, n of members (team, size, part, uid, copies, vector): all pairs of a part in a team of `size` members.
 
-    A component is cut into blocks by hash; a member goes to one cell for each block of its component, and a task
-    compares two blocks at a time. Even a component that one block could hold is cut, so that no task gets it whole.
+    n sums to a vector's links over its rows; the rows' edges (uid, root) connect what is linked. A team is cut into blocks
+    by hash; a member goes to one cell for each block of its team, and a task compares two blocks at a time.
     """
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    cut = members.join(sizes, "component").withColumn("blocks", F.greatest(F.ceil(F.col("size") / block), F.least(F.lit(FEW), F.ceil(F.col("size") / LEAST))).cast("int"))
-    cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cells = cut.select("component", "node", "copies", "vector", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = cells.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
-    # One column, else the rows of a component would stay together in the task that joined them.
-    cells = cells.withColumn("cell", F.concat_ws(":", "component", "x", "y"))
+    blocks = F.greatest(F.ceil(F.col("size") / block), F.least(F.lit(FEW), F.ceil(F.col("size") / LEAST))).cast("int")
+    cut = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+    cells = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x, y = F.least("own", "other"), F.greatest("own", "other")
+    # One column, else the rows of a team would stay together in the task that joined them.
+    cells = cells.select(F.concat_ws(":", "team", x, y).alias("cell"), (x == y).alias("alone"), (F.col("own") == x).alias("left"), "part", "uid", "copies", "vector")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        x, y = frame["x"].iloc[0], frame["y"].iloc[0]
-        out = np.zeros(len(frame), dtype=np.int64)
-        widths = frame["vector"].map(len).to_numpy()
+        alone, side = bool(frame["alone"].iloc[0]), frame["left"].to_numpy()
+        widths, part = frame["vector"].map(len).to_numpy(), pd.factorize(frame["part"])[0]
+        uid, copies = frame["uid"].to_numpy(), frame["copies"].to_numpy(dtype=np.float64)
+        root, count = np.arange(len(frame)), np.zeros(len(frame))
         for width in np.unique(widths):
-            rows = np.flatnonzero(widths == width)
-            unit, copies, own = _unit(frame["vector"].iloc[rows]), frame["copies"].to_numpy()[rows], frame["own"].to_numpy()[rows]
-            for k in range(0, len(rows), 512):
-                near = unit[k : k + 512] @ unit.T >= cosine
-                near[np.arange(len(near)), np.arange(k, k + len(near))] = False
-                if x != y:
-                    near &= own[k : k + 512, None] != own[None, :]
-                out[rows[k : k + 512]] = near @ copies
-        return pd.DataFrame({"node": frame["node"], "n": out})
-
-    return cells.groupBy("cell").applyInPandas(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n_links"))
-
-
-def trees(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The root of every row and column of a link matrix, -1 without links: the least row of those it hangs together with."""
-    across, rows, columns = np.ascontiguousarray(near.T), near.any(1), near.any(0)
-    row_root, column_root = np.full(len(near), -1), np.full(len(across), -1)
-    for root in np.flatnonzero(rows):
-        at = np.array([root]) if rows[root] else np.zeros(0, dtype=np.int64)
-        while len(at):
-            rows[at], row_root[at] = False, root
-            met = np.flatnonzero(near[at].any(0) & columns)
-            columns[met], column_root[met] = False, root
-            at = np.flatnonzero(across[met].any(0) & rows)
-    return row_root, column_root
-
-
-def label_links(distinct: DataFrame, cosine: float, block: int = LABEL_BLOCK) -> DataFrame:
-    """node, root, n of distinct (label, node, copies, vector): all pairs of a label, block against block.
-
-    n sums to a node's links over its rows; the rows' edges (node, root) connect what is linked. Labels are cut as
-    component_links() cuts components, so even a small label is no single task's.
-    """
-    sizes = distinct.groupBy("label").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LEAST)
-    blocks = F.greatest(F.ceil(F.col("size") / block), F.least(F.lit(FEW), F.ceil(F.col("size") / LEAST)))
-    cut = distinct.join(F.broadcast(sizes.select("label", blocks.cast("int").alias("blocks"))), "label", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cells = cut.select("label", "node", "copies", "vector", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = cells.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
-    cells = cells.select(F.concat_ws(":", F.col("label").cast("string"), "x", "y").alias("cell"), "x", "y", "node", "copies", "vector", "own")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        x, y = frame["x"].iloc[0], frame["y"].iloc[0]
-        widths, own = frame["vector"].map(len).to_numpy(), frame["own"].to_numpy()
-        nodes, copies, found = frame["node"].to_numpy(), frame["copies"].to_numpy(dtype=np.float64), [np.zeros((0, 3), dtype=np.int64)]
-        for width in np.unique(widths):
-            left, right = (np.flatnonzero((widths == width) & (own == side)) for side in (x, y))
+            left = np.flatnonzero((widths == width) & side)
+            right = left if alone else np.flatnonzero((widths == width) & ~side)
             if not len(left) or not len(right):
                 continue
-            unit, others = _unit(frame["vector"].iloc[left]), _unit(frame["vector"].iloc[right])
-            near, n, m = np.empty((len(left), len(right)), dtype=bool), np.zeros(len(left)), np.zeros(len(right))
-            for k in range(0, len(left), 512):
-                part = unit[k : k + 512] @ others.T >= cosine
-                if x == y:
-                    part[np.arange(len(part)), np.arange(k, k + len(part))] = False
-                near[k : k + 512], n[k : k + 512] = part, part @ copies[right]
-                if x != y:
-                    m += copies[left[k : k + 512]] @ part
-            for side, count, root in zip((left, right), (n, m), trees(near)):
-                hit = root >= 0
-                found.append(np.stack([nodes[side[hit]], nodes[left[root[hit]]], count[hit].astype(np.int64)], axis=1))
-        return pd.DataFrame(np.concatenate(found), columns=["node", "root", "n"])
-
-    return cells.groupBy("cell").applyInPandas(run, "node long, root long, n long")
-
-
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, passes: int | None = None, window: int = WINDOW) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row, by all pairs of each label; with passes, by what meets in these."""
+            unit = _unit(frame["vector"].iloc[left])
+            others = unit if alone else _unit(frame["vector"].iloc[right])
+            for k in range(0, len(left), 256):
+                near = (unit[k : k + 256] @ others.T >= cosine) & (part[left[k : k + 256], None] == part[None, right])
+                if alone:
+                    near[np.arange(len(near)), np.arange(k, k + len(near))] = False
+                count[left[k : k + 256]] += near @ copies[right]
+                if not alone:
+                    count[right] += copies[left[k : k + 256]] @ near
+                i, j = np.nonzero(near)
+                merge_roots(root, left[k + i], right[j])
+        hit = np.flatnonzero(count)
+        return pd.DataFrame({"uid": uid[hit], "root": uid[root[hit]], "n": count[hit].astype(np.int64)})
+
+    return cells.groupBy("cell").applyInPandas(run, "uid long, root long, n long")
+
+
+def with_passes(distinct: DataFrame, rows: int, cosine: float, window: int, recall: float) -> DataFrame:
+    """Adds lead (leading signs) and passes, by the size of the row's label."""
+    few = distinct.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    lead = F.when(F.col("n") <= window, 0).otherwise(F.greatest(F.lit(0), F.ceil(F.log2(2 * F.col("n") / window)))).cast("int")
+    by_lead = F.array(*[F.lit(passes_for(0, cosine, window, recall, lead=k)) for k in range(BITS)])
+    few = few.withColumn("lead", F.least(lead, F.lit(BITS - 1))).withColumn("passes", F.get(by_lead, F.col("lead")))
+    return spread_join(distinct, few, "label", rows)
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, window: int = WINDOW, recall: float = RECALL) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every row."""
     ship_package(vectors.sparkSession)
-    rows = materialise(usable(vectors))
-    distinct = materialise(rows.groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")))
-    if passes is None:
-        met = materialise(label_links(distinct, cosine))
-        found = materialise(components(met.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("component", "root"))
-        counts = met.groupBy("node").agg(F.sum("n").alias("n_links"))
-    else:
-        partitions = max(1, min(4096, distinct.count() * passes // 4000))
-        ordered = keyed(distinct, passes).withColumn("group", F.concat_ws("|", F.col("label").cast("string"), "width"))
-        ordered = ordered.repartitionByRange(partitions, "step", "group", "key", "node").sortWithinPartitions("step", "group", "key", "node").select("step", "group", "node", "vector")
-        found = materialise(components(window_pairs(ordered, window, cosine)).withColumnRenamed("component", "root"))
-        counts = component_links(distinct.join(found, "node").select(F.col("root").alias("component"), "node", "copies", "vector"), cosine)
-    named = distinct.join(found, "node", "left").join(counts, "node", "left").select("label", "vector", F.coalesce("root", "node").alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    linked = rows.join(named, ["label", "vector"]).groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    out = vectors.select("vec_id").join(linked, "vec_id", "left")
+    mark = F.concat_ws(":", F.col("label").cast("string"), F.xxhash64("vector"), F.xxhash64(F.lit(1), "vector"))
+    rows = materialise(usable(vectors).withColumn("mark", mark))
+    distinct = rows.groupBy("mark").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    distinct = materialise(distinct.withColumn("uid", F.monotonically_increasing_id()))
+    total = distinct.count()
+    named = with_passes(distinct.select("uid", "label", "vector"), total, cosine, window, recall)
+    keys = materialise(keyed(named))
+    sorted_rows = keys.count()
+    place = keys.join(distinct.select("uid", F.concat_ws("|", F.col("label").cast("string"), F.size("vector")).alias("group"), "copies", "vector"), "uid")
+    partitions = max(1, -(-sorted_rows // ROWS))
+    ordered = place.repartitionByRange(partitions, "step", "group", "key", "uid").sortWithinPartitions("step", "group", "key", "uid").select("step", "group", "uid", "vector")
+    edges = window_edges(ordered, window, cosine)
+    # Runs of the leading signs that no window holds.
+    team = F.concat_ws("|", "step", "group", "run")
+    runs = place.select(team.alias("team"), "uid", "copies", "vector")
+    long_runs = materialise(runs.groupBy("team").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > window))
+    if long_runs.head(1):
+        held = spread_join(runs, long_runs.select("team", "n", F.col("n").alias("size")), "team", sorted_rows)
+        edges = edges.unionAll(block_links(held.withColumn("part", F.lit(0)), cosine).select("uid", "root"))
+    found = materialise(components(edges).withColumnRenamed("node", "uid"))
+    counts, least = component_counts(distinct, found, cosine)
+    linked = distinct.select("mark", "uid", "first", "copies").join(found, "uid", "left").join(counts, "uid", "left")
+    linked = materialise(linked.select("mark", F.col("copies").alias("n"), "first", "component", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    grouped = spread_join(linked.where("component is not null").withColumnRenamed("n", "size"), least, "component", total).withColumnRenamed("size", "n")
+    alone = linked.where("component is null").withColumn("component_id", F.col("first"))
+    values = grouped.select("mark", "n", "n_links", "component_id").unionAll(alone.select("mark", "n", "n_links", "component_id"))
+    per_id = spread_join(rows.select("vec_id", "mark"), values, "mark", rows.count()).groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    ids = vectors.select("vec_id")
+    out = ids.where("vec_id is not null").join(per_id, "vec_id", "left").unionByName(ids.where("vec_id is null"), allowMissingColumns=True)
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def component_counts(distinct: DataFrame, found: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
+    """(uid, n_links) over all pairs of each component, and (component, component_id, n) with the least vec_id of its members.
+
+    Small components are compared together, many to a task; larger ones are teams of their own.
+    """
+    members = materialise(distinct.select("uid", "first", "copies", "vector").join(found, "uid"))
+    least = materialise(members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("component_id")))
+    rows = members.count()
+    sized = spread_join(members, least.select("component", "n", F.col("n").alias("size")), "component", rows)
+    small = F.col("size") <= LEAST
+    bucket = F.pmod(F.xxhash64("component"), F.lit(max(1, -(-rows // LEAST))))
+    teams = sized.select(F.when(small, F.concat(F.lit("s"), bucket)).otherwise(F.concat(F.lit("c"), F.col("component"))).alias("team"), F.when(small, 1).otherwise(F.col("size")).alias("size"), F.col("component").alias("part"), "uid", "copies", "vector")
+    return block_links(teams, cosine).groupBy("uid").agg(F.sum("n").alias("n_links")), least
