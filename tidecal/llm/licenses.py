@@ -2,7 +2,7 @@
 
 Every notice may occur with a bounded number of edits k, by its length. It is split into k + 1 pieces, one of which must
 occur exactly; an automaton finds the pieces in one pass over the whole text, and the regex library verifies the edits
-around each.
+around each. A notice's words of up to TELLING letters must stand in the match unchanged: an edit there is another word.
 
 Defined cases: a null or empty text has no words and no labels, score 0. Long texts are searched whole, row by row.
 Repeated rows give repeated rows, empty tables empty tables. Columns other than doc_id and text are ignored.
@@ -38,6 +38,8 @@ NOTICES = {
     "released into the public domain": "public-domain",
     "all rights reserved": "all-rights-reserved",
 }
+#: Edits count only in words longer than this.
+TELLING = 4
 _WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in bytes(range(256)).lower())
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<label:string,start:int,end:int,word:long,edits:int>>"
 
@@ -76,6 +78,12 @@ def normal(text: str | None) -> str:
     return b" ".join((text or "").encode("utf-8", "replace").translate(_WORD_BYTES).split()).decode("utf-8", "replace")
 
 
+def tells(notice: str, match: str) -> bool:
+    """Whether the notice's short words stand in the match, in order."""
+    words = iter(match.split(" "))
+    return all(w in words for w in notice.split(" ") if len(w) <= TELLING)
+
+
 def fuzzy_matches(words: str, notices: tuple[tuple[str, str], ...]) -> list[tuple[int, int, int, int]]:
     """(notice number, start, end, edits) in the joined words; overlapping hits of one notice are found once."""
     automaton, patterns = _searcher(notices)
@@ -93,7 +101,7 @@ def fuzzy_matches(words: str, notices: tuple[tuple[str, str], ...]) -> list[tupl
             low, high = max(0, start - k - 1), start + len(notice) + 2 * k + 2
             near = words[low:high] + ("\0" * (k + 2) if high < len(words) else "")
             m = patterns[n].search(near, 1 if low else 0)
-            if m:
+            if m and tells(notice, m[0]):
                 found.add((n, low + m.start(), low + m.end(), sum(m.fuzzy_counts)))
                 done[n] = low + m.end()
     return sorted(found, key=lambda x: (x[1], x[0]))
