@@ -1,9 +1,11 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with CRF transitions that adds spans.
 
 The tagger is trained in numpy from labelled spans: those of the patterns in a bounded sample of documents
-(sample_rows), and rewritings of them that the patterns miss. Every kind, as plausible() has it, holds a digit, "@" or "(at)", so
-the parts of a text that lie further than MARGIN characters from any of these aren't tagged. The rest is cut into overlapping windows; their
-emissions are averaged, weighted towards each window's middle, and one path is decoded over the whole stretch.
+(sample_rows), and rewritings of them that the patterns miss. A span is accepted only in its kind's make-up (plausible()),
+of which a digit, "@", "(at)" or "[at]" is a part. So tagged are all parts of a text within MARGIN characters of any of
+these, drawn out to whole tokens; no acceptable span lies elsewhere. They are cut into overlapping windows, whose emissions
+are averaged, weighted towards each window's middle, and one path is decoded over the whole stretch. Its spans are drawn out
+to whole tokens.
 
 Defined cases: a null or empty text has no spans. Spans of the tagger that touch a pattern's span, or don't have their
 kind's make-up, are dropped. Repeated rows give repeated rows; empty tables give empty tables; other columns are ignored
@@ -22,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package
+from .common import materialise, ship_package
 from .labelled import least_hashed
 
 KINDS = ("email", "ip", "card", "phone")
@@ -42,9 +44,12 @@ for _k, _c in enumerate(_CHARS):
     _TABLE[ord(_c)] = _k + 1
 _TABLE[48:58], _TABLE[97:123], _TABLE[65:91] = _DIGIT, _LOWER, _UPPER
 SYMBOLS, TAGS = _UPPER + 1, 1 + 2 * len(KINDS)
-_TRIGGER = re.compile(r"[0-9@]|\(at\)")
+#: "@" and its written forms; every acceptable span holds one of these or a digit.
+_AT = r"(?:@|\(at\)|\[at\])"
+_TRIGGER = re.compile(rf"[0-9]|{_AT}")
 
 
+_SPACE = re.compile(r"\s")
 _LETTERS = str.maketrans("0123456789", "abcdefghij")
 
 
@@ -183,8 +188,8 @@ class Tagger:
         return float(z.sum() - gold) / n, {k: v / n for k, v in g.items()}
 
 
-def train(windows: list[tuple[str, list[tuple[int, int, int]]]], epochs: int = 10, batch: int = 48, rate: float = 0.02, seed: int = 5) -> Tagger | None:
-    """Adam over labelled windows (text, spans as start, kind, end)."""
+def train(windows: list[tuple[str, list[tuple[int, int, int]]]], epochs: int = 12, batch: int = 48, rate: float = 0.02, seed: int = 5, enough: float = 0.1) -> Tagger | None:
+    """Adam over labelled windows (text, spans as start, kind, end), until an epoch's mean loss of a window is below `enough`."""
     if not any(spans for _, spans in windows):
         return None
     ids, tags = np.zeros((len(windows), WINDOW), dtype=np.int64), np.zeros((len(windows), WINDOW), dtype=np.int64)
@@ -198,24 +203,39 @@ def train(windows: list[tuple[str, list[tuple[int, int, int]]]], epochs: int = 1
     m, v = ({k: np.zeros_like(x) for k, x in model.p.items()} for _ in range(2))
     t = 0
     for epoch in range(epochs):
-        order = rng.permutation(len(windows))
+        order, loss = rng.permutation(len(windows)), 0.0
         for k in range(0, len(order), batch):
             t += 1
-            _, g = model.gradient(ids[order[k : k + batch]], tags[order[k : k + batch]])
+            part, g = model.gradient(ids[order[k : k + batch]], tags[order[k : k + batch]])
             norm = np.sqrt(sum((x * x).sum() for x in g.values()))
             pace = rate * (0.3 if epoch >= epochs * 2 // 3 else 1.0)
             for key, x in g.items():
                 x = x * min(1.0, 5.0 / (norm + 1e-9))
                 m[key], v[key] = 0.9 * m[key] + 0.1 * x, 0.999 * v[key] + 0.001 * x * x
                 model.p[key] = model.p[key] - pace * (m[key] / (1 - 0.9**t)) / (np.sqrt(v[key] / (1 - 0.999**t)) + 1e-8)
+            loss += part * len(order[k : k + batch])
+        if loss < enough * len(windows):
+            break
     return model
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of a text within MARGIN of a digit, "@" or "(at)"."""
+    """Parts of a text within MARGIN of a digit or a form of "@", drawn out to white space on both sides."""
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
+        if out and m.end() + MARGIN <= out[-1][1]:
+            continue
         a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
+        if out and a <= out[-1][1]:
+            a = out[-1][0]
+        else:
+            low = out[-1][1] if out else 0
+            while a > low and not text[a - 1].isspace():
+                a -= 1
+        if space := _SPACE.search(text, b):
+            b = space.start()
+        else:
+            b = len(text)
         if out and a <= out[-1][1]:
             out[-1][1] = b
         else:
@@ -286,7 +306,7 @@ def plausible(text: str, start: int, kind: int, end: int) -> bool:
         return False
     n = len(_digits(s))
     if kind == 0:
-        return bool(re.search(r"[^\W_]\s?(@|\(at\))\s?[^\W_]", s)) and "." in s and len(s) >= 6
+        return bool(re.search(rf"[^\W_]\s?{_AT}\s?[^\W_]", s)) and "." in s and len(s) >= 6
     if kind == 1:
         return bool(re.fullmatch(r"[0-9]{1,3}([.:-][0-9]{1,3}){3}", s)) and all(int(x) <= 255 for x in re.split("[.:-]", s))
     if kind == 2:
@@ -294,6 +314,17 @@ def plausible(text: str, start: int, kind: int, end: int) -> bool:
     return 9 <= n <= 15 and bool(re.fullmatch(r"\+?[0-9() ./-]+", s)) and bool(re.search(r"[() ./-]", s)) and not re.fullmatch(r"[0-9]+(\.[0-9]+)+", s)
 
 
+#: What a span of each kind may be drawn out over: before its start, and after its end.
+_BEFORE = (re.compile(r"[A-Za-z0-9._%+-]*\Z"), re.compile(r"[0-9]*\Z"), re.compile(r"[0-9]*\Z"), re.compile(r"[+(]?[0-9]*\Z"))
+_AFTER = (re.compile(r"(?:[A-Za-z0-9]|[.-](?=[A-Za-z0-9]))*"), re.compile(r"[0-9]*"), re.compile(r"[0-9]*"), re.compile(r"[0-9]*"))
+
+
+def drawn_out(text: str, start: int, kind: int, end: int) -> tuple[int, int]:
+    """A tagged span drawn out to whole tokens of its kind, by MARGIN characters at most on each side."""
+    before = _BEFORE[kind].search(text[max(0, start - MARGIN) : start])
+    return start - len(before[0]), _AFTER[kind].match(text, end, min(len(text), end + MARGIN)).end()
+
+
 def all_spans(texts: list[str | None], model: Tagger | None) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text."""
     base = [base_spans(t) for t in texts]
@@ -302,27 +333,37 @@ def all_spans(texts: list[str | None], model: Tagger | None) -> list[tuple[list,
         where = [(k, a, b) for k, t in enumerate(texts) if t for a, b in stretches(t)]
         for (k, a, b), path in zip(where, tag(model, [texts[k][a:b] for k, a, b in where])):
             for s, kind, e in path_spans(path):
-                if plausible(texts[k], a + s, kind, a + e) and not any(x[0] < a + e and a + s < x[2] for x in base[k]):
-                    extra[k].append((a + s, kind, a + e))
+                s, e = drawn_out(texts[k], a + s, kind, a + e)
+                if plausible(texts[k], s, kind, e) and not any(x[0] < e and s < x[2] for x in base[k] + extra[k][-1:]):
+                    extra[k].append((s, kind, e))
     return [(b, sorted(b + x)) for b, x in zip(base, extra)]
 
 
-def _rewritten(text: str, spans: list[tuple[int, int, int]], k: int, letters: bool = False) -> tuple[str, list[tuple[int, int, int]]]:
-    """The window with its spans in a form that the patterns miss; letters: digits of e-mail addresses become letters."""
+#: Forms that the patterns miss, by kind: fixed as training cases.
+FORMS = (("(at)", " @ ", "[at]"), (":", "-"), (".", "_", "/"), ("{}-{}-{}", "({}) {}-{}", "{} {} {}"))
+
+
+def _digits_anew(digits: str, rng: np.random.Generator, checked: bool) -> str:
+    """Other digits in their place; checked: the last one makes the number pass Luhn."""
+    out = "".join(str(rng.integers(1 if k == 0 else 0, 10)) for k in range(len(digits)))
+    return next(x for x in (out[:-1] + str(d) for d in range(10)) if luhn(x)) if checked else out
+
+
+def _rewritten(text: str, spans: list[tuple[int, int, int]], form: int, rng: np.random.Generator, letters: bool = False) -> tuple[str, list[tuple[int, int, int]]]:
+    """The window with its spans in a form that the patterns miss, with other digits; letters: e-mail digits become letters."""
     out, new, at = "", [], 0
     for a, kind, b in spans:
-        s = text[a:b]
+        s, way = text[a:b], FORMS[kind][form % len(FORMS[kind])]
         if kind == 0:
-            s = s.replace("@", " @ " if k % 2 else "(at)")
-            s = s.translate(_LETTERS) if letters else s
+            s = s.replace("@", way).translate(_LETTERS if letters else {})
         elif kind == 1:
-            s = s.replace(".", "-" if k % 2 else ":")
+            s = way.join(str(rng.integers(0, 256)) for _ in range(4))
         elif kind == 2:
-            sep, d = "._/"[k % 3], _digits(s)
-            s = sep.join(d[i : i + 4] for i in range(0, len(d), 4))
+            d = _digits_anew(_digits(s), rng, True)
+            s = way.join(d[i : i + 4] for i in range(0, len(d), 4))
         else:
-            d = _digits(s)[-10:]
-            s = f"({d[:3]}) {d[3:6]}-{d[6:]}" if k % 2 else f"{d[:3]}-{d[3:6]}-{d[6:]}"
+            d = _digits_anew(_digits(s)[-10:].rjust(10, "5"), rng, False)
+            s = way.format(d[:3], d[3:6], d[6:])
         out += text[at:a]
         new.append((len(out), kind, len(out) + len(s)))
         out, at = out + s, b
@@ -330,7 +371,10 @@ def _rewritten(text: str, spans: list[tuple[int, int, int]], k: int, letters: bo
 
 
 def labelled_windows(docs: DataFrame, sample_rows: int, most_windows: int) -> list[tuple[str, list]]:
-    """At most most_windows windows around digits, with the patterns' spans, from sample_rows documents by least hash."""
+    """At most most_windows windows around digits, half of them with spans of the patterns, from sample_rows documents by least hash.
+
+    Each class is drawn by hash; where one has too few windows, the other doesn't fill its place.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -338,9 +382,11 @@ def labelled_windows(docs: DataFrame, sample_rows: int, most_windows: int) -> li
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 spans = base_spans(text)
                 for a, b in stretches(text):
-                    inside = [(s - a, kind, e - a) for s, kind, e in spans if a <= s and e <= a + WINDOW]
-                    if not any(a <= s < a + WINDOW < e for s, _, e in spans):
-                        found.append((doc_id, a, text[a : a + WINDOW], ",".join(f"{s}:{kind}:{e}" for s, kind, e in inside)))
+                    # A long stretch gives one window for each start, so spans deep inside it are learned too.
+                    for low in sorted({a, *(max(a, min(s - WINDOW // 4, b - WINDOW)) for s, _, _ in spans if a <= s < b)}):
+                        if not any(s < low < e or s < low + WINDOW < e for s, _, e in spans):
+                            inside = [(s - low, kind, e - low) for s, kind, e in spans if low <= s and e <= low + WINDOW]
+                            found.append((doc_id, low, text[low : min(b, low + WINDOW)], ",".join(f"{s}:{kind}:{e}" for s, kind, e in inside)))
             yield pd.DataFrame(found, columns=["doc_id", "at", "window", "spans"])
 
     keys = docs.select("doc_id").where("doc_id is not null")
@@ -349,15 +395,25 @@ def labelled_windows(docs: DataFrame, sample_rows: int, most_windows: int) -> li
         return []
     ship_package(docs.sparkSession)
     rows = docs.select("doc_id", "text").where(F.col("doc_id").isin(ids) & F.col("text").isNotNull()).mapInPandas(run, "doc_id long, at long, window string, spans string")
-    rows = rows.orderBy(F.col("spans") == "", F.xxhash64("doc_id", "at"), "doc_id", "at", "window").limit(most_windows).collect()
-    return [(r.window, [tuple(map(int, x.split(":"))) for x in r.spans.split(",") if x]) for r in rows]
-
-
-def fit(docs: DataFrame, sample_rows: int = 6000, most_windows: int = 900) -> Tagger | None:
-    windows = labelled_windows(docs, sample_rows, most_windows)
-    # Every form of every window; half the addresses without digits, else only addresses that hold some would be learned.
-    more = [_rewritten(w, s, k // 2 + form, letters=k % 2 == 0) for k, (w, s) in enumerate(x for x in windows if x[1]) for form in range(2)]
-    return train(windows + [(w, [x for x in s if x[2] <= WINDOW]) for w, s in more])
+    rows = materialise(rows.withColumn("spot", F.xxhash64("doc_id", "at")))
+    drawn = [r for empty in (False, True) for r in rows.where((F.col("spans") == "") == empty).orderBy("spot", "doc_id", "at", "window").limit(most_windows // 2).collect()]
+    return [(r.window, [tuple(map(int, x.split(":"))) for x in r.spans.split(",") if x]) for r in drawn]
+
+
+def fit(docs: DataFrame, sample_rows: int = 6000, most_windows: int = 800, most_rewritten: int = 1400, seed: int = 3) -> Tagger | None:
+    """A tagger trained on sampled windows and on most_rewritten windows in other forms, all forms equally often.
+
+    Few windows with spans are rewritten more often, each time with other digits, so small corpora teach all forms too.
+    """
+    windows, rng = labelled_windows(docs, sample_rows, most_windows), np.random.default_rng(seed)
+    held = [x for x in windows if x[1]]
+    more = []
+    for k in range(most_rewritten if held else 0):
+        text, spans = held[k % len(held)]
+        # Forms advance with the window and with every round over the windows; half the addresses have no digits.
+        text, spans = _rewritten(text, spans, k % len(held) + k // len(held), rng, letters=(k // 2) % 2 == 0)
+        more.append((text, [x for x in spans if x[2] <= WINDOW]))
+    return train(windows + more)
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:
