@@ -1,11 +1,13 @@
 """Toxicity by multiple-instance learning: sentence scores combined by noisy-or, trained from document labels.
 
-A document is toxic unless none of its sentences is: score = 1 - prod(1 - s). Sentences are scored by logistic regression
-over words and word beginnings. The model is fitted on a bounded sample (sample_rows, sample_chars); every whole text is
-scored in tasks that hold one Arrow batch.
-
-Defined cases: a null or empty text has no sentence and scores 0. Without labels of both classes every score is 0.
-Repeated rows score alike; empty tables give empty tables; other columns are ignored.
+A document is toxic unless none of its sentences is: score = 1 - (1 - leak) * prod(1 - s). Sentences are scored by logistic
+regression over words and word beginnings. The leak, one chance for all documents, takes up labels that no sentence
+explains, so that long documents don't become toxic by their length. Learned from are features whose share of documents
+differs between the labels by more than chance. The model is fitted on a bounded sample (sample_rows, sample_chars); every
+whole text is scored in tasks that hold one Arrow batch.
+
+Defined cases: a null or empty text has no sentence and scores the leak alone. Without labels of both classes every score
+is 0. Repeated rows score alike; empty tables give empty tables; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from .labelled import held_out, training_sample
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
-#: Sentences below this score count as harmless, so that many of them don't add up.
-FLOOR = 0.02
+#: Standard errors by which a feature's share of documents must differ between the labels to be learned from.
+TELLING = 3.0
+#: Prior logit of a sentence.
+HARMLESS = -12.0
 
 
 def features(word: str) -> list[str]:
@@ -34,50 +38,77 @@ def features(word: str) -> list[str]:
 
 @dataclass
 class NoisyOr:
+    """bias and feature weights of a sentence (a feature counts once in it, as in training); leak: the document's own logit."""
+
     bias: float = -30.0
+    leak: float = -np.inf
     weights: dict[str, float] = field(default_factory=dict)
-    _seen: dict[str, float] = field(default_factory=dict, repr=False)
+    _seen: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False)
 
-    def word(self, word: str) -> float:
+    def telling(self, word: str) -> tuple[str, ...]:
+        """The word's features that have a weight."""
         found = self._seen.get(word)
         if found is None:
             if len(self._seen) > 200_000:
                 self._seen.clear()
-            found = self._seen[word] = sum(self.weights.get(f, 0.0) for f in features(word))
+            found = self._seen[word] = tuple(f for f in features(word) if f in self.weights)
         return found
 
     def sentences(self, text: str | None) -> list[tuple[int, int, float]]:
         """(start, end, logit) of every sentence with a word."""
-        out, word, seen = [], self.word, self._seen
-        for m in _SENTENCE.finditer((text or "")):
+        out, seen, telling, weights = [], self._seen, self.telling, self.weights
+        for m in _SENTENCE.finditer(text or ""):
             words = _WORD.findall(m[0].lower())
             if words:
-                z = self.bias
+                met = set()
                 for w in words:
                     found = seen.get(w)
-                    z += word(w) if found is None else found
-                out.append((m.start(), m.end(), z))
+                    met.update(telling(w) if found is None else found)
+                out.append((m.start(), m.end(), self.bias + sum(weights[f] for f in sorted(met))))
         return out
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
-        """Document score and the offending sentences (start, end, score)."""
-        spans = [(a, b, float(1 / (1 + np.exp(-z)))) for a, b, z in self.sentences(text) if z > -4]
-        clean = 1.0
-        for _, _, s in spans:
-            if s >= FLOOR:
-                clean *= 1 - s
-        return 1 - clean, [x for x in spans if x[2] >= 0.5]
+        """Leaky noisy-or of all sentences, and the offending ones (start, end, score)."""
+        spans = self.sentences(text)
+        z = np.array([x[2] for x in spans])
+        s = 1 / (1 + np.exp(-z))
+        return float(-np.expm1(-np.logaddexp(0, z).sum() - np.logaddexp(0, self.leak))), [(a, b, float(p)) for (a, b, _), p in zip(spans, s) if p >= 0.5]
+
+
+def _descend(y: np.ndarray, share: np.ndarray, columns: np.ndarray, sentence: np.ndarray, document: np.ndarray, features: int, steps: int, rate: float, ridge: float) -> tuple[np.ndarray, float, float]:
+    """Full-batch Adam on the leaky noisy-or likelihood: feature weights, the sentences' bias, the documents' leak (a logit)."""
+    n = len(document)
+    # The ridge draws weights to 0 and the bias to its start: sentences are harmless unless something in them tells.
+    centre = np.concatenate([np.zeros(features), [HARMLESS, -4.0]])
+    p, ridge = centre.copy(), np.concatenate([np.full(features, ridge), [100 * ridge, 0.0]])
+    m, v = np.zeros_like(p), np.zeros_like(p)
+    for t in range(1, steps + 1):
+        z = p[-2] + np.bincount(sentence, p[columns], minlength=n)
+        clean = np.exp(np.bincount(document, -np.logaddexp(0, z), minlength=len(y)) - np.logaddexp(0, p[-1]))
+        clean = np.clip(clean, 0, 1 - 1e-6)
+        pull = np.where(y > 0, -clean / (1 - clean), 1.0) * share
+        dz = pull[document] / (1 + np.exp(-z))
+        g = np.concatenate([np.bincount(columns, dz[sentence], minlength=features), [dz.sum(), pull.sum() / (1 + np.exp(-p[-1]))]]) + ridge * (p - centre)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        p = p - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return p[:-2], float(p[-2]), float(p[-1])
 
 
-def train(sample: list[tuple[str, int, float]], steps: int = 120, rate: float = 0.15, ridge: float = 1e-4, least_documents: int = 4) -> NoisyOr:
-    """Full-batch Adam on the noisy-or likelihood."""
+def train(sample: list[tuple[str, int, float]], steps: int = 500, rate: float = 0.3, ridge: float = 1e-4, least_documents: int = 4) -> NoisyOr:
+    """The model of a sample of (text, label, weight): features that tell the labels apart, weighed by sentence."""
     if len({x[1] for x in sample}) < 2:
         return NoisyOr()
-    seen, parsed = Counter(), []
-    for text, _, _ in sample:
-        parsed.append([{f for w in _WORD.findall(m[0].lower()) for f in features(w)} for m in _SENTENCE.finditer(text)])
-        seen.update(set().union(*parsed[-1]) if parsed[-1] else ())
-    index = {f: k for k, f in enumerate(sorted(f for f, n in seen.items() if n >= least_documents))}
+    seen, parsed = (Counter(), Counter()), []
+    for text, label, _ in sample:
+        sentences = [{f for w in _WORD.findall(m[0].lower()) for f in features(w)} for m in _SENTENCE.finditer(text)]
+        parsed.append([words for words in sentences if words])
+        seen[int(label)].update(set().union(*parsed[-1]))
+    names = sorted(f for f in seen[0].keys() | seen[1].keys() if seen[0][f] + seen[1][f] >= least_documents)
+    size = [sum(x[1] == label for x in sample) for label in (0, 1)]
+    share_of = [np.array([seen[label][f] for f in names]) / size[label] for label in (0, 1)]
+    pooled = np.array([seen[0][f] + seen[1][f] for f in names]) / len(sample)
+    apart = np.abs(share_of[1] - share_of[0]) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-9) * (1 / size[0] + 1 / size[1]))
+    index = {f: k for k, f in enumerate(f for f, x in zip(names, apart) if x >= TELLING)}
     columns, sentence, document, n = [], [], [], 0
     for d, sentences in enumerate(parsed):
         for words in sentences:
@@ -89,21 +120,8 @@ def train(sample: list[tuple[str, int, float]], steps: int = 120, rate: float =
     columns, sentence, document = np.array(columns, dtype=np.int64), np.array(sentence, dtype=np.int64), np.array(document, dtype=np.int64)
     y, share = (np.array([x[k] for x in sample], dtype=np.float64) for k in (1, 2))
     share /= share.sum()
-    w, b = np.zeros(len(index)), -4.0
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    for t in range(1, steps + 1):
-        z = b + np.bincount(sentence, w[columns], minlength=n)
-        s = 1 / (1 + np.exp(-z))
-        log_clean = np.bincount(document, -np.logaddexp(0, z), minlength=len(y))
-        clean = np.clip(np.exp(log_clean), 0, 1 - 1e-6)
-        pull = np.where(y > 0, -clean / (1 - clean), 1.0)
-        dz = s * (pull * share)[document]
-        g, gb = np.bincount(columns, dz[sentence], minlength=len(w)) + ridge * w, dz.sum()
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    return NoisyOr(float(b), {f: float(w[k]) for f, k in index.items() if abs(w[k]) > 0.05})
+    w, b, leak = _descend(y, share, columns, sentence, document, len(index), steps, rate, ridge)
+    return NoisyOr(b, leak, {f: float(w[k]) for f, k in index.items()})
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, sample_chars: int = 20_000, modulus: int = 4, remainder: int = 2) -> NoisyOr:
