@@ -120,14 +120,18 @@ def score_batches(model: AttentionModel, threshold: float = 0.5):
     return run
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, modulus: int = 3, remainder: int = 1, **options) -> DataFrame:
+def score_rows(docs: DataFrame, model: AttentionModel, threshold: float = 0.5, modulus: int = 3, remainder: int = 1) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    ship_package(docs.sparkSession)
-    model = fit(docs, labels, modulus=modulus, remainder=remainder, **options)
     run = score_batches(model, threshold)
 
     def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for out in run(batches):
             yield out.assign(doc_id=out["doc_id"].astype("Int64"))[["doc_id", "held_out", "score", "predicted"]]
 
+    ship_package(docs.sparkSession)
     return docs.select("doc_id", "text", held_out(modulus, remainder).alias("held_out")).mapInPandas(narrow, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, modulus: int = 3, remainder: int = 1, **options) -> DataFrame:
+    """The scores of every document by a model fitted on those that aren't held out."""
+    return score_rows(docs, fit(docs, labels, modulus=modulus, remainder=remainder, **options), threshold, modulus, remainder)

@@ -1,8 +1,8 @@
 """Quality rules: a decision list learned by sequential covering, applied as ordered Spark conditional expressions.
 
-Only DataFrame operations touch the rows. What is learned comes from one small table: the labelled rows counted by
-(bin of every feature, grow or prune half). Its size is bounded by 2 * (len(QUANTILES) + 1) ** len(FEATURES), whatever the
-corpus; all labelled rows count in it.
+Only DataFrame operations touch the rows. Thresholds are chosen among the quantiles of every feature within the good and
+within the bad rows, from bounded sketches. What is learned comes from one small table: the labelled rows counted by (bin of
+every feature, grow or prune half). It has a row for each combination that occurs, and all labelled rows count in it.
 
 Defined cases: a null or empty text has no words and zero counts, so it fails the base rule. Repeated rows give repeated
 rows. Rows without a label, or with a null label, are not learned from. Without labelled rows of both classes the list is
@@ -26,8 +26,10 @@ FEATURES = {
     "distinct_rate": "n_distinct_words / greatest(n_words, 1)",
     "shout_rate": "n_shouts / greatest(n_words, 1)",
     "mean_word": "word_chars / greatest(n_words, 1)",
+    "dup_line_rate": "n_dup_lines / greatest(n_lines, 1)",
+    "n_words": "n_words",
 }
-QUANTILES = (0.02, 0.05, 0.1, 0.5, 0.9, 0.95, 0.98)
+QUANTILES = (0.02, 0.1, 0.5, 0.9, 0.98)
 WINDOW = 8
 
 
@@ -61,16 +63,16 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         return F.struct(F.size(words).alias("n_words"), F.size(F.array_distinct(words)).alias("n_distinct_words"), _repeated_words(windows).alias("n_repeat_words"))
 
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
-    dup_lines = bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    counted = bind(lines, lambda x: F.struct(F.size(x).alias("all"), F.size(F.array_distinct(x)).alias("distinct")))
     found = docs.select(
         "doc_id",
         bind(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), counts).alias("w"),
         F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).alias("n_symbols"),
-        dup_lines.alias("n_dup_lines"),
+        counted.alias("lines"),
         (F.length(text) - F.length(F.translate(text, "!", ""))).alias("n_shouts"),
     )
-    return found.select("doc_id", *[F.col(f"w.{c}").cast("long").alias(c) for c in ("n_words", "n_distinct_words", "n_repeat_words")], *[F.col(c).cast("long") for c in ("word_chars", "n_symbols", "n_dup_lines", "n_shouts")])
+    return found.select("doc_id", *[F.col(f"w.{c}").cast("long").alias(c) for c in ("n_words", "n_distinct_words", "n_repeat_words")], (F.col("lines.all") - F.col("lines.distinct")).cast("long").alias("n_dup_lines"), F.col("lines.all").cast("long").alias("n_lines"), *[F.col(c).cast("long") for c in ("word_chars", "n_symbols", "n_shouts")])
 
 
 def base_failed() -> Column:
@@ -101,8 +103,8 @@ def learn(labelled: DataFrame, most_rules: int = 8, most_conditions: int = 4, le
     """Sequential covering over labelled statistics; labelled: text_statistics columns and bad (boolean)."""
     names = list(FEATURES)
     quantiles = ", ".join(map(str, QUANTILES))
-    cuts_row = labelled.select(*[feature(n).alias(n) for n in names]).agg(*[F.expr(f"percentile({n}, array({quantiles}))").alias(n) for n in names]).first()
-    cuts = {n: sorted({round(c, 3) for c in cuts_row[n]}) if cuts_row[n] else [] for n in names}
+    per_class = labelled.select("bad", *[feature(n).alias(f"f_{n}") for n in names]).groupBy("bad").agg(*[F.expr(f"percentile_approx(f_{n}, array({quantiles}), 10000)").alias(n) for n in names]).collect()
+    cuts = {n: sorted({round(float(c), 3) for r in per_class for c in r[n] or ()}) for n in names}
     bins = [sum((F.when(feature(n) > c, 1).otherwise(0) for c in cuts[n]), F.lit(0)).alias(n) for n in names]
     half = (F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(3)) > 0).alias("grow")
     table = labelled.select(half, *bins, F.col("bad").cast("long").alias("bad")).groupBy("grow", *names).agg(F.sum("bad").alias("p"), F.sum(1 - F.col("bad")).alias("n")).collect()
