@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidecal.llm import embeddings, labelled, licenses, mixing, packing, pii, quality_model, quality_rules, queries, sharding, simhash, toxicity
-from tidecal.llm.common import components
+from tidecal.llm.common import components, spread_join
 
 LONG = "alpha beta gamma delta epsilon zeta eta theta " * 400
 TEXTS = [None, "", "  \n\t ", "one two three", "one two three", LONG, "Mail a.b@c.org now, or +1 (743) 555-3824. MIT  License\nhere", "你好 мир é", "x" * 5000]
@@ -93,10 +93,14 @@ def test_quality_statistics_by_brute_force(spark, sf):
 
 
 def test_rules_find_a_planted_threshold(spark):
-    rows = [(k, 100, 60 if k % 4 else 90, 0, 500, 30 if k % 4 == 0 else 0, 0, 0, k % 4 == 0) for k in range(400)]
-    stats = spark.createDataFrame(rows, "doc_id long, n_words long, n_distinct_words long, n_repeat_words long, word_chars long, n_symbols long, n_dup_lines long, n_shouts long, bad boolean")
-    found = quality_rules.decide(stats, quality_rules.learn(stats)).collect()
-    assert all(r.kept == (not r.bad) for r in found)
+    schema = "doc_id long, n_words long, n_distinct_words long, n_repeat_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_shouts long, bad boolean"
+    symbols = [(k, 100, 60 if k % 4 else 90, 0, 500, 30 if k % 4 == 0 else 0, 0, 5, 0, k % 4 == 0) for k in range(400)]
+    lines = [(k, 100, 60, 0, 500, 0, 4 if k % 4 == 0 else 1, 5, 0, k % 4 == 0) for k in range(400)]
+    lengths = [(k, 30 if k % 4 == 0 else 90 + k, 20, 0, 500, 0, 0, 5, 0, k % 4 == 0) for k in range(400)]
+    for rows in (symbols, lines, lengths):
+        stats = spark.createDataFrame(rows, schema)
+        found = quality_rules.decide(stats, quality_rules.learn(stats)).collect()
+        assert all(r.kept == (not r.bad) for r in found)
 
 
 def test_boundaries_are_optimal():
@@ -113,6 +117,34 @@ def test_boundaries_are_optimal():
         assert padding(packing.best_boundaries(steps, rows, tokens, 3)) == best
 
 
+def test_packing_pads_no_more_than_any_choice(spark):
+    rng = np.random.default_rng(6)
+    lengths = [int(x) for x in rng.integers(1, 3000, 40)] + [0, 130, 131, 1257, 5000, 5001]
+    docs = spark.createDataFrame([(k, "w " * n) for k, n in enumerate(lengths)], "doc_id long, text string")
+    out = packing.pack(docs, buckets=3, budget=4000).collect()
+    inside = sorted({n for n in lengths if n <= 4000})
+    best = min(sum(min(b for b in (*c, inside[-1]) if b >= n) - n for n in lengths if n <= 4000) for c in itertools.combinations(inside[:-1], 2))
+    assert sum(r.padding for r in out) == best
+    longest = {}
+    for r in out:
+        longest[r.bucket] = max(longest.get(r.bucket, 0), r.n_tokens)
+    assert all(r.bucket_len == (r.n_tokens if r.n_tokens > 4000 else longest[r.bucket]) for r in out)
+    assert sorted(r.batch_rows for r in out if r.n_tokens > 4000) == [1, 1]
+
+
+def test_boundaries_by_the_plain_program():
+    rng = np.random.default_rng(2)
+    steps = np.unique(rng.integers(0, 4000, 300)).tolist()
+    rows = rng.integers(1, 50, len(steps)).tolist()
+    tokens = [s * r for s, r in zip(steps, rows)]
+    c, t = np.concatenate([[0], np.cumsum(rows)]), np.concatenate([[0], np.cumsum(tokens)])
+    best = [steps[j] * c[j + 1] - t[j + 1] for j in range(len(steps))]
+    for _ in range(1, 9):
+        best = [min([best[j]] + [best[i] + steps[j] * (c[j + 1] - c[i + 1]) - (t[j + 1] - t[i + 1]) for i in range(j)]) for j in range(len(steps))]
+    bounds = packing.best_boundaries(steps, rows, tokens, 9)
+    assert sum((min(b for b in bounds if b >= s) - s) * r for s, r in zip(steps, rows)) == best[-1]
+
+
 def test_batches_hold_the_budget(spark, sf):
     out = packing.pack(spark.read.parquet(f"{sf}/documents.parquet"), buckets=4, budget=3000)
     per = out.groupBy("bucket", "batch").agg(F.count("*").alias("n"), F.max("bucket_len").alias("b"), F.min("padding").alias("p")).collect()
@@ -126,10 +158,49 @@ def test_few_rows_move_with_one_more_shard(spark):
     assert np.allclose(share, [0.25, 0.5, 0.25], atol=0.02)
 
 
+def test_slots_are_gapless_for_even_ids(spark):
+    docs = spark.createDataFrame([(64 * k, f"text {k % 7}") for k in range(3000)] + [(None, f"no id {k}") for k in range(500)], "doc_id long, text string")
+    out = sharding.shard_documents(docs, shards=5).collect()
+    for shard in {r.shard for r in out}:
+        assert sorted(r.slot for r in out if r.shard == shard) == list(range(sum(r.shard == shard for r in out)))
+    from tidecal.llm.common import scatter
+
+    slices = [r.s for r in docs.where("doc_id is not null").select(scatter(F.col("doc_id"), 64).alias("s")).collect()]
+    assert max(np.bincount(slices, minlength=64)) < 3 * len(slices) / 64
+    assert len({r.shard for r in out if r.doc_id is None}) == 1
+
+
 def test_mix_meets_targets(spark, sf):
-    out = mixing.mix(spark.read.parquet(f"{sf}/documents.parquet")).toPandas()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = mixing.mix(docs).toPandas()
     assert (out.taken <= 2 * out["size"]).all()
     assert abs(out.taken.sum() - 1.5 * out["size"].sum()) < 0.1 * out["size"].sum()
+    # Each source comes as near as its longest document: one more or less of it moves the total by that much.
+    for _, rows in out.groupby(out.source.fillna("none")):
+        assert abs(rows.taken.sum() - rows.target.iloc[0]) <= max(rows["size"].max(), 0.02 * rows["source_size"].iloc[0])
+    again = mixing.mix(docs).toPandas()
+    assert (out.sort_values("doc_id").taken.to_numpy() == again.sort_values("doc_id").taken.to_numpy()).all()
+
+
+def test_mix_of_equal_sizes_and_a_new_source(spark):
+    rows = [(k, "one two three", "a") for k in range(900)] + [(k + 1000, "one two", "b") for k in range(50)]
+    schema = "doc_id long, text string, source string"
+    out = mixing.mix(spark.createDataFrame(rows, schema)).toPandas()
+    for _, of_source in out.groupby("source"):
+        assert abs(of_source.taken.sum() - of_source.target.iloc[0]) <= of_source["size"].max()
+        assert of_source.copies.max() - of_source.copies.min() <= 1
+    u = spark.createDataFrame([("a",), ("z",)], "source string").select("source", mixing.offset(F.col("source"), F.lit(False), 1).alias("u"), mixing.offset(F.col("source"), F.lit(False), 2).alias("v")).collect()
+    assert len({x for r in u for x in r[1:]}) == 4 and all(0 <= x < 1 for r in u for x in r[1:])
+
+
+def test_emit_tells_repeated_rows_apart_and_keeps_columns(spark):
+    rows = [(1, "a b c", "s", "x", 7, 1)] * 4 + [(None, "d e", None, "y", 8, 2)] * 3 + [(1, "other text of the id", "s", "z", 9, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies string, number long, row long")
+    out = mixing.emit(docs)
+    taken = mixing.mix(docs).agg(F.sum("copies")).first()[0]
+    assert out.columns == docs.columns and out.count() == taken
+    assert {tuple(r) for r in out.collect()} <= set(rows)
+    assert mixing.emit(docs.limit(0)).count() == 0
 
 
 def test_embeddings_by_brute_force(spark):
@@ -155,9 +226,9 @@ def test_embeddings_by_brute_force(spark):
 
 
 def test_passes_grow_slowly_with_the_vectors(spark):
-    sizes = [embeddings.passes_for(n) for n in (0, 1, 100, 10_000, 1_000_000, 1_000_000_000)]
-    assert sizes == sorted(sizes) and sizes[:3] == [8, 8, 8] and sizes[3] > 8 and sizes[-1] < 200
-    # Pairs at the cosine among so many others that 8 passes would miss some: they meet as often as stated.
+    sizes = [embeddings.passes_for(n) for n in (0, 1, 1000, 10_000, 1_000_000, 1_000_000_000)]
+    assert sizes == sorted(sizes) and sizes[:3] == [1, 1, 1] and sizes[3] > 1 and sizes[-1] < 200
+    # Pairs at the cosine among so many others that one pass would miss many: they meet as often as stated.
     rng = np.random.default_rng(8)
     a, b = rng.normal(size=(2, 4000, 32))
     a /= np.linalg.norm(a, axis=1)[:, None]
@@ -165,8 +236,9 @@ def test_passes_grow_slowly_with_the_vectors(spark):
     b /= np.linalg.norm(b, axis=1)[:, None]
     rows = [(2 * k, a[k].tolist()) for k in range(4000)] + [(2 * k + 1, (0.931 * a[k] + (1 - 0.931**2) ** 0.5 * b[k]).tolist()) for k in range(4000)]
     df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, label int")
-    found = embeddings.near_duplicates(df).where("vec_id % 2 = 1 and component_id = vec_id - 1 and n_links = 1").count()
-    assert found >= embeddings.RECALL * 4000
+    met = embeddings.near_duplicates(df, window=32)
+    found = met.where("vec_id % 2 = 1 and component_id = vec_id - 1 and n_links = 1").count()
+    assert found >= (embeddings.RECALL - 0.01) * 4000
 
 
 def test_hubs_and_uncentred_labels_keep_every_link(spark):
@@ -183,7 +255,8 @@ def test_hubs_and_uncentred_labels_keep_every_link(spark):
     crowded = beside(np.tile(np.eye(64)[1], (2000, 1)), 0.84)
     labels = [np.concatenate([hub[None], beside(np.tile(hub, (300, 1)), 0.94), even]), np.concatenate([crowded, beside(crowded[:500], 0.935)])]
     rows = [(k * 10_000 + i, v.tolist(), k) for k, vectors in enumerate(labels) for i, v in enumerate(vectors)]
-    got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in embeddings.near_duplicates(df, window=256, recall=0.9999).collect()}
     for k, vectors in enumerate(labels):
         near = vectors @ vectors.T / np.outer(*[np.linalg.norm(vectors, axis=1)] * 2) >= embeddings.COSINE
         np.fill_diagonal(near, False)
@@ -226,10 +299,61 @@ def test_fingerprints_and_components(spark, sf):
 
 def test_pigeonhole_thresholds_lose_no_pair():
     rng = np.random.default_rng(2)
-    groups = simhash.plan(1000, np.full((64, 64), 250.0) + 250 * np.eye(64))
-    for _ in range(300):
-        flips = rng.choice(64, 4, replace=False)
-        assert any(sum(b in flips for b in bits) <= t for bits, t in groups)
+    both = np.full((64, 64), 250.0) + 250 * np.eye(64)
+    for parts in (2, 3, 4, 5):
+        groups = simhash.correlated_groups(1000, both, parts)
+        for met in ([1e3] * parts, rng.integers(1, 10**9, parts).astype(float).tolist(), [1.0] + [1e12] * (parts - 1)):
+            _, thresholds = simhash.allocate(1000, met, groups, 4)
+            assert sum(t + 1 for t in thresholds) == 5
+            for _ in range(100):
+                flips = rng.choice(64, 4, replace=False)
+                assert any(t >= 0 and sum(b in flips for b in bits) <= t for bits, t in zip(groups, thresholds))
+
+
+@pytest.mark.parametrize("thresholds", [(0, 0, 0, 0, 0), (2, 0, 0), (1, -1, 2), (3, 0)])
+def test_unequal_thresholds_and_large_cells_link_what_brute_force_links(spark, thresholds):
+    rng = np.random.default_rng(sum(thresholds) + len(thresholds))
+    near = {0}
+    while len(near) < 150:  # one large cluster of fingerprints a few bits apart
+        near.add(int(rng.choice(sorted(near))) ^ int(sum(1 << int(b) for b in rng.choice(64, int(rng.integers(1, 4)), replace=False))))
+    others = {int(x) for x in rng.integers(0, 2**63, 200)}
+    fps = sorted(simhash.signed(x) for x in near | others)
+    groups = [g.tolist() for g in np.array_split(rng.permutation(64), len(thresholds))]
+    nodes = spark.createDataFrame([(x,) for x in fps], "fp long")
+    edges = simhash.links(nodes, [(g, t) for g, t in zip(groups, thresholds) if t >= 0], small=8, block=64)
+    assert edges.count() <= 10 * 8 * len(fps)
+    found = {r.node: r.component for r in components(edges).collect()}
+    root = {x: x for x in fps}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in itertools.combinations(fps, 2):
+            if (a ^ b).bit_count() <= 4 or ((a ^ b) & (2**64 - 1)).bit_count() <= 4:
+                low = min(root[a], root[b])
+                changed |= root[a] != low or root[b] != low
+                root[a] = root[b] = low
+    assert {x: found.get(x, x) for x in fps} == root
+
+
+def test_a_frequent_key_is_dealt_over_tasks(spark):
+    rows = spark.range(6000).select(F.when(F.col("id") < 5000, 1).otherwise(F.col("id")).alias("k"), "id")
+    few = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    out = spread_join(rows, few, "k", 6000)
+    assert out.columns == ["k", "id", "top"]
+    assert {(r.k, r.id, r.top) for r in out.collect()} == {(1, i, 4999) if i < 5000 else (i, i, i) for i in range(6000)} and out.count() == 6000
+
+
+def test_near_duplicate_stage_tells_texts_of_one_id_apart(spark, sf):
+    long = " ".join(f"w{k}" for k in range(300))
+    other = " ".join(f"v{k}" for k in range(300))
+    rows = [(1, long), (1, other), (2, long), (3, long + " more"), (None, long), (None, other), (None, None), (None, ""), (4, "a b"), (4, "a b")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "kept") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, fp string")
+    out = corpus_pipeline.near_duplicate_stage(spark, docs, sf)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id or 0), (r.text or "")) for r in out.collect()) == sorted([(1, long), (1, other), (0, ""), (4, "a b")])
+    got = simhash.near_duplicates(docs).collect()
+    assert len({r.component_id for r in got if r.doc_id == 1}) == 1 and {r.component_id for r in got if r.doc_id is None} == {1, None}
+    assert {(r.doc_id, r.component_id) for r in got if r.doc_id in (2, 3, 4)} == {(2, 1), (3, 1), (4, 4)}
 
 
 def test_components_of_a_long_chain(spark):
@@ -247,6 +371,9 @@ def test_licenses():
     assert spans["mit"][4] == 1 and spans["gpl"][4] == 1 and spans["mit"][1:3] == (8, 20)
     assert licenses.scan("nothing to see", known)[4:7] == ("", "", 0.0)
     assert licenses.scan("the mit licenses123", known)[5] == "" and licenses.scan("the mit licenses", known)[5] == "mit"
+    # A short word tells one notice from another, so an edit in it is another word.
+    assert licenses.scan("a kit license here, a mitt license there", known)[5] == ""
+    assert licenses.scan("the gnu affero genral public license", known)[5] == "agpl"
     import regex
 
     rng = np.random.default_rng(0)
@@ -256,6 +383,17 @@ def test_licenses():
             s[int(rng.integers(0, len(s)))] = "x"
         s = licenses.normal("aa " + "".join(s) + " bb")
         assert bool(licenses.fuzzy_matches(s, known)) == bool(regex.search(r"(?b)(?<![^ ])(?:apache license){e<=1}(?![^ ])", s))
+    for notice in ("gnu general public license", "creative commons attribution", "bsd 3 clause license"):
+        k = licenses.edits_allowed(notice)
+        for _ in range(60):
+            s = list(notice)
+            for _ in range(int(rng.integers(0, k + 2))):
+                at, how = int(rng.integers(0, len(s))), int(rng.integers(0, 3))
+                s[at : at + (how < 2)] = ["q"] if how else []
+            s = licenses.normal("aa " + "".join(s) + " bb")
+            m = regex.search(rf"(?b)(?<![^ ])(?:{notice}){{e<={k}}}(?![^ ])", s)
+            want = bool(m) and licenses.tells(notice, m[0])
+            assert any(known[n][0] == notice for n, *_ in licenses.fuzzy_matches(s, known)) == want
     # One very long word full of pieces, then a notice; many places of one phrase.
     assert licenses.fuzzy_matches("mit licens" * 50_000 + " mit licence", known)[-1][1:] == (500_001, 500_012, 1)
     got = licenses.scan("MIT License, " * 20_000, known)
@@ -288,26 +426,60 @@ def test_pii():
         a.p[key][k] -= 1e-5
 
 
-def test_pii_in_forms_that_the_patterns_miss(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    windows = pii.labelled_windows(docs, 6000, 900)
-    seen, train = [], pii.train
-    pii.train = lambda some: seen.extend(some) or train(some)
-    try:
-        model = pii.fit(docs)
-    finally:
-        pii.train = train
-    forms = [(w[a:b], kind) for w, spans in seen[len(windows) :] for a, kind, b in spans]
-    for kind, form in ((0, r".*\(at\).*"), (0, ".* @ .*"), (1, "[0-9]+(:[0-9]+){3}"), (1, "[0-9]+(-[0-9]+){3}"), (3, r"\([0-9]{3}\) .*"), (3, "[0-9]{3}-.*")):
-        assert any(k == kind and re.fullmatch(form, s) for s, k in forms), form
+def test_nothing_acceptable_lies_outside_the_tagged_parts():
+    rng = np.random.default_rng(5)
+    parts = ["jane", ".doe", "@", " @ ", "(at)", "[at]", "x" * 60, " ", "a b", "10", "255", ":", "-", "+1 (743) 555-3824", "mail.example.org", "\n", "é"]
+    seen = 0
+    for _ in range(15_000):
+        text = "".join(rng.choice(parts, int(rng.integers(1, 12))))
+        inside = pii.stretches(text)
+        assert all(a < b for a, b in inside) and all(x[1] <= y[0] for x, y in itertools.pairwise(inside))
+        a, b = sorted(rng.integers(0, len(text) + 1, 2).tolist())
+        for kind in range(4):
+            if a < b and b - a <= pii.MARGIN and pii.plausible(text, a, kind, b):
+                seen += 1
+                assert any(x <= a and b <= y for x, y in inside)
+    assert seen > 20
+    long = "x" * 70 + "(at)" + "mail." * 20 + "org"
+    assert pii.stretches("so " + long + " and on") == [(0, len(long) + 3 + 7)]
+
+
+@pytest.mark.parametrize("trained_on", ["sf0.01"])
+def test_tagger_adds_spans_that_the_patterns_miss(spark, trained_on):
+    """Fitted on a small corpus, recall of planted forms a kind and false spans, on documents that it didn't see."""
+    model = pii.fit(spark.read.parquet(f"/root/testdata/{trained_on}/documents.parquet"))
+    unseen = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 7 = 3")
+    windows = [w for w in pii.labelled_windows(unseen, 6000, 800) if w[1]]
+    rng = np.random.default_rng(99)
+    texts, truth = [], []
+    for k, (window, spans) in enumerate(windows):
+        text, new = pii._rewritten(window, spans, k, rng, letters=k % 2 == 0)
+        texts.append("nothing to see " * 3 + text + " and so on" * 5)
+        truth.append([(a + 45, kind, b + 45) for a, kind, b in new])
+    hit, total, false = [0] * 4, [0] * 4, 0
+    for (base, found), spans in zip(pii.all_spans(texts, model), truth):
+        assert set(base) <= set(found)
+        false += len(set(found) - set(base) - set(spans))
+        for span in spans:
+            total[span[1]] += 1
+            hit[span[1]] += span in found and span not in base
+    assert min(total) >= 20 and all(h >= 0.8 * n for h, n in zip(hit, total)) and sum(hit) >= 0.9 * sum(total) and false <= 0.02 * len(texts), (hit, total, false)
+    clean = [r.text for r in unseen.limit(300).collect() if r.text and not re.search("[0-9@]", r.text)]
+    assert clean and all(not found for _, found in pii.all_spans(clean, model))
+    # An address without digits, in a text without digits.
     text = "nothing of note here " * 5 + "please write to anna.berg(at)example.org about the matter" + " and nothing more" * 5
-    start = text.index("anna")
-    assert pii.stretches(text) and not re.search("[0-9@]", text)
-    assert pii.all_spans([text], model)[0][1] == [(start, 0, start + len("anna.berg(at)example.org"))]
+    start, end = text.index("anna"), text.index("anna") + len("anna.berg(at)example.org")
+    assert pii.all_spans([text], model)[0] == ([], [(start, 0, end)])
     row = pii.redact(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
     assert row.text == text.replace("anna.berg(at)example.org", "[EMAIL]")
 
 
+def test_training_windows_hold_both_classes(spark):
+    rows = [(k, f"write to user{k}@mail.org now") for k in range(60)] + [(100 + k, f"version {k} of the text") for k in range(60)]
+    found = pii.labelled_windows(spark.createDataFrame(rows, "doc_id long, text string"), 200, 40)
+    assert sum(bool(s) for _, s in found) == 20 and sum(not s for _, s in found) == 20
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs, known = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -315,3 +487,61 @@ def test_held_out_accuracy(spark):
         rows = out.join(known, "doc_id").where("held_out").collect()
         assert np.mean([r.predicted == r[label] for r in rows]) >= least
     assert labelled.training_sample(docs, known.limit(0), "toxic", 10, 10, 4, 2) == []
+
+
+def test_sample_of_repeated_ids_and_conflicting_labels(spark):
+    docs = spark.createDataFrame([(1, "x"), (1, "y"), (1, "z"), (3, "p"), (5, "q"), (5, None), (None, "r")], "doc_id long, text string")
+    known = labels(spark, [(1, 0, 1), (3, 0, 0), (3, 0, 1), (5, None, 0), (5, 1, None), (None, 1, 1), (3, None, None)])
+    drawn = [labelled.training_sample(d, known, "toxic", 10, 10, 1000, 999) for d in (docs, docs.orderBy(F.desc("text")).repartition(3))]
+    assert drawn[0] == drawn[1] and [x[1] for x in drawn[0]] == [1, 0] and drawn[0][1][0] == "q"
+
+
+def test_scores_by_a_plain_loop_over_the_model(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, known = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "word " * 40_000), (-4, "An idiot. " * 3), (-4, "An idiot. " * 3), (None, "An idiot.")], "doc_id long, text string")
+    both = docs.select("doc_id", "text").unionByName(odd)
+    model = toxicity.fit(docs, known)
+    got = toxicity.score(both, model).collect()
+    text = {(r.doc_id, hash(r.text)): r.text for r in both.collect()}
+    want = {}
+    for (i, _), t in text.items():
+        clean = 1 / (1 + np.exp(model.leak))
+        for sentence in re.split(r"[.!?\n]", t or ""):
+            found = re.findall(r"[^\W\d_]+", sentence.lower())
+            if found:
+                names = {f for w in found for f in (w, *(f"^{w[:n]}" for n in (4, 5) if len(w) > n))}
+                clean *= 1 - 1 / (1 + np.exp(-(model.bias + sum(model.weights.get(f, 0.0) for f in names))))
+        want.setdefault(i, set()).add(round(1 - clean, 6))
+    assert len(got) == both.count() and all(round(r.score, 6) in want[r.doc_id] for r in got)
+    assert len({r.score for r in got}) > 300 and all(r.predicted == (r.score >= 0.3) for r in got)
+    assert len({r.score for r in got if r.doc_id == -4}) == 1 and [r.score for r in got if r.doc_id == -1] == [r.score for r in got if r.doc_id == -2]
+
+    quality = quality_model.fit(docs, known)
+    p = quality.p
+    for r in quality_model.score_rows(both, quality).where("doc_id < 40").collect():
+        for t in {t for (i, _), t in text.items() if i == r.doc_id}:
+            words, h = (t or "").split(), []
+            for k in range(0, max(1, len(words)), 64):
+                x = (quality_model.passages(" ".join(words[k : k + 64]))[0] - quality.mean) / quality.scale
+                h.append(np.tanh(np.clip(x, -8, 8) @ p["w"] + p["b"]))
+            a = np.array([(np.tanh(v @ p["v"]) / (1 + np.exp(-(v @ p["u"])))) @ p["a"] for v in h])
+            a = np.exp(a - a.max()) / np.exp(a - a.max()).sum()
+            z = sum(w * v for w, v in zip(a, h)) @ p["c"] + p["d"][0]
+            assert r.score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def test_offending_sentences_are_located(spark):
+    rng = np.random.default_rng(1)
+    plain = ["the house is near", "we went to town", "rain fell all day", "birds sang there"]
+    sample = []
+    for k in range(300):
+        sentences = [str(x) for x in rng.choice(plain, int(rng.integers(2, 9)))]
+        if k % 3 == 0:
+            sentences.insert(int(rng.integers(0, len(sentences))), "you are vile")
+        sample.append((". ".join(sentences) + ".", int(k % 3 == 0), 1.0))
+    model = toxicity.train(sample)
+    for text, toxic, _ in sample:
+        score, found = model.score(text)
+        assert (score >= 0.3) == bool(toxic) and [text[a:b].strip() for a, b, _ in found] == ["you are vile"] * toxic
+    assert model.score(". ".join(plain * 2000))[0] < 0.3

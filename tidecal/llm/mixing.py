@@ -2,11 +2,12 @@
 
 Within a source every document expects target / source_size copies. The expected copies are summed in the order of
 (size bin, mixed id, id), one random offset of the source is added, and a document is emitted once for each integer
-boundary that its step crosses. Sizes are stratified by that order, so the words taken come near the target.
+boundary that its step crosses. Sizes are stratified by that order, so the words taken come near the target. The offset
+comes from the seed and the source's name: reruns agree, and another source doesn't change it.
 
 Defined cases: a null text has size 0; a null source is a source of its own, the last; a source without words has
-target 0 and takes nothing. Repeated rows count each. Empty tables give empty tables. Columns other than doc_id, text
-and source are ignored by mix() and carried by emit().
+target 0 and takes nothing. A null id is placed by its text instead. Repeated rows count each. Empty tables give empty
+tables. Columns other than doc_id, text and source are ignored by mix() and carried by emit(), whatever their names.
 """
 
 from __future__ import annotations
@@ -16,11 +17,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, number_within, word_count
+from .common import materialise, number_within, slices_for, spread_key, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
+#: Another seed, another mix of the same shares.
+SEED = 20
 _MIX, _MOD = 1_640_531_527, 2_147_483_648
 
 
@@ -57,39 +60,50 @@ def size_bin(size: Column) -> Column:
     return (shift * 32 + F.expr("shiftright(size, greatest(length(bin(size)) - 5, 0))")).cast("long")
 
 
-def mix(docs: DataFrame, salts: int = 32, **options) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken of every document."""
-    narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+def offset(source: Column, no_source: Column, seed: int) -> Column:
+    """The source's random offset in [0, 1): 32 bits of the MD5 of seed and name, so that no other source changes it."""
+    name = F.concat_ws(":", F.lit(str(seed)), F.when(no_source, "null").otherwise("source"), source)
+    return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") / F.lit(4_294_967_296.0)
+
+
+def copies_of(narrow: DataFrame, seed: int = SEED, **options) -> DataFrame:
+    """narrow (spread, source, size and any more columns) with source_size, target and copies.
+
+    Rows are numbered by cells of a source, a size bin and a slice of the mixed ids; the slices grow with the rows.
+    """
     narrow = materialise(
         narrow.withColumns(
             {
                 "no_source": F.col("source").isNull(),
                 "source_name": F.coalesce("source", F.lit("")),
                 "bin": size_bin(F.col("size")),
-                "mixed": F.pmod(F.coalesce("doc_id", F.lit(0)) % _MOD * F.lit(_MIX), F.lit(_MOD)),
+                "mixed": F.pmod(F.coalesce("spread", F.lit(0)) % _MOD * F.lit(_MIX), F.lit(_MOD)),
             }
         )
     )
     per_source = targets(narrow, **options)
-    narrow = narrow.withColumn("salt", F.floor(F.col("mixed") * salts / _MOD))
-    placed = number_within(narrow, ["no_source", "source_name"], ["bin", "salt"], ["mixed", "doc_id", "size"], "place")
-    offset = F.pmod((F.col("k") + 1) * F.lit(7_654_321), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    placed = placed.join(per_source, ["no_source", "source_name"])
+    sliced = narrow.withColumn("slice", F.floor(F.col("mixed") * slices_for(narrow.count(), least=32, each=1_000_000) / _MOD))
+    placed = number_within(sliced, ["no_source", "source_name"], ["bin", "slice"], ["mixed", "spread", "size"], "place")
+    placed = placed.join(F.broadcast(per_source) if per_source.count() <= 10_000 else per_source, ["no_source", "source_name"])
     step = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    copies = F.floor(offset + step * (F.col("place") + 1)) - F.floor(offset + step * F.col("place"))
-    return placed.withColumn("copies", copies.cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    start = offset(F.col("source_name"), F.col("no_source"), seed)
+    copies = F.floor(start + step * (F.col("place") + 1)) - F.floor(start + step * F.col("place"))
+    return placed.withColumn("copies", copies.cast("long")).drop("no_source", "source_name", "bin", "mixed", "slice", "place", "k")
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken of every document."""
+    narrow = docs.select("doc_id", "source", spread_key(F.col("doc_id"), F.col("text")).alias("spread"), word_count(F.col("text")).alias("size"))
+    return copies_of(narrow, **options).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
-    """Every row of docs as often as mix() takes its document.
+    """Every row of docs as often as the mix takes it.
 
-    The number of copies meets its row by (doc_id, source, size). Rows that repeat in these have their copies summed and
-    dealt out evenly, so the total of the mix stays.
+    The rows are written once with a number of their own, by which each finds its copies; so repeated rows are told apart.
     """
-    size = word_count(F.col("text"))
-    key = lambda n: F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), n.cast("string"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
-    counts = mix(docs, **options).groupBy(key(F.col("size")).alias("_key")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    named = docs.withColumn("_key", key(size)).withColumn("_k", F.row_number().over(Window.partitionBy("_key").orderBy("text")) - 1)
-    share = lambda k: F.floor(F.col("_copies") * k / F.col("_rows"))
-    taken = named.join(counts, "_key").withColumn("_take", (share(F.col("_k") + 1) - share(F.col("_k"))).cast("int")).where("_take > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_take")))).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), spread_key(F.col("doc_id"), F.col("text")).alias("spread"), F.col("source").alias("source"), word_count(F.col("text")).alias("size"))
+    rows = materialise(rows.withColumn("number", F.monotonically_increasing_id()))
+    counts = copies_of(rows.select("number", "spread", "source", "size"), **options).where("copies > 0").select("number", "copies")
+    taken = rows.select("row", "number").join(counts, "number")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

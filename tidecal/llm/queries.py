@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import embeddings, licenses, mixing, packing, pii, quality_model, quality_rules, sharding, simhash, toxicity
 
@@ -33,7 +34,9 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.find_licenses(_docs(spark, sf_dir)).drop("matches")
+    found = licenses.find_licenses(_docs(spark, sf_dir))
+    spans = F.transform("matches", lambda m: F.concat_ws(":", m["label"], m["start"], m["end"], m["edits"]))
+    return found.withColumn("spans", F.array_join(spans, ",")).drop("matches")
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +74,8 @@ QUERIES = {
 }
 
 _P = sharding.PRIME
+#: What scatters a row: its id, or 32 bits of its text's MD5 where it has none.
+_SPREAD = "coalesce(doc_id, ('0x' || md5(coalesce(text, ''))[1:8])::BIGINT)"
 
 
 def _packing_sql(buckets: int, budget: int) -> str:
@@ -88,11 +93,9 @@ def _packing_sql(buckets: int, budget: int) -> str:
     choices = " UNION ALL ".join(f"SELECT {k} AS k, j, came FROM r{k}" for k in range(buckets))
     return rf"""
 WITH RECURSIVE lengths AS MATERIALIZED (
-  SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents
-), shifted AS (
-  SELECT n_tokens, greatest(length(bin(n_tokens)) - 7, 0)::BIGINT AS s FROM lengths
+  SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens, {_SPREAD} AS spread FROM documents
 ), histogram AS (
-  SELECT ((n_tokens + (1::BIGINT << s) - 1) >> s) << s AS step, count(*) AS n, sum(n_tokens)::BIGINT AS t FROM shifted GROUP BY 1
+  SELECT n_tokens AS step, count(*) AS n, sum(n_tokens)::BIGINT AS t FROM lengths WHERE n_tokens <= {budget} GROUP BY 1
 ), steps AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY step) - 1 AS j, step, (sum(n) OVER (ORDER BY step))::BIGINT AS rows, (sum(t) OVER (ORDER BY step))::BIGINT AS tokens
   FROM histogram
@@ -107,11 +110,12 @@ WITH RECURSIVE lengths AS MATERIALIZED (
 ), bounds AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY step) - 1 AS bucket, step AS bucket_len, coalesce(lag(step) OVER (ORDER BY step), -1) AS above
   FROM (SELECT DISTINCT step FROM path JOIN steps USING (j))
+), bucketed AS (
+  SELECT l.*, coalesce(bucket, (SELECT count(*) FROM bounds)) AS bucket, coalesce(bucket_len, n_tokens) AS bucket_len
+  FROM lengths l LEFT JOIN bounds ON n_tokens > above AND n_tokens <= bounds.bucket_len
 ), sliced AS (
-  SELECT doc_id, n_tokens, bucket, bucket_len,
-    ((coalesce(doc_id, 0) % 2147483648 * 1640531527 % 2147483648 + 2147483648) % 2147483648 * s.n) >> 31 AS slice
-  FROM lengths JOIN bounds ON n_tokens > above AND n_tokens <= bucket_len,
-    (SELECT greatest(256, (count(*) + 199999) // 200000) AS n FROM lengths) s
+  SELECT doc_id, n_tokens, bucket, bucket_len, ((spread % 2147483648 * 1640531527 % 2147483648 + 2147483648) % 2147483648 * s.n) >> 31 AS slice
+  FROM bucketed, (SELECT greatest(256, (count(*) + 199999) // 200000) AS n FROM lengths) s
 ), placed AS (
   SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY slice, doc_id NULLS FIRST, n_tokens) - 1 AS place,
     greatest(1, {budget} // greatest(bucket_len, 1))::BIGINT AS batch_rows
@@ -146,21 +150,21 @@ FROM embeddings LEFT JOIN least ON least.node = vec_id LEFT JOIN counts ON count
 """,
     "op4_sharding": f"""
 WITH docs AS (
-  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {_SPREAD} AS spread FROM documents
 ), bits AS (
   SELECT v, list_reduce(list_prepend(v, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS t
   FROM (SELECT unnest(range(256)) AS v)
 ), crc_table AS (
   SELECT list(t ORDER BY v) AS t FROM bits
 ), bytes AS (
-  SELECT rid, doc_id, octet_length(encode(text)) + 16 AS size,
+  SELECT rid, doc_id, spread, octet_length(encode(text)) + 16 AS size,
     list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: (('0x' || h)::INTEGER)::BIGINT)) AS b
   FROM docs
 ), sums AS (
-  SELECT rid, doc_id, size, xor(list_reduce(b, lambda c, x: xor(c >> 8, list_extract(t, xor(c & 255, x) + 1))), 4294967295) AS text_crc32
+  SELECT rid, doc_id, spread, size, xor(list_reduce(b, lambda c, x: xor(c >> 8, list_extract(t, xor(c & 255, x) + 1))), 4294967295) AS text_crc32
   FROM bytes, crc_table
 ), firsts AS (
-  SELECT rid, doc_id, size, text_crc32, s,
+  SELECT rid, doc_id, spread, size, text_crc32, s,
     (coalesce(((doc_id % {_P}) + {_P}) % {_P}, 0) + 1 + (s + 1) * 40503001 % {_P}) % {_P} * (48271 + 2 * s) % {_P} AS f
   FROM sums, (SELECT unnest(range(41)) AS s)
 ), seconds AS (
@@ -168,11 +172,11 @@ WITH docs AS (
 ), draws AS (
   SELECT *, xor(g, g >> 13) * 69621 % {_P} AS d FROM seconds
 ), placed AS (
-  SELECT rid, doc_id, size, text_crc32,
+  SELECT rid, doc_id, spread, size, text_crc32,
     max_by(s, d * 64 + s) FILTER (s < 40) AS shard, max_by(s, d * 64 + s) AS grown_shard
   FROM draws GROUP BY ALL
 ), sliced AS (
-  SELECT *, coalesce(((doc_id % n) + n) % n, 0) AS slice
+  SELECT *, ((spread % 2147483648 * 1640531527 % 2147483648 + 2147483648) % 2147483648 * n) >> 31 AS slice
   FROM placed, (SELECT greatest(64, (count(*) + 199999) // 200000) AS n FROM documents)
 )
 SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
@@ -180,14 +184,14 @@ SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS
   grown_shard::INTEGER AS grown_shard
 FROM sliced
 """,
-    "op10_mixing": r"""
+    "op10_mixing": rf"""
 WITH words AS (
-  SELECT doc_id, source, source IS NULL AS no_source, coalesce(source, '') AS source_name,
+  SELECT doc_id, source, {_SPREAD} AS spread, source IS NULL AS no_source, coalesce(source, '') AS source_name,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
   FROM documents
 ), sized AS (
   SELECT *, greatest(length(bin(size)) - 5, 0) * 32 + (size >> greatest(length(bin(size)) - 5, 0)) AS bin,
-    ((coalesce(doc_id, 0) % 2147483648 * 1640531527) % 2147483648 + 2147483648) % 2147483648 AS mixed
+    ((spread % 2147483648 * 1640531527) % 2147483648 + 2147483648) % 2147483648 AS mixed
   FROM words
 ), totals AS (
   SELECT no_source, source_name, sum(size)::BIGINT AS source_size FROM sized GROUP BY ALL
@@ -199,17 +203,17 @@ WITH words AS (
   SELECT *, (1.5::DOUBLE * sum(source_size::DOUBLE) OVER () - coalesce(sum(cap) OVER up, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER up, 0))::DOUBLE AS level
   FROM weighed WINDOW up AS (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), chosen AS (
-  SELECT (min({'r': cap / weight, 'k': k, 'level': level}) FILTER (level * weight <= cap)).level AS water FROM levels
+  SELECT (min({{'r': cap / weight, 'k': k, 'level': level}}) FILTER (level * weight <= cap)).level AS water FROM levels
 ), targets AS (
   SELECT no_source, source_name, k, source_size, CASE WHEN water IS NULL THEN cap ELSE least(cap, water * weight) END AS target
   FROM levels, chosen
 ), placed AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target, t.k,
-    row_number() OVER (PARTITION BY s.no_source, s.source_name ORDER BY s.bin, s.mixed, s.doc_id NULLS FIRST, s.size) - 1 AS place
+  SELECT s.doc_id, s.size, t.source_size, t.target,
+    ('0x' || md5('{mixing.SEED}:' || CASE WHEN s.no_source THEN 'null' ELSE 'source' END || ':' || s.source_name)[1:8])::BIGINT / 4294967296.0::DOUBLE AS u,
+    row_number() OVER (PARTITION BY s.no_source, s.source_name ORDER BY s.bin, s.mixed, s.spread, s.size) - 1 AS place
   FROM sized s JOIN targets t USING (no_source, source_name)
 ), stepped AS (
-  SELECT *, ((k + 1) * 7654321 % 1000003) / 1000003.0::DOUBLE AS u,
-    CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS step
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS step
   FROM placed
 )
 SELECT doc_id, size, source_size, target,

@@ -1,7 +1,10 @@
 """Weighted rendezvous hashing of record keys over shards.
 
-Defined cases: a null text has no bytes; a null key hashes like any other value, so all null keys meet in one shard.
-Repeated rows go to the same shard and get slots of their own. Empty tables give empty tables. Extra columns are ignored.
+Slots are numbered in slices of scattered ids, so a shard's rows are numbered in many tasks whatever the ids look like.
+
+Defined cases: a null text has no bytes; a null key hashes like any other value, so all null keys meet in one shard, where
+their texts scatter them over the slices. Repeated rows go to the same shard and get slots of their own. Empty tables give
+empty tables. Extra columns are ignored by shard_documents() and kept by assign_shards(), which adds its two columns.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import number_within, slices_for
+from .common import materialise, number_within, scatter, slices_for, spread_key
 
 #: A prime below 2 ** 31: products of two residues fit a long.
 PRIME = 2_147_483_647
@@ -44,19 +47,16 @@ def winner(residue: Column, weights: Sequence[float]) -> Column:
 
 def assign_shards(df: DataFrame, key: str, weights: Sequence[float], grown: Sequence[float] | None = None) -> DataFrame:
     """Adds shard and, where grown is given, grown_shard for those weights."""
-    out = df.withColumn("_r", key_residue(F.col(key), dict(df.dtypes)[key]))
-    new = {"shard": winner(F.col("_r"), weights)}
-    if grown:
-        new["grown_shard"] = winner(F.col("_r"), grown)
-    return out.withColumns(new).drop("_r")
+    held = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), key_residue(F.col(key), dict(df.dtypes)[key]).alias("residue"))
+    new = {"shard": winner(F.col("residue"), weights)} | ({"grown_shard": winner(F.col("residue"), grown)} if grown else {})
+    return held.select(*[F.col(f"row.{c}").alias(c) for c in df.columns if c not in new], *[value.alias(name) for name, value in new.items()])
 
 
 def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and the shard with one shard more, of every document."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), spread_key(F.col("doc_id"), F.col("text")).alias("spread"))
     placed = assign_shards(rows, "doc_id", [1.0] * shards, [1.0] * (shards + 1))
-    slices = slices_for(docs.count(), least=64)
-    placed = placed.withColumn("slice", F.coalesce(F.pmod(F.col("doc_id"), F.lit(slices)), F.lit(0)))
+    placed = materialise(placed.withColumn("slice", scatter(F.col("spread"), slices_for(docs.count(), least=64))))
     placed = number_within(placed, ["shard"], ["slice"], ["doc_id", "text_crc32", "size"], "slot")
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
