@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidecal.llm import mixing, packing, pii, quality_model, simhash
-from tidecal.llm.common import shared_dir, ship_package
+from tidecal.llm.common import run_dir, ship_package
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts.
+
+    Null and empty texts are scored like any other; repeated rows and repeated ids are each judged by their own text.
+    """
     ship_package(spark)
     model = quality_model.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     nested = docs.select(F.struct(*docs.columns).alias("row"), "text")
@@ -26,24 +29,26 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id. Rows without an id stay."""
-    found = simhash.near_duplicates(docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """One row of each group of near-duplicate texts: the one with the smallest id, a null id last.
+
+    Null and empty texts are one group; of rows equal in text and id any one stays. Rows that share an id but not a text
+    are told apart.
+    """
+    return simhash.one_of_each(docs)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents with personal data replaced by its kind."""
+    """The same rows with personal data replaced by its kind; null texts stay null."""
     return pii.redact(docs, pii.fit(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each row as often as the mix takes it: repeated rows count each, a null source is a source of its own."""
     return mixing.emit(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Length bucket and batch of every row."""
+    """Length bucket and batch of every row; repeated rows are packed each, null texts have no tokens."""
     return packing.pack(docs)
 
 
@@ -62,7 +67,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    top = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    top = f"{run_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}")
         docs = spark.read.parquet(f"{top}/{k}")
