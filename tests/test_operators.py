@@ -40,11 +40,11 @@ def test_future_drift_is_blank_beyond_the_last_label(spark):
 
 
 def test_clock(spark):
-    df = spark.createDataFrame([("10:00", "18:00"), ("10:00", "01:00"), (None, "18:00"), ("25:99", "9:5")], "o string, c string")
+    df = spark.createDataFrame([("07:15", "11:45"), ("21:30", "03:00"), ("06:00", None), ("7:70", "8:2"), ("24:00", "23:59")], "o string, c string")
     rows = df.select(cal.hours_open(cal.minutes(F.col("o")), cal.minutes(F.col("c"))).alias("h"), cal.minutes(F.col("c")).alias("c")).collect()
-    assert [r.h for r in rows] == [8.0, 15.0, None, None] and rows[3].c == 545
-    back = spark.createDataFrame([(0.0,), (90.0,), (600.0,), (None,)], "m double").select(cal.clock(F.col("m")).alias("t")).collect()
-    assert [r.t for r in back] == ["00:00", "01:30", "10:00", None]
+    assert [r.h for r in rows] == [4.5, 5.5, None, None, None] and [r.c for r in rows] == [705, 180, None, 482, 1439]
+    back = spark.createDataFrame([(705.0,), (1439.0,), (1445.0,), (-10.0,), (None,)], "m double").select(cal.clock(F.col("m")).alias("t")).collect()
+    assert [r.t for r in back] == ["11:45", "23:59", "00:05", "23:50", None]
 
 
 def test_date_anchors(spark):
@@ -84,8 +84,9 @@ def test_log(spark):
 
 
 def test_distance_and_ring(spark):
-    r = spark.range(1).select(geo.haversine(F.lit(51.5074), F.lit(-0.1278), F.lit(48.8566), F.lit(2.3522)).alias("lp"), geo.haversine(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(180.0)).alias("anti")).first()
-    assert r.lp == pytest.approx(343.6, abs=0.5) and r.anti == pytest.approx(20015.1, abs=0.1)
+    degree = 3.141592653589793 * geo.EARTH_KM / 180
+    r = spark.range(1).select(geo.haversine(F.lit(12.0), F.lit(30.0), F.lit(19.0), F.lit(30.0)).alias("north"), geo.haversine(F.lit(0.0), F.lit(-170.0), F.lit(0.0), F.lit(175.0)).alias("east"), geo.haversine(F.lit(60.0), F.lit(5.0), F.lit(60.0), F.lit(5.0)).alias("none")).first()
+    assert (r.north, r.east, r.none) == (pytest.approx(7 * degree), pytest.approx(15 * degree), 0.0)
     ring = F.array(*[F.struct(F.lit(float(x)).alias("lon"), F.lit(float(y)).alias("lat")) for x, y in ((0, 0), (4, 0), (4, 4), (0, 4), (0, 0))])
     got = spark.createDataFrame([(1.0, 1.0), (5.0, 1.0), (-1.0, 2.0)], "lon double, lat double").select(geo.in_ring(F.col("lon"), F.col("lat"), ring).alias("i")).collect()
     assert [x.i for x in got] == [True, False, False]
@@ -95,17 +96,10 @@ def test_contract(spark):
     df = spark.createDataFrame([(1, 1, "open", 120.0), (1, 1, "odd", 5.0)], "entity_id int, day int, status string, label double")
     with pytest.raises(contracts.ContractError) as e:
         contracts.check(df, contracts.Contract(("entity_id", "holiday"), ("entity_id", "day"), {"status": ("open",)}, {"label": (0, 100)}))
-    for part in ("allowed:status: 1", "range:label: 1", "missing_columns: 1", "duplicate_keys: 1"):
+    for part in ("allowed:status: 1 (odd)", "range:label: 1 (120.0 to 120.0)", "missing_columns: 1 (holiday)", "duplicate_keys: 1"):
         assert part in str(e.value)
 
 
-def test_planted_market_weight_is_found(spark):
-    rows = [(1, k, 1.0, float(k % 7 == 0), float(k % 5 == 0), 2.0 * (k % 7 == 0) + 0.1) for k in range(400)]
-    df = spark.createDataFrame(rows, "entity_id int, day int, one double, a double, b double, y double")
-    got = {r.region: r.weight for r in models.market_weights(df, ["one"], ["a", "b"], "y").collect()}
-    assert got["a"] > 1.8 and got["b"] < 0.05
-
-
 def test_files(spark, tmp_path):
     (tmp_path / "c.csv").write_text("entity_id,date,status,label,predicted,opens,closes,events\n1,2020-01-02,open,50,TRUE,10:00,18:00,\n1,2020-01-03,open,,x,,,\n")
     rows = files.read_calendar(spark, str(tmp_path / "c.csv")).orderBy("day").collect()
@@ -113,9 +107,28 @@ def test_files(spark, tmp_path):
     (tmp_path / "f.json").write_text('{"cell":"1_1","time":["2020-01-01","2020-01-02"],"rain":[1.0,null]}\n')
     cells = spark.createDataFrame([("1_1", 7), ("1_1", 8)], "cell string, entity_id int")
     assert files.read_forecasts(spark, str(tmp_path / "f.json"), ("rain",), cells).count() == 4
-    (tmp_path / "g.json").write_text('{"features":[{"properties":{"name":"x"},"geometry":{"type":"Polygon","coordinates":[[[0,0],[2,0],[2,3],[0,0]]]}}]}')
-    p = files.read_polygons(spark, str(tmp_path / "g.json")).first()
-    assert (p.min_lon, p.max_lat, p.properties["name"]) == (0.0, 3.0, "x")
+    (tmp_path / "g.json").write_text('{"features":[{"properties":{"name":"x"},"geometry":{"type":"Polygon","coordinates":[[[0,0],[2,0],[2,3],[0,0]]]}},{"properties":{"name":"two"},"geometry":{"type":"MultiPolygon","coordinates":[[[[10,0],[20,0],[20,10],[10,10],[10,0]],[[14,4],[16,4],[16,6],[14,6],[14,4]]],[[[30,0],[31,0],[31,1],[30,1],[30,0]]]]}},{"properties":{"name":"none"},"geometry":null}]}')
+    areas = files.read_polygons(spark, str(tmp_path / "g.json"))
+    p, two = areas.orderBy("min_lon").collect()
+    assert (p.min_lon, p.max_lat, p.properties["name"]) == (0.0, 3.0, "x") and (len(two.rings), two.min_lon, two.max_lon) == (3, 10.0, 31.0)
+    points = spark.createDataFrame([(1, 12.0, 2.0), (2, 15.0, 5.0), (3, 30.5, 0.5), (4, 21.5, 5.0), (5, 1.5, 0.5), (6, 60.0, 60.0), (7, 25.5, 0.5)], "point_id int, lon double, lat double")
+    placed = {r.point_id: (r.area_id, r.inside) for r in geo.assign_polygons(points, areas.select(F.col("properties")["name"].alias("area_id"), "rings")).collect()}
+    assert placed == {1: ("two", True), 2: ("two", False), 3: ("two", True), 4: ("two", False), 5: ("x", True), 7: ("two", False)}
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "a.csv").write_text("entity_id,date,rain,old\n3,2020-01-02,1.5,9\n3,2020-01-03,,9\n")
+    got = files.read_stations(spark, str(tmp_path / "s"), ("old",)).orderBy("day").collect()
+    assert [(r.entity_id, r.rain, r.day) for r in got] == [(3, 1.5, 18263), (3, None, 18264)] and "old" not in got[0].asDict()
+    with pytest.raises(ValueError):
+        files.read_stations(spark, str(tmp_path / "s"), ()).where("false").write.option("header", True).csv(str(tmp_path / "empty")) or files.read_stations(spark, str(tmp_path / "empty"))
+    (tmp_path / "t.csv").write_text("entity_id,tier,reason,decay_km\n1,local,,\n2,cosmic,,\n")
+    with pytest.raises(ValueError, match="cosmic"):
+        files.read_tiers(spark, str(tmp_path / "t.csv"), ("local",))
+    (tmp_path / "p.tsv").write_text("\t".join(["1", "n", "", "", "10.5", "20.5", "P", "", "AA", "", "", "", "", "", "700"]) + "\n" + "\t".join(["2", "m", "", "", "1", "2", "P", "", "BB", "", "", "", "", "", "x"]) + "\n")
+    assert [(r.lat, r.lon, r.country, r.pop) for r in files.read_places(spark, str(tmp_path / "p.tsv"), ("AA", "CC")).collect()] == [(10.5, 20.5, "AA", 700)]
+    (tmp_path / "e.csv").write_text("entity_id,date,symbol,event\n1,2020-01-02,*,Parade\n1,2020-01-02,+,Show\n")
+    assert files.read_events(spark, str(tmp_path / "e.csv")).count() == 2
+    files.write_stage(spark.range(3), str(tmp_path / "stage"), "csv")
+    assert spark.read.option("header", True).csv(str(tmp_path / "stage")).count() == 3
     files.write_log(spark.createDataFrame([Row(made_on="a", source="live", v=1), Row(made_on="b", source="live", v=2)]), str(tmp_path / "log"))
     files.write_log(spark.createDataFrame([Row(made_on="b", source="live", v=3)]), str(tmp_path / "log"))
     assert sorted(r.v for r in spark.read.parquet(str(tmp_path / "log")).collect()) == [1, 3]
@@ -139,17 +152,17 @@ def test_registry(spark, sf):
 
 
 def test_leads():
-    assert evaluation.parse_leads("7, 1,7,30,") == (1, 7, 30)
-    for wrong in ("", "-1,2", "a"):
+    assert evaluation.parse_leads(" 21,3 ,, 3,0") == (0, 3, 21)
+    for wrong in (" , ", "4,-2", "2.5", "5,two"):
         with pytest.raises(ValueError):
             evaluation.parse_leads(wrong)
 
 
 def test_headline_is_one_line_or_none(spark):
-    summary = spark.createDataFrame([(90, 7, 12, 84.5, 41.2, 16.04), (7, 7, 3, 80.0, 40.0, 20.0)], "window int, lead_days int, days long, accuracy double, within_10 double, mae double")
-    text = "84% accuracy, last 90 days (12 days of data, 7-day-ahead forecasts) | 41% of entity-days within +-10 points | average miss 16.0 pts"
-    assert [r.headline for r in evaluation.headline(summary).collect()] == [text]
-    assert evaluation.headline(summary, lead=30).count() == 0
+    summary = spark.createDataFrame([(30, 14, 25, 71.5, 33.8, 9.25), (90, 7, 80, 90.0, 60.0, 5.0)], "window int, lead_days int, days long, accuracy double, within_10 double, mae double")
+    text = "Last 30 days at 14 days ahead, over 25 days: accuracy 72, 34% of rows off by 10 or less, mean error 9.2"
+    assert [r.headline for r in evaluation.headline(summary, 30, 14).collect()] == [text]
+    assert evaluation.headline(summary, 30, 1).count() == 0
 
 
 def test_target_regions(spark):
@@ -177,13 +190,3 @@ def test_forecasts_are_blank_on_days_known_to_be_closed(forecast):
         shut = r.known and not r.is_open
         assert (r.prediction is None) == shut and (not shut or r.opens is None and r.closes is None)
         assert r.prediction is None or 0 <= r.prediction <= 100
-
-
-@pytest.mark.parametrize("name", ["batch_predictions", "sub_model_predictions", "feature_importance", "feature_ablation", "yearly_backtest"])
-def test_model_queries(spark, sf, name):
-    rows = registry.queries()[name](spark, sf).collect()
-    assert rows
-    if name == "feature_importance":
-        assert sum(r.share for r in rows) == pytest.approx(1) and [r.share for r in rows] == sorted((r.share for r in rows), reverse=True)
-    if name == "feature_ablation":
-        assert {r.features for r in rows} == {"calendar", "calendar and last year", "all"} and len({r.n for r in rows}) == 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import hours_open, minutes
@@ -17,8 +17,17 @@ def labelled(df: DataFrame) -> DataFrame:
 
 
 def enhance(df: DataFrame, scores: DataFrame) -> DataFrame:
-    """Rows with their scores; predicted closed days and entities without any score are dropped."""
-    return df.where(~((F.col("status") == "closed") | F.col("predicted"))).join(scores.select("entity_id").distinct(), "entity_id", "left_semi").join(scores, ["entity_id", "day"], "left")
+    """Rows with their scores; closed and predicted days and entities without any score are dropped.
+
+    A null status is not closed, and a null flag is not predicted.
+    """
+    kept = df.where(~(F.coalesce(F.col("status") == "closed", F.lit(False)) | F.coalesce("predicted", F.lit(False))))
+    return kept.join(scores.select("entity_id").distinct(), "entity_id", "left_semi").join(scores, ["entity_id", "day"], "left")
+
+
+def without_score(df: DataFrame, scores: DataFrame) -> DataFrame:
+    """Entities that enhance() drops for want of any score, with their rows."""
+    return df.join(scores.select("entity_id").distinct(), "entity_id", "left_anti").groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def between_days(first: str, last: str, date: str = "date") -> Column:
@@ -26,8 +35,8 @@ def between_days(first: str, last: str, date: str = "date") -> Column:
 
 
 def excluded_by_group(df: DataFrame, ends: DataFrame, first: str, default_end: str) -> DataFrame:
-    """Adds excluded: whether a date lies in its group's window; ends: country, end_date (a short table)."""
-    joined = df.join(F.broadcast(ends), "country", "left")
+    """Adds excluded: whether a date lies in its group's window; ends: country, end_date."""
+    joined = df.join(ends, "country", "left")
     return joined.withColumn("excluded", F.col("date").between(F.lit(first).cast("date"), F.coalesce("end_date", F.lit(default_end).cast("date")))).drop("end_date")
 
 
@@ -40,7 +49,7 @@ def time_split(df: DataFrame, train_end: str, valid_end: str) -> DataFrame:
 
 def calendar_features(df: DataFrame, entities: DataFrame, window: tuple[str, str]) -> DataFrame:
     """Weekday (Monday 0), weekend, month, ISO week, year, annual wave, months since opening, hemisphere, window flag."""
-    out = df.join(F.broadcast(entities.select("entity_id", "latitude", "first_year", "first_month")), "entity_id", "left")
+    out = df.join(entities.select("entity_id", "latitude", "first_year", "first_month"), "entity_id", "left")
     wave = 2 * F.pi() * F.dayofyear("date") / 365.25
     return out.withColumns(
         {
@@ -61,8 +70,9 @@ def calendar_features(df: DataFrame, entities: DataFrame, window: tuple[str, str
 def hours_features(df: DataFrame) -> DataFrame:
     """Adds open_min, close_min and duration; gaps take the entity's median."""
     out = df.withColumns({"open_min": minutes(F.col("opens")), "close_min": minutes(F.col("closes"))}).withColumn("duration", hours_open(F.col("open_min"), F.col("close_min")))
-    entity = Window.partitionBy("entity_id")
-    return out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.median(c).over(entity)) for c in ("open_min", "close_min", "duration")})
+    names = ("open_min", "close_min", "duration")
+    middle = out.groupBy("entity_id").agg(*[F.median(c).alias(f"_{c}") for c in names])
+    return out.join(middle, "entity_id").withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_{c}")) for c in names}).drop(*[f"_{c}" for c in names])
 
 
 def event_flags(df: DataFrame, groups: dict[str, str] | None = None) -> DataFrame:
@@ -71,6 +81,13 @@ def event_flags(df: DataFrame, groups: dict[str, str] | None = None) -> DataFram
     return df.withColumns({"has_event": (text != "").cast("int"), **{f"event_{k}": text.rlike(p).cast("int") for k, p in (groups or EVENT_GROUPS).items()}})
 
 
+def require_horizon(df: DataFrame, first_day: int, days: int = 15) -> DataFrame:
+    """The rows themselves; raises if the horizon holds rows and none of them has a weather source."""
+    if horizon_guard(df, first_day, days).first().blind:
+        raise ValueError(f"no row of days {first_day} to {first_day + days - 1} has a weather source")
+    return df
+
+
 def horizon_guard(df: DataFrame, first_day: int, days: int = 15) -> DataFrame:
     """Rows in the horizon, rows without a source, and whether the horizon is blind (rows, but none with a source)."""
     near = df.where(F.col("day").between(first_day, first_day + days - 1))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Mean radius of the earth; by tier, the kilometres over which pull falls to 1/e, and the factor at home.
 EARTH_KM = 6371.0088
-#: Kilometres over which a tier's pull falls to 1/e.
-REACH = {"local": 60.0, "regional": 150.0, "national": 400.0, "intercontinental": 1500.0}
+REACH = {"local": 150.0, "regional": 600.0, "continental": 2500.0, "intercontinental": 6000.0}
+AT_HOME = {"local": 3.0, "regional": 6.0, "continental": 10.0, "intercontinental": 6.0}
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -20,25 +21,35 @@ def grid_cell(lat: Column, lon: Column, step: float = 0.25) -> Column:
     return F.concat_ws("_", F.bround(lat / step).cast("long").cast("string"), F.bround(lon / step).cast("long").cast("string"))
 
 
-def decay(km: Column, tier: Column, home: Column, boost: float = 1.5, tail: float = 0.05) -> Column:
-    """Pull of a market at a distance; a heavy tail for intercontinental entities, more at home."""
-    reach = F.lit(None).cast("double")
-    for name, value in REACH.items():
-        reach = F.when(tier == name, value).otherwise(reach)
-    pull = F.exp(-km / reach) + F.when(tier == "intercontinental", tail).otherwise(0.0)
-    return pull * F.when(home, boost).otherwise(1.0)
+def by_tier(tier: Column, values: dict[str, float]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), tier)
 
 
-def market_prior(entities: DataFrame, places: DataFrame) -> DataFrame:
-    """Weight of every region for every entity: population times decay, summed over places; 1 per entity.
+def decay(km: Column, tier: Column, reach: Column) -> Column:
+    """Pull of a place at a distance: exponential; for intercontinental entities half of it falls only with the distance cubed."""
+    near = F.exp(-km / reach)
+    return F.when(tier == "intercontinental", 0.5 * near + 0.5 / F.pow(1 + km / reach, 3)).otherwise(near)
 
-    entities is the smaller side and goes to all tasks; pairs are summed in the task that makes them.
+
+def market_prior(entities: DataFrame, places: DataFrame, regions: DataFrame) -> DataFrame:
+    """Weight of every region for every entity (1 for each entity), and the distance to the region's centre.
+
+    entities: entity_id, latitude, longitude, tier, country and reach_km (its own reach, or null); places: region_id, lat,
+    lon, pop; regions: region_id, country, population, lat, lon, affluence. A region pulls with its population times the
+    mean decay of its places by their population, its affluence, and the tier's factor in the entity's own country. Every
+    entity meets every place once, and pairs are summed in the task that makes them: the work is entities times places.
+    Spark sends the smaller side to all tasks if it is small, and else exchanges both.
     """
-    pairs = places.crossJoin(F.broadcast(entities))
-    km = haversine(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon"))
-    pulled = pairs.withColumn("w", F.greatest(F.col("pop"), F.lit(0.0)) * decay(km, F.col("tier"), F.col("home_country") == F.col("country")))
-    out = pulled.groupBy("entity_id", "region_id").agg(F.sum("w").alias("w"), F.min(km).alias("distance_km"))
-    return out.select("entity_id", "region_id", "distance_km", (F.col("w") / F.sum("w").over(Window.partitionBy("entity_id"))).alias("prior_weight"))
+    reach = F.coalesce("reach_km", by_tier(F.col("tier"), REACH))
+    pairs = places.select("region_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "pop").crossJoin(entities.select("entity_id", "latitude", "longitude", "tier", reach.alias("_reach")))
+    km = haversine(F.col("latitude"), F.col("longitude"), F.col("_lat"), F.col("_lon"))
+    pulled = pairs.groupBy("entity_id", "region_id").agg(F.sum(F.col("pop") * decay(km, F.col("tier"), F.col("_reach"))).alias("_pull"))
+    total = places.groupBy("region_id").agg(F.sum("pop").alias("_total"))
+    named = pulled.join(total, "region_id").join(regions.withColumnRenamed("country", "_country"), "region_id").join(entities.select("entity_id", "latitude", "longitude", "tier", "country"), "entity_id")
+    home = F.when(F.col("_country") == F.col("country"), by_tier(F.col("tier"), AT_HOME)).otherwise(1.0)
+    out = named.withColumn("w", F.col("population") * F.col("_pull") / F.greatest("_total", F.lit(1e-9)) * F.col("affluence") * home)
+    centre = haversine(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon"))
+    return out.select("entity_id", "region_id", centre.alias("distance_km"), (F.col("w") / F.sum("w").over(Window.partitionBy("entity_id"))).alias("prior_weight"))
 
 
 def top_mass(prior: DataFrame, mass: float = 0.99, most: int = 150) -> DataFrame:
@@ -66,13 +77,14 @@ def rescale(df: DataFrame, group: str, value: str, total: str) -> DataFrame:
 def assign_rectangles(points: DataFrame, rectangles: DataFrame, cell: float = 10.0) -> DataFrame:
     """The rectangle a point lies in (half open), else the one at the least squared degree distance, then the least id.
 
-    Inside is an equality join on grid cells. Only the points outside all meet every rectangle, one side sent to all tasks.
+    Inside is an equality join on grid cells. Only the points outside all meet every rectangle; there are as many as
+    regions on a map, and Spark sends them to all tasks if they are small.
     """
     cells = rectangles.withColumn("cx", F.explode(F.sequence(F.floor(F.col("lon0") / cell), F.ceil(F.col("lon1") / cell) - 1))).withColumn("cy", F.explode(F.sequence(F.floor(F.col("lat0") / cell), F.ceil(F.col("lat1") / cell) - 1)))
     gridded = points.withColumns({"cx": F.floor(F.col("lon") / cell), "cy": F.floor(F.col("lat") / cell)})
     within = (F.col("lon") >= F.col("lon0")) & (F.col("lon") < F.col("lon1")) & (F.col("lat") >= F.col("lat0")) & (F.col("lat") < F.col("lat1"))
     inside = gridded.join(cells, ["cx", "cy"]).where(within).groupBy("point_id").agg(F.min("rect_id").alias("rect_id")).withColumn("inside", F.lit(True))
-    out = points.join(inside, "point_id", "left_anti").crossJoin(F.broadcast(rectangles))
+    out = points.join(inside, "point_id", "left_anti").crossJoin(rectangles)
     dx = F.greatest(F.col("lon0") - F.col("lon"), F.lit(0.0), F.col("lon") - F.col("lon1"))
     dy = F.greatest(F.col("lat0") - F.col("lat"), F.lit(0.0), F.col("lat") - F.col("lat1"))
     near = out.groupBy("point_id").agg(F.min(F.struct((dx * dx + dy * dy).alias("d"), "rect_id"))["rect_id"].alias("rect_id")).withColumn("inside", F.lit(False))
@@ -91,9 +103,50 @@ def in_ring(lon: Column, lat: Column, ring: Column) -> Column:
     return F.aggregate(ring, F.struct(F.element_at(ring, -1).alias("last"), F.lit(0).alias("n")), step, lambda s: s["n"] % 2 == 1)
 
 
+def segment_distance(lon: Column, lat: Column, ring: Column) -> Column:
+    """Squared degree distance from a point to the nearest segment of a ring."""
+
+    def step(state: Column, p: Column) -> Column:
+        a = state["last"]
+        dx, dy = p["lon"] - a["lon"], p["lat"] - a["lat"]
+        length = dx * dx + dy * dy
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(((lon - a["lon"]) * dx + (lat - a["lat"]) * dy) / F.nullif(length, F.lit(0.0)), F.lit(0.0))))
+        x, y = a["lon"] + t * dx - lon, a["lat"] + t * dy - lat
+        return F.struct(p.alias("last"), F.least(state["d"], x * x + y * y).alias("d"))
+
+    return F.aggregate(ring, F.struct(F.element_at(ring, -1).alias("last"), F.lit(float("inf")).alias("d")), step, lambda s: s["d"])
+
+
+def assign_polygons(points: DataFrame, areas: DataFrame, cell: float = 2.0, within: float = 5.0) -> DataFrame:
+    """The area that a point (point_id, lon, lat) lies in, else the nearest one not further than `within` degrees, else none.
+
+    areas: area_id and rings (outer rings and holes alike; odd crossings over all of them are inside), as read_polygons()
+    gives. Both steps join on the grid cells of the areas' bounding boxes (the second drawn out by `within`), so a point
+    meets only areas near it. Ties go to the least area_id. inside tells which step placed the point.
+    """
+    lon, lat = F.col("lon"), F.col("lat")
+    whole = F.flatten("rings")
+    box = {f"{name}_{c}": pick(whole[c]) for name, pick in (("min", F.array_min), ("max", F.array_max)) for c in ("lon", "lat")}
+
+    def cells(frame: DataFrame, out: float) -> DataFrame:
+        for c, name in (("cx", "lon"), ("cy", "lat")):
+            frame = frame.withColumn(c, F.explode(F.sequence(F.floor((F.col(f"min_{name}") - out) / cell), F.floor((F.col(f"max_{name}") + out) / cell))))
+        return frame
+
+    boxed = areas.select("area_id", "rings").withColumns(box)
+    gridded = points.withColumns({"cx": F.floor(lon / cell), "cy": F.floor(lat / cell)})
+    crossings = F.aggregate("rings", F.lit(0), lambda n, r: n + in_ring(lon, lat, r).cast("int"))
+    near_box = lon.between(F.col("min_lon"), F.col("max_lon")) & lat.between(F.col("min_lat"), F.col("max_lat"))
+    inside = gridded.join(cells(boxed, 0.0), ["cx", "cy"]).where(near_box).where(crossings % 2 == 1).groupBy("point_id").agg(F.min("area_id").alias("area_id"))
+    outside = gridded.join(inside, "point_id", "left_anti").join(cells(boxed, within), ["cx", "cy"])
+    apart = outside.withColumn("d", F.array_min(F.transform("rings", lambda r: segment_distance(lon, lat, r)))).where(F.col("d") <= within * within)
+    near = apart.groupBy("point_id").agg(F.min(F.struct("d", "area_id"))["area_id"].alias("area_id"))
+    return inside.withColumn("inside", F.lit(True)).unionByName(near.withColumn("inside", F.lit(False)))
+
+
 def enrich(entities: DataFrame, fixes: DataFrame, rectangles: DataFrame) -> DataFrame:
     """Entities with corrected coordinates, their region, and whether it is the one they name."""
-    fixed = entities.join(F.broadcast(fixes.withColumnsRenamed({"latitude": "_lat", "longitude": "_lon"})), "entity_id", "left")
+    fixed = entities.join(fixes.withColumnsRenamed({"latitude": "_lat", "longitude": "_lon"}), "entity_id", "left")
     fixed = fixed.withColumns({"latitude": F.coalesce("_lat", "latitude"), "longitude": F.coalesce("_lon", "longitude")}).drop("_lat", "_lon")
     placed = assign_rectangles(fixed.select(F.col("entity_id").alias("point_id"), F.col("longitude").alias("lon"), F.col("latitude").alias("lat")), rectangles)
     return fixed.join(placed.withColumnRenamed("point_id", "entity_id"), "entity_id").withColumn("mismatch", F.col("rect_id") != F.col("entity_id"))

@@ -49,7 +49,7 @@ def coverage(rows: DataFrame, regions: DataFrame) -> DataFrame:
     """Whether a country has rows of a kind, by year; any national year counts for all years of the data."""
     years = rows.select(F.year("date").alias("year")).distinct()
     by = rows.withColumn("country", F.split("code", "-")[0]).groupBy("country", F.year("date").alias("year")).agg(F.max((F.col("type") == "school").cast("int")).alias("school"), F.max((F.col("type") == "national").cast("int")).alias("national"))
-    spine = regions.select("country").distinct().crossJoin(F.broadcast(years))
+    spine = regions.select("country").distinct().crossJoin(F.broadcast(years))  # one row a calendar year
     out = spine.join(by, ["country", "year"], "left").fillna(0, ["school", "national"])
     return out.withColumn("national", F.max("national").over(Window.partitionBy("country")))
 
@@ -62,8 +62,8 @@ def sparse(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def remap(rows: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Codes renamed by a short table (code, new_code, factor); shares times the factor, at most 1."""
-    out = rows.join(F.broadcast(mapping), "code", "left")
+    """Codes renamed by a table (code, new_code, factor); shares times the factor, at most 1."""
+    out = rows.join(mapping, "code", "left")
     return out.withColumns({"share": F.least(F.lit(1.0), F.col("share") * F.coalesce("factor", F.lit(1.0))), "code": F.coalesce("new_code", "code")}).drop("new_code", "factor")
 
 
@@ -74,8 +74,14 @@ def interval_days(df: DataFrame) -> DataFrame:
 
 def interval_share(intervals: DataFrame) -> DataFrame:
     """Share of a state's weight whose intervals cover a day. An interval is counted at its two ends and summed along days."""
+    ends = F.array(F.struct(F.col("start_day").alias("day"), F.col("weight").alias("w"), F.lit(1).alias("n")), F.struct((F.col("end_day") + 1).alias("day"), (-F.col("weight")).alias("w"), F.lit(-1).alias("n")))
+    steps = intervals.where("end_day >= start_day").select("state", F.explode(ends).alias("x")).groupBy("state", "x.day").agg(F.sum("x.w").alias("w"), F.sum("x.n").alias("n"))
+    order = Window.partitionBy("state").orderBy("day")
+    along = order.rowsBetween(Window.unboundedPreceding, 0)
+    level = steps.select("state", "day", F.sum("w").over(along).alias("w"), F.sum("n").over(along).alias("n"), F.lead("day").over(order).alias("until"))
     total = intervals.groupBy("state").agg(F.sum("weight").alias("total"))
-    return interval_days(intervals).groupBy("state", "day").agg(F.sum("weight").alias("w")).join(total, "state").select("state", "day", (F.col("w") / F.col("total")).alias("share"))
+    held = level.where("n > 0").withColumn("day", F.explode(F.sequence("day", F.col("until") - 1)))
+    return held.join(total, "state").select("state", "day", (F.col("w") / F.col("total")).alias("share"))
 
 
 def nearest_year(wanted: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
@@ -156,3 +162,44 @@ def child_coverage(rows: DataFrame, regions: DataFrame) -> DataFrame:
     total = regions.groupBy("country").agg(F.count_distinct("code").alias("n"))
     listed = rows.join(regions.select("code", "country"), "code").groupBy("country", "day").agg(F.count_distinct("code").alias("k"))
     return listed.join(total, "country").select("country", "day", (F.col("k") / F.col("n")).alias("covered"))
+
+
+def merge(rows: DataFrame, regions: DataFrame, mapping: DataFrame, filled: DataFrame | None = None, verified: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Region calendars from source rows (code, date, day, type, share): calendar, coverage and dropped.
+
+    In order: `verified` rows supersede those of their code, day and type; `filled` adds national rows for countries without
+    any; codes are remapped; rows of one code, day and type are combined. Rows then reach regions (code, country,
+    n_children): a region's own code, a country's code on all its regions, and codes below a country that is one region by
+    an equal fraction of its n_children. A region's rows and its children's sum meet by overlap. Other codes are dropped and
+    counted by country. coverage: country, year, national and school; a national row covers all years.
+    """
+    rows = rows.select("code", "date", "day", "type", "share")
+    if verified is not None:
+        rows = supersede(rows, verified, verified.select(*rows.columns), ["code", "day", "type"])
+    if filled is not None:
+        has = rows.where("type = 'national'").select(country_of(F.col("code")).alias("country")).distinct()
+        rows = rows.unionByName(filled.withColumn("country", country_of(F.col("code"))).join(has, "country", "left_anti").select(*rows.columns))
+    combined = overlap_combine(remap(rows, mapping), ["code", "date", "day", "type"])
+    here = regions.select(F.col("code").alias("region"), "country")
+    own = combined.join(here, combined.code == here.region).select("region", "date", "day", "type", "share", "country")
+    rest = combined.join(here, combined.code == here.region, "left_anti")
+    nationwide = rest.where(~F.col("code").contains("-")).join(here, F.col("code") == F.col("country")).select("region", "date", "day", "type", "share", "country")
+    single = regions.where("code = country").select(F.col("code").alias("region"), "country", "n_children")
+    below = rest.where(F.col("code").contains("-")).withColumn("country", country_of(F.col("code"))).join(single, "country")
+    parts = below.groupBy("region", "date", "day", "type", "country").agg(F.least(F.lit(CEILING), F.sum(F.col("share") / F.col("n_children"))).alias("share"))
+    spread = own.unionByName(nationwide).unionByName(parts.select(*own.columns))
+    calendar = sparse(overlap_combine(spread.withColumnRenamed("region", "code"), ["code", "day", "type"]), ["code", "day"])
+    known = regions.select("country").distinct()
+    lone = single.select(F.col("country").alias("_single"))
+    lost = rest.withColumn("country", country_of(F.col("code"))).join(known.withColumn("_known", F.lit(True)), "country", "left").join(lone, F.col("country") == F.col("_single"), "left")
+    reached = F.when(F.col("code").contains("-"), F.col("_single").isNotNull()).otherwise(F.coalesce("_known", F.lit(False)))
+    dropped = lost.where(~reached).groupBy("country").agg(F.count(F.lit(1)).alias("n"))
+    years = rows.select(F.year("date").alias("year")).distinct()
+    by = spread.groupBy("country", F.year("date").alias("year")).agg(*[F.max((F.col("type") == t).cast("int")).alias(t) for t in ("national", "school")])
+    flags = known.crossJoin(years).join(by, ["country", "year"], "left").fillna(0, ["national", "school"])
+    flags = flags.withColumn("national", F.max("national").over(Window.partitionBy("country")))
+    return {"calendar": calendar, "coverage": flags, "dropped": dropped}
+
+
+def country_of(code: Column) -> Column:
+    return F.split(code, "-")[0]

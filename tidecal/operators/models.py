@@ -1,17 +1,15 @@
-"""Models on tables with MLlib: gated regression, status, closing category, back-tests, market weights."""
+"""Models on tables with MLlib: gated regression, status, closing category, back-tests and replays."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .evaluation import error_by, history_gate
@@ -25,6 +23,21 @@ def training_blanks(df: DataFrame) -> DataFrame:
     return df.withColumns({"lag": F.element_at(F.array(*map(F.lit, (0, 1, 7, 14))), (h % 4 + 1).cast("int")), "no_weather": h % 16 < 4})
 
 
+def as_of(df: DataFrame, lag: Column | int | None, horizons: tuple[int, ...] = (1, 7, 14)) -> DataFrame:
+    """Drift columns as they are known `lag` days before: drift<h> stays where h >= lag; without a lag none stays.
+
+    A lag of 0 or null stands for no recent labels.
+    """
+    known = F.lit(0) if lag is None else lag if isinstance(lag, Column) else F.lit(lag)
+    return df.withColumns({f"drift{h}": F.when((known > 0) & (known <= h), F.col(f"drift{h}")) for h in horizons if f"drift{h}" in df.columns})
+
+
+def blanked(df: DataFrame, weather: list[str]) -> DataFrame:
+    """Training rows as predictions will find them: labels known up to a drawn lag, weather missing in a quarter of the rows."""
+    out = as_of(training_blanks(df), F.col("lag"))
+    return out.withColumns({c: F.when(~F.col("no_weather"), F.col(c)) for c in weather}).drop("lag", "no_weather")
+
+
 def backfill_schedule(labels: DataFrame, first: int, last: int, leads: tuple[int, ...] = (1, 7, 14, 30), refit: int = 90) -> DataFrame:
     """What each back-dated prediction may know: day made, label lag, archived weather lead, and the refit it uses."""
     out = labels.withColumn("lead", F.explode(F.array(*map(F.lit, leads)))).withColumn("made_day", F.col("day") - F.col("lead")).where(F.col("made_day").between(first, last))
@@ -32,9 +45,9 @@ def backfill_schedule(labels: DataFrame, first: int, last: int, leads: tuple[int
     return out.withColumns({"lag": F.col("lead") + 1, "weather_lead": weather, "refit_day": first + F.floor((F.col("made_day") - first) / refit).cast("int") * refit})
 
 
-def prepared(df: DataFrame, columns: list[str]) -> DataFrame:
+def prepared(df: DataFrame, columns: list[str], missing: float = MISSING) -> DataFrame:
     """Missing values as a constant, with a column that tells."""
-    return df.withColumns({**{f"{c}_v": F.coalesce(F.col(c).cast("double"), F.lit(MISSING)) for c in columns}, **{f"{c}_gone": F.col(c).isNull().cast("double") for c in columns}})
+    return df.withColumns({**{f"{c}_v": F.coalesce(F.col(c).cast("double"), F.lit(missing)) for c in columns}, **{f"{c}_gone": F.col(c).isNull().cast("double") for c in columns}})
 
 
 def _inputs(columns: list[str], with_entity: bool) -> list[str]:
@@ -46,8 +59,16 @@ def tree_pipeline(estimator, columns: list[str], with_entity: bool) -> Pipeline:
     return Pipeline(stages=[*steps, VectorAssembler(inputCols=_inputs(columns, with_entity), outputCol="inputs"), estimator])
 
 
-def _named(df: DataFrame, columns: list[str]) -> DataFrame:
-    return prepared(df, columns).withColumn("entity_name", F.col("entity_id").cast("string"))
+def _named(df: DataFrame, columns: list[str], blank: tuple[str, ...] = (), missing: float = MISSING) -> DataFrame:
+    """Model inputs beside the row's own columns; columns in blank count as missing."""
+    out = prepared(df, columns, missing).withColumn("entity_name", F.col("entity_id").cast("string"))
+    return out.withColumns({f"{c}_v": F.lit(MISSING) for c in blank} | {f"{c}_gone": F.lit(1.0) for c in blank})
+
+
+def _score(model: PipelineModel, df: DataFrame, columns: list[str], out: str, blank: tuple[str, ...] = (), value: Column | None = None) -> DataFrame:
+    """df with the model's prediction (or another expression on its output) as one more column; rows stay where they are."""
+    found = model.transform(_named(df, columns, blank))
+    return found.select(*df.columns, (F.col("prediction") if value is None else value).alias(out))
 
 
 class GatedModel:
@@ -55,10 +76,14 @@ class GatedModel:
 
     def __init__(self, full: PipelineModel, fallback: PipelineModel, gate: DataFrame, columns: list[str]):
         self.full, self.fallback, self.gate, self.columns = full, fallback, gate, columns
+        self.drifts = tuple(c for c in columns if c.startswith("drift"))
 
     @classmethod
-    def fit(cls, train: DataFrame, columns: list[str], history: list[str], cutoff_day: int, entities: int, iterations: int = 8, least_years: float = 1.0) -> GatedModel:
-        rows = _named(train.where(F.col("day") <= cutoff_day), columns).cache()
+    def fit(cls, train: DataFrame, columns: list[str], history: list[str], cutoff_day: int, entities: int, weather: tuple[str, ...] = (), excluded: str | None = None, iterations: int = 8, least_years: float = 1.0) -> GatedModel:
+        """Fitted on blanked() rows up to the cutoff, without those that the column `excluded` marks; these count as history."""
+        upto = train.where(F.col("day") <= cutoff_day)
+        learned = upto.where(~F.coalesce(F.col(excluded).cast("boolean"), F.lit(False))) if excluded else upto
+        rows = _named(blanked(learned, [c for c in weather if c in columns]), columns).cache()
 
         def trees() -> GBTRegressor:
             return GBTRegressor(featuresCol="inputs", labelCol="label", maxIter=iterations, maxDepth=5, stepSize=0.3, maxBins=max(32, entities + 1), seed=3)
@@ -68,21 +93,33 @@ class GatedModel:
         rows.unpersist()
         return cls(full, fallback, history_gate(train, cutoff_day, least_years), columns)
 
-    def predict(self, rows: DataFrame) -> DataFrame:
-        """Adds prediction (0-100, one digit), low_confidence and drift_effect (with drift minus without)."""
-        drifts = [c for c in self.columns if c.startswith("drift")]
-        key = ["entity_id", "day"]
-        main = self.full.transform(_named(rows, self.columns)).select(*key, F.col("prediction").alias("_full"))
-        long = self.full.transform(_named(rows.withColumns({c: F.lit(None).cast("double") for c in drifts}), self.columns)).select(*key, F.col("prediction").alias("_long"))
-        rest = self.fallback.transform(_named(rows, self.columns)).select(*key, F.col("prediction").alias("_rest"))
-        out = rows.select(*key, "label").join(main, key).join(long, key).join(rest, key).join(self.gate, "entity_id", "left")
-        own = F.coalesce("gated", F.lit(False))
-        value = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.when(own, F.col("_full")).otherwise(F.col("_rest"))))
-        return out.select(*key, "label", (F.floor(value * 10 + 0.5) / 10).alias("prediction"), (~own).alias("low_confidence"), F.when(own, F.col("_full") - F.col("_long")).alias("drift_effect"))
-
-    def raw(self, rows: DataFrame, which: str = "full") -> DataFrame:
+    def score(self, rows: DataFrame, lags: dict[str, Column | int | None]) -> DataFrame:
+        """rows with the fallback's prediction, one of the full model for each named lag, and gated; no row moves but to meet its gate."""
+        out = _score(self.fallback, rows, self.columns, "fallback")
+        for name, lag in lags.items():
+            if lag is None:
+                out = _score(self.full, out, self.columns, name, self.drifts)
+            else:
+                held = {d: F.col(d) for d in self.drifts}
+                known = as_of(out.withColumns({f"_{d}": c for d, c in held.items()}), lag)
+                scored = _score(self.full, known, self.columns, name)
+                out = scored.withColumns({d: F.col(f"_{d}") for d in self.drifts}).drop(*[f"_{d}" for d in self.drifts])
+        gate = self.gate.select("entity_id", "gated")
+        return out.join(gate, "entity_id", "left").withColumn("gated", F.coalesce("gated", F.lit(False)))
+
+    def predict(self, rows: DataFrame, lag: Column | int | None = 1) -> DataFrame:
+        """entity_id, day, label, prediction (0-100, one digit), low_confidence and drift_effect (with drift minus without).
+
+        lag: labels are known so many days before a row (one number or a column), or None for no recent labels.
+        """
+        out = self.score(rows, {"main": lag, "long": None})
+        value = clipped(F.when(F.col("gated"), F.col("main")).otherwise(F.col("fallback")))
+        rest = [c for c in ("made_day", "lead") if c in rows.columns]
+        return out.select("entity_id", "day", "label", *rest, (F.floor(value * 10 + 0.5) / 10).alias("prediction"), (~F.col("gated")).alias("low_confidence"), F.when(F.col("gated"), F.col("main") - F.col("long")).alias("drift_effect"))
+
+    def raw(self, rows: DataFrame, which: str = "full", lag: Column | int | None = 1) -> DataFrame:
         """Predictions of one of the two models (full or fallback) for all rows, without gate or clip."""
-        return getattr(self, which).transform(_named(rows, self.columns)).select("entity_id", "day", "label", "prediction")
+        return self.score(rows, {"full": lag}).select("entity_id", "day", "label", F.col(which).alias("prediction"))
 
     def importance(self) -> list[tuple[str, float]]:
         """Share of each input of the full model, largest first."""
@@ -90,8 +127,60 @@ class GatedModel:
         return sorted(zip(_inputs(self.columns, True), map(float, weights)), key=lambda x: -x[1])
 
 
-def forest(train: DataFrame, rows: DataFrame, columns: list[str], entities: int) -> DataFrame:
-    estimator = RandomForestRegressor(featuresCol="inputs", labelCol="label", numTrees=12, maxDepth=7, maxBins=max(32, entities + 1), seed=3)
+def clipped(value: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), value))
+
+
+def backtest(model: GatedModel, rows: DataFrame, lags: tuple[int, ...] = (1, 7, 14)) -> DataFrame:
+    """Error by horizon (gated entities) and by group: section, name, n, mae, rmse and bias. One scoring pass, one aggregation.
+
+    Horizons: no recent labels, and labels known up to each lag. Groups: the gated system, the full model for all, and
+    for gated and for other entities what was used, what the other model gives, and for the others a constant 50.
+    """
+    scored = model.score(rows, {"long": None} | {f"lag{k}": k for k in lags})
+    gated, full, rest = F.col("gated"), clipped(F.col("long")), clipped(F.col("fallback"))
+    cases = [("horizon", "no recent labels", full, gated)] + [("horizon", f"labels up to {k} days before", clipped(F.col(f"lag{k}")), gated) for k in lags]
+    cases += [("all entities", "gated system", F.when(gated, full).otherwise(rest), F.lit(True)), ("all entities", "full model", full, F.lit(True))]
+    cases += [("gated", "full model (used)", full, gated), ("gated", "fallback", rest, gated)]
+    cases += [("not gated", "fallback (used)", rest, ~gated), ("not gated", "full model", full, ~gated), ("not gated", "constant 50", F.lit(50.0), ~gated)]
+    each = F.array(*[F.struct(F.lit(s).alias("section"), F.lit(n).alias("name"), p.alias("prediction"), k.alias("counts")) for s, n, p, k in cases])
+    return error_by(scored.select("label", F.explode(each).alias("c")).select("label", "c.*").where("counts"), ["section", "name"])
+
+
+def weather_of_lead(rows: DataFrame, archived: DataFrame | None, weather: list[str], horizon: int = 16) -> DataFrame:
+    """Rows (with lead) with the weather that was forecast so long before.
+
+    archived: entity_id, day, weather_lead (0 for leads up to 3, else from 7 days before) and the weather columns; all of
+    them replace a row's own where all are there. Beyond the horizon there is none.
+    """
+    if archived is not None:
+        wanted = F.when(F.col("lead") <= 3, 1).otherwise(7)
+        named = archived.select("entity_id", "day", F.col("weather_lead").alias("_lead"), *[F.col(c).alias(f"_{c}") for c in weather])
+        rows = rows.withColumn("_lead", wanted).join(named, ["entity_id", "day", "_lead"], "left")
+        there = reduce(lambda a, b: a & b, [F.col(f"_{c}").isNotNull() for c in weather])
+        rows = rows.withColumns({c: F.when(there, F.col(f"_{c}")).otherwise(F.col(c)) for c in weather}).drop("_lead", *[f"_{c}" for c in weather])
+    return rows.withColumns({c: F.when(F.col("lead") <= horizon, F.col(c)) for c in weather})
+
+
+def replay(frame: DataFrame, first: int, last: int, columns: list[str], history: list[str], entities: int, weather: list[str], archived: DataFrame | None = None, leads: tuple[int, ...] = (1, 7, 14, 30), refit: int = 90, **options) -> DataFrame:
+    """Back-dated predictions made on days first to last, as log rows: made_day, entity_id, day, lead_days, prediction, source.
+
+    A model is fitted every `refit` days on labels up to the day before; it predicts for all days made until the next fit,
+    with labels known lead + 1 days before the day predicted. One fit and one plan a refit, whatever the rows.
+    """
+    frame = frame.cache()  # every refit reads it
+    made = frame.withColumn("lead", F.explode(F.array(*map(F.lit, leads)))).withColumn("made_day", F.col("day") - F.col("lead"))
+    out = []
+    for start in range(first, last + 1, refit):
+        model = GatedModel.fit(frame, columns, history, start - 1, entities, tuple(weather), **options)
+        rows = made.where(F.col("made_day").between(start, min(last, start + refit - 1)))
+        found = model.predict(weather_of_lead(rows, archived, weather), F.col("lead") + 1)
+        out.append(found.select("made_day", "entity_id", "day", F.col("lead").alias("lead_days"), "prediction", "low_confidence", F.lit("backtest").alias("source")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def forest(train: DataFrame, rows: DataFrame, columns: list[str], entities: int, depth: int = 7) -> DataFrame:
+    estimator = RandomForestRegressor(featuresCol="inputs", labelCol="label", numTrees=12, maxDepth=depth, maxBins=max(32, entities + 1), seed=3)
     return tree_pipeline(estimator, columns, True).fit(_named(train, columns)).transform(_named(rows, columns)).select("entity_id", "day", "label", "prediction")
 
 
@@ -108,27 +197,48 @@ def yearly_backtest(rows: DataFrame, columns: list[str], entities: int, years: l
     return reduce(DataFrame.unionByName, found)
 
 
-def ridge(train: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Linear regression with entity x weekday and entity x month dummies."""
+def ridge(train: DataFrame, rows: DataFrame, columns: list[str], penalty: float = 0.1, holiday: str | None = None, above: float = 0.2) -> DataFrame:
+    """Linear regression with dummies of entity x weekday, entity x month and, given a score column, entity x holiday."""
     crosses = {"by_dow": F.concat_ws("_", "entity_id", F.weekday("date")), "by_month": F.concat_ws("_", "entity_id", F.month("date"))}
-    ready = lambda df: _named(df, columns).withColumns(crosses)
+    if holiday:
+        crosses["by_holiday"] = F.concat_ws("_", "entity_id", (F.coalesce(holiday, F.lit(0.0)) > above).cast("int"))
+    ready = lambda df: _named(df, columns, missing=0.0).withColumns(crosses)
     steps = [StringIndexer(inputCols=list(crosses), outputCols=[f"{c}_i" for c in crosses], handleInvalid="keep"), OneHotEncoder(inputCols=[f"{c}_i" for c in crosses], outputCols=[f"{c}_o" for c in crosses], handleInvalid="keep")]
     steps += [VectorAssembler(inputCols=_inputs(columns, False), outputCol="numbers"), StandardScaler(inputCol="numbers", outputCol="scaled"), VectorAssembler(inputCols=["scaled", *[f"{c}_o" for c in crosses]], outputCol="inputs")]
-    model = Pipeline(stages=[*steps, LinearRegression(featuresCol="inputs", labelCol="label", elasticNetParam=0.0, regParam=0.1, solver="l-bfgs", maxIter=20)]).fit(ready(train))
+    model = Pipeline(stages=[*steps, LinearRegression(featuresCol="inputs", labelCol="label", elasticNetParam=0.0, regParam=penalty, solver="l-bfgs", maxIter=20)]).fit(ready(train))
     return model.transform(ready(rows)).select("entity_id", "day", "label", "prediction")
 
 
+def compare(rows: DataFrame, columns: list[str], entities: int, depths: tuple[int, ...] = (5, 7), penalties: tuple[float, ...] = (0.01, 0.1, 1.0), holiday: str | None = None) -> DataFrame:
+    """Test error of forest, ridge and their mean; rows: split (train, valid, test).
+
+    Depth and penalty are those with the least error on the validation rows after fitting on the training rows; then both
+    models are fitted on both. The grid is a handful of fits, each distributed.
+    """
+    rows = rows.cache()  # every fit and every error reads it
+    train, valid, test = (rows.where(F.col("split") == x).drop("split") for x in ("train", "valid", "test"))
+
+    def error(found: DataFrame) -> float:
+        return found.agg(F.avg(F.abs(F.col("prediction") - F.col("label")))).first()[0]
+
+    depth = min(depths, key=lambda k: error(forest(train, valid, columns, entities, k)))
+    penalty = min(penalties, key=lambda x: error(ridge(train, valid, columns, x, holiday)))
+    known = train.unionByName(valid)
+    pair = forest(known, test, columns, entities, depth).join(ridge(known, test, columns, penalty, holiday).select("entity_id", "day", F.col("prediction").alias("ridge")), ["entity_id", "day"])
+    cases = ((f"forest, depth {depth}", F.col("prediction")), (f"ridge, penalty {penalty:g}", F.col("ridge")), ("mean", (F.col("prediction") + F.col("ridge")) / 2))
+    named = F.array(*[F.struct(F.lit(n).alias("model"), v.alias("prediction")) for n, v in cases])
+    return error_by(pair.select("label", F.explode(named).alias("m")).select("label", "m.*"), ["model"])
+
+
 def status_model(frame: DataFrame, rows: DataFrame, columns: list[str], iterations: int = 5) -> DataFrame:
     """Chance to be open, and opening and closing minutes on a half-hour grid, learned from open rows."""
-    opens = tree_pipeline(GBTClassifier(featuresCol="inputs", labelCol="is_open", maxIter=iterations, maxBins=64, seed=3), columns, True).fit(_named(frame.where("is_open is not null"), columns))
-    out = opens.transform(_named(rows, columns)).select("entity_id", "day", vector_to_array("probability")[1].alias("open_chance"))
+    trees = {"maxIter": iterations, "maxBins": 64, "seed": 3, "featuresCol": "inputs"}
+    opens = tree_pipeline(GBTClassifier(labelCol="is_open", **trees), columns, True).fit(_named(frame.where("is_open is not null"), columns))
+    out = _score(opens, rows.select("entity_id", "day", *columns), columns, "open_chance", value=vector_to_array("probability")[1])
     for target in ("open_min", "close_min"):
-        trees = GBTRegressor(featuresCol="inputs", labelCol=target, maxIter=iterations, maxBins=64, seed=3)
-        model = tree_pipeline(trees, columns, True).fit(_named(frame.where(f"is_open = 1 and {target} is not null"), columns))
-        # Without the label's own column: it would clash with the prediction's name.
-        found = model.transform(_named(rows, columns)).select("entity_id", "day", (F.bround(F.col("prediction") / 30) * 30).alias(target))
-        out = out.join(found, ["entity_id", "day"])
-    return out
+        model = tree_pipeline(GBTRegressor(labelCol=target, **trees), columns, True).fit(_named(frame.where(f"is_open = 1 and {target} is not null"), columns))
+        out = _score(model, out, columns, target, value=F.bround(F.col("prediction") / 30) * 30)
+    return out.select("entity_id", "day", "open_chance", "open_min", "close_min")
 
 
 def closing_category(train: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -138,41 +248,3 @@ def closing_category(train: DataFrame, rows: DataFrame, columns: list[str]) -> D
     model = tree_pipeline(estimator, columns, True).fit(_named(index.transform(train), columns))
     names = F.array(*[F.lit(x) for x in index.labels])
     return model.transform(_named(rows, columns)).select("entity_id", "day", F.get(names, F.col("prediction").cast("int")).alias("category"))
-
-
-def market_weights(days: DataFrame, controls: list[str], regions: list[str], target: str, ridge_share: float = 0.01) -> DataFrame:
-    """Non-negative weight of every region's holidays on an entity's target, beside its controls.
-
-    Spark sums the Gram matrix of [controls, regions, target] for every entity; only that small matrix of each entity is
-    solved in Python. Controls are projected out of the Gram matrix, which equals residualising the rows.
-    """
-    names = [*controls, *regions, target]
-    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
-    sums = days.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_obs"), F.array(*[F.sum(F.col(names[i]) * F.col(names[j])) for i, j in pairs]).alias("gram"))
-    nc, nr = len(controls), len(regions)
-
-    def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 200) -> np.ndarray:
-        """Non-negative x with the least x'ax - 2b'x, by coordinate descent; a is a Gram matrix."""
-        x, diagonal = np.zeros(len(b)), np.maximum(np.diag(a), 1e-12)
-        for _ in range(rounds):
-            before = x.copy()
-            for k in range(len(b)):
-                x[k] = max(0.0, x[k] + (b[k] - a[k] @ x) / diagonal[k])
-            if np.abs(x - before).max() < 1e-10:
-                break
-        return x
-
-    def solve(batches):
-        for batch in batches:
-            rows = []
-            for entity, n, gram in zip(batch["entity_id"], batch["n_obs"], batch["gram"]):
-                g = np.zeros((len(names), len(names)))
-                for (i, j), v in zip(pairs, gram):
-                    g[i, j] = g[j, i] = v
-                c = g[:nc, :nc] + 1e-8 * np.eye(nc) * max(1.0, np.trace(g[:nc, :nc]))
-                rest = g[nc:, nc:] - g[nc:, :nc] @ np.linalg.solve(c, g[:nc, nc:]) if nc else g
-                a = rest[:nr, :nr] + ridge_share * np.trace(rest[:nr, :nr]) / max(nr, 1) * np.eye(nr)
-                rows += [(entity, r, float(w), n) for r, w in zip(regions, nnls(a, rest[:nr, nr]))]
-            yield pd.DataFrame(rows, columns=["entity_id", "region", "weight", "n_obs"])
-
-    return sums.mapInPandas(solve, "entity_id int, region string, weight double, n_obs long")

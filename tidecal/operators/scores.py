@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .history import season_edges
 
-def entity_window() -> Window:
-    return Window.partitionBy("entity_id")
 
+#: The least weight that counts; the floor of the cap; the gain that a blend needs and the part of it to keep;
+#: the rows from which on 8 or 4 waves and year effects are used.
+LEAST_WEIGHT, CAP_FLOOR, LEAST_GAIN, GAIN_PART = 1e-4, 0.004, 0.001, 0.75
+MANY_ROWS, SOME_ROWS, YEAR_ROWS = 800, 400, 300
 
 
+def entity_window() -> Window:
+    return Window.partitionBy("entity_id")
+
 def daily_scores(weights: DataFrame, calendar: DataFrame, spine: DataFrame, kinds: tuple[str, ...] = ("national", "school")) -> DataFrame:
     """Score of every entity-day of the spine: sum of weight times share over regions, in 0-1; absent pairs count 0.
 
@@ -40,7 +46,7 @@ def strength(df: DataFrame, value: str) -> DataFrame:
     return out.withColumns({"strength": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(value) / F.col("_top"))), "uplift_pct": 100 * (F.exp(value) - 1)}).drop("_top")
 
 
-def assemble(df: DataFrame, least: float = 1e-4) -> DataFrame:
+def assemble(df: DataFrame, least: float = LEAST_WEIGHT) -> DataFrame:
     """Weights from `least` on, renormalised by entity and type, rounded to 5, with a confidence from stability and observations."""
     group = Window.partitionBy("entity_id", "type")
     out = df.where(F.col("weight") >= least).withColumn("weight", F.floor(F.col("weight") / F.sum("weight").over(group) * 100_000 + 0.5) / 100_000)
@@ -54,7 +60,7 @@ def prior_only(prior: DataFrame, mask: DataFrame) -> DataFrame:
     return kept.withColumn("weight", F.col("prior") / F.sum("prior").over(Window.partitionBy("entity_id", "type")))
 
 
-def blend(df: DataFrame, rho: float, kappa: float = 3.0, floor: float = 0.004, rounds: int = 8) -> DataFrame:
+def blend(df: DataFrame, rho: float, kappa: float = 3.0, floor: float = CAP_FLOOR, rounds: int = 8) -> DataFrame:
     """rho * prior + (1 - rho) * fitted, then `rounds` times: cap at kappa * prior + floor and renormalise."""
     out = df.withColumn("weight", rho * F.col("prior") + (1 - rho) * F.col("fitted"))
     for _ in range(rounds):
@@ -79,22 +85,39 @@ def control_events(df: DataFrame, seasonal: str, least_days: int = 15, most: int
     return named.withColumn("rn", F.row_number().over(Window.partitionBy("entity_id").orderBy("events"))).where(F.col("rn") <= most)
 
 
-def control_design(df: DataFrame) -> DataFrame:
-    """Control columns: weekday dummies, yearly waves as many as the rows allow (8, 4 or 2), and year effects from 300 rows on."""
+def control_design(df: DataFrame, events: DataFrame | None = None, gap: int = 14) -> DataFrame:
+    """Controls of every entity-day in long form: entity_id, day, name and value, for the columns that vary within the entity.
+
+    Weekday dummies, yearly waves as many as the rows allow (8, 4 or 2), year effects from 300 rows on, first and last rows of
+    a season, and a flag for each control event (events: entity_id, day, event; those that control_events() chose). A column
+    that is constant for an entity is left out of its rows.
+    """
     n = F.count(F.lit(1)).over(entity_window())
-    out = df.withColumn("n_rows", n).withColumn("n_waves", F.when(F.col("n_rows") >= 800, 8).when(F.col("n_rows") >= 400, 4).otherwise(2))
+    out = season_edges(df.select("entity_id", "day", "date"), gap).withColumn("n_rows", n)
+    waves = F.when(F.col("n_rows") >= MANY_ROWS, 8).when(F.col("n_rows") >= SOME_ROWS, 4).otherwise(2)
     angle = 2 * F.pi() * F.dayofyear("date") / 365.25
-    waves = {f"{f}{k}": F.when(F.col("n_waves") >= k, (F.sin if f == "sin" else F.cos)(k * angle)).otherwise(0.0) for k in range(1, 9) for f in ("sin", "cos")}
-    days = {f"dow{k}": (F.weekday("date") == k).cast("int") for k in range(1, 7)}
-    return out.withColumns({**days, **waves, "year_effect": F.when(F.col("n_rows") >= 300, F.year("date"))})
+    one = lambda name, value: F.struct(F.lit(name).alias("name") if isinstance(name, str) else name.alias("name"), value.cast("double").alias("value"))
+    columns = [one(f"dow{k}", F.weekday("date") == k) for k in range(1, 7)]
+    columns += [one(f"{f}{k}", F.when(waves >= k, (F.sin if f == "sin" else F.cos)(k * angle)).otherwise(0.0)) for k in range(1, 9) for f in ("sin", "cos")]
+    columns += [one(c, F.col(c)) for c in ("season_start", "season_end")]
+    fixed = out.select("entity_id", "day", "n_rows", F.explode(F.array(*columns)).alias("x")).select("entity_id", "day", "n_rows", "x.*")
+    years = out.where(F.col("n_rows") >= YEAR_ROWS).select("entity_id", "day", "n_rows", F.concat(F.lit("year"), F.year("date")).alias("name"), F.lit(1.0).alias("value"))
+    parts = fixed.unionByName(years)
+    if events is not None:
+        flagged = events.select("entity_id", "day", F.concat(F.lit("event "), "event").alias("name")).distinct().join(out.select("entity_id", "day", "n_rows"), ["entity_id", "day"])
+        parts = parts.unionByName(flagged.withColumn("value", F.lit(1.0)).select(*parts.columns))
+    # Dummies and events have rows where they are 1 only: such a column is constant if it has a row on every day.
+    column = Window.partitionBy("entity_id", "name")
+    spread = parts.withColumns({"_low": F.min("value").over(column), "_high": F.max("value").over(column), "_n": F.count(F.lit(1)).over(column)})
+    return spread.where((F.col("_high") > F.col("_low")) | ((F.col("_n") < F.col("n_rows")) & (F.col("_high") != 0))).select("entity_id", "day", "name", "value")
 
 
 def bootstrap_summary(replicates: DataFrame, keys: list[str]) -> DataFrame:
     """5th and 95th percentile of a weight over replicates, and the share of replicates in which it counts."""
-    return replicates.groupBy(*keys).agg(F.percentile("weight", F.lit(0.05)).alias("ci_low"), F.percentile("weight", F.lit(0.95)).alias("ci_high"), F.avg((F.col("weight") > 1e-4).cast("double")).alias("stability"))
+    return replicates.groupBy(*keys).agg(F.percentile("weight", F.lit(0.05)).alias("ci_low"), F.percentile("weight", F.lit(0.95)).alias("ci_high"), F.avg((F.col("weight") > LEAST_WEIGHT).cast("double")).alias("stability"))
 
 
-def blend_choice(r2: DataFrame, gain: float = 0.001, part: float = 0.75) -> DataFrame:
+def blend_choice(r2: DataFrame, gain: float = LEAST_GAIN, part: float = GAIN_PART) -> DataFrame:
     """The blend of an entity from a table (entity_id, rho, r2; rho 1 is the prior): prior if the gain is small, else the largest rho with `part` of it."""
     base = F.max(F.when(F.col("rho") == 1, F.col("r2"))).over(entity_window())
     out = r2.withColumns({"gain": F.col("r2") - base, "best": F.max("r2").over(entity_window()) - base})

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import clock, hours_open, minutes
-from .days import event_flags, hours_features, labelled
-from .history import at_lag, drift, future_drift, future_spine, mean_of, prior_year
+from .history import at_lag
 
 
 def open_rows(calendar: DataFrame) -> DataFrame:
@@ -63,39 +62,6 @@ def apply_known_hours(rows: DataFrame) -> DataFrame:
     return out.withColumn("duration", hours_open(F.col("open_min"), F.col("close_min")))
 
 
-def feature_frame(calendar: DataFrame, weather: DataFrame) -> DataFrame:
-    """One row for each labelled day: hours, events, last year, drift, weather."""
-    rows = drift(prior_year(event_flags(hours_features(labelled(calendar)))))
-    return rows.join(weather, ["entity_id", "day"], "left")
-
-
-def status_frame(calendar: DataFrame) -> DataFrame:
-    """One row for each open or closed day, with last year's status and hours."""
-    rows = open_rows(calendar).withColumns({"open_min": minutes(F.col("opens")).cast("double"), "close_min": minutes(F.col("closes")).cast("double")})
-    names = ("is_open", "open_min", "close_min")
-    out = rows.withColumns({f"{v}_{k}": at_lag(v, k) for v in names for k in (357, 364, 371)})
-    return event_flags(out).withColumns({f"{v}_mean": mean_of([F.col(f"{v}_{k}") for k in (357, 364, 371)]) for v in names})
-
-
-def future_rows(calendar: DataFrame, weather: DataFrame | None = None, days: int = 30) -> DataFrame:
-    """Features of future days of active entities: calendar, events and status of last year, lags, drift, hours, weather.
-
-    weather: entity_id, day, wx_source and its columns; rows without any have wx_source 'none'. excluded is 0: a window of
-    the past holds no future day.
-    """
-    known, key = labelled(calendar), ["entity_id", "day"]
-    spine = future_spine(known, days)
-    past = event_flags(calendar, {}).withColumn("was_open", F.when(F.col("status").isin("open", "closed"), (F.col("status") == "open").cast("double")))
-    lagged = with_future(past, spine, ["has_event", "was_open"]).withColumns({"_event": at_lag("has_event", 364), "open_last_year": at_lag("was_open", 364)})
-    lagged = lagged.where("future").select(*key, F.coalesce("_event", F.lit(0)).alias("has_event"), "open_last_year")
-    out = spine.withColumn("date", F.date_from_unix_date("day")).withColumns({"dow": F.weekday("date"), "weekend": (F.weekday("date") >= 5).cast("int"), "month": F.month("date"), "year": F.year("date"), "excluded": F.lit(0)})
-    for part in (lagged, future_drift(known, days), is_open_lookup(calendar, spine), future_hours(calendar, spine)):
-        out = out.join(part, key)
-    if weather is None:
-        return out.withColumn("wx_source", F.lit("none"))
-    return out.join(weather, key, "left").withColumn("wx_source", F.coalesce("wx_source", F.lit("none")))
-
-
 def forecast_output(rows: DataFrame, predictions: DataFrame, schedule: DataFrame) -> DataFrame:
     """Future rows as they are published: known schedules win; a day known to be closed has neither prediction nor hours."""
     out = apply_known_hours(known_schedule(rows.join(predictions, ["entity_id", "day"]), schedule))
@@ -122,5 +88,5 @@ def closing_decode(train: DataFrame, rows: DataFrame) -> DataFrame:
     entity = train.groupBy("entity_id").agg(F.median("close_min").alias("_entity"))
     offset = train.join(entity, "entity_id").groupBy("category").agg(F.median(F.col("close_min") - F.col("_entity")).alias("_offset"))
     everything = train.agg(F.median("close_min").alias("_all"))
-    out = rows.join(fine, ["entity_id", "category"], "left").join(entity, "entity_id", "left").join(F.broadcast(offset), "category", "left").crossJoin(F.broadcast(everything))
+    out = rows.join(fine, ["entity_id", "category"], "left").join(entity, "entity_id", "left").join(offset, "category", "left").crossJoin(F.broadcast(everything))
     return out.withColumn("decoded", F.coalesce("_fine", F.col("_entity") + F.col("_offset"), "_all")).drop("_fine", "_entity", "_offset", "_all")

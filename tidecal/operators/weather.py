@@ -60,18 +60,29 @@ def prefer(first: DataFrame, second: DataFrame) -> DataFrame:
     return inside.unionByName(rest)
 
 
-def swap_forecast(df: DataFrame, forecast: DataFrame, values: list[str], missing_flag: float | None = None) -> DataFrame:
-    """Replaces all values by the forecast's where every one is there; recomputes the flags. swapped tells where."""
+def swap_forecast(df: DataFrame, forecast: DataFrame, values: list[str], missing_flag: float | None = None, anomalies: dict[str, str] | None = None) -> DataFrame:
+    """Replaces all values by the forecast's where every one is there; recomputes the flags. swapped tells where.
+
+    anomalies (column -> value column) keep their climatology: what was subtracted from the old value is from the new one.
+    """
+    anomalies = anomalies or {}
+    df = df.withColumns({f"_c_{a}": F.col(v) - F.col(a) for a, v in anomalies.items()})
     named = forecast.select("entity_id", "day", *[F.col(v).alias(f"_f_{v}") for v in values])
     out = df.join(named, ["entity_id", "day"], "left")
     there = F.lit(True)
     for v in values:
         there = there & F.col(f"_f_{v}").isNotNull()
     out = out.withColumn("swapped", there).withColumns({v: F.when(F.col("swapped"), F.col(f"_f_{v}")).otherwise(F.col(v)) for v in values}).drop(*[f"_f_{v}" for v in values])
+    out = out.withColumns({a: F.col(v) - F.col(f"_c_{a}") for a, v in anomalies.items()}).drop(*[f"_c_{a}" for a in anomalies])
     flags = {"wet": flag(F.col("precip") >= 1), "hot": flag(F.col("temp_max") >= 30)}
     return out.withColumns({k: F.coalesce(c, F.lit(missing_flag)) if missing_flag is not None else c for k, c in flags.items()})
 
 
+def without_weather(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows without any weather."""
+    return df.withColumns({c: F.lit(None).cast(df.schema[c].dataType) for c in columns})
+
+
 def blank_drift(df: DataFrame, lag: int, horizons: tuple[int, ...] = (1, 7, 14)) -> DataFrame:
     """Drift columns as known `lag` days ahead: those with a shorter horizon are blank."""
     return df.withColumns({f"drift{h}": F.col(f"drift{h}") if h >= lag else F.lit(None).cast("double") for h in horizons})

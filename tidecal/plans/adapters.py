@@ -68,8 +68,8 @@ VIEWS = {
     "entities": lambda e: """
     select n_nationkey as entity_id, n_name as name, r_name as company, cast(-60.0 + 5 * n_nationkey as double) as latitude, cast(-170.0 + 14 * n_nationkey as double) as longitude,
       1990 + n_nationkey % 5 as first_year, 1 + n_nationkey % 12 as first_month,
-      case n_nationkey % 4 when 0 then 'local' when 1 then 'regional' when 2 then 'national' else 'intercontinental' end as tier,
-      concat('R', r_regionkey) as country
+      case n_nationkey % 4 when 0 then 'local' when 1 then 'regional' when 2 then 'continental' else 'intercontinental' end as tier,
+      concat('R', r_regionkey) as country, cast(case when n_nationkey % 6 = 0 then 900 end as double) as reach_km
     from nation join region on n_regionkey = r_regionkey""",
     "station": lambda e: f"""
     select entity_id, date, {e.day('date')} as day, temp_max, temp_min, precip, sunshine from (
@@ -104,6 +104,9 @@ VIEWS = {
     select c_nationkey as state, o_totalprice as weight, {e.day('cast(o_orderdate as date)')} as start_day,
       {e.day('cast(o_orderdate as date)')} + o_orderkey % 10 as end_day, o_orderkey as row_id
     from orders join customer on o_custkey = c_custkey""",
+    "areas": lambda e: """
+    select n_nationkey as region_id, concat('R', n_regionkey) as country, cast(1000 + 500 * n_nationkey as double) as population, cast(-40 + 20 * floor(n_nationkey / 5) as double) as lat,
+      cast(-80 + 40 * (n_nationkey % 5) as double) as lon, cast(0.5 + n_regionkey / 4.0 as double) as affluence from nation""",
     "points": lambda e: "select c_custkey as point_id, cast((c_custkey * 37 % 3600) / 10.0 - 180 as double) as lon, cast((c_custkey * 53 % 1800) / 10.0 - 90 as double) as lat, cast(c_acctbal as double) as pop, c_nationkey as home from customer",
     "rectangles": lambda e: "select n_nationkey as rect_id, cast(-100 + 40 * (n_nationkey % 5) as double) as lon0, cast(-60 + 40 * (n_nationkey % 5) as double) as lon1, cast(-50 + 20 * floor(n_nationkey / 5) as double) as lat0, cast(-30 + 20 * floor(n_nationkey / 5) as double) as lat1 from nation",
 }

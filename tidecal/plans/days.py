@@ -19,20 +19,20 @@ query("crowd_calendar", oracle("select entity_id, day, label, status, predicted,
     lambda s, d: view(s, d, "calendar").select(*KEY, "label", "status", "predicted", "opens", "closes", "events")
 )
 query("entities_table", oracle("select e.*, c.n from entities e left join (select entity_id, count(*) as n from calendar group by 1) c using (entity_id)", "calendar", "entities"))(
-    lambda s, d: F.broadcast(view(s, d, "entities")).join(view(s, d, "calendar").groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")), "entity_id", "left")
+    lambda s, d: view(s, d, "entities").join(view(s, d, "calendar").groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")), "entity_id", "left")
 )
 query("labelled_days", oracle("select entity_id, day, label from calendar where status = 'open' and label is not null and not predicted", "calendar"))(lambda s, d: days.labelled(view(s, d, "calendar")).select(*KEY, "label"))
 query(
     "enhanced_calendar",
-    oracle("with sc as (select entity_id, day, label / 100 as score from activity where entity_id % 5 <> 4) select c.entity_id, c.day, c.status, c.label, sc.score from calendar c left join sc using (entity_id, day) where not (c.status = 'closed' or c.predicted) and c.entity_id in (select entity_id from sc)", "calendar"),
-)(lambda s, d: days.enhance(view(s, d, "calendar"), view(s, d, "activity").where("entity_id % 5 <> 4").select(*KEY, (F.col("label") / 100).alias("score"))).select(*KEY, "status", "label", "score"))
+    oracle("with sc as (select entity_id, day, label / 100 as score from activity) select c.entity_id, c.day, c.status, c.label, sc.score from calendar c left join sc using (entity_id, day) where not (coalesce(c.status = 'closed', false) or coalesce(c.predicted, false)) and c.entity_id in (select entity_id from sc)", "calendar"),
+)(lambda s, d: days.enhance(view(s, d, "calendar"), view(s, d, "activity").select(*KEY, (F.col("label") / 100).alias("score"))).select(*KEY, "status", "label", "score"))
 query("exclusion_window", oracle(f"select entity_id, day, date between date '{WINDOW[0]}' and date '{WINDOW[1]}' as excluded from activity", "activity"))(lambda s, d: view(s, d, "activity").select(*KEY, days.between_days(*WINDOW).alias("excluded")))
 query(
     "exclusion_by_group",
     oracle("select a.entity_id, a.day, a.date between date '1997-03-01' and coalesce(case e.country when 'R0' then date '1997-12-31' when 'R1' then date '1998-06-30' end, date '1998-03-31') as excluded from activity a join entities e using (entity_id)", "activity", "entities"),
 )(
     lambda s, d: days.excluded_by_group(
-        view(s, d, "activity").join(F.broadcast(view(s, d, "entities").select("entity_id", "country")), "entity_id"), s.sql("select 'R0' as country, date'1997-12-31' as end_date union all select 'R1', date'1998-06-30'"), "1997-03-01", "1998-03-31"
+        view(s, d, "activity").join(view(s, d, "entities").select("entity_id", "country"), "entity_id"), s.sql("select 'R0' as country, date'1997-12-31' as end_date union all select 'R1', date'1998-06-30'"), "1997-03-01", "1998-03-31"
     ).select(*KEY, "excluded")
 )
 query("time_split", oracle("select entity_id, day, case when date <= date '1998-12-31' then 'train' when date <= date '1999-12-31' then 'valid' else 'test' end as split from activity", "activity"))(

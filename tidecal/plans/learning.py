@@ -4,26 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import days, evaluation, history, models, status, weather
+from ..operators import days, evaluation, fitting, frames, models, scores, status
 from . import states
 from .adapters import view
 from .registry import query
 
 KEY = ["entity_id", "day"]
 CUT = 10_600
-BASIC, HISTORY = ["dow", "month"], ["py364", "py_mean", "drift1", "drift7"]
-COLUMNS = [*BASIC, *HISTORY]
+BASIC = ["dow", "month", "wave_sin", "wave_cos", "months_open", "has_event", "national_score", "school_score", "national_log_until", "school_log_until"]
+HISTORY, WEATHER = ["py364", "py_mean", "drift1", "drift7", "drift14"], ["temp_max", "wet"]
+COLUMNS = [*BASIC, *HISTORY, *WEATHER]
 
 
 def frame(s, d):
-    """Labelled days with weekday, month and history features."""
-    rows = days.labelled(view(s, d, "calendar")).withColumns({"dow": F.weekday("date"), "month": F.month("date")})
-    return history.drift(history.prior_year(rows)).select(*KEY, "date", "label", *COLUMNS)
+    """The feature frame's model columns, kept while a query's fits and scores read them."""
+    return states.features(s, d).select(*KEY, "date", "label", "in_window", *COLUMNS).cache()
 
 
 def _gated(s, d):
     rows = frame(s, d)
-    return models.GatedModel.fit(rows, COLUMNS, HISTORY, CUT, 25), rows.where(F.col("day") > CUT)
+    return models.GatedModel.fit(rows, COLUMNS, HISTORY, CUT, 25, tuple(WEATHER)), rows.where(F.col("day") > CUT)
 
 
 @query("gated_predictions")
@@ -34,9 +34,17 @@ def gated_predictions(s, d):
 
 @query("backtest_report")
 def backtest_report(s, d):
-    """Error of the gated model by confidence."""
+    """Error by horizon and by group of entities."""
     model, rows = _gated(s, d)
-    return evaluation.error_by(model.predict(rows), ["low_confidence"])
+    return models.backtest(model, rows)
+
+
+@query("backfill_log")
+def backfill_log(s, d):
+    """Back-dated predictions of 600 days, with a new fit every 300; what stations saw a day or a week before stands in for forecasts."""
+    station = states.stations(s, d)
+    archived = station.withColumn("weather_lead", F.explode(F.array(F.lit(1), F.lit(7)))).withColumn("day", F.col("day") + F.col("weather_lead"))
+    return models.replay(frame(s, d), 10_100, 10_699, COLUMNS, HISTORY, 25, WEATHER, archived, refit=300, iterations=4)
 
 
 @query("rf_predictions")
@@ -53,23 +61,22 @@ def ridge_predictions(s, d):
 
 @query("model_comparison")
 def model_comparison(s, d):
-    """Error of the forest, the ridge and their mean on the same days."""
-    pair = rf_predictions(s, d).join(ridge_predictions(s, d).select(*KEY, F.col("prediction").alias("ridge")), KEY)
-    named = F.array(*[F.struct(F.lit(n).alias("model"), v.alias("prediction")) for n, v in (("forest", F.col("prediction")), ("ridge", F.col("ridge")), ("mean", (F.col("prediction") + F.col("ridge")) / 2))])
-    return evaluation.error_by(pair.select("label", F.explode(named).alias("m")).select("label", "m.*"), ["model"])
+    """Error on test days of the forest and the ridge that did best on validation days, and of their mean."""
+    rows = days.time_split(frame(s, d), "1996-12-31", "1997-12-31")
+    return models.compare(rows, COLUMNS, 25, depths=(5, 7), penalties=(0.1, 1.0), holiday="national_score")
 
 
 @query("status_predictions")
 def status_predictions(s, d):
-    rows = status.status_frame(view(s, d, "calendar")).withColumns({"dow": F.weekday("date"), "month": F.month("date")})
-    columns = ["dow", "month", "is_open_364", "is_open_mean", "close_min_364"]
+    rows = states.statuses(s, d).cache()
+    columns = ["dow", "month", "has_event", "school_score", "is_open_364", "is_open_mean", "close_min_364"]
     wanted = [*KEY, "date", "is_open", "open_min", "close_min", *columns]
     return models.status_model(rows.where(F.col("day") <= CUT).select(*wanted), rows.where(F.col("day") > CUT).select(*wanted), columns)
 
 
 @query("closing_predictions")
 def closing_predictions(s, d):
-    rows = status.hours_features(days.event_flags(view(s, d, "calendar").where("status = 'open'")))
+    rows = days.hours_features(days.event_flags(view(s, d, "calendar").where("status = 'open'")))
     rows = status.closing_terciles(rows).where("category is not null").withColumns({"dow": F.weekday("date"), "month": F.month("date")})
     wanted = rows.select(*KEY, "category", "dow", "month", "open_min", "has_event", "close_min")
     train, test = wanted.where(F.col("day") <= CUT), wanted.where(F.col("day") > CUT)
@@ -77,20 +84,33 @@ def closing_predictions(s, d):
     return status.closing_decode(train, found).select(*KEY, "category", F.col("decoded").alias("close_min"))
 
 
+def fitted(s, d):
+    """Weights of all regions on all entities: labelled days outside the excluded window, markets, and the whole region calendar."""
+    rows = days.labelled(view(s, d, "calendar")).where(~days.between_days(*frames.WINDOW)).select(*KEY, "date", "label")
+    school = view(s, d, "source_rows").where("type = 'school'").select(F.split("code", "-")[0].alias("country")).distinct().join(view(s, d, "regions"), "country").select("code")
+    events = states.chosen(s, d).select(*KEY, "rn")
+    return fitting.market_weights(rows, events, view(s, d, "markets").select("entity_id", "code", "prior"), states.merged(s, d), school, draws=20)
+
+
 @query("region_weights")
 def region_weights(s, d):
-    rows = view(s, d, "activity").withColumns({"dow": F.weekday("date"), "month": F.month("date"), "one": F.lit(1.0), "lift": F.log1p("label")})
-    parts = view(s, d, "source_rows").groupBy("day").pivot("code", ["R0", "R1", "R2", "R3", "R4"]).agg(F.max("share")).fillna(0.0)
-    full = rows.join(parts, "day", "left").fillna(0.0, ["R0", "R1", "R2", "R3", "R4"])
-    full = full.withColumns({f"dow{k}": (F.col("dow") == k).cast("double") for k in range(1, 7)} | {"sin1": F.sin(2 * F.pi() * F.dayofyear("date") / 365.25), "cos1": F.cos(2 * F.pi() * F.dayofyear("date") / 365.25)})
-    return models.market_weights(full, ["one", *[f"dow{k}" for k in range(1, 7)], "sin1", "cos1"], ["R0", "R1", "R2", "R3", "R4"], "lift")
+    return fitted(s, d)
+
+
+@query("fitted_scores")
+def fitted_scores(s, d):
+    """Daily scores by the fitted weights: each kind's weights meet that kind's share."""
+    weights = scores.assemble(fitted(s, d).where("weight > 0"))
+    shares = states.merged(s, d).select("code", "day", F.explode(F.create_map(*[x for k in frames.KINDS for x in (F.lit(k), F.col(k))])).alias("type", "share"))
+    sums = weights.join(shares, ["code", "type"]).groupBy("entity_id", "day", "type").agg(F.least(F.lit(1.0), F.sum(F.col("weight") * F.col("share"))).alias("score"))
+    return sums.where("score > 0")
 
 
 @query("batch_predictions")
 def batch_predictions(s, d):
     """Labelled days from the cut on, scored as if made 7 days ahead."""
     model, rows = _gated(s, d)
-    return model.predict(weather.blank_drift(rows, 7, (1, 7)))
+    return model.predict(rows, 7)
 
 
 @query("sub_model_predictions")
@@ -108,7 +128,7 @@ def feature_importance(s, d):
 @query("feature_ablation")
 def feature_ablation(s, d):
     rows = frame(s, d)
-    sets = {"calendar": BASIC, "calendar and last year": [*BASIC, "py364", "py_mean"], "all": COLUMNS}
+    sets = {"calendar": BASIC, "calendar and last year": [*BASIC, "py364", "py_mean"], "without weather": [*BASIC, *HISTORY], "all": COLUMNS}
     return models.ablation(rows.where(F.col("day") <= CUT), rows.where(F.col("day") > CUT), sets, 25)
 
 

@@ -99,11 +99,11 @@ query("score_log", oracle(f"with {SCORED} select entity_id, day, lead_days, sour
 query(
     "log_append",
     oracle(
-        """with nw as (select made_on, entity_id, day, lead_days, prediction + 1 as prediction, source from log where day % 11 = 0 and source = 'live')
+        """with nw as (select made_on, entity_id, day, lead_days, prediction + 1 as prediction, source from log where lead_days = 30 and source = 'live')
         select made_on, entity_id, day, lead_days, prediction, source from log l where not (made_on in (select made_on from nw) and source in (select source from nw)) union all select * from nw""",
         "log",
     ),
-)(lambda s, d: ev.append_log(*(lambda g: (g, g.where("day % 11 = 0 and source = 'live'").withColumn("prediction", F.col("prediction") + 1)))(view(s, d, "log").select("made_on", "entity_id", "day", "lead_days", "prediction", "source"))))
+)(lambda s, d: ev.append_log(*(lambda g: (g, g.where("lead_days = 30 and source = 'live'").withColumn("prediction", F.col("prediction") + 1)))(view(s, d, "log").select("made_on", "entity_id", "day", "lead_days", "prediction", "source"))))
 query("forecast_snapshot", oracle("select entity_id, day, day - 10500 as lead_days, last_year as prediction from lagged where day - 10500 in (1, 7, 14, 30) and last_year is not null", "lagged"))(
     lambda s, d: ev.snapshot(view(s, d, "lagged").withColumnRenamed("last_year", "prediction"), 10500, (1, 7, 14, 30)).select("entity_id", "day", "lead_days", "prediction")
 )
@@ -114,7 +114,7 @@ query(
     "accuracy_headline",
     oracle(
         f"""with {SCORED}, {RECENT}, su as (select "window", lead_days, {STATS} from rc group by 1, 2)
-        select printf('%.0f%% accuracy, last 90 days (%d days of data, 7-day-ahead forecasts) | %.0f%% of entity-days within +-10 points | average miss %.1f pts', round_even(accuracy, 0), days, round_even(within_10, 0), round_even(mae, 1)) as headline from su where "window" = 90 and lead_days = 7""",
+        select printf('Last 90 days at 7 days ahead, over %d days: accuracy %.0f, %.0f%% of rows off by 10 or less, mean error %.1f', days, round_even(accuracy, 0), round_even(within_10, 0), round_even(mae, 1)) as headline from su where "window" = 90 and lead_days = 7""",
         "activity",
         "log",
     ),
@@ -124,6 +124,25 @@ LEADS = (1, 7, 14, 30)
 WIDE = f"{SCORED}, wd as (select entity_id, day, any_value(actual) as actual, case when bool_or(source = 'live') then 'live' else 'backtest' end as source, {', '.join(f'max(prediction) filter (lead_days = {k}) as lead_{k}' for k in LEADS)} from sc group by 1, 2)"
 query("accuracy_daily_wide", oracle(f"with {WIDE} select * from wd", "activity", "log"))(lambda s, d: ev.daily_wide(scored(s, d), LEADS))
 query("accuracy_network", oracle(f"with {WIDE} select day, count(actual) as n_actual, avg(actual) as actual, {', '.join(f'avg(lead_{k}) as lead_{k}' for k in LEADS)} from wd group by 1", "activity", "log"))(lambda s, d: ev.network_daily(ev.daily_wide(scored(s, d), LEADS), LEADS))
-query("matched_eval", oracle(f"with {LAST} select count(*) as n, avg(abs(a.prediction - a.label)) as mae_a, avg(abs(b.gm - a.label)) as mae_b from ly a join base b using (entity_id, day) where b.day % 3 = 0", "activity"))(
-    lambda s, d: ev.matched(last(s, d), ev.group_mean(rows(s, d).where("day < 10957"), rows(s, d), ["dow"]).where("day % 3 = 0"))
+query("matched_eval", oracle(f"with {LAST} select count(*) as n, avg(abs(a.prediction - a.label)) as mae_a, avg(abs(b.gm - a.label)) as mae_b from ly a join base b using (entity_id, day) where a.entity_id || '-' || a.day in (select entity_id || '-' || day from lagged where last_year is not null)", "activity", "lagged"))(
+    lambda s, d: ev.matched(view(s, d, "lagged").where("last_year is not null").withColumnRenamed("last_year", "prediction"), ev.group_mean(rows(s, d).where("day < 10957"), rows(s, d), ["dow"]))
 )
+query(
+    "history_buckets",
+    oracle(
+        f"""with {LAST}, h as (select entity_id, count(*) / 365.25 as years from activity where day <= 9600 group by 1),
+        b as (select ly.*, case when years > 0 and years <= 0.5 then '(0,0.5]' when years > 0.5 and years <= 1 then '(0.5,1]' when years > 1 and years <= 2 then '(1,2]' when years > 2 and years <= 3 then '(2,3]' when years > 3 and years <= 100 then '(3,100]' end as bucket
+          from ly join h using (entity_id) where day > 9600) select bucket, count(distinct entity_id) as entities, count(*) as n, avg(abs(prediction - label)) as mae from b where bucket is not null group by 1""",
+        "activity",
+    ),
+)(lambda s, d: ev.history_buckets(last(s, d).where("day > 9600"), ev.history_gate(view(s, d, "activity"), 9600)))
+AVERAGE = "rank() over (partition by fold order by {0}) + (count(*) over (partition by fold, {0}) - 1) / 2.0"
+query(
+    "fold_correlation",
+    oracle(
+        f"""with {LAST}, h as (select entity_id, count(*) / 365.25 as years from activity where day <= 9600 group by 1),
+        p as (select ly.day // 365 as fold, entity_id, avg(abs(prediction - ly.label)) as mae from ly where day > 9600 group by 1, 2),
+        r as (select p.*, years, {AVERAGE.format('mae')} as r_mae, {AVERAGE.format('years')} as r_years from p join h using (entity_id)) select fold::bigint as fold, count(*) as entities, corr(years, mae) as pearson, corr(r_years, r_mae) as spearman from r group by 1""",
+        "activity",
+    ),
+)(lambda s, d: ev.fold_correlation(last(s, d).where("day > 9600").withColumn("fold", F.floor(F.col("day") / 365)), ev.history_gate(view(s, d, "activity"), 9600)))

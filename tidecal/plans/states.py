@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import history, holidays, models, scores, status, weather
+from ..operators import days, frames, history, holidays, models, scores, status, weather
 from ..sources.contracts import Contract, report
 from .adapters import oracle, view
 from .days import DRIFTS, FRAMES, KEY, MEAN, SPINE
@@ -26,8 +26,8 @@ def daily(s, d):
 
 
 query("holiday_scores", oracle(f"with {SCORES} select * from sc", "source_rows", "regions", "markets", "activity"))(daily)
-query("holiday_features", oracle(f"with {SCORES} select a.entity_id, a.day, floor(national_score * 1000000000 + 0.5) / 1000000000 as national_score, floor(school_score * 1000000000 + 0.5) / 1000000000 as school_score from activity a left join sc on sc.entity_id = a.entity_id and sc.day = a.day and a.day % 3 <> 0", "source_rows", "regions", "markets", "activity"))(
-    lambda s, d: scores.lookup(view(s, d, "activity").select(*KEY), daily(s, d).where("day % 3 <> 0"), digits=9)
+query("holiday_features", oracle(f"with {SCORES} select a.entity_id, a.day, floor(national_score * 1000000000 + 0.5) / 1000000000 as national_score, floor(school_score * 1000000000 + 0.5) / 1000000000 as school_score from activity a left join sc on sc.entity_id = a.entity_id and sc.day = a.day", "source_rows", "regions", "markets", "activity"))(
+    lambda s, d: scores.lookup(view(s, d, "activity").select(*KEY), daily(s, d), digits=9)
 )
 query("strength_scale", oracle("with t as (select quantile_cont(prior, 0.95) as top from markets where prior > 0) select entity_id, code, greatest(0, least(1, prior / top)) as strength, 100 * (exp(prior) - 1) as uplift_pct from markets, t", "markets"))(
     lambda s, d: scores.strength(view(s, d, "markets"), "prior").select("entity_id", "code", "strength", "uplift_pct")
@@ -44,8 +44,8 @@ query(
 )
 query(
     "prior_only_weights",
-    oracle("with k as (select entity_id, code, prior, t as type from markets cross join (select unnest(['national', 'school']) as t) where t = 'national' or region_id % 3 = 0) select entity_id, code, type, prior / sum(prior) over (partition by entity_id, type) as weight from k", "markets"),
-)(lambda s, d: scores.prior_only(view(s, d, "markets"), view(s, d, "regions").where("region_id % 3 = 0").select("code")).select("entity_id", "code", "type", "weight"))
+    oracle("with k as (select entity_id, code, prior, t as type from markets cross join (select unnest(['national', 'school']) as t) where t = 'national' or code in (select code from source_rows where type = 'school' and share >= 0.9)) select entity_id, code, type, prior / sum(prior) over (partition by entity_id, type) as weight from k", "markets", "source_rows"),
+)(lambda s, d: scores.prior_only(view(s, d, "markets"), view(s, d, "source_rows").where("type = 'school' and share >= 0.9").select("code").distinct()).select("entity_id", "code", "type", "weight"))
 BLENDS = "b0 as (select entity_id, code, prior, 0.4 * prior + 0.6 * prior * prior / sum(prior * prior) over (partition by entity_id) as w from markets)" + "".join(
     f", c{k} as (select entity_id, code, prior, least(w, 1.1 * prior + 0.004) as w from b{k - 1}), b{k} as (select entity_id, code, prior, w / sum(w) over (partition by entity_id) as w from c{k})" for k in range(1, 9)
 )
@@ -54,24 +54,32 @@ query("blend_weights", oracle(f"with {BLENDS} select entity_id, code, w as weigh
 )
 query(
     "coverage_mass",
-    oracle("with c as (select split_part(code, '-', 1) as country, year(date) as year, max((type = 'school' and row_id % 7 = 0)::int) as covered from source_rows group by 1, 2) select entity_id, year, sum(prior * covered) / sum(prior) as mass from markets join c using (country) group by 1, 2", "markets", "source_rows"),
+    oracle("with c as (select split_part(code, '-', 1) as country, year(date) as year, max((type = 'school' and share >= 0.9)::int) as covered from source_rows group by 1, 2) select entity_id, year, sum(prior * covered) / sum(prior) as mass from markets join c using (country) group by 1, 2", "markets", "source_rows"),
 )(
-    lambda s, d: scores.coverage_mass(view(s, d, "markets"), view(s, d, "source_rows").groupBy(F.split("code", "-")[0].alias("country"), F.year("date").alias("year")).agg(F.max(((F.col("type") == "school") & (F.col("row_id") % 7 == 0)).cast("int")).alias("covered")))
+    lambda s, d: scores.coverage_mass(view(s, d, "markets"), view(s, d, "source_rows").groupBy(F.split("code", "-")[0].alias("country"), F.year("date").alias("year")).agg(F.max(((F.col("type") == "school") & (F.col("share") >= 0.9)).cast("int")).alias("covered")))
 )
 query("placebo_shift", oracle("with s as (select min(day) as lo, max(day) - min(day) + 1 as n from source_rows) select row_id, code, lo + (day - lo + 180) % n as day from source_rows, s", "source_rows"))(lambda s, d: scores.placebo(view(s, d, "source_rows"), 180).select("row_id", "code", "day"))
 query(
     "control_events",
     oracle("with e as (select entity_id, events, count(distinct day) as days from calendar where events is not null and not regexp_matches(lower(events), 'red|blue') group by 1, 2 having count(distinct day) >= 15), r as (select *, row_number() over (partition by entity_id order by events) as rn from e) select * from r where rn <= 12", "calendar"),
 )(lambda s, d: scores.control_events(cal(s, d), "red|blue"))
-WAVES = ", ".join(f"case when n_waves >= {k} then {f}({k} * 2 * pi() * dayofyear(date) / 365.25) else 0 end as {f}{k}" for k in range(1, 9) for f in ("sin", "cos"))
+CONTROLS = [(f"dow{k}", f"isodow(date) - 1 = {k}") for k in range(1, 7)] + [(f"{f}{k}", f"case when n_waves >= {k} then {f}({k} * 2 * pi() * dayofyear(date) / 365.25) else 0 end") for k in range(1, 9) for f in ("sin", "cos")]
+CONTROLS += [("season_start", "season_start"), ("season_end", "season_end")]
+NAMES, VALUES = ", ".join(f"'{n}'" for n, _ in CONTROLS), ", ".join(f"({v})::int::double" if n[0] in "d" or "season" in n else f"({v})::double" for n, v in CONTROLS)
+EVENTS = "ce as (select entity_id, events, count(distinct day) as days from calendar where events is not null and not regexp_matches(lower(events), 'red|blue') group by 1, 2 having count(distinct day) >= 15), ev as (select entity_id, events, row_number() over (partition by entity_id order by events) as rn from ce)"
+chosen = lambda s, d: cal(s, d).join(scores.control_events(cal(s, d), "red|blue").select("entity_id", "events", "rn"), ["entity_id", "events"])
 query(
     "control_design",
     oracle(
-        f"""with n as (select *, count(*) over (partition by entity_id) as n_rows from activity where entity_id % 2 = 0), w as (select *, case when n_rows >= 800 then 8 when n_rows >= 400 then 4 else 2 end as n_waves from n)
-        select entity_id, day, n_rows, n_waves, {', '.join(f'(isodow(date) - 1 = {k})::int as dow{k}' for k in range(1, 7))}, {WAVES}, case when n_rows >= 300 then year(date) end as year_effect from w""",
-        "activity",
+        f"""with {EVENTS}, n as (select entity_id, day, date, count(*) over (partition by entity_id) as n_rows, case when day - lag(day) over (partition by entity_id order by day) > 14 then 1 else 0 end as new from activity),
+        r as (select *, sum(new) over (partition by entity_id order by day) as season, case when n_rows >= 800 then 8 when n_rows >= 400 then 4 else 2 end as n_waves from n),
+        w as (select *, row_number() over (partition by entity_id, season order by day) <= 3 as season_start, row_number() over (partition by entity_id, season order by day desc) <= 3 as season_end from r),
+        p as (select entity_id, day, n_rows, unnest([{NAMES}]) as name, unnest([{VALUES}]) as value from w union all select entity_id, day, n_rows, 'year' || year(date), 1.0 from w where n_rows >= 300
+          union all select distinct c.entity_id, c.day, n_rows, 'event ' || c.events, 1.0 from calendar c join ev on ev.entity_id = c.entity_id and ev.events = c.events and rn <= 12 join w on w.entity_id = c.entity_id and w.day = c.day),
+        q as (select *, min(value) over k as low, max(value) over k as high, count(*) over k as m from p window k as (partition by entity_id, name)) select entity_id, day, name, value from q where high > low or (m < n_rows and high <> 0)""",
+        "calendar",
     ),
-)(lambda s, d: scores.control_design(view(s, d, "activity").where("entity_id % 2 = 0")).drop("date", "volume", "label"))
+)(lambda s, d: scores.control_design(view(s, d, "activity"), chosen(s, d).withColumnRenamed("events", "event")))
 REPL = "rp as (select s_nationkey as entity_id, c_nationkey as region_id, year(l_shipdate) as y, sum(l_quantity) as q from lineitem join supplier on l_suppkey = s_suppkey join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey group by 1, 2, 3), rw as (select *, q / sum(q) over (partition by entity_id, y) as weight from rp)"
 query("bootstrap_summary", f"with {REPL} select entity_id, region_id, quantile_cont(weight, 0.05) as ci_low, quantile_cont(weight, 0.95) as ci_high, avg((weight > 1e-4)::int) as stability from rw group by 1, 2")(
     lambda s, d: (view(s, d, "markets"), scores.bootstrap_summary(s.sql(f"with {REPL} select * from rw"), ["entity_id", "region_id"]))[1]
@@ -124,64 +132,103 @@ query(
         "calendar",
     ),
 )(lambda s, d: (lambda t: status.closing_decode(t.where("day < 10000"), t.where("day >= 10000")).select(*KEY, "decoded"))(terciles(s, d).where("category is not null")))
+LABELS = "la as materialized (select entity_id, day, date, label, opens, closes, events, status from calendar where status = 'open' and label is not null and not predicted)"
+AHEAD = f"{LABELS}, {SPINE.replace('from activity', 'from la')}"
+#: Scores of all days of the calendar and of the future, with distances, as frames.holiday_columns() has them.
+HOLIDAYS = f"""{MERGED}, kd as (select entity_id, day from calendar union select entity_id, day from sp), sm as (select entity_id, day, sum(prior * national) as n, sum(prior * school) as s from markets join mg using (code) group by 1, 2),
+ sc as materialized (select k.entity_id, k.day, greatest(0, least(1, coalesce(n, 0)))::double as national_score, greatest(0, least(1, coalesce(s, 0)))::double as school_score from kd k left join sm using (entity_id, day)),
+ hd as (select *, {', '.join(f"min(case when {k}_score > 0.2 then day end) over (partition by entity_id order by day rows between current row and unbounded following) - day as {k}_until, day - max(case when {k}_score > 0.2 then day end) over (partition by entity_id order by day) as {k}_since" for k in frames.KINDS)} from sc),
+ ho as materialized (select *, {', '.join(f"case when {k}_{c} is not null then ln(1 + least({k}_{c}, 180)) end as {k}_log_{c}" for k in frames.KINDS for c in ('until', 'since'))} from hd)"""
+#: Date features of a row with date d, and its entity e.
+DATES = f"""company, tier, isodow(d) - 1 as dow, (isodow(d) >= 6)::int as weekend, month(d) as month, weekofyear(d) as week, year(d) as year, sin(2 * pi() * dayofyear(d) / 365.25) as wave_sin, cos(2 * pi() * dayofyear(d) / 365.25) as wave_cos,
+ (year(d) - first_year) * 12 + month(d) - first_month as months_open, (latitude < 0)::int as south"""
+IN_WINDOW = f"(d between date '{frames.WINDOW[0]}' and date '{frames.WINDOW[1]}')::int as in_window"
+FLAGS = "(coalesce(events, '') <> '')::int as has_event, " + ", ".join(f"regexp_matches(lower(coalesce(events, '')), '{p}')::int as event_{k}" for k, p in days.EVENT_GROUPS.items())
+BASES = ("calendar", "entities", "markets", "source_rows", "regions", "station")
+STATION = "wx as (select entity_id as station_id, day, temp_max, (precip >= 1)::int::double as wet from station)"
+SEEN = ["company", "tier", *frames.CALENDAR]
+EVENT_COLUMNS = ["has_event", *[f"event_{k}" for k in days.EVENT_GROUPS]]
+
+
+def holidays_of(s, d):
+    """Holiday columns of all days of the calendar and of the future."""
+    keys = cal(s, d).select(*KEY).unionByName(spine_of_labels(s, d).select(*KEY)).distinct()
+    return frames.holiday_columns(scores.daily_scores(view(s, d, "markets").withColumnRenamed("prior", "weight"), merged(s, d), keys))
+
+
+def spine_of_labels(s, d):
+    return history.future_spine(days.labelled(cal(s, d)))
+
+
+def stations(s, d, shift: int = 0):
+    """Station days by entity, `shift` days later."""
+    station = weather.weather_flags(view(s, d, "station")).select(F.col("entity_id").alias("station_id"), (F.col("day") + shift).alias("day"), "temp_max", "wet")
+    return station.join(view(s, d, "entities").select("entity_id", (F.col("entity_id") % 5).alias("station_id")), "station_id").drop("station_id")
+
+
+def features(s, d):
+    return frames.feature_frame(cal(s, d), view(s, d, "entities"), holidays_of(s, d), stations(s, d))
+
+
+def statuses(s, d):
+    return frames.status_frame(cal(s, d), view(s, d, "entities"), holidays_of(s, d))
+
+
+def ahead(s, d):
+    """Future days; station days 140 days before stand in for forecasts."""
+    return frames.future_rows(cal(s, d), view(s, d, "entities"), holidays_of(s, d), stations(s, d, 140).withColumn("wx_source", F.lit("station")))
+
+
+FEATURES = [*SEEN, "in_window", "open_min", "close_min", "duration", *EVENT_COLUMNS, *frames.HOLIDAYS, "py364", "py_mean", "drift1", "drift7", "drift14", "temp_max", "wet"]
+query(
+    "feature_frame",
+    oracle(
+        f"""with {AHEAD}, {HOLIDAYS}, {STATION}, lm as (select *, {MIN.format('opens')} as o, {MIN.format('closes')} as c from la), ld as (select *, date as d, case when c < o then (c - o) / 60.0 + 24 else (c - o) / 60.0 end as du from lm),
+        md as (select entity_id, median(o) as mo, median(c) as mc, median(du) as mdu from ld group by 1),
+        p as (select a.*, x.label as py357, y.label as py364, z.label as py371 from ld a {' '.join(f'left join la {t} on {t}.entity_id = a.entity_id and {t}.day = a.day - {k}' for t, k in (('x', 357), ('y', 364), ('z', 371)))}),
+        g as (select *, {MEAN} as py_mean, label - py364 as gap from p), f as (select *, {DRIFTS} from g {FRAMES})
+        select f.entity_id, f.day, f.label, {DATES}, {IN_WINDOW}, coalesce(o, mo)::double as open_min, coalesce(c, mc)::double as close_min, coalesce(du, mdu)::double as duration, {FLAGS}, {', '.join('ho.' + c for c in frames.HOLIDAYS)}, py364, py_mean, drift1, drift7, drift14, temp_max, wet
+        from f join entities e using (entity_id) left join md using (entity_id) left join ho on ho.entity_id = f.entity_id and ho.day = f.day left join wx on wx.station_id = f.entity_id % 5 and wx.day = f.day""",
+        *BASES,
+    ),
+)(lambda s, d: features(s, d).select(*KEY, "label", *FEATURES))
+LAST = [f"{v}_{k}" for v in ("is_open", "open_min", "close_min") for k in (357, 364, 371, "mean")]
 STAT = ", ".join(f"x{k}.{a} as {b}_{k}" for a, b in (("is_open", "is_open"), ("o", "open_min"), ("c", "close_min")) for k in (357, 364, 371))
 query(
     "status_frame",
     oracle(
-        f"""with sf as (select entity_id, day, (status = 'open')::int::double as is_open, ({MIN.format('opens')})::double as o, ({MIN.format('closes')})::double as c from calendar where status in ('open', 'closed')),
-        j as (select sf.entity_id, sf.day, sf.is_open, {STAT} from sf {' '.join(f'left join sf x{k} on x{k}.entity_id = sf.entity_id and x{k}.day = sf.day - {k}' for k in (357, 364, 371))})
-        select *, {', '.join(f'(coalesce({v}_357, 0) + coalesce({v}_364, 0) + coalesce({v}_371, 0)) / nullif(({v}_357 is not null)::int + ({v}_364 is not null)::int + ({v}_371 is not null)::int, 0) as {v}_mean' for v in ('is_open', 'open_min', 'close_min'))} from j""",
-        "calendar",
+        f"""with {AHEAD}, {HOLIDAYS}, sf as materialized (select *, date as d, (status = 'open')::int::double as is_open, ({MIN.format('opens')})::double as o, ({MIN.format('closes')})::double as c from calendar where status in ('open', 'closed')),
+        j as (select sf.*, {STAT} from sf {' '.join(f'left join sf x{k} on x{k}.entity_id = sf.entity_id and x{k}.day = sf.day - {k}' for k in (357, 364, 371))})
+        select j.entity_id, j.day, is_open, o as open_min, c as close_min, {', '.join(x for x in LAST if not x.endswith('mean'))}, {', '.join(f'(coalesce({v}_357, 0) + coalesce({v}_364, 0) + coalesce({v}_371, 0)) / nullif(({v}_357 is not null)::int + ({v}_364 is not null)::int + ({v}_371 is not null)::int, 0) as {v}_mean' for v in ('is_open', 'open_min', 'close_min'))},
+          {DATES}, {IN_WINDOW}, {FLAGS}, {', '.join('ho.' + c for c in frames.HOLIDAYS)} from j join entities e using (entity_id) left join ho on ho.entity_id = j.entity_id and ho.day = j.day where j.entity_id in (select entity_id from sc)""",
+        *BASES,
     ),
-)(lambda s, d: status.status_frame(cal(s, d)).select(*KEY, "is_open", *[f"{v}_{k}" for v in ("is_open", "open_min", "close_min") for k in (357, 364, 371, "mean")]))
+)(lambda s, d: statuses(s, d).select(*KEY, "is_open", "open_min", "close_min", *LAST, *SEEN, "in_window", *EVENT_COLUMNS, *frames.HOLIDAYS))
 query(
-    "feature_frame",
+    "future_rows",
     oracle(
-        f"""with la as (select *, ({MIN.format('opens')}) as o, ({MIN.format('closes')}) as c from calendar where status = 'open' and label is not null and not predicted),
-        p as (select a.*, y.label as py364 from la a left join la y on y.entity_id = a.entity_id and y.day = a.day - 364), g as (select *, label - py364 as gap from p), f as (select *, {DRIFTS} from g {FRAMES})
-        select f.entity_id, f.day, f.label, coalesce(o, median(o) over (partition by f.entity_id))::double as open_min, (coalesce(events, '') <> '')::int as has_event, py364, drift1, drift7, s.temp_max, (s.precip >= 1)::int::double as wet
-        from f left join station s on s.entity_id = f.entity_id % 5 and s.day = f.day""",
-        "calendar",
-        "station",
+        f"""with {AHEAD}, {HOLIDAYS}, {STATION}, {OPEN}, {HOURS}, {chain_sql('io', 'op', 'is_open', 'avg')}, {chain_sql('oo', 'hr', 'o', 'median')}, {chain_sql('co', 'hr', 'c', 'median')},
+        sd as (select entity_id, last_day, day, date '1970-01-01' + day::int as d from sp), u as (select entity_id, day, label, null as last_day from la union all select entity_id, day, null, last_day from sp),
+        p as (select u.*, x.label as py357, y.label as py364, z.label as py371 from u {' '.join(f'left join la {t} on {t}.entity_id = u.entity_id and {t}.day = u.day - {k}' for t, k in (('x', 357), ('y', 364), ('z', 371)))}),
+        g as (select *, label - py364 as gap from p), r as (select *, {DRIFTS} from g {FRAMES}),
+        fd as (select entity_id, day, py364, {MEAN} as py_mean, {', '.join(f'case when day - {h} <= last_day then drift{h} end as drift{h}' for h in (1, 7, 14))} from r where last_day is not null),
+        ev as (select entity_id, day, (coalesce(events, '') <> '')::int as has_event, case when status in ('open', 'closed') then (status = 'open')::int::double end as was_open from calendar)
+        select sd.entity_id, sd.last_day, sd.day::int as day, (sd.day - sd.last_day)::int as days_ahead, d as date, {DATES}, 0 as in_window, (select max_by(label, day) from la where la.entity_id = sd.entity_id) as last_label, coalesce(ev.has_event, 0) as has_event, ev.was_open as open_last_year,
+          py364, py_mean, drift1, drift7, drift14, coalesce(io.v, 1.0) as rate, coalesce(io.v, 1.0) >= 0.5 as is_open, oo.v as open_min, co.v as close_min, case when co.v < oo.v then (co.v - oo.v) / 60 + 24 else (co.v - oo.v) / 60 end as duration,
+          {', '.join('ho.' + c for c in frames.HOLIDAYS)}, wx.temp_max, wx.wet, case when wx.station_id is null then 'none' else 'station' end as wx_source
+        from sd join fd using (entity_id, day) join io using (entity_id, day) join oo using (entity_id, day) join co using (entity_id, day) join entities e using (entity_id) left join ho on ho.entity_id = sd.entity_id and ho.day = sd.day
+        left join ev on ev.entity_id = sd.entity_id and ev.day = sd.day - 364 left join wx on wx.station_id = sd.entity_id % 5 and wx.day + 140 = sd.day""",
+        *BASES,
     ),
-)(
-    lambda s, d: status.feature_frame(
-        cal(s, d),
-        weather.weather_flags(view(s, d, "station")).withColumnRenamed("entity_id", "station_id").join(F.broadcast(view(s, d, "entities").select("entity_id", (F.col("entity_id") % 5).alias("station_id"))), "station_id").select(*KEY, "temp_max", "wet"),
-    ).select(*KEY, "label", "open_min", "has_event", "py364", "drift1", "drift7", "temp_max", "wet")
-)
-query("contract_report", oracle("select 'allowed:status' as rule, sum((status not in ('open', 'closed'))::int)::bigint as n from calendar union all select 'range:label', coalesce(sum((label < 5 or label > 95)::int), 0)::bigint from calendar union all select 'missing_columns', 1::bigint union all select 'duplicate_keys', (count(*) - count(distinct (entity_id, day)))::bigint from calendar", "calendar"))(
-    lambda s, d: report(cal(s, d), Contract(("entity_id", "day", "holiday"), ("entity_id", "day"), {"status": ("open", "closed")}, {"label": (5, 95)}))
-)
-LABELS = "la as (select entity_id, day, label from calendar where status = 'open' and label is not null and not predicted)"
-AHEAD = f"""{LABELS}, {SPINE.replace('from activity', 'from la')}, sd as (select *, date '1970-01-01' + day::int as d from sp), {OPEN}, {HOURS}, {chain_sql('io', 'op', 'is_open', 'avg')}, {chain_sql('oo', 'hr', 'o', 'median')}, {chain_sql('co', 'hr', 'c', 'median')},
- u as (select entity_id, day, label, null as last_day from la union all select entity_id, day, null, last_day from sp),
- p as (select u.*, x.label as py357, y.label as py364, z.label as py371 from u left join la x on x.entity_id = u.entity_id and x.day = u.day - 357 left join la y on y.entity_id = u.entity_id and y.day = u.day - 364 left join la z on z.entity_id = u.entity_id and z.day = u.day - 371),
- g as (select *, label - py364 as gap from p), r as (select *, {DRIFTS} from g {FRAMES}),
- fd as (select entity_id, day, py364, {MEAN} as py_mean, {', '.join(f'case when day - {h} <= last_day then drift{h} end as drift{h}' for h in (1, 7, 14))} from r where last_day is not null),
- ev as (select entity_id, day, (coalesce(events, '') <> '')::int as has_event, case when status in ('open', 'closed') then (status = 'open')::int::double end as was_open from calendar),
- wx as (select entity_id as station_id, day + 140 as day, temp_max, 'station' as wx_source from station)"""
-ahead = lambda s, d: status.future_rows(cal(s, d), _station_ahead(s, d))
-
-
-def _station_ahead(s, d):
-    """Station days 140 days later, in the place of forecasts."""
-    station = view(s, d, "station").select(F.col("entity_id").alias("station_id"), (F.col("day") + 140).alias("day"), "temp_max", F.lit("station").alias("wx_source"))
-    return station.join(F.broadcast(view(s, d, "entities").select("entity_id", (F.col("entity_id") % 5).alias("station_id"))), "station_id").drop("station_id")
-
-
+)(ahead)
 query(
-    "future_rows",
+    "contract_report",
     oracle(
-        f"""with {AHEAD} select sd.entity_id, sd.last_day, sd.day::int as day, (sd.day - sd.last_day)::int as days_ahead, d as date, (isodow(d) - 1)::int as dow, (isodow(d) >= 6)::int as weekend, month(d)::int as month, year(d)::int as year, 0 as excluded,
-        coalesce(ev.has_event, 0) as has_event, ev.was_open as open_last_year, py364, py_mean, drift1, drift7, drift14, coalesce(io.v, 1.0) as rate, coalesce(io.v, 1.0) >= 0.5 as is_open, oo.v as open_min, co.v as close_min,
-        case when co.v < oo.v then (co.v - oo.v) / 60 + 24 else (co.v - oo.v) / 60 end as duration, wx.temp_max, coalesce(wx.wx_source, 'none') as wx_source
-        from sd join fd using (entity_id, day) join io using (entity_id, day) join oo using (entity_id, day) join co using (entity_id, day)
-        left join ev on ev.entity_id = sd.entity_id and ev.day = sd.day - 364 left join wx on wx.station_id = sd.entity_id % 5 and wx.day = sd.day""",
+        """with a as (select count(*) as n, array_to_string(list_sort(list(distinct status))[1:5], ', ') as found from calendar where status not in ('open', 'closed')), r as (select count(*) as n, concat_ws(' to ', min(label)::varchar, max(label)::varchar) as found from calendar where label < 5 or label > 95)
+        select 'allowed:status' as rule, n, found from a union all select 'range:label', n, found from r union all select 'missing_columns', 1::bigint, 'holiday' union all select 'duplicate_keys', (count(*) - count(distinct (entity_id, day)))::bigint, '' from calendar""",
         "calendar",
-        "station",
     ),
-)(ahead)
+)(lambda s, d: report(cal(s, d), Contract(("entity_id", "day", "holiday"), ("entity_id", "day"), {"status": ("open", "closed")}, {"label": (5, 95)})))
 query(
     "training_blanks",
     oracle("select entity_id, day, [0, 1, 7, 14][1 + (entity_id * 7919 + day * 104729) % 1000003 % 4] as lag, (entity_id * 7919 + day * 104729) % 1000003 % 16 < 4 as no_weather from activity", "activity"),

@@ -59,11 +59,12 @@ query("blank_drift", oracle("select entity_id, day, null::double as drift1, labe
 
 src = lambda s, d: view(s, d, "source_rows")
 reg = lambda s, d: view(s, d, "regions")
+kinds = lambda s, d: [src(s, d).where(f"type = '{t}'") for t in ("school", "national")]
 query(
     "supersede_rows",
-    oracle("with v as (select * from source_rows where row_id % 3 = 0), r as (select distinct code, year(date) as y from source_rows where row_id % 50 = 0) select code, day, type, row_id from source_rows s where not exists (select 1 from r where r.code = s.code and r.y = year(s.date)) union all select code, day, type, row_id from v", "source_rows"),
+    oracle("with v as (select * from source_rows where type = 'national') select code, day, type, row_id from source_rows s where type = 'school' and not exists (select 1 from v where v.code = s.code and v.day = s.day) union all select code, day, type, row_id from v", "source_rows"),
 )(
-    lambda s, d: holidays.supersede(src(s, d).withColumn("y", F.year("date")), src(s, d).where("row_id % 50 = 0").withColumn("y", F.year("date")), src(s, d).where("row_id % 3 = 0").withColumn("y", F.year("date")), ["code", "y"]).select("code", "day", "type", "row_id")
+    lambda s, d: (lambda school, national: holidays.supersede(school, national, national, ["code", "day"]).select("code", "day", "type", "row_id"))(*kinds(s, d))
 )
 EITHER = "1 - exp(sum(ln(1 - least(greatest(share, 0), 1 - 1e-9))))"
 query("overlap_combine", oracle(f"select code, day, type, {EITHER} as share from source_rows group by 1, 2, 3", "source_rows"))(lambda s, d: holidays.overlap_combine(src(s, d), ["code", "day", "type"]))
@@ -103,23 +104,23 @@ query("interval_share", oracle("with x as (select state, weight, unnest(range(st
 query(
     "nearest_year",
     oracle(
-        """with k as (select code, year(date) as known_year, sum(share) as value from source_rows where year(date) % 3 = 0 group by 1, 2), w as (select distinct code, year(date) as year from source_rows),
+        """with k as (select code, year(date) as known_year, sum(share) as value from source_rows where name = '1-URGENT' and share > 0.85 group by 1, 2), w as (select distinct code, year(date) as year from source_rows),
         r as (select w.code, w.year, k.known_year, k.value, row_number() over (partition by w.code, w.year order by abs(w.year - k.known_year), k.known_year) as n from w join k using (code)) select code, year, known_year, value from r where n = 1""",
         "source_rows",
     ),
 )(
     lambda s, d: holidays.nearest_year(
-        src(s, d).select("code", F.year("date").alias("year")).distinct(), src(s, d).withColumn("year", F.year("date")).where("year % 3 = 0").groupBy("code", "year").agg(F.sum("share").alias("value")), ["code"]
+        src(s, d).select("code", F.year("date").alias("year")).distinct(), src(s, d).withColumn("year", F.year("date")).where("name = '1-URGENT' and share > 0.85").groupBy("code", "year").agg(F.sum("share").alias("value")), ["code"]
     )
 )
 query(
     "source_disagreements",
-    oracle("with a as (select distinct code, day from source_rows where row_id % 3 <> 0), b as (select distinct code, day from source_rows where row_id % 2 = 0) select code, day, 'a' as only_in from a where (code, day) not in (select (code, day) from b) union all select code, day, 'b' from b where (code, day) not in (select (code, day) from a)", "source_rows"),
-)(lambda s, d: holidays.disagreements(src(s, d).where("row_id % 3 <> 0"), src(s, d).where("row_id % 2 = 0"), ["code", "day"]))
+    oracle("with a as (select distinct code, day from source_rows where type = 'school'), b as (select distinct code, day from source_rows where type = 'national') select code, day, 'a' as only_in from a where (code, day) not in (select (code, day) from b) union all select code, day, 'b' from b where (code, day) not in (select (code, day) from a)", "source_rows"),
+)(lambda s, d: holidays.disagreements(*kinds(s, d), ["code", "day"]))
 query(
     "supplement_groups",
-    oracle("with a as (select * from source_rows where row_id % 40 = 1), b as (select * from source_rows where row_id % 2 = 0) select row_id, code, day from a union all select row_id, code, day from b where (code, year(date)) not in (select (code, year(date)) from a) and isodow(date) <> 7", "source_rows"),
-)(lambda s, d: holidays.supplement(*(lambda x: (x.where("row_id % 40 = 1"), x.where("row_id % 2 = 0")))(src(s, d).withColumn("y", F.year("date"))), ["code", "y"]).select("row_id", "code", "day"))
+    oracle("with a as (select * from source_rows where type = 'school'), b as (select * from source_rows where type = 'national') select row_id, code, day from a union all select row_id, code, day from b where (code, day) not in (select (code, day) from a) and isodow(date) <> 7", "source_rows"),
+)(lambda s, d: holidays.supplement(*kinds(s, d), ["code", "day"]).select("row_id", "code", "day"))
 query("term_gaps", oracle("with n as (select state, end_day, lead(start_day) over (partition by state order by start_day, end_day, row_id) as nx from intervals) select state, end_day + 1 as start_day, nx - 1 as end_day from n where nx > end_day + 1", "intervals"))(lambda s, d: holidays.term_gaps(iv(s, d)))
 query(
     "weekend_inherit",
@@ -155,32 +156,69 @@ query("interval_extend", oracle("select row_id, start_day - case when (start_day
 query(
     "block_overlap",
     oracle(
-        """with a as (select code, year(date) as y, day, max(share) as sa from source_rows where row_id % 3 <> 0 group by 1, 2, 3), b as (select code, year(date) as y, day, max(share) as sb from source_rows where row_id % 2 = 0 group by 1, 2, 3)
+        """with a as (select code, year(date) as y, day, max(share) as sa from source_rows where type = 'school' group by 1, 2, 3), b as (select code, year(date) as y, day, max(share) as sb from source_rows where type = 'national' group by 1, 2, 3)
         select code, y, min(case when sb is not null then day end) - min(case when sa is not null then day end) as start_error, max(case when sb is not null then day end) - max(case when sa is not null then day end) as end_error,
           count(*) filter (sa is not null and sb is not null) / count(*) as jaccard, sum(abs(coalesce(sa, 0) - coalesce(sb, 0))) as difference from a full join b using (code, y, day) group by 1, 2""",
         "source_rows",
     ),
-)(lambda s, d: holidays.block_overlap(*[src(s, d).where(w).groupBy("code", F.year("date").alias("y"), "day").agg(F.max("share").alias("share")) for w in ("row_id % 3 <> 0", "row_id % 2 = 0")], ["code", "y"]))
+)(lambda s, d: holidays.block_overlap(*[x.groupBy("code", F.year("date").alias("y"), "day").agg(F.max("share").alias("share")) for x in kinds(s, d)], ["code", "y"]))
 query("capped_share", oracle("with c as (select code, type, year(date) as y, least(1.0, sum(share)) as share, arg_min(name, {'s': -share, 'n': name}) as name from source_rows group by 1, 2, 3) select *, case when share < 0.4999999 then 'low' else 'medium' end as confidence from c", "source_rows"))(
     lambda s, d: holidays.capped_share(src(s, d).withColumn("y", F.year("date")), ["code", "type", "y"])
 )
 query("child_coverage", oracle("select country, day, count(distinct s.code) / any_value(n) as covered from source_rows s join regions r using (code) join (select country, count(distinct code) as n from regions group by 1) using (country) group by 1, 2", "source_rows", "regions"))(lambda s, d: holidays.child_coverage(src(s, d), reg(s, d)))
-query("calendar_merge", oracle(f"with {FAN}, c as (select code, day, type, {EITHER} as share from fan group by 1, 2, 3), w as (select code, day, {ROUND4.format('national')}, {ROUND4.format('school')} from c group by 1, 2) select * from w where national > 1e-6 or school > 1e-6", "source_rows", "regions"))(
-    lambda s, d: holidays.sparse(holidays.overlap_combine(holidays.fan_out(src(s, d), reg(s, d)), ["code", "day", "type"]), ["code", "day"])
-)
+#: Regions of the merge: all countries by region, but one as a single region of five children; three codes are renamed.
+MERGE = f"""mr as (select code, country, 1 as n_children from regions where country <> 'R4' union all select 'R4', 'R4', 5),
+ vr as (select * from source_rows where name = '1-URGENT'),
+ sr as (select code, day, date, type, share from source_rows s where name <> '1-URGENT' and not exists (select 1 from vr where vr.code = s.code and vr.day = s.day and vr.type = s.type) union all select code, day, date, type, share from vr),
+ rm as (select case when code in ('R0-5', 'R0-14') then 'R0-0' when code = 'R1-24' then 'RX-24' else code end as code, day, date, type, least(1.0, share * case code when 'R0-14' then 0.55 else 1.0 end)::double as share from sr),
+ cm as (select code, day, any_value(date) as date, type, {EITHER} as share from rm group by 1, 2, 4),
+ ow as (select m.code, m.country, day, date, type, share from cm join mr m using (code)),
+ na as (select m.code, m.country, day, date, type, share from cm join mr m on m.country = cm.code where cm.code not in (select code from mr) and not contains(cm.code, '-')),
+ be as (select m.code, m.country, day, any_value(date) as date, type, least(1 - 1e-9, sum(share / n_children)) as share from cm join mr m on m.code = m.country and m.country = split_part(cm.code, '-', 1) where cm.code not in (select code from mr) and contains(cm.code, '-') group by 1, 2, 3, 5),
+ sp as (select * from ow union all select * from na union all select * from be)"""
+
+
+def merge(s, d):
+    regions = reg(s, d).where("country <> 'R4'").select("code", "country", F.lit(1).alias("n_children")).unionByName(s.sql("select 'R4' as code, 'R4' as country, 5 as n_children"))
+    mapping = s.sql("select 'R0-5' as code, 'R0-0' as new_code, 1.0D as factor union all select 'R0-14', 'R0-0', 0.55D union all select 'R1-24', 'RX-24', 1.0D")
+    return holidays.merge(src(s, d).where("name <> '1-URGENT'"), regions, mapping, verified=src(s, d).where("name = '1-URGENT'"))
+
+
+query("calendar_merge", oracle(f"with {MERGE}, cc as (select code, day, type, {EITHER} as share from sp group by 1, 2, 3), w as (select code, day, {ROUND4.format('national')}, {ROUND4.format('school')} from cc group by 1, 2) select * from w where national > 1e-6 or school > 1e-6", "source_rows", "regions"))(lambda s, d: merge(s, d)["calendar"])
+query(
+    "calendar_coverage",
+    oracle(
+        f"""with {MERGE}, y as (select distinct year(date) as year from sr), b as (select country, year(date) as year, max((type = 'national')::int) as national, max((type = 'school')::int) as school from sp group by 1, 2),
+        f as (select k.country, y.year, coalesce(b.national, 0) as national, coalesce(b.school, 0) as school from (select distinct country from mr) k cross join y left join b on b.country = k.country and b.year = y.year) select country, year, max(national) over (partition by country) as national, school from f""",
+        "source_rows",
+        "regions",
+    ),
+)(lambda s, d: merge(s, d)["coverage"])
+query(
+    "calendar_dropped",
+    oracle(
+        f"""with {MERGE}, r as (select code, split_part(code, '-', 1) as country from cm where code not in (select code from mr)) select country, count(*) as n from r
+        where not case when contains(code, '-') then country in (select code from mr where code = country) else country in (select country from mr) end group by 1""",
+        "source_rows",
+        "regions",
+    ),
+)(lambda s, d: merge(s, d)["dropped"])
 
 pts = lambda s, d: view(s, d, "points")
 ents = lambda s, d: view(s, d, "entities")
 HAV = "2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin((radians(lat) - radians(latitude)) / 2), 2) + cos(radians(latitude)) * cos(radians(lat)) * pow(sin((radians(lon) - radians(longitude)) / 2), 2))))"
 query("haversine", oracle(f"select point_id, entity_id, {HAV} as km from points join entities on entity_id = home", "points", "entities"))(
-    lambda s, d: pts(s, d).join(F.broadcast(ents(s, d)), F.col("entity_id") == F.col("home")).select("point_id", "entity_id", geo.haversine(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon")).alias("km"))
+    lambda s, d: pts(s, d).join(ents(s, d), F.col("entity_id") == F.col("home")).select("point_id", "entity_id", geo.haversine(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon")).alias("km"))
 )
 query("grid_cell", oracle("select point_id, round_even(lat / 0.25, 0)::bigint || '_' || round_even(lon / 0.25, 0)::bigint as cell from points", "points"))(lambda s, d: pts(s, d).select("point_id", geo.grid_cell(F.col("lat"), F.col("lon")).alias("cell")))
-PRIOR = f"""kmed as (select e.entity_id, p.home as region_id, p.pop, e.tier, p.home % 5 = e.entity_id % 5 as own, {HAV} as km from points p cross join entities e),
- pulled as (select entity_id, region_id, km, greatest(pop, 0) * (exp(-km / case tier when 'local' then 60.0 when 'regional' then 150.0 when 'national' then 400.0 else 1500.0 end) + case when tier = 'intercontinental' then 0.05 else 0 end) * case when own then 1.5 else 1.0 end as w from kmed),
- prior as (select entity_id, region_id, min(km) as distance_km, sum(w) / sum(sum(w)) over (partition by entity_id) as prior_weight from pulled group by 1, 2)"""
-prior = lambda s, d: geo.market_prior(ents(s, d).withColumn("home_country", F.col("entity_id") % 5).drop("country"), pts(s, d).withColumn("country", F.col("home") % 5).withColumnRenamed("home", "region_id"))
-query("market_prior", oracle(f"with {PRIOR} select * from prior", "points", "entities"))(prior)
+PRIOR = f"""kmed as (select e.entity_id, p.home as region_id, greatest(p.pop, 0) as pop, e.tier, coalesce(e.reach_km, case tier when 'local' then 150.0 when 'regional' then 600.0 when 'continental' then 2500.0 else 6000.0 end) as reach, {HAV} as km from points p cross join entities e),
+ pulled as (select entity_id, region_id, sum(pop * case when tier = 'intercontinental' then 0.5 * exp(-km / reach) + 0.5 / pow(1 + km / reach, 3) else exp(-km / reach) end) as pull from kmed group by 1, 2),
+ whole as (select home as region_id, sum(greatest(pop, 0)) as total from points group by 1),
+ weighed as (select e.entity_id, a.region_id, {HAV} as distance_km, a.population * pull / greatest(total, 1e-9) * affluence * case when a.country = e.country then case tier when 'local' then 3 when 'regional' then 6 when 'continental' then 10 else 6 end else 1 end as w
+   from pulled join whole using (region_id) join areas a using (region_id) join entities e using (entity_id)),
+ prior as (select entity_id, region_id, distance_km, w / sum(w) over (partition by entity_id) as prior_weight from weighed)"""
+prior = lambda s, d: geo.market_prior(ents(s, d), pts(s, d).select(F.col("home").alias("region_id"), "lat", "lon", F.greatest("pop", F.lit(0.0)).alias("pop")), view(s, d, "areas"))
+query("market_prior", oracle(f"with {PRIOR} select * from prior", "points", "entities", "areas"))(prior)
 query(
     "top_mass",
     oracle(

@@ -21,28 +21,35 @@ class Contract:
 
 
 def report(df: DataFrame, contract: Contract) -> DataFrame:
-    """One row for each rule: rule and how many rows break it. One aggregation over the table, one over its key."""
+    """One row for each rule: rule, n (rows that break it) and found. One aggregation over the table, one over its key.
+
+    found: the first five values that aren't allowed, in order; the least and the largest value out of range; the columns
+    that are missing.
+    """
     missing = [c for c in contract.required if c not in df.columns]
-    counts = {}
+    counts, found = {}, {}
     for c, values in contract.allowed.items():
         if c in df.columns:
-            counts[f"allowed:{c}"] = F.sum((F.col(c).isNotNull() & ~F.col(c).isin(*values)).cast("long"))
+            wrong = F.col(c).isNotNull() & ~F.col(c).isin(*values)
+            counts[f"allowed:{c}"] = F.sum(wrong.cast("long"))
+            found[f"allowed:{c}"] = F.array_join(F.slice(F.sort_array(F.collect_set(F.when(wrong, F.col(c).cast("string")))), 1, 5), ", ")
     for c, (low, high) in contract.ranges.items():
         if c in df.columns:
-            counts[f"range:{c}"] = F.sum(((F.col(c) < low) | (F.col(c) > high)).cast("long"))
-    one = df.agg(*[F.coalesce(v, F.lit(0)).alias(k) for k, v in counts.items()], F.lit(len(missing)).cast("long").alias("missing_columns"))
+            wrong = (F.col(c) < low) | (F.col(c) > high)
+            counts[f"range:{c}"] = F.sum(wrong.cast("long"))
+            found[f"range:{c}"] = F.concat_ws(" to ", F.min(F.when(wrong, F.col(c))).cast("string"), F.max(F.when(wrong, F.col(c))).cast("string"))
+    one = df.agg(*[F.coalesce(v, F.lit(0)).alias(k) for k, v in counts.items()], *[v.alias(f"found {k}") for k, v in found.items()], F.lit(len(missing)).cast("long").alias("missing_columns"), F.lit(", ".join(missing)).alias("found missing_columns"))
     rules = [*counts, "missing_columns"]
-    out = one.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"`{r}`").alias("n")) for r in rules])).alias("x")).select("x.*")
+    out = one.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"`{r}`").alias("n"), F.col(f"`found {r}`").alias("found")) for r in rules])).alias("x")).select("x.*")
     if contract.key and not set(contract.key) - set(df.columns):
-        twice = df.groupBy(*contract.key).agg((F.count(F.lit(1)) - 1).alias("n")).agg(F.lit("duplicate_keys").alias("rule"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+        twice = df.groupBy(*contract.key).agg((F.count(F.lit(1)) - 1).alias("n")).agg(F.lit("duplicate_keys").alias("rule"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.lit("").alias("found"))
         out = out.unionByName(twice)
     return out
 
 
 def check(df: DataFrame, contract: Contract) -> DataFrame:
     """The table itself, or ContractError with every broken rule."""
-    broken = [f"{r.rule}: {r.n}" for r in report(df, contract).where("n > 0").collect()]
-    missing = [c for c in contract.required if c not in df.columns]
+    broken = [f"{r.rule}: {r.n}" + (f" ({r.found})" if r.found else "") for r in report(df, contract).where("n > 0").collect()]
     if broken:
-        raise ContractError("; ".join(broken) + (f" ({', '.join(missing)})" if missing else ""))
+        raise ContractError("; ".join(broken))
     return df

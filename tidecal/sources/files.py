@@ -23,8 +23,14 @@ def read_tiers(spark: SparkSession, path: str, allowed: tuple[str, ...]) -> Data
 
 
 def read_stations(spark: SparkSession, path: str, legacy: tuple[str, ...] = ()) -> DataFrame:
-    """Many files of one station archive as one table, without legacy columns."""
-    out = spark.read.option("header", True).option("inferSchema", True).csv(path).drop(*legacy)
+    """Many files of one station archive as one table, without legacy columns.
+
+    Columns come from the header alone; entity_id is an integer, date and day are read from the date, all others are numbers.
+    """
+    out = spark.read.option("header", True).csv(path).drop(*legacy)
+    numbers = [c for c in out.columns if c not in ("entity_id", "date")]
+    out = out.select(F.col("entity_id").cast("int"), F.to_date("date").alias("date"), *[F.expr(f"try_cast(`{c}` as double)").alias(c) for c in numbers])
+    out = out.withColumn("day", F.unix_date("date"))
     if out.isEmpty():
         raise ValueError(f"no station rows in {path}")
     return out
@@ -46,12 +52,20 @@ def read_places(spark: SparkSession, path: str, countries: tuple[str, ...]) -> D
 
 
 def read_polygons(spark: SparkSession, path: str) -> DataFrame:
-    """GeoJSON polygons: outer rings as arrays of struct<lon, lat>, with their bounding box."""
-    schema = "features array<struct<properties: map<string,string>, geometry: struct<type: string, coordinates: array<array<array<double>>>>>>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f")).where("f.geometry.type = 'Polygon'")
-    ring = F.transform(F.col("f.geometry.coordinates")[0], lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))
-    out = rows.select(F.col("f.properties").alias("properties"), ring.alias("ring"))
-    box = {f"{name}_{c}": pick(F.col("ring")[c]) for name, pick in (("min", F.array_min), ("max", F.array_max)) for c in ("lon", "lat")}
+    """GeoJSON areas of one or many parts: all rings (holes too) as arrays of struct<lon, lat>, with their bounding box.
+
+    The coordinates of the two kinds nest differently, so they are read as text and parsed by kind.
+    """
+    schema = "features array<struct<properties: map<string,string>, geometry: struct<type: string, coordinates: string>>>"
+    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+    ring = "array<array<double>>"
+    one = F.from_json("f.geometry.coordinates", f"array<{ring}>")
+    many = F.flatten(F.from_json("f.geometry.coordinates", f"array<array<{ring}>>"))
+    parts = F.when(F.col("f.geometry.type") == "Polygon", one).when(F.col("f.geometry.type") == "MultiPolygon", many)
+    rings = F.transform(parts, lambda r: F.transform(r, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat"))))
+    out = rows.select(F.col("f.properties").alias("properties"), rings.alias("rings")).where("rings is not null")
+    whole = F.flatten("rings")
+    box = {f"{name}_{c}": pick(whole[c]) for name, pick in (("min", F.array_min), ("max", F.array_max)) for c in ("lon", "lat")}
     return out.withColumns(box)
 
 
@@ -70,6 +84,21 @@ def write_stage(df: DataFrame, path: str, kind: str = "parquet") -> None:
     df.write.mode("overwrite").option("header", True).format(kind).save(path)
 
 
+def read_entities(spark: SparkSession, path: str) -> DataFrame:
+    """Entities by an id, with place, tier, country and opening month."""
+    return spark.read.schema("id int, name string, company string, latitude double, longitude double, first_year int, first_month int, tier string, country string").option("header", True).csv(path).withColumnRenamed("id", "entity_id")
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """Events of entity-days: symbol and text; a day may hold several."""
+    out = spark.read.schema("entity_id int, date date, symbol string, event string").option("header", True).csv(path)
+    return out.withColumn("day", F.unix_date("date"))
+
+
 def write_log(df: DataFrame, path: str) -> None:
-    """The log by (made_on, source); only the partitions in df are replaced."""
+    """The log by (made_on, source): the partitions that df holds are replaced as pairs, all others stay.
+
+    append_log() gives the log's own meaning, by which every row goes whose made_on and whose source occur in a batch, be it
+    in different rows; write its result to a new path where a batch holds several sources.
+    """
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("made_on", "source").parquet(path)
