@@ -60,6 +60,12 @@ def drop_table(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """row (all columns) with k1 and k2, 128 bits by which a row is found again: rows equal in all columns share them."""
+    names = [F.col(c) for c, kind in docs.dtypes if not kind.startswith("map")]
+    return docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.xxhash64(*names).alias("k1"), F.xxhash64(F.lit(1), *names).alias("k2"))
+
+
 def word_count(text: Column) -> Column:
     """Words of a text; none for null."""
     return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(1))).cast("long")

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, number_within, slices_for, spread_key, word_count
+from .common import keyed_rows, materialise, number_within, slices_for, spread_key, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -97,13 +97,20 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     return copies_of(narrow, **options).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def emit(docs: DataFrame, **options) -> DataFrame:
+def emit(docs: DataFrame, most: int = 4096, **options) -> DataFrame:
     """Every row of docs as often as the mix takes it.
 
-    The rows are written once with a number of their own, by which each finds its copies; so repeated rows are told apart.
+    Rows are found again by a hash of all their columns; rows equal in all of them collapse before they move, and come out
+    as often as they are taken together. One that is taken over `most` times is dealt over several tasks.
     """
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), spread_key(F.col("doc_id"), F.col("text")).alias("spread"), F.col("source").alias("source"), word_count(F.col("text")).alias("size"))
-    rows = materialise(rows.withColumn("number", F.monotonically_increasing_id()))
-    counts = copies_of(rows.select("number", "spread", "source", "size"), **options).where("copies > 0").select("number", "copies")
-    taken = rows.select("row", "number").join(counts, "number")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    rows = keyed_rows(docs)
+    doc = lambda c: F.col(f"row.{c}")
+    narrow = rows.select("k1", "k2", spread_key(doc("doc_id"), doc("text")).alias("spread"), doc("source").alias("source"), word_count(doc("text")).alias("size"))
+    counts = materialise(copies_of(narrow, **options).where("copies > 0").groupBy("k1", "k2").agg(F.sum("copies").cast("int").alias("copies")))
+    taken = rows.dropDuplicates(["k1", "k2"]).join(counts, ["k1", "k2"]).select("row", "copies")
+    often = taken.where(F.col("copies") <= most)
+    if counts.where(F.col("copies") > most).head(1):
+        parts = F.explode(F.sequence(F.lit(0), F.col("copies") - 1, F.lit(most)))
+        dealt = taken.where(F.col("copies") > most).withColumn("part", parts).repartition("part")
+        often = often.unionByName(dealt.select("row", F.least(F.lit(most), F.col("copies") - F.col("part")).alias("copies")))
+    return often.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

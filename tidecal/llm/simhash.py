@@ -24,11 +24,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialise, ship_package, spread_join
+from .common import components, drop_table, keyed_rows, materialise, ship_package, spread_join
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 #: Most members of a cell whose pairs are joined; larger cells are compared block against block.
-SMALL, BLOCK = 32, 4096
+SMALL, BLOCK = 512, 4096
+#: Comparisons of a task that compares large cells, about.
+EACH = 50_000_000
 #: A partition that would need more probes a fingerprint isn't chosen.
 MOST_PROBES = 5000
 _SPACE = bytes(32 if b in b"\t\n\x0b\x0c\r" else b for b in bytes(range(256)).lower())
@@ -206,8 +208,14 @@ def links(nodes: DataFrame, partitions: list[tuple[list[int], int]], distance: i
         found = cell_edges(fps, others if frame["x"].iloc[0] != frame["y"].iloc[0] else None, distance)
         return pd.DataFrame(found, columns=["a", "b"])
 
-    trees = dealt.groupBy("cell", "x", "y").applyInPandas(run, "a long, b long")
-    return pairs.unionAll(trees).distinct()
+    # The work goes with the square of the members, which the size of the shuffle doesn't show.
+    work = counts.where(F.col("n") > small).agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
+    tasks = int(min(10_000, 1 + work // EACH))
+    trees = dealt.repartition(tasks, "cell", "x", "y").groupBy("cell", "x", "y").applyInPandas(run, "a long, b long")
+    found = materialise(pairs.unionAll(trees).distinct())
+    for table in (cells, counts, members):
+        drop_table(table)
+    return found
 
 
 def near_groups(rows: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -234,14 +242,12 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """One row of each group of near-duplicate texts, with all columns: the row with the least doc_id (null last).
 
-    Of rows that share that id too, any one stays. Rows are told apart by a number that the written copy fixes, so texts
-    that share an id are only dropped for a near-duplicate text.
+    Of rows that share that id too, one stays. Rows are found again by a hash of all their columns, so texts that share an
+    id are only dropped for a near-duplicate text. Rows equal in all columns collapse before they move.
     """
-    docs = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
-    numbered = docs.select("row", F.col("row.doc_id").alias("doc_id"), fingerprint_of(docs.sparkSession, F.col("row.text")).alias("fp"))
-    rows = materialise(numbered.withColumn("number", F.monotonically_increasing_id()))
-    narrow = rows.select("doc_id", "fp", "number")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "number")
+    rows = keyed_rows(docs)
+    narrow = materialise(rows.select("k1", "k2", F.col("row.doc_id").alias("doc_id"), fingerprint_of(docs.sparkSession, F.col("row.text")).alias("fp")))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")
     best = narrow.groupBy("fp").agg(F.min(order).alias("best")).join(near_groups(narrow, distance), "fp")
-    kept = best.groupBy("component").agg(F.min("best")["number"].alias("number")).select("number")
-    return rows.join(kept, "number", "left_semi").select("row.*")
+    kept = materialise(best.groupBy("component").agg(F.min("best").alias("best")).select("best.k1", "best.k2"))
+    return rows.dropDuplicates(["k1", "k2"]).join(kept, ["k1", "k2"], "left_semi").select("row.*")
