@@ -25,14 +25,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise, ship_package, spread_join
+from .common import components, drop_table, materialise, ship_package, spread_join
 
 #: WINDOW: neighbours each vector is compared with in a pass; BITS: signs in a pass's sort key.
 COSINE, WINDOW, BITS = 0.93, 1024, 62
 #: Chance that a pair just at the cosine meets in some pass; closer pairs have a better one.
 RECALL = 0.99
 #: Most members of a block; a group that is cut has FEW blocks at least, as far as these hold LEAST members each.
-BLOCK, FEW, LEAST = 4096, 8, 512
+BLOCK, FEW, LEAST = 4096, 8, 256
 #: Sorted rows a task, about.
 ROWS = 20_000
 
@@ -223,6 +223,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, window: int = WI
         held = spread_join(runs, long_runs.select("team", "n", F.col("n").alias("size")), "team", sorted_rows)
         edges = edges.unionAll(block_links(held.withColumn("part", F.lit(0)), cosine).select("uid", "root"))
     found = materialise(components(edges).withColumnRenamed("node", "uid"))
+    for table in (keys, long_runs):
+        drop_table(table)
     counts, least = component_counts(distinct, found, cosine)
     linked = distinct.select("mark", "uid", "first", "copies").join(found, "uid", "left").join(counts, "uid", "left")
     linked = materialise(linked.select("mark", F.col("copies").alias("n"), "first", "component", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
