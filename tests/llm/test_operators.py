@@ -12,7 +12,7 @@ import corpus_pipeline
 from tidecal.llm import embeddings, labelled, licenses, mixing, packing, pii, quality_model, quality_rules, queries, sharding, simhash, toxicity
 from tidecal.llm.common import components, spread_join
 
-LONG = "alpha beta gamma delta epsilon zeta eta theta " * 400
+LONG = "alpha beta gamma delta epsilon zeta eta theta " * 2500
 TEXTS = [None, "", "  \n\t ", "one two three", "one two three", LONG, "Mail a.b@c.org now, or +1 (743) 555-3824. MIT  License\nhere", "你好 мир é", "x" * 5000]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, score double, fp long, bin long, label int"
 
@@ -48,6 +48,25 @@ def test_edge_rows_and_empty_tables(spark):
         assert out.count() == 0
 
 
+def test_values_of_null_empty_and_repeated_rows(spark):
+    docs, known = table(spark), labels(spark)
+    rules = {r.doc_id: r for r in quality_rules.quality_rules(docs, known).collect()}
+    assert all((rules[k].n_words, rules[k].n_repeat_words, rules[k].base_failed, rules[k].kept, rules[k].rule) == (0, 0, True, False, None) for k in (0, 1, 2))
+    assert (rules[5].n_words, rules[5].n_repeat_words, rules[5].base_failed) == (20_000, 20_000, True)
+    packed = packing.pack(docs).collect()
+    assert all((r.n_tokens, r.bucket) == (0, 0) for r in packed if r.doc_id in (0, 1, 2))
+    same = [r for r in packed if r.doc_id in (3, 4)]
+    assert len(same) == 4 and len({(r.n_tokens, r.bucket) for r in same}) == 1
+    found = pii.find_pii(docs, None).collect()
+    assert all(r.spans == "" and r.n_email == 0 for r in found if r.doc_id in (0, 1, 2)) and [r.spans for r in found if r.doc_id == 6] == ["email:5:14,phone:23:40"]
+    scores = quality_model.quality_scores(docs, known).collect() + toxicity.toxicity(docs, known).collect()
+    assert {(r.score, r.predicted) for r in scores} == {(1.0, 1), (0.0, 0)}
+    mixed = mixing.mix(docs).collect()
+    assert all(r.taken == 0 and r.size == 0 for r in mixed if r.doc_id in (0, 1, 2)) and len([r for r in mixed if r.doc_id == 3]) == 2
+    near = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
+    assert near[0].fingerprint == near[1].fingerprint == "0" * 16 and near[1].component_id == near[2].component_id == 0 and near[4].component_id == 3
+
+
 def test_pipeline_stages_keep_columns(spark, sf):
     now = table(spark, TEXTS * 3)
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
@@ -208,9 +227,11 @@ def test_embeddings_by_brute_force(spark):
     base = rng.normal(size=(60, 16))
     rows = [(k, (base[k % 60] + rng.normal(0, 0.02, 16)).tolist(), k % 2) for k in range(240)]
     rows += [(500, [0.0] * 16, 1), (501, None, 1), (502, [float("nan")] * 16, 0), (503, rows[0][1], None), (504, rows[0][1], 0), (505, [1.0, 2.0], 0), (506, [None] * 16, 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    rows += [(None, rows[0][1], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({c: F.lit(7) for c in ("uid", "mark", "vector", "first", "copies", "component", "n")})
     got = {r.vec_id: r for r in embeddings.near_duplicates(df).collect()}
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) and got[None].n_links == 0 and got.pop(None).component_id is None
+    rows.pop()
     good = [(i, np.array(v), y) for i, v, y in rows if y is not None and v is not None and None not in v and np.isfinite(v).all() and any(v)]
     links = {i: {j for j, w, z in good if j != i and z == y and len(w) == len(v) and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.93} for i, v, y in good}
     assert all(got[i].n_links == len(links.get(i, ())) for i in got)

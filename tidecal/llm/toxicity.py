@@ -40,7 +40,7 @@ def features(word: str) -> list[str]:
 class NoisyOr:
     """bias and feature weights of a sentence (a feature counts once in it, as in training); leak: the document's own logit."""
 
-    bias: float = -30.0
+    bias: float = -np.inf
     leak: float = -np.inf
     weights: dict[str, float] = field(default_factory=dict)
     _seen: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False)
