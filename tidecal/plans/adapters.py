@@ -99,7 +99,7 @@ VIEWS = {
       cast(case when k.extra = 1 then 55.0 else coalesce(l.last_year, 50.0) end as double) as prediction,
       case when ((l.entity_id + k.lead) % 2 = 0) = (k.extra = 0) then 'live' else 'backtest' end as source
     from lagged l cross join (select lead, extra from (values (1), (7), (14), (30)) v(lead) cross join (values (0), (1)) w(extra)) k
-    where k.extra = 0 or l.day % 5 = 0""",
+    where k.extra = 0 or l.last_year is null""",
     "intervals": lambda e: f"""
     select c_nationkey as state, o_totalprice as weight, {e.day('cast(o_orderdate as date)')} as start_day,
       {e.day('cast(o_orderdate as date)')} + o_orderkey % 10 as end_day, o_orderkey as row_id

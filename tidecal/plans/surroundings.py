@@ -40,11 +40,11 @@ query(
 query(
     "prefer_source_union",
     oracle(
-        """with a as (select * from station where day % 3 <> 0), f as (select * from station where entity_id <> 4 and day % 2 = 0) select entity_id, day, temp_max, 'archive' as wx_source from a where entity_id in (select entity_id from f)
+        """with a as (select * from station where precip is not null), f as (select * from station where sunshine <= 14400) select entity_id, day, temp_max, 'archive' as wx_source from a where entity_id in (select entity_id from f)
         union all select entity_id, day, temp_max, 'forecast' from f where (entity_id, day) not in (select (entity_id, day) from a)""",
         "station",
     ),
-)(lambda s, d: weather.prefer(st(s, d).where("day % 3 <> 0"), st(s, d).where("entity_id <> 4 and day % 2 = 0")).select(*KEY, "temp_max", "wx_source"))
+)(lambda s, d: weather.prefer(st(s, d).where("precip is not null"), st(s, d).where("sunshine <= 14400")).select(*KEY, "temp_max", "wx_source"))
 query(
     "forecast_weather_swap",
     oracle(
@@ -170,7 +170,7 @@ query("child_coverage", oracle("select country, day, count(distinct s.code) / an
 MERGE = f"""mr as (select code, country, 1 as n_children from regions where country <> 'R4' union all select 'R4', 'R4', 5),
  vr as (select * from source_rows where name = '1-URGENT'),
  sr as (select code, day, date, type, share from source_rows s where name <> '1-URGENT' and not exists (select 1 from vr where vr.code = s.code and vr.day = s.day and vr.type = s.type) union all select code, day, date, type, share from vr),
- rm as (select case when code in ('R0-5', 'R0-14') then 'R0-0' when code = 'R1-24' then 'RX-24' else code end as code, day, date, type, least(1.0, share * case code when 'R0-14' then 0.55 else 1.0 end)::double as share from sr),
+ rm as (select case when code in ('R0-5', 'R0-10') then 'R0-0' when code = 'R1-21' then 'RX-21' else code end as code, day, date, type, least(1.0, share * case code when 'R0-10' then 0.55 else 1.0 end)::double as share from sr),
  cm as (select code, day, any_value(date) as date, type, {EITHER} as share from rm group by 1, 2, 4),
  ow as (select m.code, m.country, day, date, type, share from cm join mr m using (code)),
  na as (select m.code, m.country, day, date, type, share from cm join mr m on m.country = cm.code where cm.code not in (select code from mr) and not contains(cm.code, '-')),
@@ -180,7 +180,7 @@ MERGE = f"""mr as (select code, country, 1 as n_children from regions where coun
 
 def merge(s, d):
     regions = reg(s, d).where("country <> 'R4'").select("code", "country", F.lit(1).alias("n_children")).unionByName(s.sql("select 'R4' as code, 'R4' as country, 5 as n_children"))
-    mapping = s.sql("select 'R0-5' as code, 'R0-0' as new_code, 1.0D as factor union all select 'R0-14', 'R0-0', 0.55D union all select 'R1-24', 'RX-24', 1.0D")
+    mapping = s.sql("select 'R0-5' as code, 'R0-0' as new_code, 1.0D as factor union all select 'R0-10', 'R0-0', 0.55D union all select 'R1-21', 'RX-21', 1.0D")
     return holidays.merge(src(s, d).where("name <> '1-URGENT'"), regions, mapping, verified=src(s, d).where("name = '1-URGENT'"))
 
 
