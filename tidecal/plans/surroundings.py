@@ -242,6 +242,25 @@ ASSIGN = """ins as (select point_id, min(rect_id) as rect_id, true as inside fro
  oth as (select point_id, rect_id, greatest(lon0 - lon, 0, lon - lon1) ** 2 + greatest(lat0 - lat, 0, lat - lat1) ** 2 as d from points cross join rectangles where point_id not in (select point_id from ins)),
  placed as (select * from ins union all select point_id, arg_min(rect_id, {'d': d, 'r': rect_id}) as rect_id, false from oth group by 1)"""
 query("spatial_assign", oracle(f"with {ASSIGN} select * from placed", "points", "rectangles"))(lambda s, d: geo.assign_rectangles(pts(s, d), view(s, d, "rectangles")))
+
+
+def areas(s, d):
+    """The rectangles as areas of one ring."""
+    corners = [("lon0", "lat0"), ("lon1", "lat0"), ("lon1", "lat1"), ("lon0", "lat1"), ("lon0", "lat0")]
+    ring = F.array(*[F.struct(F.col(x).alias("lon"), F.col(y).alias("lat")) for x, y in corners])
+    return view(s, d, "rectangles").select(F.col("rect_id").alias("area_id"), F.array(ring).alias("rings"))
+
+
+query(
+    "polygon_assign",
+    oracle(
+        """with ins as (select point_id, min(rect_id) as area_id, true as inside from points join rectangles on lon >= lon0 and lon < lon1 and lat >= lat0 and lat < lat1 group by 1),
+        oth as (select point_id, rect_id, greatest(lon0 - lon, 0, lon - lon1) ** 2 + greatest(lat0 - lat, 0, lat - lat1) ** 2 as d from points cross join rectangles where point_id not in (select point_id from ins))
+        select * from ins union all select point_id, arg_min(rect_id, {'d': d, 'r': rect_id}), false from oth where d <= 25 group by 1""",
+        "points",
+        "rectangles",
+    ),
+)(lambda s, d: geo.assign_polygons(pts(s, d).select("point_id", "lon", "lat"), areas(s, d)))
 query(
     "regions_table",
     oracle(
