@@ -41,11 +41,14 @@ def run_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write a table to the run's folder and read it back: computed once, lineage cut, safe when executors go."""
+def materialise(df: DataFrame, **options: str) -> DataFrame:
+    """Write a table to the run's folder and read it back: computed once, lineage cut, safe when executors go.
+
+    options are those of Spark's Parquet writer.
+    """
     spark = df.sparkSession
     path = f"{run_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidecal_path = path
     return out

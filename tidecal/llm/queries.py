@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, licenses, mixing, packing, pii, quality_model, quality_rules, sharding, simhash, toxicity
+from . import embeddings, exact_dedup, licenses, mixing, packing, pii, quality_model, quality_rules, sharding, simhash, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(_docs(spark, sf_dir)).drop("bucket")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
@@ -71,8 +75,12 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_mixing": op10_mixing,
+    "op12_exact_dedup": op12_exact_dedup,
 }
 
+#: Lower-cases A-Z alone.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 _P = sharding.PRIME
 #: What scatters a row: its id, or 32 bits of its text's MD5 where it has none.
 _SPREAD = "coalesce(doc_id, ('0x' || md5(coalesce(text, ''))[1:8])::BIGINT)"
@@ -219,5 +227,10 @@ WITH words AS (
 SELECT doc_id, size, source_size, target,
   ((floor(u + step * (place + 1)) - floor(u + step * place)) * size)::BIGINT AS taken
 FROM stepped
+""",
+    "op12_exact_dedup": f"""
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  row_number() OVER (PARTITION BY norm ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(norm) AS text_sha256
+FROM (SELECT doc_id, {_LOWER} AS norm FROM documents) WINDOW same AS (PARTITION BY norm)
 """,
 }
