@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, exact_dedup, licenses, mixing, packing, pii, quality_model, quality_rules, sharding, simhash, toxicity
+from . import alignment, embeddings, exact_dedup, licenses, mixing, packing, pii, quality_model, quality_rules, sharding, simhash, spelling, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,10 +60,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(_docs(spark, sf_dir))
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_docs(spark, sf_dir)).drop("bucket")
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_corpus(_docs(spark, sf_dir))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
@@ -75,7 +83,9 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_mixing": op10_mixing,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 #: Lower-cases A-Z alone.
@@ -85,6 +95,20 @@ _P = sharding.PRIME
 #: What scatters a row: its id, or 32 bits of its text's MD5 where it has none.
 _SPREAD = "coalesce(doc_id, ('0x' || md5(coalesce(text, ''))[1:8])::BIGINT)"
 
+#: The 256 entries of CRC-32.
+_CRC_TABLE = """bits AS (
+  SELECT v, list_reduce(list_prepend(v, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS t
+  FROM (SELECT unnest(range(256)) AS v)
+), crc_table AS (
+  SELECT list(t ORDER BY v) AS t FROM bits
+)"""
+
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a text, where crc_table is joined."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: (('0x' || h)::INTEGER)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, x: xor(c >> 8, list_extract(t, xor(c & 255, x) + 1))), 4294967295)"
+
 
 def _packing_sql(buckets: int, budget: int) -> str:
     """Each round of the dynamic program is one step r: best padding up to step j, and the last boundary before j."""
@@ -159,12 +183,7 @@ FROM embeddings LEFT JOIN least ON least.node = vec_id LEFT JOIN counts ON count
     "op4_sharding": f"""
 WITH docs AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {_SPREAD} AS spread FROM documents
-), bits AS (
-  SELECT v, list_reduce(list_prepend(v, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS t
-  FROM (SELECT unnest(range(256)) AS v)
-), crc_table AS (
-  SELECT list(t ORDER BY v) AS t FROM bits
-), bytes AS (
+), {_CRC_TABLE}, bytes AS (
   SELECT rid, doc_id, spread, octet_length(encode(text)) + 16 AS size,
     list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: (('0x' || h)::INTEGER)::BIGINT)) AS b
   FROM docs
@@ -227,6 +246,39 @@ WITH words AS (
 SELECT doc_id, size, source_size, target,
   ((floor(u + step * (place + 1)) - floor(u + step * place)) * size)::BIGINT AS taken
 FROM stepped
+""",
+    "op11_spelling_variants": rf"""
+WITH RECURSIVE {_CRC_TABLE}, runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all({_LOWER}, '[a-z\x{{C0}}-\x{{FF}}]{{5,}}')) AS run FROM documents
+), counted AS (
+  SELECT id, run, count(*) AS n FROM runs GROUP BY ALL
+), hashed AS (
+  SELECT run, n, {_crc32("id || ':' || run")} AS h FROM counted, crc_table
+), results AS (
+  SELECT CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM hashed
+), words AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n FROM results WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), cuts AS MATERIALIZED (
+  SELECT word, n, i, word[:i] || word[i + 2:] AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), near AS MATERIALIZED (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION
+  SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON w.word = c.rest
+  UNION
+  SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON w.word = c.rest
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min(other, (-other_n, encode(other))) AS other, max(other_n) AS other_n FROM near GROUP BY word
+), forms AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form, CASE WHEN other_n >= 2 * n THEN other_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)
+), followed AS (
+  SELECT word, form AS root FROM forms WHERE form IS NOT NULL
+  UNION ALL
+  SELECT f.word, forms.form FROM followed f JOIN forms ON forms.word = f.root WHERE forms.form IS NOT NULL
+), last AS (
+  SELECT f.word, f.root FROM followed f JOIN forms ON forms.word = f.root WHERE forms.form IS NULL
+)
+SELECT forms.word, form, coalesce(root, forms.word) AS root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n FROM forms LEFT JOIN last ON last.word = forms.word
 """,
     "op12_exact_dedup": f"""
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
