@@ -176,10 +176,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for r in entries.groupBy("slot").agg(F.sum(F.length("norm") + F.lit(100)).alias("load")).collect():
         load[r.slot] = r.load
     buckets = split_directory(load, room)
-    each = max(room, -(-sum(load) // int(spark.conf.get("spark.sql.shuffle.partitions"))))
     table, owner, filled = [], 0, 0
     for k, (first, depth, size) in enumerate(buckets):
-        if filled and filled + size > each:
+        if filled and filled + size > room:
             owner, filled = owner + 1, 0
         filled += size
         table += [(s, k, depth, owner) for s in range(first, first + (1 << most_depth - depth))]
