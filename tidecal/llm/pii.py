@@ -314,15 +314,19 @@ def plausible(text: str, start: int, kind: int, end: int) -> bool:
     return 9 <= n <= 15 and bool(re.fullmatch(r"\+?[0-9() ./-]+", s)) and bool(re.search(r"[() ./-]", s)) and not re.fullmatch(r"[0-9]+(\.[0-9]+)+", s)
 
 
-#: What a span of each kind may be drawn out over: before its start, and after its end.
-_BEFORE = (re.compile(r"[A-Za-z0-9._%+-]*\Z"), re.compile(r"[0-9]*\Z"), re.compile(r"[0-9]*\Z"), re.compile(r"[+(]?[0-9]*\Z"))
+#: What a span of each kind may be drawn out over: before its start (and one sign more for a phone), and after its end.
+_LETTER_OR_SIGN = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
+_BEFORE = (_LETTER_OR_SIGN, frozenset("0123456789"), frozenset("0123456789"), frozenset("0123456789"))
 _AFTER = (re.compile(r"(?:[A-Za-z0-9]|[.-](?=[A-Za-z0-9]))*"), re.compile(r"[0-9]*"), re.compile(r"[0-9]*"), re.compile(r"[0-9]*"))
 
 
 def drawn_out(text: str, start: int, kind: int, end: int) -> tuple[int, int]:
-    """A tagged span drawn out to whole tokens of its kind, by MARGIN characters at most on each side."""
-    before = _BEFORE[kind].search(text[max(0, start - MARGIN) : start])
-    return start - len(before[0]), _AFTER[kind].match(text, end, min(len(text), end + MARGIN)).end()
+    """A tagged span drawn out to whole tokens of its kind, however long they are."""
+    while start and text[start - 1] in _BEFORE[kind]:
+        start -= 1
+    if kind == 3 and start and text[start - 1] in "+(":
+        start -= 1
+    return start, _AFTER[kind].match(text, end).end()
 
 
 def all_spans(texts: list[str | None], model: Tagger | None) -> list[tuple[list, list]]:
@@ -331,9 +335,13 @@ def all_spans(texts: list[str | None], model: Tagger | None) -> list[tuple[list,
     extra: list[list] = [[] for _ in texts]
     if model:
         where = [(k, a, b) for k, t in enumerate(texts) if t for a, b in stretches(t)]
+        last: dict = {}  # by text and kind, so that a long token with many tagged pieces is walked once
         for (k, a, b), path in zip(where, tag(model, [texts[k][a:b] for k, a, b in where])):
             for s, kind, e in path_spans(path):
-                s, e = drawn_out(texts[k], a + s, kind, a + e)
+                s, e = a + s, a + e
+                if e <= last.get((k, kind), (0, 0))[1]:
+                    continue
+                s, e = last[k, kind] = drawn_out(texts[k], s, kind, e)
                 if plausible(texts[k], s, kind, e) and not any(x[0] < e and s < x[2] for x in base[k] + extra[k][-1:]):
                     extra[k].append((s, kind, e))
     return [(b, sorted(b + x)) for b, x in zip(base, extra)]
