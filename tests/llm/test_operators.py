@@ -495,6 +495,32 @@ def test_tagger_adds_spans_that_the_patterns_miss(spark, trained_on):
     assert row.text == text.replace("anna.berg(at)example.org", "[EMAIL]")
 
 
+def test_spans_are_drawn_out_to_the_ends_of_long_tokens(monkeypatch):
+    """Whatever part of a token the tagger marks, the whole token is judged: local part and host of 200 characters."""
+    local, host = "jan." * 50 + "x", "mail." * 40 + "org"
+    text = f"write to {local}(at){host}, {'1' * 90}, or +{'2' * 60} now"
+    at = text.index("(at)")
+    marked = [(at - 3, 0, at), (at, 0, at + 4), (at + 8, 0, at + 9), (text.index("11") + 50, 2, text.index("11") + 60), (text.index("22") + 20, 3, text.index("22") + 22)]
+
+    def tag(model, parts):
+        out = []
+        for part in parts:
+            path, low = np.zeros(len(part), dtype=int), text.index(part)
+            for a, kind, b in marked:
+                if low <= a and b <= low + len(part):
+                    path[a - low : b - low] = 2 * kind + 2
+                    path[a - low] = 2 * kind + 1
+            out.append(path)
+        return out
+
+    monkeypatch.setattr(pii, "tag", tag)
+    assert pii.all_spans([text], object()) == [([], [(9, 0, 9 + len(local) + 4 + len(host))])]
+    for a, kind, b in marked:
+        low, high = pii.drawn_out(text, a, kind, b)
+        assert not (text[low - 1].isalnum() or text[high].isalnum()) or kind == 0
+    assert pii.drawn_out(text, at - 3, 0, at) == (9, at) and pii.drawn_out(text, *marked[4]) == (text.index("+2"), text.index("+2") + 61)
+
+
 def test_training_windows_hold_both_classes(spark):
     rows = [(k, f"write to user{k}@mail.org now") for k in range(60)] + [(100 + k, f"version {k} of the text") for k in range(60)]
     found = pii.labelled_windows(spark.createDataFrame(rows, "doc_id long, text string"), 200, 40)
@@ -517,6 +543,20 @@ def test_sample_of_repeated_ids_and_conflicting_labels(spark):
     assert drawn[0] == drawn[1] and [x[1] for x in drawn[0]] == [1, 0] and drawn[0][1][0] == "q"
 
 
+def test_long_labelled_texts_are_learned_from(spark):
+    """Parts from all over a long text are in the sample, bounded in all, and what only long texts hold is learned."""
+    filler = "a quiet walk by the river. " * 200
+    rows = [(k, filler * 12 + ("what a fool you are. " if k % 2 else "what a day it is. ") * 4000 + filler) for k in range(60)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), labels(spark, [(k, 1, k % 2) for k in range(60)])
+    sample = labelled.training_sample(docs, known, "toxic", 40, 2000, 4, 2)
+    assert len(sample) == 40 and all(1500 < len(t) <= 2000 and ("fool" in t) == bool(y) for t, y, _ in sample)
+    assert all(t.startswith("a quiet") and t.endswith("river. ") for t, _, _ in sample)
+    model = toxicity.fit(docs, known, sample_rows=40, sample_chars=2000)
+    assert any("fool" in f for f in model.weights) and model.score(rows[1][1])[0] > 0.5 > model.score(rows[0][1])[0]
+    short = labelled.training_sample(docs.limit(0).unionAll(spark.createDataFrame([(1, "x y"), (2, "")], "doc_id long, text string")), known, "toxic", 120, 50, 1000, 999)
+    assert sorted(x[0] for x in short) == ["", "x y"]
+
+
 def test_scores_by_a_plain_loop_over_the_model(spark):
     sf = "/root/testdata/sf0.01"
     docs, known = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,13 +23,25 @@ def held_out(modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+#: Stretches, evenly spaced from its first to its last character, that stand for a text over most_chars.
+STRETCHES = 20
+
+
+def bounded(text: Column, most_chars: int) -> Column:
+    """The whole text, or STRETCHES evenly spaced parts of it on lines of their own, together most_chars code points at most."""
+    size = max(1, most_chars // STRETCHES - 1)
+    step = (F.char_length(text) - size) / F.lit(STRETCHES - 1)
+    parts = F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda k: F.substr(text, F.floor(k * step).cast("int") + 1, F.lit(size)))
+    return F.when(F.char_length(text) <= most_chars, text).otherwise(F.array_join(parts, "\n"))
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, most_chars: int, modulus: int, remainder: int) -> list[tuple[str, int, float]]:
     """At most `rows` (text, label, weight), the same on every run: of each class, the half of `rows` with the least hash of the id.
 
     The weight is the number of labelled documents of the class for each one drawn. Ids are drawn from the narrow labels
-    first; only their texts come to the driver. Texts over most_chars code points are not learned from (they are scored
-    whole like all others), so the sample holds rows * most_chars characters at most. An id with both labels is not
-    learned from. Of several texts of one id the one with the least hash is taken; a null label or id counts as no label.
+    first; only their texts come to the driver. Of a text over most_chars code points, parts from all over it are learned
+    from (it is scored whole like all others), so the sample holds rows * most_chars characters at most. An id with both
+    labels is not learned from. Of several texts of one id the one with the least hash is taken; a null label or id counts as no label.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(modulus, remainder)).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("high"))
     known = known.where("y = high").select("doc_id", "y")
@@ -39,7 +51,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, m
         drawn |= dict.fromkeys(least_hashed(known.where(F.col("y") == y), "sample", rows // 2, size), y)
     if not drawn:
         return []
-    short = docs.select("doc_id", "text").where(F.col("doc_id").isin(list(drawn)) & (F.length("text") <= most_chars))
-    found = short.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text")).collect()
+    theirs = docs.select("doc_id", "text").where(F.col("doc_id").isin(list(drawn)) & F.col("text").isNotNull())
+    found = theirs.select("doc_id", bounded(F.col("text"), most_chars).alias("text")).groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text")).collect()
     here = {y: sum(drawn[r.doc_id] == y for r in found) for y in sizes}
     return [(r.text, drawn[r.doc_id], sizes[drawn[r.doc_id]] / here[drawn[r.doc_id]]) for r in sorted(found, key=lambda r: r.doc_id)]
