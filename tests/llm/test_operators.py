@@ -291,6 +291,23 @@ def test_hubs_and_uncentred_labels_keep_every_link(spark):
         assert [got[k * 10_000 + i].component_id - k * 10_000 for i in range(len(near))] == least.tolist()
 
 
+def test_a_cone_is_compared_once_and_not_in_every_pass(spark):
+    rows = [(u, k, "abc"[0] if k != 2 else "xy"[u % 2], 6 if k != 2 else 3) for k in range(4) for u in range(6)]
+    members = spark.createDataFrame([(u, k, f"{k}{t}", n) for u, k, t, n in rows], "uid long, step int, team string, n long")
+    assert {r.team for r in embeddings.fresh_runs(members).collect()} == {"0a"}
+    # Halves first: the whole meets in the second pass, and everything later lies within it.
+    halves = [(u, 0, f"0{u % 2}", 3) for u in range(6)] + [(u, 1, "1", 6) for u in range(6)] + [(u, 2, f"2{u % 3}", 3 if u % 3 == 0 else 2) for u in range(6)]
+    members = spark.createDataFrame(halves + [(6, 2, "20", 3)], "uid long, step int, team string, n long")
+    assert {r.team for r in embeddings.fresh_runs(members).collect()} == {"00", "01", "1"} | {"20"}
+    rng = np.random.default_rng(2)
+    near = np.ones(24) + rng.normal(0, 0.1, (150, 24))
+    table = spark.createDataFrame([(k, 1, v.tolist()) for k, v in enumerate(near)], "vec_id long, label int, embedding array<double>")
+    unit = near / np.linalg.norm(near, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.93).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(table, window=16, recall=0.9999).collect()}
+    assert [got[k] for k in range(150)] == want.tolist()
+
+
 def test_least_hashed_equals_a_whole_sort(spark):
     ids = spark.range(5000).withColumnRenamed("id", "doc_id")
     want = [r.doc_id for r in ids.orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(300).collect()]

@@ -4,7 +4,8 @@ In each pass the vectors of a label are ordered lexicographically by the concate
 is compared with its next WINDOW neighbours. Two vectors at the cosine threshold agree in a sign with a known chance, so the
 number of passes that a label needs follows from its size and the recall wanted; a label that a window holds whole needs
 one pass and loses nothing. Where more vectors than a window share the leading signs that the estimate counts on (dense
-groups, hubs, labels off the centre), the whole run is compared block against block, so density costs work and no pairs.
+groups, hubs, labels off the centre), the whole run is compared block against block, so density costs work and no pairs;
+a run whose members lie together in a longer run of an earlier pass isn't compared again.
 
 A task sends edges to the roots of its trees and not its pairs; the edges of all passes are united into components. Then
 all pairs of a component are compared once more to count links, so n_links is exact within what the passes united.
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, drop_table, materialise, ship_package, spread_join
@@ -200,6 +201,18 @@ def with_passes(distinct: DataFrame, rows: int, cosine: float, window: int, reca
     return spread_join(distinct, few, "label", rows)
 
 
+def fresh_runs(members: DataFrame) -> DataFrame:
+    """Of long runs (rows uid, step, team, n) those to compare: team and n.
+
+    A run isn't compared if all its members lie together in one longer run of an earlier pass: their pairs met there, or
+    in a run that held that one. So a narrow cone, which most passes leave in one run, is compared once and not in each.
+    """
+    before = Window.partitionBy("uid").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    held = members.withColumn("cover", F.max(F.struct("n", "team")).over(before)["team"])
+    runs = held.groupBy("team").agg(F.first("n").alias("n"), F.count("cover").alias("held"), F.min("cover").alias("low"), F.max("cover").alias("high"))
+    return runs.where("held < n or low <> high").select("team", "n")
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, window: int = WINDOW, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
     ship_package(vectors.sparkSession)
@@ -220,6 +233,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, window: int = WI
     runs = place.select(team.alias("team"), "uid", "copies", "vector")
     long_runs = materialise(runs.groupBy("team").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > window))
     if long_runs.head(1):
+        narrow = place.select(team.alias("team"), "uid", "step")
+        again = long_runs
+        long_runs = materialise(fresh_runs(spread_join(narrow, again.withColumn("size", F.col("n")), "team", sorted_rows).withColumnRenamed("size", "n")))
+        drop_table(again)
         held = spread_join(runs, long_runs.select("team", "n", F.col("n").alias("size")), "team", sorted_rows)
         edges = edges.unionAll(block_links(held.withColumn("part", F.lit(0)), cosine).select("uid", "root"))
     found = materialise(components(edges).withColumnRenamed("node", "uid"))

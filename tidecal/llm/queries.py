@@ -26,7 +26,8 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    # A window smaller than the labels of all test tables, so that every result comes through several sorted passes.
+    return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), window=32, recall=0.9999)
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
