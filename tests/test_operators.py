@@ -1,5 +1,8 @@
 import datetime
 
+import math
+import random
+
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -100,6 +103,64 @@ def test_contract(spark):
         assert part in str(e.value)
 
 
+def nearest_by_hand(lon, lat, areas):
+    """(area, inside) over all segments of all areas."""
+    best = None
+    for name, rings in areas:
+        odd, least = 0, float("inf")
+        for ring in rings:
+            for (ax, ay), (bx, by) in zip([ring[-1], *ring], ring):
+                odd += (ay > lat) != (by > lat) and lon < ax + (lat - ay) / (by - ay) * (bx - ax)
+                dx, dy = bx - ax, by - ay
+                t = max(0.0, min(1.0, ((lon - ax) * dx + (lat - ay) * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+                least = min(least, (ax + t * dx - lon) ** 2 + (ay + t * dy - lat) ** 2)
+        found = (0, -1.0, name) if odd % 2 else (1, least, name)
+        best = found if best is None or found < best else best
+    return (best[2], best[0] == 0) if best else None
+
+
+@pytest.mark.parametrize("cell", [0.7, 2.0, 25.0])
+def test_every_point_has_the_area_it_is_in_or_nearest_to(spark, cell):
+    rng = random.Random(int(cell * 10))
+    areas = []
+    for k in range(25):
+        x, y, size = rng.uniform(-170, 170) if k % 5 else rng.uniform(160, 185), rng.uniform(-80, 20), rng.choice([0.2, 3, 30])
+        ring = [(x + size * rng.uniform(0.4, 1) * math.cos(a), y + size * rng.uniform(0.4, 1) * math.sin(a)) for a in sorted(rng.uniform(0, 6.28) for _ in range(rng.randint(3, 9)))]
+        hole = [(x + 0.1 * size * math.cos(a), y + 0.1 * size * math.sin(a)) for a in (0, 2, 4)]
+        areas.append((k, [[*ring, ring[0]], *([hole] if k % 3 == 0 else []), *([[(x + 50, y), (x + 51, y), (x + 50.5, y + 1)]] if k % 4 == 0 else [])]))
+    areas.append((90, []))
+    points = [(k, rng.uniform(-180, 180), rng.uniform(-90, 90)) for k in range(150)] + [(k, rng.choice([179.9, -179.9, 0.0]), rng.choice([89.9, 60.0, -90.0])) for k in range(150, 180)]
+    # On the grid's own lines, and on a corner of an area.
+    points += [(180, 2.0, 4.0), (181, -50.0, -25.0), (182, *areas[1][1][0][0]), (183, None, 3.0), (184, 1.0, None)]
+    schema = "area_id int, rings array<array<struct<lon:double,lat:double>>>"
+    table = spark.createDataFrame(areas, schema)
+    got = {r.point_id: (r.area_id, r.inside) for r in geo.assign_polygons(spark.createDataFrame(points, "point_id int, lon double, lat double"), table, cell=cell).collect()}
+    assert len(got) == len(points) and got.pop(183) == got.pop(184) == (None, False)
+    assert got == {k: nearest_by_hand(x, y, areas) for k, x, y in points if x is not None and y is not None}
+    assert sum(not i for _, i in got.values()) > 60
+    assert geo.assign_polygons(spark.createDataFrame(points, "point_id int, lon double, lat double"), table.limit(0)).where("area_id is not null").count() == 0
+
+
+def test_areas_of_the_own_country_only(spark):
+    areas = [(k, "AB"[k % 2], [[(10.0 * k, 0.0), (10.0 * k + 4, 0.0), (10.0 * k + 4, 4.0), (10.0 * k, 4.0)]]) for k in range(6)]
+    points = [(k, "AB"[k % 2] if k % 7 else "C", float(k), 2.0 * (k % 5)) for k in range(60)]
+    schema = "area_id int, country string, rings array<array<struct<lon:double,lat:double>>>"
+    got = {r.point_id: (r.area_id, r.inside) for r in geo.assign_polygons(spark.createDataFrame(points, "point_id int, country string, lon double, lat double"), spark.createDataFrame(areas, schema), within=("country",)).collect()}
+    assert got == {k: nearest_by_hand(x, y, [(a, r) for a, own, r in areas if own == c]) for k, c, x, y in points if c != "C"}
+
+
+def test_enriched_entities(spark):
+    square = lambda x: [[{"lon": a, "lat": b} for a, b in ((x, 0.0), (x + 1, 0.0), (x + 1, 1.0), (x, 1.0))]]
+    areas = spark.createDataFrame([(1, "AA", square(0.0)), (2, "BB", square(5.0))], "area_id int, country string, rings array<array<struct<lon:double,lat:double>>>")
+    entities = spark.createDataFrame([(7, "AA", 0.5, 0.5), (8, "AA", 0.5, 60.0), (9, None, 0.5, 5.5)], "entity_id int, country string, latitude double, longitude double")
+    fixes = spark.createDataFrame([(9, 0.2, 0.2)], "entity_id int, latitude double, longitude double")
+    tiers = spark.createDataFrame([(7, "local", "by hand"), (8, "regional", None)], "entity_id int, tier string, reason string")
+    got = {r.entity_id: (r.area_id, r.area_country, r.inside, r.mismatch, r.tier, r.reason) for r in geo.enrich(entities, fixes, areas, tiers).collect()}
+    assert got == {7: (1, "AA", True, False, "local", "by hand"), 8: (2, "BB", False, True, "regional", ""), 9: (1, "AA", True, True, None, " [coords corrected]")}
+    with pytest.raises(Exception, match="no region for entity 8"):
+        geo.enrich(entities, fixes, areas, tiers, areas.where("area_id = 1").select("area_id")).collect()
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "c.csv").write_text("entity_id,date,status,label,predicted,opens,closes,events\n1,2020-01-02,open,50,TRUE,10:00,18:00,\n1,2020-01-03,open,,x,,,\n")
     rows = files.read_calendar(spark, str(tmp_path / "c.csv")).orderBy("day").collect()
@@ -113,7 +174,7 @@ def test_files(spark, tmp_path):
     assert (p.min_lon, p.max_lat, p.properties["name"]) == (0.0, 3.0, "x") and (len(two.rings), two.min_lon, two.max_lon) == (3, 10.0, 31.0)
     points = spark.createDataFrame([(1, 12.0, 2.0), (2, 15.0, 5.0), (3, 30.5, 0.5), (4, 21.5, 5.0), (5, 1.5, 0.5), (6, 60.0, 60.0), (7, 25.5, 0.5)], "point_id int, lon double, lat double")
     placed = {r.point_id: (r.area_id, r.inside) for r in geo.assign_polygons(points, areas.select(F.col("properties")["name"].alias("area_id"), "rings")).collect()}
-    assert placed == {1: ("two", True), 2: ("two", False), 3: ("two", True), 4: ("two", False), 5: ("x", True), 7: ("two", False)}
+    assert placed == {1: ("two", True), 2: ("two", False), 3: ("two", True), 4: ("two", False), 5: ("x", True), 6: ("two", False), 7: ("two", False)}
     (tmp_path / "s").mkdir()
     (tmp_path / "s" / "a.csv").write_text("entity_id,date,rain,old\n3,2020-01-02,1.5,9\n3,2020-01-03,,9\n")
     got = files.read_stations(spark, str(tmp_path / "s"), ("old",)).orderBy("day").collect()

@@ -74,21 +74,11 @@ def rescale(df: DataFrame, group: str, value: str, total: str) -> DataFrame:
     return df.withColumn("rescaled", F.col(value) * F.col(total) / F.sum(value).over(Window.partitionBy(group)))
 
 
-def assign_rectangles(points: DataFrame, rectangles: DataFrame, cell: float = 10.0) -> DataFrame:
-    """The rectangle a point lies in (half open), else the one at the least squared degree distance, then the least id.
-
-    Inside is an equality join on grid cells. Only the points outside all meet every rectangle; there are as many as
-    regions on a map, and Spark sends them to all tasks if they are small.
-    """
-    cells = rectangles.withColumn("cx", F.explode(F.sequence(F.floor(F.col("lon0") / cell), F.ceil(F.col("lon1") / cell) - 1))).withColumn("cy", F.explode(F.sequence(F.floor(F.col("lat0") / cell), F.ceil(F.col("lat1") / cell) - 1)))
-    gridded = points.withColumns({"cx": F.floor(F.col("lon") / cell), "cy": F.floor(F.col("lat") / cell)})
-    within = (F.col("lon") >= F.col("lon0")) & (F.col("lon") < F.col("lon1")) & (F.col("lat") >= F.col("lat0")) & (F.col("lat") < F.col("lat1"))
-    inside = gridded.join(cells, ["cx", "cy"]).where(within).groupBy("point_id").agg(F.min("rect_id").alias("rect_id")).withColumn("inside", F.lit(True))
-    out = points.join(inside, "point_id", "left_anti").crossJoin(rectangles)
-    dx = F.greatest(F.col("lon0") - F.col("lon"), F.lit(0.0), F.col("lon") - F.col("lon1"))
-    dy = F.greatest(F.col("lat0") - F.col("lat"), F.lit(0.0), F.col("lat") - F.col("lat1"))
-    near = out.groupBy("point_id").agg(F.min(F.struct((dx * dx + dy * dy).alias("d"), "rect_id"))["rect_id"].alias("rect_id")).withColumn("inside", F.lit(False))
-    return inside.unionByName(near)
+def rings_of(rectangles: DataFrame, key: str) -> DataFrame:
+    """Rectangles (lon0, lon1, lat0, lat1) as areas: area_id, and one ring of their corners."""
+    corners = [("lon0", "lat0"), ("lon1", "lat0"), ("lon1", "lat1"), ("lon0", "lat1"), ("lon0", "lat0")]
+    ring = F.array(*[F.struct(F.col(x).alias("lon"), F.col(y).alias("lat")) for x, y in corners])
+    return rectangles.withColumnRenamed(key, "area_id").withColumn("rings", F.array(ring)).drop("lon0", "lon1", "lat0", "lat1")
 
 
 def in_ring(lon: Column, lat: Column, ring: Column) -> Column:
@@ -103,53 +93,143 @@ def in_ring(lon: Column, lat: Column, ring: Column) -> Column:
     return F.aggregate(ring, F.struct(F.element_at(ring, -1).alias("last"), F.lit(0).alias("n")), step, lambda s: s["n"] % 2 == 1)
 
 
-def segment_distance(lon: Column, lat: Column, ring: Column) -> Column:
-    """Squared degree distance from a point to the nearest segment of a ring."""
+def segments(areas: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, x1, y1, x2, y2: the segments of all rings; an unclosed ring is closed."""
+    ring = areas.select(*keys, F.explode("rings").alias("ring")).where(F.size("ring") > 0)
+    pairs = F.transform("ring", lambda p, k: F.struct(F.when(k > 0, F.get("ring", k - 1)).otherwise(F.element_at("ring", -1)).alias("a"), p.alias("b")))
+    flat = ring.select(*keys, F.explode(pairs).alias("s"))
+    return flat.select(*keys, F.col("s.a.lon").alias("x1"), F.col("s.a.lat").alias("y1"), F.col("s.b.lon").alias("x2"), F.col("s.b.lat").alias("y2"))
 
-    def step(state: Column, p: Column) -> Column:
-        a = state["last"]
-        dx, dy = p["lon"] - a["lon"], p["lat"] - a["lat"]
-        length = dx * dx + dy * dy
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(((lon - a["lon"]) * dx + (lat - a["lat"]) * dy) / F.nullif(length, F.lit(0.0)), F.lit(0.0))))
-        x, y = a["lon"] + t * dx - lon, a["lat"] + t * dy - lat
-        return F.struct(p.alias("last"), F.least(state["d"], x * x + y * y).alias("d"))
 
-    return F.aggregate(ring, F.struct(F.element_at(ring, -1).alias("last"), F.lit(float("inf")).alias("d")), step, lambda s: s["d"])
+def squared_distance(x: Column, y: Column) -> Column:
+    """Squared degree distance of a point to the segment x1, y1, x2, y2 of its row."""
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    along = F.coalesce(((x - F.col("x1")) * dx + (y - F.col("y1")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
+    a, b = F.col("x1") + t * dx - x, F.col("y1") + t * dy - y
+    return a * a + b * b
+
+
+def _cells_between(a: str, b: str, cell: float) -> Column:
+    return F.sequence(F.floor(F.least(a, b) / cell), F.floor(F.greatest(a, b) / cell))
+
 
+def segment_cells(edges: DataFrame, cell: float) -> DataFrame:
+    """The segments with each grid cell (cx, cy) that a part of them may lie in; long ones are followed part by part."""
+    parts = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))) / cell).cast("int"))
+    cut = edges.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    for c, (one, two) in {"x": ("x1", "x2"), "y": ("y1", "y2")}.items():
+        step = (F.col(two) - F.col(one)) / F.col("parts")
+        cut = cut.withColumns({f"{c}a": F.col(one) + F.col("part") * step, f"{c}b": F.when(F.col("part") == F.col("parts") - 1, F.col(two)).otherwise(F.col(one) + (F.col("part") + 1) * step)})
+    for c in "xy":
+        cut = cut.withColumn(f"c{c}", F.explode(_cells_between(f"{c}a", f"{c}b", cell)))
+    return cut.select(*edges.columns, "cx", "cy").distinct()
 
-def assign_polygons(points: DataFrame, areas: DataFrame, cell: float = 2.0, within: float = 5.0) -> DataFrame:
-    """The area that a point (point_id, lon, lat) lies in, else the nearest one not further than `within` degrees, else none.
+
+def nearest_cells(wanted: DataFrame, held: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """px, py, cx, cy: for each wanted cell (px, py), all held cells (cx, cy) that may hold what is nearest to a point in it.
+
+    Both are distinct grid cells, so their numbers are bounded by the map and not by the rows on it. The search goes down
+    a pyramid of cells, eight times as wide from level to level: from each it keeps the cells whose least distance isn't beyond the best
+    greatest distance, and goes on with their parts that are held. Each step is a join on the larger cell. within: columns
+    of both that must agree.
+    """
+    keys = list(within)
+    reach = [frame.agg(F.greatest(F.max(F.abs(x)), F.max(F.abs(y)))).first()[0] or 0 for frame, x, y in ((wanted, "px", "py"), (held, "cx", "cy"))]
+    top = (int(max(reach)) + 1).bit_length()
+    at = lambda level: held.select(*keys, *[F.shiftright(c, level).alias(c) for c in ("cx", "cy")]).distinct()
+    # Cells of the top level are -1 or 0 both ways: four at most for each of the keys.
+    found = wanted.join(at(top), keys) if keys else wanted.crossJoin(F.broadcast(at(top)))
+    levels = [top, *range((top - 1) // 3 * 3, -1, -3)]
+    for above, level in zip([top, *levels], levels):
+        if level < top:
+            parts = at(level).withColumns({"_x": F.shiftright("cx", above - level), "_y": F.shiftright("cy", above - level)})
+            found = found.withColumnsRenamed({"cx": "_x", "cy": "_y"}).join(parts, [*keys, "_x", "_y"]).drop("_x", "_y")
+        size = float(1 << level)
+        near, far = [], []
+        for c, p in (("cx", "px"), ("cy", "py")):
+            low, high, own = F.col(c) * size, F.col(c) * size + size, F.col(p).cast("double")
+            near.append(F.greatest(F.lit(0.0), low - own - 1, own - high))
+            far.append(F.greatest(F.abs(own + 1 - low), F.abs(high - own)))
+        least, greatest = (a * a + b * b for a, b in (near, far))
+        bound = F.min(greatest).over(Window.partitionBy(*keys, "px", "py"))
+        found = found.withColumns({"_least": least, "_bound": bound}).where("_least <= _bound").select(*keys, "px", "py", "cx", "cy")
+    return found
+
+
+def assign_polygons(points: DataFrame, areas: DataFrame, cell: float = 2.0, within: tuple[str, ...] = ()) -> DataFrame:
+    """The area that a point (point_id, lon, lat) lies in, else the nearest one, at any distance. inside tells which.
 
     areas: area_id and rings (outer rings and holes alike; odd crossings over all of them are inside), as read_polygons()
-    gives. Both steps join on the grid cells of the areas' bounding boxes (the second drawn out by `within`), so a point
-    meets only areas near it. Ties go to the least area_id. inside tells which step placed the point.
+    gives. within: columns that a point and its area must share, such as the country. Degrees are a plane, as on the map:
+    nothing wraps around. Inside: a point meets the areas whose box has its grid cell, and of each only the segments that
+    its line of latitude can cross. Outside: the point's cell knows the cells that can hold the nearest segment
+    (nearest_cells()), and the point meets those segments. Ties go to the least area_id. A point without coordinates has a
+    null area; where there is no area to choose from, a point has no row.
+    """
+    lon, lat, keys = F.col("lon"), F.col("lat"), list(within)
+    located = points.where("lon is not null and lat is not null").select("point_id", "lon", "lat", *keys).withColumns({"px": F.floor(lon / cell), "py": F.floor(lat / cell)})
+    edges = segments(areas, ["area_id", *keys])
+    box = edges.groupBy("area_id", *keys).agg(*[f(g(f"{c}1", f"{c}2")).alias(f"{name}_{c}") for c in "xy" for name, f, g in (("min", F.min, F.least), ("max", F.max, F.greatest))])
+    for c in "xy":
+        box = box.withColumn(f"p{c}", F.explode(_cells_between(f"min_{c}", f"max_{c}", cell)))
+    boxed = located.join(box.select("area_id", *keys, "px", "py"), [*keys, "px", "py"])
+    rows = edges.where("y1 <> y2").withColumn("py", F.explode(_cells_between("y1", "y2", cell))).drop(*keys)
+    crossing = ((F.col("y1") > lat) != (F.col("y2") > lat)) & (lon < F.col("x1") + (lat - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1")))
+    odd = boxed.join(rows, ["area_id", "py"]).where(crossing).groupBy("point_id", "area_id").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1")
+    inside = odd.groupBy("point_id").agg(F.min("area_id").alias("area_id"))
+    outside = located.join(inside, "point_id", "left_anti")
+    celled = segment_cells(edges, cell)
+    search = nearest_cells(outside.select(*keys, "px", "py").distinct(), celled.select(*keys, "cx", "cy").distinct(), within)
+    met = outside.join(search, [*keys, "px", "py"]).join(celled, [*keys, "cx", "cy"])
+    near = met.groupBy("point_id").agg(F.min(F.struct(squared_distance(lon, lat).alias("d"), "area_id"))["area_id"].alias("area_id"))
+    nowhere = points.where("lon is null or lat is null").select("point_id", F.lit(None).cast(areas.schema["area_id"].dataType).alias("area_id"))
+    return inside.withColumn("inside", F.lit(True)).unionByName(near.unionByName(nowhere).withColumn("inside", F.lit(False)))
+
+
+def assign_rectangles(points: DataFrame, rectangles: DataFrame) -> DataFrame:
+    """The rectangle a point lies in (half open), else the one at the least degree distance, then the least id."""
+    return assign_polygons(points, rings_of(rectangles, "rect_id")).withColumnRenamed("area_id", "rect_id")
+
+
+def build_regions(places: DataFrame, areas: DataFrame, split: DataFrame, totals: DataFrame, known: DataFrame, least: float = 1000.0) -> tuple[DataFrame, DataFrame]:
+    """(regions, places by region). places: point_id, country, lon, lat, pop; areas: area_id, country, rings.
+
+    A place of a country in `split` (country) belongs to the area of its country that it lies in or is nearest to, any
+    other place to its country. A region's centre is weighted by population (1 at least for each place). Its population
+    is its country's of `totals` (country, people), for areas its share of what `known` (area_id, people) gives its
+    country. Regions of fewer than `least` people go, and their places with them.
+    """
+    divided = split.select("country").distinct().withColumn("_split", F.lit(True))
+    marked = places.join(divided, "country", "left").withColumn("w", F.greatest("pop", F.lit(1.0)))
+    keyed = areas.join(divided, "country", "left_semi")
+    placed = assign_polygons(marked.where("_split"), keyed, within=("country",)).select("point_id", F.col("area_id").cast("string").alias("_area"))
+    coded = marked.join(placed, "point_id", "left").withColumn("code", F.coalesce("_area", "country"))
+    sizes = known.join(keyed.select("area_id", "country"), "area_id").join(totals.withColumnRenamed("people", "_all"), "country")
+    share = F.col("people") * F.col("_all") / F.sum("people").over(Window.partitionBy("country"))
+    people = sizes.select(F.col("area_id").cast("string").alias("code"), share.alias("population")).unionByName(totals.join(divided, "country", "left_anti").select(F.col("country").alias("code"), F.col("people").cast("double").alias("population")))
+    centres = centroid(coded.select("code", "country", "lat", "lon", F.col("w").alias("pop")), ["code", "country"]).join(people, "code").where(F.col("population") >= least)
+    regions = centres.select("code", "country", *[(F.floor(F.col(c) * 10_000 + 0.5) / 10_000).alias(c) for c in ("lat", "lon")], F.floor(F.col("population") + 0.5).alias("population"))
+    return regions, coded.join(regions.select("code"), "code", "left_semi").select("code", "point_id", "lat", "lon", F.col("w").alias("pop"))
+
+
+def enrich(entities: DataFrame, fixes: DataFrame, areas: DataFrame, tiers: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    """Entities (entity_id, country, latitude, longitude, more) with corrected coordinates, area, its country, tier and reason.
+
+    areas: area_id, country, rings; tiers: entity_id, tier, reason. mismatch: the area's country isn't the entity's own (or
+    that is null). The reason says where coordinates were corrected. With regions (area_id) an entity whose area isn't
+    among them fails the query.
     """
-    lon, lat = F.col("lon"), F.col("lat")
-    whole = F.flatten("rings")
-    box = {f"{name}_{c}": pick(whole[c]) for name, pick in (("min", F.array_min), ("max", F.array_max)) for c in ("lon", "lat")}
-
-    def cells(frame: DataFrame, out: float) -> DataFrame:
-        for c, name in (("cx", "lon"), ("cy", "lat")):
-            frame = frame.withColumn(c, F.explode(F.sequence(F.floor((F.col(f"min_{name}") - out) / cell), F.floor((F.col(f"max_{name}") + out) / cell))))
-        return frame
-
-    boxed = areas.select("area_id", "rings").withColumns(box)
-    gridded = points.withColumns({"cx": F.floor(lon / cell), "cy": F.floor(lat / cell)})
-    crossings = F.aggregate("rings", F.lit(0), lambda n, r: n + in_ring(lon, lat, r).cast("int"))
-    near_box = lon.between(F.col("min_lon"), F.col("max_lon")) & lat.between(F.col("min_lat"), F.col("max_lat"))
-    inside = gridded.join(cells(boxed, 0.0), ["cx", "cy"]).where(near_box).where(crossings % 2 == 1).groupBy("point_id").agg(F.min("area_id").alias("area_id"))
-    outside = gridded.join(inside, "point_id", "left_anti").join(cells(boxed, within), ["cx", "cy"])
-    apart = outside.withColumn("d", F.array_min(F.transform("rings", lambda r: segment_distance(lon, lat, r)))).where(F.col("d") <= within * within)
-    near = apart.groupBy("point_id").agg(F.min(F.struct("d", "area_id"))["area_id"].alias("area_id"))
-    return inside.withColumn("inside", F.lit(True)).unionByName(near.withColumn("inside", F.lit(False)))
-
-
-def enrich(entities: DataFrame, fixes: DataFrame, rectangles: DataFrame) -> DataFrame:
-    """Entities with corrected coordinates, their region, and whether it is the one they name."""
-    fixed = entities.join(fixes.withColumnsRenamed({"latitude": "_lat", "longitude": "_lon"}), "entity_id", "left")
-    fixed = fixed.withColumns({"latitude": F.coalesce("_lat", "latitude"), "longitude": F.coalesce("_lon", "longitude")}).drop("_lat", "_lon")
-    placed = assign_rectangles(fixed.select(F.col("entity_id").alias("point_id"), F.col("longitude").alias("lon"), F.col("latitude").alias("lat")), rectangles)
-    return fixed.join(placed.withColumnRenamed("point_id", "entity_id"), "entity_id").withColumn("mismatch", F.col("rect_id") != F.col("entity_id"))
+    fixed = entities.drop("tier", "reason").join(fixes.select("entity_id", F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon")), "entity_id", "left")
+    fixed = fixed.withColumns({"corrected": F.col("_lat").isNotNull() & F.col("_lon").isNotNull(), "latitude": F.coalesce("_lat", "latitude"), "longitude": F.coalesce("_lon", "longitude")}).drop("_lat", "_lon")
+    placed = assign_polygons(fixed.select(F.col("entity_id").alias("point_id"), F.col("longitude").alias("lon"), F.col("latitude").alias("lat")), areas)
+    named = placed.join(areas.select("area_id", F.col("country").alias("area_country")), "area_id", "left").withColumnRenamed("point_id", "entity_id")
+    out = fixed.join(named, "entity_id", "left").join(tiers.select("entity_id", "tier", "reason"), "entity_id", "left")
+    out = out.withColumns({"mismatch": ~F.col("area_country").eqNullSafe(F.col("country")), "reason": F.concat(F.coalesce("reason", F.lit("")), F.when(F.col("corrected"), " [coords corrected]").otherwise(""))})
+    if regions is not None:
+        out = out.join(regions.select("area_id").distinct().withColumn("_known", F.lit(True)), "area_id", "left")
+        out = out.withColumn("area_id", F.when(F.col("_known"), F.col("area_id")).otherwise(F.raise_error(F.concat(F.lit("no region for entity "), F.col("entity_id").cast("string"))).cast(out.schema["area_id"].dataType))).drop("_known")
+    return out
 
 
 def target_regions(features: DataFrame, countries: list[str], split: list[str], rules: DataFrame, dropped: list[str]) -> DataFrame:

@@ -245,10 +245,8 @@ query("spatial_assign", oracle(f"with {ASSIGN} select * from placed", "points",
 
 
 def areas(s, d):
-    """The rectangles as areas of one ring."""
-    corners = [("lon0", "lat0"), ("lon1", "lat0"), ("lon1", "lat1"), ("lon0", "lat1"), ("lon0", "lat0")]
-    ring = F.array(*[F.struct(F.col(x).alias("lon"), F.col(y).alias("lat")) for x, y in corners])
-    return view(s, d, "rectangles").select(F.col("rect_id").alias("area_id"), F.array(ring).alias("rings"))
+    """The rectangles as areas of one ring, in the countries of the nations they are numbered by."""
+    return geo.rings_of(view(s, d, "rectangles"), "rect_id").withColumn("country", F.concat(F.lit("R"), F.col("area_id") % 5))
 
 
 query(
@@ -256,33 +254,44 @@ query(
     oracle(
         """with ins as (select point_id, min(rect_id) as area_id, true as inside from points join rectangles on lon >= lon0 and lon < lon1 and lat >= lat0 and lat < lat1 group by 1),
         oth as (select point_id, rect_id, greatest(lon0 - lon, 0, lon - lon1) ** 2 + greatest(lat0 - lat, 0, lat - lat1) ** 2 as d from points cross join rectangles where point_id not in (select point_id from ins))
-        select * from ins union all select point_id, arg_min(rect_id, {'d': d, 'r': rect_id}), false from oth where d <= 25 group by 1""",
+        select * from ins union all select point_id, arg_min(rect_id, {'d': d, 'r': rect_id}), false from oth group by 1""",
         "points",
         "rectangles",
     ),
 )(lambda s, d: geo.assign_polygons(pts(s, d).select("point_id", "lon", "lat"), areas(s, d)))
-query(
-    "regions_table",
-    oracle(
-        f"""with {ASSIGN}, c as (select rect_id, sum(pop) as population, sum(cos(radians(lat)) * cos(radians(lon)) * pop) as x, sum(cos(radians(lat)) * sin(radians(lon)) * pop) as y, sum(sin(radians(lat)) * pop) as z from points join placed using (point_id) where pop > 0 group by 1)
-        select rect_id, population, degrees(atan2(z, sqrt(x * x + y * y))) as lat, degrees(atan2(y, x)) as lon from c where population >= 1000""",
-        "points",
-        "rectangles",
-    ),
-)(
-    lambda s, d: (lambda p: geo.centroid(p, ["rect_id"]).join(p.groupBy("rect_id").agg(F.sum("pop").alias("population")), "rect_id").where("population >= 1000"))(
-        pts(s, d).where("pop > 0").join(geo.assign_rectangles(pts(s, d), view(s, d, "rectangles")), "point_id")
-    )
-)
+#: Places of two countries go to areas of their own country, those of the others to their country.
+PLACED = """pl as (select point_id, lon, lat, greatest(pop, 1) as w, 'R' || home % 5 as country from points), ar as (select *, 'R' || rect_id % 5 as country from rectangles where rect_id % 5 < 2),
+ ri as (select point_id, min(rect_id) as r from pl join ar using (country) where lon >= lon0 and lon < lon1 and lat >= lat0 and lat < lat1 group by 1),
+ ro as (select point_id, arg_min(rect_id, {'d': greatest(lon0 - lon, 0, lon - lon1) ** 2 + greatest(lat0 - lat, 0, lat - lat1) ** 2, 'r': rect_id}) as r from pl join ar using (country) where point_id not in (select point_id from ri) group by 1),
+ co as (select pl.*, coalesce(r::varchar, country) as code from pl left join (select * from ri union all select * from ro) using (point_id)),
+ pe as (select rect_id::varchar as code, (1 + rect_id) * case country when 'R0' then 3000.0 else 8000.0 end / sum(1 + rect_id) over (partition by country) as population from ar union all select * from (values ('R2', 500.0), ('R3', 1500.0), ('R4', 2500.0)) v(code, population)),
+ ce as (select code, country, sum(cos(radians(lat)) * cos(radians(lon)) * w) as x, sum(cos(radians(lat)) * sin(radians(lon)) * w) as y, sum(sin(radians(lat)) * w) as z from co group by 1, 2),
+ rt as (select code, country, floor(degrees(atan2(z, sqrt(x * x + y * y))) * 10000 + 0.5) / 10000 as lat, floor(degrees(atan2(y, x)) * 10000 + 0.5) / 10000 as lon, floor(population + 0.5) as population from ce join pe using (code) where population >= 1000)"""
+
+
+def regions_and_places(s, d):
+    places = pts(s, d).select("point_id", "lon", "lat", "pop", F.concat(F.lit("R"), F.col("home") % 5).alias("country"))
+    split = s.sql("select explode(array('R0', 'R1')) as country")
+    totals = s.sql("select * from values ('R0', 3000.0D), ('R1', 8000.0D), ('R2', 500.0D), ('R3', 1500.0D), ('R4', 2500.0D) as t(country, people)")
+    return geo.build_regions(places, areas(s, d), split, totals, areas(s, d).select("area_id", (1.0 + F.col("area_id")).alias("people")))
+
+
+query("regions_table", oracle(f"with {PLACED} select * from rt", "points", "rectangles"))(lambda s, d: regions_and_places(s, d)[0])
+query("places_by_region", oracle(f"with {PLACED} select code, point_id, lat, lon, w as pop from co where code in (select code from rt)", "points", "rectangles"))(lambda s, d: regions_and_places(s, d)[1])
 query(
     "entities_enriched",
     oracle(
-        f"""with fixed as (select entity_id, tier, case when entity_id = 3 then 10.0 else latitude end as lat, case when entity_id = 3 then 20.0 else longitude end as lon from entities),
+        """with fixed as (select entity_id, name, country, tier, case when entity_id = 3 then 10.0 else latitude end as lat, case when entity_id = 3 then 20.0 else longitude end as lon from entities),
         ins as (select entity_id, min(rect_id) as rect_id, true as inside from fixed join rectangles on lon >= lon0 and lon < lon1 and lat >= lat0 and lat < lat1 group by 1),
         oth as (select entity_id, rect_id, greatest(lon0 - lon, 0, lon - lon1) ** 2 + greatest(lat0 - lat, 0, lat - lat1) ** 2 as d from fixed cross join rectangles where entity_id not in (select entity_id from ins)),
-        pl as (select * from ins union all select entity_id, arg_min(rect_id, {{'d': d, 'r': rect_id}}) as rect_id, false from oth group by 1)
-        select f.entity_id, f.tier, f.lat as latitude, f.lon as longitude, pl.rect_id, pl.inside, pl.rect_id <> f.entity_id as mismatch from fixed f join pl using (entity_id)""",
+        pl as (select * from ins union all select entity_id, arg_min(rect_id, {'d': d, 'r': rect_id}) as rect_id, false from oth group by 1)
+        select f.entity_id, f.name, f.lat as latitude, f.lon as longitude, pl.rect_id as area_id, 'R' || rect_id % 5 as area_country, pl.inside, 'R' || rect_id % 5 <> f.country as mismatch, tier,
+          'by ' || tier || case when entity_id = 3 then ' [coords corrected]' else '' end as reason from fixed f join pl using (entity_id)""",
         "entities",
         "rectangles",
     ),
-)(lambda s, d: geo.enrich(ents(s, d).select("entity_id", "tier", "latitude", "longitude"), s.sql("select 3 as entity_id, 10.0D as latitude, 20.0D as longitude"), view(s, d, "rectangles")))
+)(
+    lambda s, d: geo.enrich(
+        ents(s, d), s.sql("select 3 as entity_id, 10.0D as latitude, 20.0D as longitude"), areas(s, d), ents(s, d).select("entity_id", "tier", F.concat(F.lit("by "), "tier").alias("reason")), areas(s, d).select("area_id")
+    ).select("entity_id", "name", "latitude", "longitude", "area_id", "area_country", "inside", "mismatch", "tier", "reason")
+)
