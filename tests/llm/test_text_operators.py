@@ -231,9 +231,9 @@ def test_windows_are_remembered_and_a_full_memory_changes_nothing(monkeypatch):
     texts = ["the house and the house and the tree", "the tree", "x" * 3000 + " the house", "no\tspaces\there " * 40]
     memo = alignment.Memo(a, b)
     first = alignment.align_texts(texts, a, b, memo)
-    assert 0 < len(memo.known) < len(memo.texts) + 1 and all(len(x) + len(y) <= 4 * alignment.REMEMBERED_TOKENS for x, y in memo.known)
+    assert 0 < len(memo.known) < len(memo.texts) + 1 and all(len(x) <= 4 * alignment.REMEMBERED_TOKENS + 4 for x in memo.known)
     again = alignment.align_texts(texts, a, b, memo)
-    monkeypatch.setattr(alignment, "REMEMBERED_TOKENS", 0)
+    monkeypatch.setattr(alignment, "REMEMBERED_TOKENS", -1)
     none = alignment.align_texts(texts, a, b, alignment.Memo(a, b))
     for x, y, z in zip(first, again, none):
         assert x[:5] == y[:5] == z[:5] and list(x[5]) == list(y[5]) == list(z[5]) and list(x[6]) == list(y[6]) == list(z[6])
@@ -247,4 +247,5 @@ def test_long_stretches_and_fast_path_give_the_library_s_ids():
     rng = random.Random(1)
     texts = ["".join(rng.choice("ab \n\t'stlé1２.,<|你🙂 　") for _ in range(rng.randint(1, 80))) for _ in range(300)]
     texts += [t for t in ODD if t] + ["q" * 100_000, " " * 5000 + "x", "\n" * 3000, "ab" * 50_000]
-    assert side.encode(texts) == [whole.encode(" " + t, add_special_tokens=False).ids for t in texts]
+    assert [alignment.long_stretch(t) for t in texts[-4:]] == [True] * 4 and not any(map(alignment.long_stretch, ["word " * 9999, "x" * 999]))
+    assert [x.tolist() for x in side.encode(texts)] == [whole.encode(" " + t, add_special_tokens=False).ids for t in texts]

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -29,12 +28,14 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A pair of ids is one number: the first id shifted by so many bits, and the second.
 SHIFT = 20
-#: A text with a longer stretch of white space or of anything else goes to the library whose merging is not quadratic.
-STRETCH = re.compile(r"\S{1000}|\s{1000}")
+#: A text with so long a stretch of (or without) ASCII white space goes to the library whose merging is not quadratic.
+STRETCH = 1000
 #: Windows of up to so many tokens are remembered, and so many of them at a time.
 REMEMBERED_TOKENS, REMEMBERED = 64, 200_000
 #: Characters of text that are aligned at a time; a longer text is aligned alone.
 AT_ONCE = 2_000_000
+#: Fewer than 2 ** (63 - 2 * SHIFT).
+MOST_TEXTS = 1 << 20
 #: Counted pairs are broadcast up to this number (at 40 bytes each); more are joined by a shuffle.
 BROADCAST_PAIRS = 2_000_000
 
@@ -48,14 +49,29 @@ def byte_table() -> dict[str, int]:
 
 @dataclass
 class Side:
-    """One tokenizer: texts to lists of ids, each id's bytes, and two arrays by id: length, and whether a space starts it."""
+    """One tokenizer: texts to arrays of ids, each id's bytes, and two arrays by id: length, and whether a space starts it."""
 
-    encode: Callable[[list[str]], list[list[int]]]
+    encode: Callable[[list[str]], list[np.ndarray]]
     pieces: list[bytes]
 
     def __post_init__(self) -> None:
         self.lengths = np.array([len(p) for p in self.pieces], dtype=np.int64)
         self.spaced = np.array([p[:1] == b" " for p in self.pieces])
+        self.flat, self.starts = np.frombuffer(b"".join(self.pieces), dtype=np.uint8), np.cumsum(self.lengths) - self.lengths
+        self.names = [str(k) for k in range(len(self.pieces))]
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of the ids, one after the other."""
+        lengths = self.lengths[ids]
+        return self.flat[np.repeat(self.starts[ids] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())]
+
+
+def long_stretch(text: str) -> bool:
+    if len(text) < STRETCH:
+        return False
+    blank = np.frombuffer(text.encode(), dtype=np.uint8) <= 32
+    turns = np.flatnonzero(blank[1:] != blank[:-1])
+    return bool(np.diff(turns, prepend=-1, append=len(blank)).max() >= STRETCH)
 
 
 def byte_level_side(path: str) -> Side:
@@ -78,8 +94,8 @@ def byte_level_side(path: str) -> Side:
     for t in spec.get("added_tokens", []):
         pieces[t["id"]] = t["content"].encode()
 
-    def by_library(texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    def by_library(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.int32) for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
 
     merged = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "", 1)] for m in spec["model"]["merges"]]
     before, ranks = spec.get("pre_tokenizer") or {}, {pieces[k]: k for t, k in vocab.items() if t not in special}
@@ -88,8 +104,8 @@ def byte_level_side(path: str) -> Side:
         return Side(lambda texts: by_library([f" {t}" for t in texts]), pieces)
     fast = tiktoken.Encoding("from_json", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(texts: list[str]) -> list[list[int]]:
-        return [by_library([f" {t}"])[0] if STRETCH.search(t) else fast.encode_ordinary(f" {t}") for t in texts]
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        return [by_library([f" {t}"])[0] if long_stretch(t) else fast.encode_to_numpy(f" {t}", disallowed_special=()).astype(np.int32) for t in texts]
 
     return Side(encode, pieces)
 
@@ -101,97 +117,112 @@ def piece_side(path: str) -> Side:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = range(model.get_piece_size())
     pieces = [bytes([int(model.id_to_piece(k)[3:5], 16)]) if model.is_byte(k) else model.id_to_piece(k).replace("▁", " ").encode() for k in ids]
-    return Side(lambda texts: model.encode(texts, num_threads=1), pieces)
-
-
-def align(a: list[int], b: list[int], a_lengths, b_lengths) -> tuple[list[tuple[int, int]], int, str]:
-    """Links (pairs of ids whose bytes overlap), number of groups and their text, for two token lists of the same bytes."""
-    links, groups, i, j, from_i, from_j = [], [], 0, 0, 0, 0
-    end_a, end_b = a_lengths[a[0]], b_lengths[b[0]]
-    while True:
-        links.append((a[i], b[j]))
-        a_ends, b_ends = end_a <= end_b, end_b <= end_a
-        i, j = i + a_ends, j + b_ends
-        if a_ends and b_ends:
-            groups.append(f"{','.join(map(str, a[from_i:i]))}|{','.join(map(str, b[from_j:j]))}")
-            from_i, from_j = i, j
-            if i == len(a):
-                return links, len(groups), ";".join(groups)
-        if a_ends:
-            end_a += a_lengths[a[i]]
-        if b_ends:
-            end_b += b_lengths[b[j]]
+    return Side(lambda texts: [np.array(ids, dtype=np.int32) for ids in model.encode(texts, num_threads=1)], pieces)
 
 
 class Memo:
-    """Alignments of windows by id tuples; links lie one after the other in one array."""
+    """Alignments of windows by their two id tuples, written as bytes; links lie one after the other in one array."""
 
     def __init__(self, a: Side, b: Side) -> None:
-        self.a, self.b, self.a_lengths, self.b_lengths = a, b, a.lengths.tolist(), b.lengths.tolist()
+        self.a, self.b = a, b
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[tuple[bytes, bytes], int] = {}
+        self.known: dict[bytes, int] = {}
         self.texts: list[str] = []
         self.groups, self.starts, self.flat = array("q"), array("q", [0]), array("q")
 
-    def add(self, a: list[int], b: list[int]) -> int:
-        links, groups, text = align(a, b, self.a_lengths, self.b_lengths)
-        self.flat.extend(x << SHIFT | y for x, y in links)
-        self.starts.append(len(self.flat))
-        self.groups.append(groups)
-        self.texts.append(text)
-        return len(self.texts) - 1
+    def add(self, a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> None:
+        """Align windows that lie one after the other in a and b; a window ends before each of a_ends and b_ends."""
+        bytes_a, bytes_b = np.cumsum(self.a.lengths[a]), np.cumsum(self.b.lengths[b])
+        in_a, in_b = np.zeros(bytes_a[-1] + 1, dtype=bool), np.zeros(bytes_a[-1] + 1, dtype=bool)
+        in_a[bytes_a], in_b[bytes_b] = True, True
+        # Between two neighbouring ends of either there is one token of each: a link.
+        ends = np.flatnonzero(in_a | in_b)
+        shared = in_a[ends] & in_b[ends]
+        links = a[np.searchsorted(bytes_a, ends)].astype(np.int64) << SHIFT | b[np.searchsorted(bytes_b, ends)]
+        last = np.searchsorted(ends, bytes_a[a_ends - 1]) + 1  # links up to each window's end
+        met = np.cumsum(shared)[last - 1]
+        self.starts.frombytes((last + len(self.flat)).astype(np.int64).tobytes())
+        self.flat.frombytes(links.tobytes())
+        self.groups.frombytes(np.diff(met, prepend=0).astype(np.int64).tobytes())
+        names_a, names_b = [self.a.names[k] for k in a.tolist()], [self.b.names[k] for k in b.tolist()]
+        cuts_a, cuts_b = (np.searchsorted(x, ends[shared]) + 1 for x in (bytes_a, bytes_b))
+        groups, i, j = [], 0, 0
+        for x, y in zip(cuts_a.tolist(), cuts_b.tolist(), strict=True):
+            groups.append(f"{','.join(names_a[i:x])}|{','.join(names_b[j:y])}" if x - i + y - j > 2 else f"{names_a[i]}|{names_b[j]}")
+            i, j = x, y
+        low = 0
+        for high in met.tolist():
+            self.texts.append(";".join(groups[low:high]))
+            low = high
 
 
 def align_texts(texts: list[str], a: Side, b: Side, memo: Memo) -> list[tuple]:
     """For each text (n_a, n_b, n_groups, n_links, groups' SHA-256, distinct links, how often each); zeros where bytes differ."""
     found: list[tuple] = [(0, 0, 0, 0, "", [], [])] * len(texts)
-    ids_a, ids_b, usable = a.encode(texts), b.encode(texts), []
-    for k, text in enumerate(texts):
-        want = f" {text}".encode()
-        if b"".join(map(a.pieces.__getitem__, ids_a[k])) == want == b"".join(map(b.pieces.__getitem__, ids_b[k])):
-            usable.append(k)
-    if not usable:
+    want = [f" {text}".encode() for text in texts]
+    ids, usable = (a.encode(texts), b.encode(texts)), np.full(len(texts), bool(texts))
+    for side, own in zip((a, b), ids):
+        sizes = np.array([len(x) for x in own])
+        every = np.concatenate([*own, np.zeros(0, dtype=np.int32)])
+        joined, sums = side.joined(every).tobytes(), np.concatenate([[0], np.cumsum(side.lengths[every])])
+        last = np.cumsum(sizes)
+        for k, (low, high) in enumerate(zip(sums[last - sizes].tolist(), sums[last].tolist(), strict=True)):
+            usable[k] &= joined[low:high] == want[k]
+    rows = np.flatnonzero(usable).tolist()
+    if not rows:
         return found
-    all_a = np.array([x for k in usable for x in ids_a[k]], dtype=np.int32)
-    all_b = np.array([x for k in usable for x in ids_b[k]], dtype=np.int32)
     # The texts' bytes run on from one text to the next, the same for both tokenizers.
+    all_a, all_b = (np.concatenate([own[k] for k in rows]) for own in ids)
     ends_a, ends_b = np.cumsum(a.lengths[all_a]), np.cumsum(b.lengths[all_b])
-    next_a = 1 + np.flatnonzero(np.isin(ends_a, ends_b, assume_unique=True))
-    next_b = 1 + np.flatnonzero(np.isin(ends_b, ends_a, assume_unique=True))
-    text_ends = np.cumsum([len(ids_a[k]) for k in usable])
-    anchor = np.isin(next_a, text_ends, assume_unique=True)
+    in_a, in_b = np.zeros(ends_a[-1] + 1, dtype=bool), np.zeros(ends_a[-1] + 1, dtype=bool)
+    in_a[ends_a], in_b[ends_b] = True, True
+    next_a, next_b = 1 + np.flatnonzero(in_b[ends_a]), 1 + np.flatnonzero(in_a[ends_b])
+    text_ends = np.cumsum([len(ids[0][k]) for k in rows])
+    anchor = np.zeros(len(all_a) + 1, dtype=bool)
+    anchor[text_ends] = True
+    anchor = anchor[next_a]
     inner = np.flatnonzero(~anchor)
     anchor[inner] = a.spaced[all_a[next_a[inner]]] & b.spaced[all_b[next_b[inner]]]
     cut_a, cut_b = next_a[anchor], next_b[anchor]
-    bytes_a, bytes_b, known = all_a.tobytes(), all_b.tobytes(), memo.known
-    windows, i, j = [], 0, 0
-    for x, y in zip(cut_a.tolist(), cut_b.tolist(), strict=True):
-        key = (bytes_a[4 * i : 4 * x], bytes_b[4 * j : 4 * y])
+    # All windows as bytes in one buffer: the ids of the first tokenizer, a mark, those of the second.
+    n_a, n_b = np.diff(cut_a, prepend=0), np.diff(cut_b, prepend=0)
+    stops = np.cumsum(n_a + n_b + 1)
+    buffer = np.full(stops[-1], -1, dtype=np.int32)
+    buffer[np.arange(len(all_a)) + np.repeat(stops - n_a - n_b - 1 - (cut_a - n_a), n_a)] = all_a
+    buffer[np.arange(len(all_b)) + np.repeat(stops - n_b - (cut_b - n_b), n_b)] = all_b
+    keys, known, windows, at = buffer.tobytes(), memo.known, [], 0
+    fresh: list[int] = []
+    for k, stop in enumerate((4 * stops).tolist()):
+        key = keys[at:stop]
         w = known.get(key)
         if w is None:
-            w = memo.add(all_a[i:x].tolist(), all_b[j:y].tolist())
-            if x - i + y - j <= REMEMBERED_TOKENS:
+            w = len(memo.texts) + len(fresh)
+            fresh.append(k)
+            if stop - at <= 4 * REMEMBERED_TOKENS + 4:
                 known[key] = w
         windows.append(w)
-        i, j = x, y
+        at = stop
+    if fresh:
+        new = np.array(fresh)
+        parts = [np.repeat(cut[new] - n[new] - (np.cumsum(n[new]) - n[new]), n[new]) + np.arange(n[new].sum()) for cut, n in ((cut_a, n_a), (cut_b, n_b))]
+        memo.add(all_a[parts[0]], all_b[parts[1]], np.cumsum(n_a[new]), np.cumsum(n_b[new]))
     of, starts, groups = np.array(windows), np.frombuffer(memo.starts, np.int64), np.frombuffer(memo.groups, np.int64)
     first_window = np.concatenate([[0], 1 + np.searchsorted(cut_a, text_ends)])  # each text's, and one past the last
-    text_of = np.repeat(np.arange(len(usable)), np.diff(first_window))
     n_links = starts[of + 1] - starts[of]
-    at = np.repeat(starts[of] - np.concatenate([[0], np.cumsum(n_links)[:-1]]), n_links) + np.arange(n_links.sum())
-    links, link_text = np.frombuffer(memo.flat, np.int64)[at], np.repeat(text_of, n_links)
-    order = np.lexsort((links, link_text))
-    links, link_text = links[order], link_text[order]
-    fresh = np.flatnonzero(np.concatenate([[True], (links[1:] != links[:-1]) | (link_text[1:] != link_text[:-1])]))
-    times, pairs = np.diff(np.append(fresh, len(links))), links[fresh]
-    bounds = np.searchsorted(link_text[fresh], np.arange(len(usable) + 1))
-    sums = np.add.reduceat(np.stack([n_links, groups[of]]), first_window[:-1], axis=1)
-    for t, k in enumerate(usable):
+    links_to = np.cumsum(n_links)
+    links = np.frombuffer(memo.flat, np.int64)[np.repeat(starts[of] - (links_to - n_links), n_links) + np.arange(links_to[-1])]
+    # One number for text and link: a link has 2 * SHIFT bits, and a batch fewer than 2 ** 20 texts.
+    order = np.sort(np.repeat(np.arange(len(rows)), np.diff(np.concatenate([[0], links_to])[first_window])) << 2 * SHIFT | links)
+    fresh_at = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]]))
+    times, pairs = np.diff(np.append(fresh_at, len(order))), order[fresh_at] & (1 << 2 * SHIFT) - 1
+    bounds = np.searchsorted(order[fresh_at], np.arange(len(rows) + 1) << 2 * SHIFT)
+    sums = np.add.reduceat(np.stack([n_links, groups[of]]), first_window[:-1], axis=1).tolist()
+    for t, k in enumerate(rows):
         text = ";".join([memo.texts[w] for w in windows[first_window[t] : first_window[t + 1]]])
         here = slice(bounds[t], bounds[t + 1])
-        found[k] = (len(ids_a[k]), len(ids_b[k]), int(sums[1, t]), int(sums[0, t]), hashlib.sha256(text.encode()).hexdigest(), pairs[here], times[here])
+        found[k] = (len(ids[0][k]), len(ids[1][k]), sums[1][t], sums[0][t], hashlib.sha256(text.encode()).hexdigest(), pairs[here], times[here])
     return found
 
 
@@ -213,7 +244,7 @@ def _align_batches(a_path: str, b_path: str):
             start = 0
             while start < len(ids):
                 end, size = start, 0
-                while end < len(ids) and (end == start or size + len(texts[end] or "") <= AT_ONCE):
+                while end < len(ids) and (end == start or end - start < MOST_TEXTS and size + len(texts[end] or "") <= AT_ONCE):
                     size += len(texts[end] or "")
                     end += 1
                 if len(memo.known) > REMEMBERED or len(memo.flat) > 20 * REMEMBERED:
