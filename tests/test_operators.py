@@ -161,6 +161,49 @@ def test_enriched_entities(spark):
         geo.enrich(entities, fixes, areas, tiers, areas.where("area_id = 1").select("area_id")).collect()
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("each", [100_000, 40, 1])
+def test_average_ranks_are_summed_over_ranges(spark, each):
+    rng = random.Random(each)
+    values = [rng.choice([None, -0.5, 0.0, 1e9, rng.random(), rng.randint(0, 30) / 3]) for _ in range(600)]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double")
+    ranked = evaluation.average_ranks(df, "v", "r", each)
+    known = sorted(v for v in values if v is not None)
+    want = {v: (known.index(v) + 1 + len(known) - known[::-1].index(v)) / 2 for v in set(known)}
+    assert {r.k: r.r for r in ranked.collect()} == {k: None if v is None else want[v] for k, v in enumerate(values)}
+    assert ("SinglePartition" in plan_of(ranked)) == (each > 600)  # one range of bounded size, else none
+    assert evaluation.average_ranks(df.limit(0), "v", "r").count() == 0
+
+
+def test_wrong_values_are_bounded_before_they_meet(spark):
+    df = spark.range(50_000).selectExpr("id", "concat('v', lpad(id, 6, '0')) as a", "if(id % 2 = 0, 'ok', null) as b", "if(id = 7, 'odd', 'ok') as c")
+    out = contracts.report(df, contracts.Contract(("id",), (), {"a": ("x",), "b": ("ok",), "c": ("ok",)}))
+    found = {r.rule: (r.n, r.found) for r in out.collect()}
+    assert found["allowed:a"] == (50_000, ", ".join(f"v{k:06d}" for k in range(5))) and found["allowed:b"] == (0, "") and found["allowed:c"] == (1, "odd")
+    assert "WindowGroupLimit" in plan_of(out) and "collect_set" not in plan_of(out)
+
+
+def test_nearest_known_year_by_one_order(spark):
+    rng = random.Random(6)
+    known = [(c, rng.randint(1990, 2030), rng.random()) for c in "abcd" for _ in range(5)]
+    wanted = [(c, y) for c in "abcde" for y in range(1985, 2035, 1)] + [("a", 2000)]
+    out = holidays.nearest_year(spark.createDataFrame(wanted, "code string, year int"), spark.createDataFrame(known, "code string, year int, value double"), ["code"])
+    got = {(r.code, r.year): (r.known_year, r.value) for r in out.collect()}
+    assert got == {(c, y): min(((abs(k - y), k, v) for code, k, v in known if code == c))[1:] for c, y in set(wanted) if c != "e"}
+    assert "Join" not in plan_of(out)
+
+
+def test_sundays_named_as_exceptions_stay(spark):
+    a = spark.createDataFrame([(1, "x", datetime.date(2024, 5, 4))], "row int, code string, date date")
+    b = spark.createDataFrame([(2, "x", datetime.date(2024, 5, 5)), (3, "y", datetime.date(2024, 5, 5)), (4, "y", datetime.date(2024, 5, 6)), (5, "z", datetime.date(2024, 5, 12))], "row int, code string, date date")
+    named = spark.createDataFrame([("y",), ("x",)], "code string")
+    assert sorted(r.row for r in holidays.supplement(a, b, ["code"]).collect()) == [1, 4]
+    assert sorted(r.row for r in holidays.supplement(a, b, ["code"], named).collect()) == [1, 3, 4]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "c.csv").write_text("entity_id,date,status,label,predicted,opens,closes,events\n1,2020-01-02,open,50,TRUE,10:00,18:00,\n1,2020-01-03,open,,x,,,\n")
     rows = files.read_calendar(spark, str(tmp_path / "c.csv")).orderBy("day").collect()

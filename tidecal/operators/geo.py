@@ -53,12 +53,12 @@ def market_prior(entities: DataFrame, places: DataFrame, regions: DataFrame) ->
 
 
 def top_mass(prior: DataFrame, mass: float = 0.99, most: int = 150) -> DataFrame:
-    """Largest weights of an entity up to a cumulative mass (the row that reaches it included), renormalised to sum 1 after rounding to 4."""
+    """Largest weights of an entity up to a cumulative mass (the row that reaches it included), renormalised to sum 1 after rounding to 8."""
     order = Window.partitionBy("entity_id").orderBy(F.desc("prior_weight"), "region_id")
     ranked = prior.withColumns({"before": F.coalesce(F.sum("prior_weight").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), "rn": F.row_number().over(order)})
     kept = ranked.where((F.col("before") < mass) & (F.col("rn") <= most))
     entity = Window.partitionBy("entity_id")
-    rounded = kept.withColumn("w", F.floor(F.col("prior_weight") / F.sum("prior_weight").over(entity) * 10_000 + 0.5) / 10_000)
+    rounded = kept.withColumn("w", F.floor(F.col("prior_weight") / F.sum("prior_weight").over(entity) * 1e8 + 0.5) / 1e8)
     return rounded.select("entity_id", "region_id", F.when(F.col("rn") == 1, F.col("w") + 1 - F.sum("w").over(entity)).otherwise(F.col("w")).alias("weight"))
 
 

@@ -85,10 +85,18 @@ def interval_share(intervals: DataFrame) -> DataFrame:
 
 
 def nearest_year(wanted: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
-    """The known year nearest to the wanted one, the earlier on ties, with its value."""
-    pairs = wanted.join(known.withColumnRenamed("year", "known_year"), keys)
-    best = F.min_by(F.struct("known_year", "value"), F.struct(F.abs(F.col("year") - F.col("known_year")), F.col("known_year")))
-    return pairs.groupBy(*keys, "year").agg(best.alias("b")).select(*keys, "year", F.col("b.known_year").alias("known_year"), F.col("b.value").alias("value"))
+    """The known year nearest to the wanted one, the earlier on ties, with its value (the least of a year with several).
+
+    Wanted and known years of a key lie in one order of years: each wanted one looks at the last known before or at it and
+    the first after, so no two years are paired. Wanted years of a key without known ones have no row.
+    """
+    value = F.struct(F.col("year").alias("known_year"), "value")
+    both = wanted.select(*keys, "year").distinct().withColumn("_known", F.lit(None).cast(known.select(value).schema[0].dataType)).unionByName(known.groupBy(*keys, "year").agg(F.min("value").alias("value")).select(*keys, "year", value.alias("_known")))
+    years = Window.partitionBy(*keys).orderBy("year")
+    found = both.withColumns({"_back": F.max("_known").over(years.rangeBetween(Window.unboundedPreceding, 0)), "_ahead": F.min("_known").over(years.rangeBetween(0, Window.unboundedFollowing))})
+    back, ahead = F.col("year") - F.col("_back.known_year"), F.col("_ahead.known_year") - F.col("year")
+    best = F.when(back.isNull() | (ahead < back), F.col("_ahead")).otherwise(F.col("_back"))
+    return found.where("_known is null and (_back is not null or _ahead is not null)").select(*keys, "year", best.alias("b")).select(*keys, "year", "b.known_year", "b.value")
 
 
 def disagreements(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,9 +105,13 @@ def disagreements(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return both.where("_a is null or _b is null").select(*keys, F.when(F.col("_a").isNull(), "b").otherwise("a").alias("only_in"))
 
 
-def supplement(a: DataFrame, b: DataFrame, group: list[str]) -> DataFrame:
-    """a, and the rows of b for groups that a lacks, without Sundays."""
-    return a.unionByName(b.join(a.select(*group).distinct(), group, "left_anti").where(F.weekday("date") != 6))
+def supplement(a: DataFrame, b: DataFrame, group: list[str], sundays: DataFrame | None = None) -> DataFrame:
+    """a, and the rows of b for groups that a lacks, without Sundays but those that `sundays` names by some columns of b."""
+    lacking = b.join(a.select(*group).distinct(), group, "left_anti")
+    kept = lacking.where(F.weekday("date") != 6)
+    if sundays is not None:
+        kept = kept.unionByName(lacking.where(F.weekday("date") == 6).join(sundays.distinct(), sundays.columns, "left_semi").select(*kept.columns))
+    return a.unionByName(kept)
 
 
 def term_gaps(terms: DataFrame) -> DataFrame:

@@ -119,8 +119,8 @@ query(
 )(lambda s, d: holidays.disagreements(*kinds(s, d), ["code", "day"]))
 query(
     "supplement_groups",
-    oracle("with a as (select * from source_rows where type = 'school'), b as (select * from source_rows where type = 'national') select row_id, code, day from a union all select row_id, code, day from b where (code, day) not in (select (code, day) from a) and isodow(date) <> 7", "source_rows"),
-)(lambda s, d: holidays.supplement(*kinds(s, d), ["code", "day"]).select("row_id", "code", "day"))
+    oracle("with a as (select * from source_rows where type = 'school'), b as (select * from source_rows where type = 'national') select row_id, code, day from a union all select row_id, code, day from b where (code, day) not in (select (code, day) from a) and (isodow(date) <> 7 or code in ('R1', 'R2-2'))", "source_rows"),
+)(lambda s, d: holidays.supplement(*kinds(s, d), ["code", "day"], s.sql("select explode(array('R1', 'R2-2')) as code")).select("row_id", "code", "day"))
 query("term_gaps", oracle("with n as (select state, end_day, lead(start_day) over (partition by state order by start_day, end_day, row_id) as nx from intervals) select state, end_day + 1 as start_day, nx - 1 as end_day from n where nx > end_day + 1", "intervals"))(lambda s, d: holidays.term_gaps(iv(s, d)))
 query(
     "weekend_inherit",
@@ -223,7 +223,7 @@ query(
     "top_mass",
     oracle(
         """with r as (select *, coalesce(sum(prior) over (o rows between unbounded preceding and 1 preceding), 0) as before, row_number() over o as rn from markets window o as (partition by entity_id order by prior desc, region_id)),
-        k as (select entity_id, region_id, rn, floor(prior / sum(prior) over (partition by entity_id) * 10000 + 0.5) / 10000 as w from r where before < 0.9 and rn <= 20) select entity_id, region_id, case when rn = 1 then w + 1 - sum(w) over (partition by entity_id) else w end as weight from k""",
+        k as (select entity_id, region_id, rn, floor(prior / sum(prior) over (partition by entity_id) * 1e8 + 0.5) / 1e8 as w from r where before < 0.9 and rn <= 20) select entity_id, region_id, case when rn = 1 then w + 1 - sum(w) over (partition by entity_id) else w end as weight from k""",
         "markets",
     ),
 )(lambda s, d: geo.top_mass(view(s, d, "markets").withColumnRenamed("prior", "prior_weight"), 0.9, 20))
