@@ -2,6 +2,8 @@
 
 import itertools
 
+from statistics import NormalDist
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -162,7 +164,7 @@ def test_blanks_follow_lags_and_take_a_quarter_of_the_weather(spark):
 @pytest.fixture(scope="module")
 def gated(spark):
     frame = labelled_frame(spark).cache()
-    return frame, models.GatedModel.fit(frame, COLUMNS, HISTORY, 9440, 3, ("temp_max",), iterations=3)
+    return frame, models.GatedModel.fit(frame, COLUMNS, HISTORY, 9440, ("temp_max",), iterations=3)
 
 
 def test_gate_and_drift_effect(spark, gated):
@@ -188,7 +190,7 @@ def test_replay_never_sees_labels_of_its_own_days(spark):
     frame = labelled_frame(spark, n=430)
     later = frame.withColumn("label", F.when(F.col("day") >= 9410, 0.0).otherwise(F.col("label")))
     archived = frame.select("entity_id", "day", F.explode(F.array(F.lit(1), F.lit(7))).alias("weather_lead"), F.lit(5.0).alias("temp_max"))
-    a, b = (models.replay(x, 9400, 9414, COLUMNS, HISTORY, 3, ["temp_max"], archived, leads=(1, 7, 30), refit=10, iterations=2).collect() for x in (frame, later))
+    a, b = (models.replay(x, 9400, 9414, COLUMNS, HISTORY, ["temp_max"], archived, leads=(1, 7, 30), refit=10, iterations=2).collect() for x in (frame, later))
     a, b = ({(r.made_day, r.entity_id, r.day, r.lead_days): r.prediction for r in x} for x in (a, b))
     assert set(a) == set(b) and all(k[2] - k[0] == k[3] and 9400 <= k[0] <= 9414 for k in a)
     # The first fit knows days up to 9399, the second up to 9409: neither may move.
@@ -199,7 +201,7 @@ def test_replay_never_sees_labels_of_its_own_days(spark):
 
 def test_comparison_chooses_on_validation_days(spark):
     frame = labelled_frame(spark, entities=2, n=400).withColumn("split", F.when(F.col("day") < 9250, "train").when(F.col("day") < 9320, "valid").otherwise("test"))
-    got = {r.model: r for r in models.compare(frame, ["dow", "temp_max"], 2, depths=(3,), penalties=(0.1, 100.0)).collect()}
+    got = {r.model: r for r in models.compare(frame, ["dow", "temp_max"], depths=(3,), penalties=(0.1, 100.0)).collect()}
     assert {k.split(",")[0] for k in got} == {"forest", "ridge", "mean"} and "ridge, penalty 0.1" in got and len({r.n for r in got.values()}) == 1
 
 
@@ -224,7 +226,7 @@ def planted(spark, lift):
     frame = spark.createDataFrame(days_, "entity_id int, day int, label double").withColumn("date", F.date_from_unix_date("day"))
     markets = spark.createDataFrame([(e, c, 0.25) for e in (1, 2) for c in on], "entity_id int, code string, prior double")
     none = spark.createDataFrame([], "entity_id int, day int, rn int"), markets, spark.createDataFrame(shares, "code string, day int, national double, school double")
-    got = fitting.market_weights(frame, *none, spark.createDataFrame([("r1",)], "code string"), draws=12).collect()
+    got = fitting.market_weights(frame, *none, spark.createDataFrame([("r1", y) for y in range(1994, 1999)], "code string, year int"), draws=12).collect()
     return {(r.entity_id, r.code, r.type): r for r in got}
 
 
@@ -233,18 +235,144 @@ def test_planted_market_is_found_and_noise_keeps_the_prior(spark):
     national = {c: got[1, c, "national"] for c in ("r0", "r1", "r2", "r3")}
     assert sum(r.weight for r in national.values()) == pytest.approx(1) and national["r0"].weight > 0.6 and national["r0"].rho > 0
     assert national["r0"].ci_low <= national["r0"].weight <= national["r0"].ci_high + 1e-9 and national["r0"].stability == 1 and national["r0"].n_obs > 50
-    assert national["r0"].weight <= fitting.CAP * 0.25 + fitting.CAP_FLOOR + 0.3 and national["r0"].r2 > 0.1 and national["r0"].agree_rank > 0.8
+    assert national["r0"].weight <= fitting.CAP_TIMES * 0.25 + fitting.CAP_FLOOR and national["r0"].r2 > 0.1 and national["r0"].agree_rank > 0.8
     assert all(r.prior_only and r.weight == (1.0 if r.code == "r1" else 0.0) for k, r in got.items() if k[2] == "school")
     quiet = planted(spark, 0.0)
     assert all(r.prior_only and r.weight == pytest.approx(0.25) and r.ci_low is None for k, r in quiet.items() if k[2] == "national")
 
 
-def test_blends_need_a_gain():
-    flat = {(a, b): 0.1 for a in fitting.BLENDS for b in fitting.BLENDS}
-    assert fitting.choose(flat) == (0.0, 0.0)
-    national = {(a, b): 0.1 + 0.2 * min(a, 0.5) for a, b in flat}
-    assert fitting.choose(national) == (0.5, 0.0)
-    both = {(a, b): 0.1 + 0.25 * min(a, 0.8) + 0.1 * (b >= 0.25) for a, b in flat}
-    assert fitting.choose(both) == (0.75, 0.25)
-    w = fitting.blended(np.array([5.0, 0.0, 0.0]), np.array([0.1, 0.3, 0.6]), 1.0)
-    assert w.sum() == pytest.approx(1) and (w >= 0).all() and fitting.blended(np.zeros(3), np.array([0.2, 0.3, 0.5]), 1.0)[2] == 0.5
+def table_of(r2):
+    return np.array([[r2(a, b) for b in fitting.BLENDS] for a in fitting.BLENDS])
+
+
+def test_blends_need_a_gain(spark):
+    flat, national, both = (lambda a, b: 0.1, lambda a, b: 0.1 + 0.2 * min(a, 0.5), lambda a, b: 0.1 + 0.25 * min(a, 0.8) + 0.1 * (b >= 0.25))
+    small, school = lambda a, b: 0.1 + 0.001 * a, lambda a, b: 0.1 + 0.3 * (b > 0.3) - 0.1 * a
+    want = [(0.0, 0.0), (0.5, 0.0), (0.75, 0.25), (0.0, 0.0), (0.0, 0.5)]
+    for r2, pair in zip((flat, national, both, small, school), want):
+        assert tuple(fitting.BLENDS[k] for k in fitting.blends_by_gain(table_of(r2))) == pair
+    rng = np.random.default_rng(3)
+    tables = [table_of(r2) for r2 in (flat, national, both, small, school)] + [rng.normal(0, 0.002 if k % 2 else 0.2, (4, 4)) for k in range(40)]
+    rows = [(k, fitting.BLENDS[a], fitting.BLENDS[b], float(t[a, b])) for k, t in enumerate(tables) for a, b in np.ndindex(4, 4)]
+    got = {r.entity_id: (r.national, r.school) for r in scores.blend_choice(spark.createDataFrame(rows, "entity_id int, national double, school double, r2 double")).collect()}
+    assert got == {k: tuple(fitting.BLENDS[x] for x in fitting.blends_by_gain(t)) for k, t in enumerate(tables)}
+
+
+def test_capped_blend_is_one_level(spark):
+    """min(cap, level * mixed): sums to 1, no weight over its cap, all others in one proportion; table and array agree."""
+    rng, rows, want = np.random.default_rng(5), [], {}
+    for e in range(60):
+        prior = rng.dirichlet(np.full(7, rng.choice([0.05, 0.5, 3])))
+        fitted = rng.choice([0.0, 1.0], 7) * rng.exponential(1, 7) * (e % 6 != 0)
+        w = fitting.mixture(fitted, prior, 0.75)
+        want |= {(e, f"c{k}"): w[k] for k in range(7)}
+        rows += [(e, f"c{k}", float(prior[k]), float(fitted[k]) if k or e % 2 else None if fitted[k] == 0 else float(fitted[k])) for k in range(7)]
+        assert w.sum() == pytest.approx(1)
+        if fitted.sum() > 0:
+            mixed, cap = 0.25 * prior + 0.75 * fitted / fitted.sum(), fitting.CAP_TIMES * prior + fitting.CAP_FLOOR
+            free = w < cap * (1 - 1e-9)
+            assert (w <= cap * (1 + 1e-9)).all() and np.ptp(w[free] / mixed[free]) < 1e-9 and (w[~free] <= mixed[~free] * (w[free] / mixed[free]).max(initial=1) + 1e-9).all()
+        else:
+            assert w is prior
+    got = scores.blend(spark.createDataFrame(rows, "entity_id int, code string, prior double, fitted double"), 0.75).collect()
+    assert {(r.entity_id, r.code): r.weight for r in got} == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}
+    assert fitting.poured(np.array([0.5, 0.5]), np.array([0.1, 0.3])).tolist() == pytest.approx([0.25, 0.75])
+
+
+def test_gram_blocks_are_the_sums_of_dense_products(spark):
+    """Controls, features and targets, by fold and month or year, against a dense matrix product; shifts move features alone."""
+    rng = np.random.default_rng(9)
+    days_ = [(1, 9000 + k, float(rng.integers(1, 100))) for k in range(0, 420, 2)]
+    frame = spark.createDataFrame(days_, "entity_id int, day int, label double").withColumn("date", F.date_from_unix_date("day"))
+    calendar = spark.createDataFrame([(c, int(d), float(rng.choice([0.3, 1.0])), float(rng.choice([0.0, 0.8]))) for c in ("a", "b") for d in sorted(set(rng.integers(9000, 9420, 90).tolist()))], "code string, day int, national double, school double")
+    markets = spark.createDataFrame([(1, "a", 0), (1, "b", 1)], "entity_id int, code string, idx int")
+    events = spark.createDataFrame([(1, 9000 + k, 1) for k in range(0, 200, 10)], "entity_id int, day int, rn int")
+    rows, nc = fitting.sparse_days(frame.withColumn("use_school", F.col("day") % 4 == 0), events, (1994, 1995))
+    sizes, features = spark.createDataFrame([(1, 2)], "entity_id int, k int"), fitting.feature_days(markets, calendar, (0, 5))
+    held = calendar.collect()
+    low, span = min(r.day for r in held), max(r.day for r in held) - min(r.day for r in held) + 1
+    for by_month in (True, False):
+        got = {(r.fold, r.month if by_month else r.month // 100, r.shift): r for r in fitting.gram_blocks(rows, features, sizes, nc, 2, by_month).collect()}
+        for k, shift in enumerate((0, 5)):
+            dense = {}
+            for r in rows.collect():
+                x = np.zeros(nc + 3 + 4)
+                x[r.base_i] = r.base_x
+                for c in held:
+                    if low + (c.day - low + shift) % span == r.day:
+                        i = nc + 3 + "ab".index(c.code)
+                        x[i], x[i + 2] = c.national, c.school * r.use_school
+                dense.setdefault((r.fold, r.month if by_month else r.month // 100), []).append(x)
+            assert {key[:2] for key in got} == set(dense)
+            for key, x in dense.items():
+                gram = np.stack(x).T @ np.stack(x)
+                assert np.array(got[*key, -1].sums) == pytest.approx(gram[: nc + 3, : nc + 3].ravel(), abs=1e-9)
+                assert np.array(got[*key, k].sums) == pytest.approx(gram[nc + 3 :].ravel(), abs=1e-9)
+                assert got[*key, k].intense == (np.stack(x)[:, nc + 3 :] > 0.5).sum(0).tolist()
+    p = [0.0001, 0.01, 0.02425, 0.3, 0.5, 0.9, 0.98, 0.99999]
+    found = spark.createDataFrame([(x,) for x in p], "p double").select(fitting.normal_score(F.col("p")).alias("z")).collect()
+    assert [r.z for r in found] == pytest.approx([NormalDist().inv_cdf(x) for x in p], abs=1e-7)
+
+
+def test_years_without_school_calendars_are_left_out(spark):
+    """In one of three years no school calendar is known, and labels rise in it on the days that would be holidays."""
+    rng, days_, shares = np.random.default_rng(1), [], []
+    on = {y: [9131 + 365 * y + int(k) for k in rng.choice(365, 70, replace=False)] for y in range(3)}
+    off = {9131 + 365 * 2 + int(k) for k in rng.choice(365, 120, replace=False)}
+    for k in range(9131, 9131 + 1095):
+        year = (k - 9131) // 365
+        lift = 0.5 * (k in on[year]) if year < 2 else 1.5 * (k in off)
+        days_.append((1, k, float(np.clip(30 * np.exp(lift + rng.normal(0, 0.1)), 1, 100))))
+    shares = [("a", k, 0.0, 1.0) for y in (0, 1) for k in on[y]] + [("b", k, 0.0, 1.0) for y in (0, 1) for k in rng.choice(on[y], 20).tolist()]
+    frame = spark.createDataFrame(days_, "entity_id int, day int, label double").withColumn("date", F.date_from_unix_date("day"))
+    markets = spark.createDataFrame([(1, "a", 0.7), (1, "b", 0.3)], "entity_id int, code string, prior double")
+    events = spark.createDataFrame([], "entity_id int, day int, rn int")
+    calendar = spark.createDataFrame(shares, "code string, day int, national double, school double").groupBy("code", "day").agg(F.max("national").alias("national"), F.max("school").alias("school"))
+    years = spark.createDataFrame([(c, y) for c in "ab" for y in (1995, 1996)], "code string, year int")
+    got = {r.code: r for r in fitting.market_weights(frame, events, markets, calendar, years, draws=4).where("type = 'school'").collect()}
+    assert got["a"].n_days == 731 and got["a"].effect == pytest.approx(0.5, abs=0.1) and got["a"].effect_low <= got["a"].effect <= got["a"].effect_high + 0.05
+    assert fitting.covered_days(frame, markets, years.where("code = 'b'")).where("use_school").isEmpty()
+    every = fitting.covered_days(frame, markets, years.limit(0))
+    assert every.count() == 1095 and fitting.market_weights(frame.limit(0), events, markets, calendar, years).count() == 0
+
+
+def test_the_real_calendar_stands_out_among_shifts_and_noise_does_not(spark):
+    rng, days_ = np.random.default_rng(12), []
+    on = sorted(rng.choice(np.arange(9000, 10000), 80, replace=False).tolist())
+    for e in (1, 2, 3, 4):
+        days_ += [(e, k, float(np.clip(40 * np.exp((0.4 if e < 3 else 0.0) * (k in on) + rng.normal(0, 0.2)), 1, 100))) for k in range(9000, 10000)]
+    frame = spark.createDataFrame(days_, "entity_id int, day int, label double").withColumn("date", F.date_from_unix_date("day"))
+    markets = spark.createDataFrame([(e, "a", 1.0) for e in (1, 2, 3, 4)], "entity_id int, code string, prior double")
+    calendar = spark.createDataFrame([("a", k, 1.0, 0.0) for k in on], "code string, day int, national double, school double")
+    none = spark.createDataFrame([], "code string, year int")
+    got = {r.entity_id: r for r in fitting.placebo_ranks(frame, spark.createDataFrame([], "entity_id int, day int, rn int"), markets, calendar, none, tuple(range(31, 31 * 20, 31))).collect()}
+    assert all(got[e].p_value == 0.05 and got[e].r2 > 0.1 > got[e].median_shifted for e in (1, 2)) and all(got[e].shifts == 19 for e in got)
+    assert all(got[e].p_value > 0.05 for e in (3, 4))
+
+
+def test_entity_means_hold_no_label_of_their_own_fold(spark):
+    """A changed label changes the inputs of other folds' rows of its entity, and never its own row's (or fold's)."""
+    rows = [(e, d, float(10 * e + d % 7)) for e in range(4) for d in range(60)]
+    schema = "entity_id int, day int, label double"
+    frame = spark.createDataFrame(rows, schema)
+    later = spark.createDataFrame([(e, d, 1000.0 if (e, d) == (2, 30) else y) for e, d, y in rows], schema)
+    a, b = ({(r.entity_id, r.day): (r.entity_mean, r.fold) for r in models.EntityMeans(x, {"mean": F.col("label")}).learned.withColumn("fold", F.pmod(F.xxhash64("day"), F.lit(5))).collect()} for x in (frame, later))
+    own = a[2, 30][1]
+    assert all((a[k] == b[k]) == (a[k][1] == own) for k in a if k[0] == 2) and a[2, 30] == b[2, 30]
+    assert all(a[k] == b[k] for k in a if a[k][1] == own)
+    for (e, d), (mean, fold) in a.items():
+        rest = [y for e2, d2, y in rows if e2 == e and a[e2, d2][1] != fold]
+        around = [y for e2, d2, y in rows if a[e2, d2][1] != fold]
+        assert mean == pytest.approx((sum(rest) + 20 * sum(around) / len(around)) / (len(rest) + 20))
+    means = models.EntityMeans(frame, {"mean": F.col("label"), "high": F.col("label") > 20})
+    met = {r.entity_id: (r.entity_mean, r.entity_high) for r in means.known(spark.createDataFrame([(3,), (99,)], "entity_id int")).collect()}
+    every = sum(y for *_, y in rows) / len(rows)
+    assert met[99][0] == pytest.approx(every) and met[3][0] == pytest.approx((sum(y for e, _, y in rows if e == 3) + 20 * every) / 80) and met[3][1] > 0.8
+
+
+def test_twenty_thousand_entities_fit(spark):
+    """Entities are numbers to the trees: no category limits them, and the level of each is learned."""
+    frame = spark.range(100_000).selectExpr("cast(id % 20000 as int) as entity_id", "cast(id div 20000 as int) as day", "cast((id % 20000) % 90 + (id div 20000) as double) as label", "cast(id % 7 as int) as dow", "date_add(date'1995-01-01', cast(id div 20000 as int)) as date")
+    got = models.forest(frame.where("day < 4"), frame.where("day = 4"), ["dow"])
+    r = got.agg(F.corr("label", "prediction").alias("r"), F.count(F.lit(1)).alias("n")).first()
+    assert r.n == 20_000 and r.r > 0.6

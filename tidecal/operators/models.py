@@ -9,7 +9,7 @@ from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .evaluation import error_by, history_gate
@@ -50,18 +50,55 @@ def prepared(df: DataFrame, columns: list[str], missing: float = MISSING) -> Dat
     return df.withColumns({**{f"{c}_v": F.coalesce(F.col(c).cast("double"), F.lit(missing)) for c in columns}, **{f"{c}_gone": F.col(c).isNull().cast("double") for c in columns}})
 
 
-def _inputs(columns: list[str], with_entity: bool) -> list[str]:
-    return [x for c in columns for x in (f"{c}_v", f"{c}_gone")] + (["entity_code"] if with_entity else [])
+class EntityMeans:
+    """Entities as numbers: each target's mean over an entity's training rows, drawn to the mean of all by SHRINK rows.
 
+    However many entities there are, a tree splits them like any other number. learned: the training rows with the means
+    out of fold, so that no row's own label (nor those of its fold's days) is in its inputs. A new entity has the mean of
+    all. table: one row an entity.
+    """
+
+    FOLDS, SHRINK = 5, 20.0
+
+    def __init__(self, train: DataFrame, targets: dict[str, Column]):
+        self.names = [f"entity_{name}" for name in targets]
+        entity = Window.partitionBy("entity_id")
+        rows = train.withColumns({"_fold": F.pmod(F.xxhash64("day"), F.lit(self.FOLDS)), **{f"_{c}": t.cast("double") for c, t in zip(self.names, targets.values())}})
+        sums = [x for c in self.names for x in (F.sum(f"_{c}").alias(f"_s{c}"), F.count(f"_{c}").alias(f"_n{c}"))]
+        found = {r["_fold"]: r for r in rows.groupBy("_fold").agg(*sums).collect()}  # FOLDS rows
+
+        def mean(name: str, without: int | None = None) -> float:
+            kept = [r for k, r in found.items() if k != without]
+            return float(sum(r[f"_s{name}"] or 0 for r in kept) / max(1, sum(r[f"_n{name}"] for r in kept)))
+
+        self.means = {c: mean(c) for c in self.names}
+        learned, known = {}, {}
+        for c in self.names:
+            around = F.element_at(F.array(*[F.lit(mean(c, k)) for k in range(self.FOLDS)]), (F.col("_fold") + 1).cast("int"))
+            rest = [f(f"_{c}").over(entity) - F.coalesce(f(f"_{c}").over(Window.partitionBy("entity_id", "_fold")), F.lit(0)) for f in (F.sum, F.count)]
+            learned[c] = (F.coalesce(rest[0], F.lit(0.0)) + self.SHRINK * around) / (rest[1] + self.SHRINK)
+            known[c] = (F.coalesce(F.sum(f"_{c}"), F.lit(0.0)) + self.SHRINK * self.means[c]) / (F.count(f"_{c}") + self.SHRINK)
+        self.learned = rows.withColumns(learned).drop("_fold", *[f"_{c}" for c in self.names])
+        self.table = rows.groupBy("entity_id").agg(*[v.alias(c) for c, v in known.items()])
 
-def tree_pipeline(estimator, columns: list[str], with_entity: bool) -> Pipeline:
-    steps = [StringIndexer(inputCol="entity_name", outputCol="entity_code", handleInvalid="keep")] if with_entity else []
-    return Pipeline(stages=[*steps, VectorAssembler(inputCols=_inputs(columns, with_entity), outputCol="inputs"), estimator])
+    def known(self, rows: DataFrame, more: DataFrame | None = None) -> DataFrame:
+        """rows with their entities' means, by one join; more: another table by entity_id, joined beforehand."""
+        table = self.table if more is None else self.table.join(more, "entity_id", "full_outer")
+        return rows.join(table, "entity_id", "left").fillna(self.means)
+
+
+def _inputs(columns: list[str], entity: tuple[str, ...] = ()) -> list[str]:
+    return [x for c in columns for x in (f"{c}_v", f"{c}_gone")] + list(entity)
+
+
+def tree_pipeline(estimator, columns: list[str], entity: tuple[str, ...] = ()) -> Pipeline:
+    """entity: numbers that stand for the entity, without missing values."""
+    return Pipeline(stages=[VectorAssembler(inputCols=_inputs(columns, entity), outputCol="inputs"), estimator])
 
 
 def _named(df: DataFrame, columns: list[str], blank: tuple[str, ...] = (), missing: float = MISSING) -> DataFrame:
     """Model inputs beside the row's own columns; columns in blank count as missing."""
-    out = prepared(df, columns, missing).withColumn("entity_name", F.col("entity_id").cast("string"))
+    out = prepared(df, columns, missing)
     return out.withColumns({f"{c}_v": F.lit(MISSING) for c in blank} | {f"{c}_gone": F.lit(1.0) for c in blank})
 
 
@@ -74,28 +111,30 @@ def _score(model: PipelineModel, df: DataFrame, columns: list[str], out: str, bl
 class GatedModel:
     """An entity's own model where it has enough history, else one without identity and history columns."""
 
-    def __init__(self, full: PipelineModel, fallback: PipelineModel, gate: DataFrame, columns: list[str]):
-        self.full, self.fallback, self.gate, self.columns = full, fallback, gate, columns
+    def __init__(self, full: PipelineModel, fallback: PipelineModel, gate: DataFrame, columns: list[str], means: EntityMeans):
+        self.full, self.fallback, self.gate, self.columns, self.means = full, fallback, gate, columns, means
         self.drifts = tuple(c for c in columns if c.startswith("drift"))
 
     @classmethod
-    def fit(cls, train: DataFrame, columns: list[str], history: list[str], cutoff_day: int, entities: int, weather: tuple[str, ...] = (), excluded: str | None = None, iterations: int = 8, least_years: float = 1.0) -> GatedModel:
+    def fit(cls, train: DataFrame, columns: list[str], history: list[str], cutoff_day: int, weather: tuple[str, ...] = (), excluded: str | None = None, iterations: int = 8, least_years: float = 1.0) -> GatedModel:
         """Fitted on blanked() rows up to the cutoff, without those that the column `excluded` marks; these count as history."""
         upto = train.where(F.col("day") <= cutoff_day)
         learned = upto.where(~F.coalesce(F.col(excluded).cast("boolean"), F.lit(False))) if excluded else upto
-        rows = _named(blanked(learned, [c for c in weather if c in columns]), columns).cache()
+        means = EntityMeans(learned, {"mean": F.col("label")})
+        rows = _named(blanked(means.learned, [c for c in weather if c in columns]), columns).cache()
 
         def trees() -> GBTRegressor:
-            return GBTRegressor(featuresCol="inputs", labelCol="label", maxIter=iterations, maxDepth=5, stepSize=0.3, maxBins=max(32, entities + 1), seed=3)
+            return GBTRegressor(featuresCol="inputs", labelCol="label", maxIter=iterations, maxDepth=5, stepSize=0.3, maxBins=64, seed=3)
 
-        full = tree_pipeline(trees(), columns, True).fit(rows)
-        fallback = tree_pipeline(trees(), [c for c in columns if c not in history], False).fit(rows)
+        full = tree_pipeline(trees(), columns, tuple(means.names)).fit(rows)
+        fallback = tree_pipeline(trees(), [c for c in columns if c not in history]).fit(rows)
         rows.unpersist()
-        return cls(full, fallback, history_gate(train, cutoff_day, least_years), columns)
+        return cls(full, fallback, history_gate(train, cutoff_day, least_years), columns, means)
 
     def score(self, rows: DataFrame, lags: dict[str, Column | int | None]) -> DataFrame:
         """rows with the fallback's prediction, one of the full model for each named lag, and gated; no row moves but to meet its gate."""
-        out = _score(self.fallback, rows, self.columns, "fallback")
+        met = self.means.known(rows, self.gate.select("entity_id", "gated")).withColumn("gated", F.coalesce("gated", F.lit(False)))
+        out = _score(self.fallback, met, self.columns, "fallback")
         for name, lag in lags.items():
             if lag is None:
                 out = _score(self.full, out, self.columns, name, self.drifts)
@@ -104,8 +143,7 @@ class GatedModel:
                 known = as_of(out.withColumns({f"_{d}": c for d, c in held.items()}), lag)
                 scored = _score(self.full, known, self.columns, name)
                 out = scored.withColumns({d: F.col(f"_{d}") for d in self.drifts}).drop(*[f"_{d}" for d in self.drifts])
-        gate = self.gate.select("entity_id", "gated")
-        return out.join(gate, "entity_id", "left").withColumn("gated", F.coalesce("gated", F.lit(False)))
+        return out.drop(*self.means.names)
 
     def predict(self, rows: DataFrame, lag: Column | int | None = 1) -> DataFrame:
         """entity_id, day, label, prediction (0-100, one digit), low_confidence and drift_effect (with drift minus without).
@@ -124,7 +162,7 @@ class GatedModel:
     def importance(self) -> list[tuple[str, float]]:
         """Share of each input of the full model, largest first."""
         weights = self.full.stages[-1].featureImportances.toArray()
-        return sorted(zip(_inputs(self.columns, True), map(float, weights)), key=lambda x: -x[1])
+        return sorted(zip(_inputs(self.columns, tuple(self.means.names)), map(float, weights)), key=lambda x: -x[1])
 
 
 def clipped(value: Column) -> Column:
@@ -162,7 +200,7 @@ def weather_of_lead(rows: DataFrame, archived: DataFrame | None, weather: list[s
     return rows.withColumns({c: F.when(F.col("lead") <= horizon, F.col(c)) for c in weather})
 
 
-def replay(frame: DataFrame, first: int, last: int, columns: list[str], history: list[str], entities: int, weather: list[str], archived: DataFrame | None = None, leads: tuple[int, ...] = (1, 7, 14, 30), refit: int = 90, **options) -> DataFrame:
+def replay(frame: DataFrame, first: int, last: int, columns: list[str], history: list[str], weather: list[str], archived: DataFrame | None = None, leads: tuple[int, ...] = (1, 7, 14, 30), refit: int = 90, **options) -> DataFrame:
     """Back-dated predictions made on days first to last, as log rows: made_day, entity_id, day, lead_days, prediction, source.
 
     A model is fitted every `refit` days on labels up to the day before; it predicts for all days made until the next fit,
@@ -172,28 +210,29 @@ def replay(frame: DataFrame, first: int, last: int, columns: list[str], history:
     made = frame.withColumn("lead", F.explode(F.array(*map(F.lit, leads)))).withColumn("made_day", F.col("day") - F.col("lead"))
     out = []
     for start in range(first, last + 1, refit):
-        model = GatedModel.fit(frame, columns, history, start - 1, entities, tuple(weather), **options)
+        model = GatedModel.fit(frame, columns, history, start - 1, tuple(weather), **options)
         rows = made.where(F.col("made_day").between(start, min(last, start + refit - 1)))
         found = model.predict(weather_of_lead(rows, archived, weather), F.col("lead") + 1)
         out.append(found.select("made_day", "entity_id", "day", F.col("lead").alias("lead_days"), "prediction", "low_confidence", F.lit("backtest").alias("source")))
     return reduce(DataFrame.unionByName, out)
 
 
-def forest(train: DataFrame, rows: DataFrame, columns: list[str], entities: int, depth: int = 7) -> DataFrame:
-    estimator = RandomForestRegressor(featuresCol="inputs", labelCol="label", numTrees=12, maxDepth=depth, maxBins=max(32, entities + 1), seed=3)
-    return tree_pipeline(estimator, columns, True).fit(_named(train, columns)).transform(_named(rows, columns)).select("entity_id", "day", "label", "prediction")
+def forest(train: DataFrame, rows: DataFrame, columns: list[str], depth: int = 7) -> DataFrame:
+    estimator = RandomForestRegressor(featuresCol="inputs", labelCol="label", numTrees=12, maxDepth=depth, maxBins=64, seed=3)
+    means = EntityMeans(train, {"mean": F.col("label")})
+    return tree_pipeline(estimator, columns, tuple(means.names)).fit(_named(means.learned, columns)).transform(_named(means.known(rows), columns)).select("entity_id", "day", "label", "prediction")
 
 
-def ablation(train: DataFrame, rows: DataFrame, sets: dict[str, list[str]], entities: int) -> DataFrame:
+def ablation(train: DataFrame, rows: DataFrame, sets: dict[str, list[str]]) -> DataFrame:
     """Error of the forest on the same rows by set of columns; one fit for each of the few sets."""
-    found = [forest(train, rows, columns, entities).withColumn("features", F.lit(name)) for name, columns in sets.items()]
+    found = [forest(train, rows, columns).withColumn("features", F.lit(name)) for name, columns in sets.items()]
     return error_by(reduce(DataFrame.unionByName, found), ["features"])
 
 
-def yearly_backtest(rows: DataFrame, columns: list[str], entities: int, years: list[int]) -> DataFrame:
+def yearly_backtest(rows: DataFrame, columns: list[str], years: list[int]) -> DataFrame:
     """Predictions of whole years, each by a model that was fitted on all days before it."""
     year = F.year("date")
-    found = [forest(rows.where(year < y), rows.where(year == y), columns, entities).withColumn("year", F.lit(y)) for y in years]
+    found = [forest(rows.where(year < y), rows.where(year == y), columns).withColumn("year", F.lit(y)) for y in years]
     return reduce(DataFrame.unionByName, found)
 
 
@@ -204,12 +243,12 @@ def ridge(train: DataFrame, rows: DataFrame, columns: list[str], penalty: float
         crosses["by_holiday"] = F.concat_ws("_", "entity_id", (F.coalesce(holiday, F.lit(0.0)) > above).cast("int"))
     ready = lambda df: _named(df, columns, missing=0.0).withColumns(crosses)
     steps = [StringIndexer(inputCols=list(crosses), outputCols=[f"{c}_i" for c in crosses], handleInvalid="keep"), OneHotEncoder(inputCols=[f"{c}_i" for c in crosses], outputCols=[f"{c}_o" for c in crosses], handleInvalid="keep")]
-    steps += [VectorAssembler(inputCols=_inputs(columns, False), outputCol="numbers"), StandardScaler(inputCol="numbers", outputCol="scaled"), VectorAssembler(inputCols=["scaled", *[f"{c}_o" for c in crosses]], outputCol="inputs")]
+    steps += [VectorAssembler(inputCols=_inputs(columns), outputCol="numbers"), StandardScaler(inputCol="numbers", outputCol="scaled"), VectorAssembler(inputCols=["scaled", *[f"{c}_o" for c in crosses]], outputCol="inputs")]
     model = Pipeline(stages=[*steps, LinearRegression(featuresCol="inputs", labelCol="label", elasticNetParam=0.0, regParam=penalty, solver="l-bfgs", maxIter=20)]).fit(ready(train))
     return model.transform(ready(rows)).select("entity_id", "day", "label", "prediction")
 
 
-def compare(rows: DataFrame, columns: list[str], entities: int, depths: tuple[int, ...] = (5, 7), penalties: tuple[float, ...] = (0.01, 0.1, 1.0), holiday: str | None = None) -> DataFrame:
+def compare(rows: DataFrame, columns: list[str], depths: tuple[int, ...] = (5, 7), penalties: tuple[float, ...] = (0.01, 0.1, 1.0), holiday: str | None = None) -> DataFrame:
     """Test error of forest, ridge and their mean; rows: split (train, valid, test).
 
     Depth and penalty are those with the least error on the validation rows after fitting on the training rows; then both
@@ -221,10 +260,10 @@ def compare(rows: DataFrame, columns: list[str], entities: int, depths: tuple[in
     def error(found: DataFrame) -> float:
         return found.agg(F.avg(F.abs(F.col("prediction") - F.col("label")))).first()[0]
 
-    depth = min(depths, key=lambda k: error(forest(train, valid, columns, entities, k)))
+    depth = min(depths, key=lambda k: error(forest(train, valid, columns, k)))
     penalty = min(penalties, key=lambda x: error(ridge(train, valid, columns, x, holiday)))
     known = train.unionByName(valid)
-    pair = forest(known, test, columns, entities, depth).join(ridge(known, test, columns, penalty, holiday).select("entity_id", "day", F.col("prediction").alias("ridge")), ["entity_id", "day"])
+    pair = forest(known, test, columns, depth).join(ridge(known, test, columns, penalty, holiday).select("entity_id", "day", F.col("prediction").alias("ridge")), ["entity_id", "day"])
     cases = ((f"forest, depth {depth}", F.col("prediction")), (f"ridge, penalty {penalty:g}", F.col("ridge")), ("mean", (F.col("prediction") + F.col("ridge")) / 2))
     named = F.array(*[F.struct(F.lit(n).alias("model"), v.alias("prediction")) for n, v in cases])
     return error_by(pair.select("label", F.explode(named).alias("m")).select("label", "m.*"), ["model"])
@@ -233,11 +272,15 @@ def compare(rows: DataFrame, columns: list[str], entities: int, depths: tuple[in
 def status_model(frame: DataFrame, rows: DataFrame, columns: list[str], iterations: int = 5) -> DataFrame:
     """Chance to be open, and opening and closing minutes on a half-hour grid, learned from open rows."""
     trees = {"maxIter": iterations, "maxBins": 64, "seed": 3, "featuresCol": "inputs"}
-    opens = tree_pipeline(GBTClassifier(labelCol="is_open", **trees), columns, True).fit(_named(frame.where("is_open is not null"), columns))
-    out = _score(opens, rows.select("entity_id", "day", *columns), columns, "open_chance", value=vector_to_array("probability")[1])
+    def fitted(estimator, known: DataFrame, target: str) -> tuple[PipelineModel, EntityMeans]:
+        means = EntityMeans(known, {"mean": F.col(target)})
+        return tree_pipeline(estimator, columns, tuple(means.names)).fit(_named(means.learned, columns)), means
+
+    model, means = fitted(GBTClassifier(labelCol="is_open", **trees), frame.where("is_open is not null"), "is_open")
+    out = _score(model, means.known(rows.select("entity_id", "day", *columns)), columns, "open_chance", value=vector_to_array("probability")[1]).drop(*means.names)
     for target in ("open_min", "close_min"):
-        model = tree_pipeline(GBTRegressor(labelCol=target, **trees), columns, True).fit(_named(frame.where(f"is_open = 1 and {target} is not null"), columns))
-        out = _score(model, out, columns, target, value=F.bround(F.col("prediction") / 30) * 30)
+        model, means = fitted(GBTRegressor(labelCol=target, **trees), frame.where(f"is_open = 1 and {target} is not null"), target)
+        out = _score(model, means.known(out), columns, target, value=F.bround(F.col("prediction") / 30) * 30).drop(*means.names)
     return out.select("entity_id", "day", "open_chance", "open_min", "close_min")
 
 
@@ -245,6 +288,7 @@ def closing_category(train: DataFrame, rows: DataFrame, columns: list[str]) -> D
     """Most likely closing category of each row."""
     index = StringIndexer(inputCol="category", outputCol="target", handleInvalid="keep").fit(train)
     estimator = RandomForestClassifier(featuresCol="inputs", labelCol="target", numTrees=10, maxDepth=6, maxBins=64, seed=3)
-    model = tree_pipeline(estimator, columns, True).fit(_named(index.transform(train), columns))
+    means = EntityMeans(index.transform(train), {f"share{k}": F.col("target") == k for k in range(len(index.labels))})
+    model = tree_pipeline(estimator, columns, tuple(means.names)).fit(_named(means.learned, columns))
     names = F.array(*[F.lit(x) for x in index.labels])
-    return model.transform(_named(rows, columns)).select("entity_id", "day", F.get(names, F.col("prediction").cast("int")).alias("category"))
+    return model.transform(_named(means.known(rows), columns)).select("entity_id", "day", F.get(names, F.col("prediction").cast("int")).alias("category"))

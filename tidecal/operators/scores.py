@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from .history import season_edges
 
 
-#: The least weight that counts; the floor of the cap; the gain that a blend needs and the part of it to keep;
-#: the rows from which on 8 or 4 waves and year effects are used.
-LEAST_WEIGHT, CAP_FLOOR, LEAST_GAIN, GAIN_PART = 1e-4, 0.004, 0.001, 0.75
+#: The least weight that counts; the cap, so many times the prior and a floor; the gain that a blend needs and
+#: the part of it to keep; the parts of the fit in a blend; the rows from which on 8 or 4 waves and year effects are used.
+LEAST_WEIGHT, CAP_TIMES, CAP_FLOOR, LEAST_GAIN, GAIN_PART = 1e-4, 5.0, 0.004, 0.001, 0.75
+BLENDS = (0.0, 0.25, 0.5, 0.75)
 MANY_ROWS, SOME_ROWS, YEAR_ROWS = 800, 400, 300
 
 
@@ -60,17 +61,30 @@ def prior_only(prior: DataFrame, mask: DataFrame) -> DataFrame:
     return kept.withColumn("weight", F.col("prior") / F.sum("prior").over(Window.partitionBy("entity_id", "type")))
 
 
-def blend(df: DataFrame, rho: float, kappa: float = 3.0, floor: float = CAP_FLOOR, rounds: int = 8) -> DataFrame:
-    """rho * prior + (1 - rho) * fitted, then `rounds` times: cap at kappa * prior + floor and renormalise."""
-    out = df.withColumn("weight", rho * F.col("prior") + (1 - rho) * F.col("fitted"))
-    for _ in range(rounds):
-        out = out.withColumn("weight", F.least(F.col("weight"), kappa * F.col("prior") + floor)).withColumn("weight", F.col("weight") / F.sum("weight").over(entity_window()))
-    return out
+def blend(df: DataFrame, rho: float, kappa: float = CAP_TIMES, floor: float = CAP_FLOOR) -> DataFrame:
+    """A part rho of the fit (scaled to 1 by entity) and the rest of the prior, capped at kappa * prior + floor; the prior without a fit.
+
+    Weights are min(cap, level * mixed) for the one level at which an entity's sum to 1. In the order of cap over mixed,
+    each row gives the level that is right if all before it are capped and none from it on; the first that keeps its own
+    row below the cap is right. Caps that sum to 1 or less are the weights, as shares.
+    """
+    entity, fit = entity_window(), F.coalesce("fitted", F.lit(0.0))
+    total = F.sum(fit).over(entity)
+    out = df.withColumn("_w", F.when(total > 1e-9, (1 - rho) * F.col("prior") + rho * fit / total).otherwise(F.col("prior"))).withColumn("_cap", kappa * F.col("prior") + floor)
+    order = entity.orderBy((F.col("_cap") / F.nullif("_w", F.lit(0.0))).asc_nulls_last(), "code")
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
+    level = (1 - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.nullif(F.sum("_w").over(after), F.lit(0.0))
+    out = out.withColumns({"_level": level, "_fitted": total > 1e-9, "_caps": F.sum("_cap").over(entity)})
+    right = F.min(F.when((F.col("_w") > 0) & (F.col("_level") * F.col("_w") <= F.col("_cap") * (1 + 1e-12)), F.struct((F.col("_cap") / F.nullif("_w", F.lit(0.0))).alias("r"), "code", "_level"))).over(entity)["_level"]
+    weight = F.when(~F.col("_fitted"), F.col("prior")).when(F.col("_caps") <= 1, F.col("_cap") / F.col("_caps")).otherwise(F.least("_cap", right * F.col("_w")))
+    return out.withColumn("weight", weight).drop("_w", "_cap", "_level", "_fitted", "_caps")
 
 
-def coverage_mass(prior: DataFrame, covered: DataFrame) -> DataFrame:
-    """Prior weight of covered countries over all, by entity and year."""
-    return prior.join(covered, "country").groupBy("entity_id", "year").agg((F.sum(F.col("prior") * F.col("covered")) / F.sum("prior")).alias("mass"))
+def coverage_mass(prior: DataFrame, covered: DataFrame, by: str = "country") -> DataFrame:
+    """Prior weight of what is covered (by, year, covered) over all of the entity's, by entity and year of the table."""
+    total = prior.groupBy("entity_id").agg(F.sum("prior").alias("_all"))
+    found = prior.join(covered, by).groupBy("entity_id", "year").agg(F.sum(F.col("prior") * F.col("covered")).alias("_in"))
+    return found.join(total, "entity_id").select("entity_id", "year", (F.col("_in") / F.col("_all")).alias("mass"))
 
 
 def placebo(calendar: DataFrame, shift: int) -> DataFrame:
@@ -118,7 +132,19 @@ def bootstrap_summary(replicates: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def blend_choice(r2: DataFrame, gain: float = LEAST_GAIN, part: float = GAIN_PART) -> DataFrame:
-    """The blend of an entity from a table (entity_id, rho, r2; rho 1 is the prior): prior if the gain is small, else the largest rho with `part` of it."""
-    base = F.max(F.when(F.col("rho") == 1, F.col("r2"))).over(entity_window())
-    out = r2.withColumns({"gain": F.col("r2") - base, "best": F.max("r2").over(entity_window()) - base})
-    return out.groupBy("entity_id").agg(F.when(F.max("best") <= gain, 1.0).otherwise(F.max(F.when(F.col("gain") >= part * F.col("best"), F.col("rho")))).alias("rho"), F.max("best").alias("gain"))
+    """Blends of each entity from a table (entity_id, national, school, r2; 0 is the prior): entity_id, national, school, gain.
+
+    The prior of both where no blend gains more than `gain`. Else school is decided beside the best blend's national part,
+    and national beside the school part decided: each takes its least part that keeps `part` of its own best gain over
+    none, if that gain is more than half of `gain`.
+    """
+    entity = entity_window()
+    none = lambda c, where: F.max(F.when(where & (F.col(c) == 0), F.col("r2"))).over(entity)
+
+    both = (F.col("national") == 0) & (F.col("school") == 0)
+    out = r2.withColumns({"_gain": F.max("r2").over(entity) - F.max(F.when(both, F.col("r2"))).over(entity), "_best": F.max(F.struct("r2", (-F.col("national")).alias("n"), (-F.col("school")).alias("s"))).over(entity)})
+    for c, fixed in (("school", F.col("national") == -F.col("_best")["n"]), ("national", F.col("school") == F.col("_school"))):
+        out = out.withColumn("_own", F.when(fixed, F.col("r2") - none(c, fixed))).withColumn("_top", F.max("_own").over(entity))
+        kept = F.min(F.when(F.col("_own") >= part * F.col("_top"), F.col(c))).over(entity)
+        out = out.withColumn(f"_{c}", F.when((F.col("_gain") > gain) & (F.col("_top") > gain / 2), kept).otherwise(F.lit(0.0)))
+    return out.groupBy("entity_id").agg(F.max("_national").alias("national"), F.max("_school").alias("school"), F.max("_gain").alias("gain"))

@@ -23,7 +23,7 @@ def frame(s, d):
 
 def _gated(s, d):
     rows = frame(s, d)
-    return models.GatedModel.fit(rows, COLUMNS, HISTORY, CUT, 25, tuple(WEATHER)), rows.where(F.col("day") > CUT)
+    return models.GatedModel.fit(rows, COLUMNS, HISTORY, CUT, tuple(WEATHER), excluded="in_window"), rows.where(F.col("day") > CUT)
 
 
 @query("gated_predictions")
@@ -44,13 +44,13 @@ def backfill_log(s, d):
     """Back-dated predictions of 600 days, with a new fit every 300; what stations saw a day or a week before stands in for forecasts."""
     station = states.stations(s, d)
     archived = station.withColumn("weather_lead", F.explode(F.array(F.lit(1), F.lit(7)))).withColumn("day", F.col("day") + F.col("weather_lead"))
-    return models.replay(frame(s, d), 10_100, 10_699, COLUMNS, HISTORY, 25, WEATHER, archived, refit=300, iterations=4)
+    return models.replay(frame(s, d), 10_100, 10_699, COLUMNS, HISTORY, WEATHER, archived, refit=300, iterations=4, excluded="in_window")
 
 
 @query("rf_predictions")
 def rf_predictions(s, d):
     rows = frame(s, d)
-    return models.forest(rows.where(F.col("day") <= CUT), rows.where(F.col("day") > CUT), COLUMNS, 25)
+    return models.forest(rows.where(F.col("day") <= CUT), rows.where(F.col("day") > CUT), COLUMNS)
 
 
 @query("ridge_predictions")
@@ -63,7 +63,7 @@ def ridge_predictions(s, d):
 def model_comparison(s, d):
     """Error on test days of the forest and the ridge that did best on validation days, and of their mean."""
     rows = days.time_split(frame(s, d), "1996-12-31", "1997-12-31")
-    return models.compare(rows, COLUMNS, 25, depths=(5, 7), penalties=(0.1, 1.0), holiday="national_score")
+    return models.compare(rows, COLUMNS, depths=(5, 7), penalties=(0.1, 1.0), holiday="national_score")
 
 
 @query("status_predictions")
@@ -84,12 +84,15 @@ def closing_predictions(s, d):
     return status.closing_decode(train, found).select(*KEY, "category", F.col("decoded").alias("close_min"))
 
 
-def fitted(s, d):
-    """Weights of all regions on all entities: labelled days outside the excluded window, markets, and the whole region calendar."""
+def fit_inputs(s, d):
+    """Labelled days outside the excluded window, events, markets, the whole region calendar, and the years of school calendars."""
     rows = days.labelled(view(s, d, "calendar")).where(~days.between_days(*frames.WINDOW)).select(*KEY, "date", "label")
-    school = view(s, d, "source_rows").where("type = 'school'").select(F.split("code", "-")[0].alias("country")).distinct().join(view(s, d, "regions"), "country").select("code")
-    events = states.chosen(s, d).select(*KEY, "rn")
-    return fitting.market_weights(rows, events, view(s, d, "markets").select("entity_id", "code", "prior"), states.merged(s, d), school, draws=20)
+    school = view(s, d, "source_rows").where("type = 'school'").select(F.split("code", "-")[0].alias("country"), F.year("date").alias("year")).distinct().join(view(s, d, "regions"), "country").select("code", "year")
+    return rows, states.chosen(s, d).select(*KEY, "rn"), view(s, d, "markets").select("entity_id", "code", "prior"), states.merged(s, d), school
+
+
+def fitted(s, d):
+    return fitting.market_weights(*fit_inputs(s, d), draws=20)
 
 
 @query("region_weights")
@@ -97,6 +100,18 @@ def region_weights(s, d):
     return fitted(s, d)
 
 
+@query("entity_strength")
+def entity_strength(s, d):
+    """How much each entity's labels follow its fitted holiday scores."""
+    return fitting.strengths(fitted(s, d))
+
+
+@query("placebo_ranks")
+def placebo_ranks(s, d):
+    """Gain of the real calendar among eight shifted ones."""
+    return fitting.placebo_ranks(*fit_inputs(s, d), shifts=tuple(range(113, 113 * 9, 113)))
+
+
 @query("fitted_scores")
 def fitted_scores(s, d):
     """Daily scores by the fitted weights: each kind's weights meet that kind's share."""
@@ -129,14 +144,14 @@ def feature_importance(s, d):
 def feature_ablation(s, d):
     rows = frame(s, d)
     sets = {"calendar": BASIC, "calendar and last year": [*BASIC, "py364", "py_mean"], "without weather": [*BASIC, *HISTORY], "all": COLUMNS}
-    return models.ablation(rows.where(F.col("day") <= CUT), rows.where(F.col("day") > CUT), sets, 25)
+    return models.ablation(rows.where(F.col("day") <= CUT), rows.where(F.col("day") > CUT), sets)
 
 
 @query("yearly_backtest")
 def yearly_backtest(s, d):
     """Error of the last three full years, each predicted from all days before it."""
     rows = frame(s, d)
-    return evaluation.error_by(models.yearly_backtest(rows, COLUMNS, 25, [1996, 1997, 1998]), ["year"])
+    return evaluation.error_by(models.yearly_backtest(rows, COLUMNS, [1996, 1997, 1998]), ["year"])
 
 
 @query("forecast_output")

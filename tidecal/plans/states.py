@@ -46,15 +46,16 @@ query(
     "prior_only_weights",
     oracle("with k as (select entity_id, code, prior, t as type from markets cross join (select unnest(['national', 'school']) as t) where t = 'national' or code in (select code from source_rows where type = 'school' and share >= 0.9)) select entity_id, code, type, prior / sum(prior) over (partition by entity_id, type) as weight from k", "markets", "source_rows"),
 )(lambda s, d: scores.prior_only(view(s, d, "markets"), view(s, d, "source_rows").where("type = 'school' and share >= 0.9").select("code").distinct()).select("entity_id", "code", "type", "weight"))
-BLENDS = "b0 as (select entity_id, code, prior, 0.4 * prior + 0.6 * prior * prior / sum(prior * prior) over (partition by entity_id) as w from markets)" + "".join(
-    f", c{k} as (select entity_id, code, prior, least(w, 1.1 * prior + 0.004) as w from b{k - 1}), b{k} as (select entity_id, code, prior, w / sum(w) over (partition by entity_id) as w from c{k})" for k in range(1, 9)
-)
-query("blend_weights", oracle(f"with {BLENDS} select entity_id, code, w as weight from b8", "markets"))(
-    lambda s, d: scores.blend(view(s, d, "markets").withColumn("fitted", F.col("prior") * F.col("prior") / F.sum(F.col("prior") * F.col("prior")).over(scores.entity_window())), 0.4, kappa=1.1).select("entity_id", "code", "weight")
+#: The one level at which min(cap, level * mixed) sums to 1, among those that each row would give.
+BLEND = """m0 as (select entity_id, code, prior, 0.6 * prior + 0.4 * prior * prior / sum(prior * prior) over (partition by entity_id) as w, 1.1 * prior + 0.004 as cap from markets),
+ m1 as (select *, (1 - coalesce(sum(cap) over (o rows between unbounded preceding and 1 preceding), 0)) / sum(w) over (o rows between current row and unbounded following) as level, row_number() over o as k from m0 window o as (partition by entity_id order by cap / w, code)),
+ m2 as (select entity_id, arg_min(level, k) as level from m1 where level * w <= cap * (1 + 1e-12) group by 1)"""
+query("blend_weights", oracle(f"with {BLEND} select m0.entity_id, code, least(cap, level * w) as weight from m0 join m2 on m2.entity_id = m0.entity_id", "markets"))(
+    lambda s, d: scores.blend(view(s, d, "markets").withColumn("fitted", F.col("prior") * F.col("prior")), 0.4, kappa=1.1).select("entity_id", "code", "weight")
 )
 query(
     "coverage_mass",
-    oracle("with c as (select split_part(code, '-', 1) as country, year(date) as year, max((type = 'school' and share >= 0.9)::int) as covered from source_rows group by 1, 2) select entity_id, year, sum(prior * covered) / sum(prior) as mass from markets join c using (country) group by 1, 2", "markets", "source_rows"),
+    oracle("with c as (select split_part(code, '-', 1) as country, year(date) as year, max((type = 'school' and share >= 0.9)::int) as covered from source_rows group by 1, 2) select m.entity_id, year, sum(prior * covered) / any_value(t) as mass from markets m join c using (country) join (select entity_id, sum(prior) as t from markets group by 1) a on a.entity_id = m.entity_id group by 1, 2", "markets", "source_rows"),
 )(
     lambda s, d: scores.coverage_mass(view(s, d, "markets"), view(s, d, "source_rows").groupBy(F.split("code", "-")[0].alias("country"), F.year("date").alias("year")).agg(F.max(((F.col("type") == "school") & (F.col("share") >= 0.9)).cast("int")).alias("covered")))
 )
@@ -84,17 +85,22 @@ REPL = "rp as (select s_nationkey as entity_id, c_nationkey as region_id, year(l
 query("bootstrap_summary", f"with {REPL} select entity_id, region_id, quantile_cont(weight, 0.05) as ci_low, quantile_cont(weight, 0.95) as ci_high, avg((weight > 1e-4)::int) as stability from rw group by 1, 2")(
     lambda s, d: (view(s, d, "markets"), scores.bootstrap_summary(s.sql(f"with {REPL} select * from rw"), ["entity_id", "region_id"]))[1]
 )
+R2 = "avg(label) / 1000 * (1 + entity_id % 3 * rn * (1 - rn) + entity_id % 5 * rs * (1 - rs) / 4 + rn * rs / 7)"
 query(
     "blend_choice",
     oracle(
-        """with r as (select entity_id, rho, avg(label) / 1000 * (1 + entity_id % 3 * (1 - rho) * rho) as r2 from activity cross join (select unnest([0.0, 0.25, 0.5, 0.75, 1.0])::double as rho) group by 1, 2),
-        g as (select *, r2 - max(case when rho = 1 then r2 end) over w as gain, max(r2) over w - max(case when rho = 1 then r2 end) over w as best from r window w as (partition by entity_id))
-        select entity_id, case when max(best) <= 0.001 then 1.0 else max(case when gain >= 0.75 * best then rho end) end as rho, max(best) as gain from g group by 1""",
+        f"""with r as (select entity_id, rn, rs, {R2} as r2 from activity cross join (select unnest([0.0, 0.25, 0.5, 0.75])::double as rn) cross join (select unnest([0.0, 0.25, 0.5, 0.75])::double as rs) group by 1, 2, 3),
+        t as (select entity_id, max(r2) - max(case when rn = 0 and rs = 0 then r2 end) as gain, (max({{'r2': r2, 'n': -rn, 's': -rs}})).n * -1 as best from r group by 1),
+        u as (select r.entity_id, rs, r2 - max(case when rs = 0 then r2 end) over w as g from r join t on t.entity_id = r.entity_id and rn = best window w as (partition by r.entity_id)),
+        v as (select entity_id, case when max(g) > 0.0005 then min(case when g >= 0.75 * top then rs end) else 0.0 end as school from (select *, max(g) over (partition by entity_id) as top from u) group by 1),
+        x as (select r.entity_id, rn, r2 - max(case when rn = 0 then r2 end) over w as g from r join v on v.entity_id = r.entity_id and rs = school window w as (partition by r.entity_id)),
+        y as (select entity_id, case when max(g) > 0.0005 then min(case when g >= 0.75 * top then rn end) else 0.0 end as national from (select *, max(g) over (partition by entity_id) as top from x) group by 1)
+        select t.entity_id, case when gain > 0.001 then national else 0.0 end as national, case when gain > 0.001 then school else 0.0 end as school, gain from t join v on v.entity_id = t.entity_id join y on y.entity_id = t.entity_id""",
         "activity",
     ),
 )(
     lambda s, d: scores.blend_choice(
-        view(s, d, "activity").withColumn("rho", F.explode(F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))).groupBy("entity_id", "rho").agg(F.avg("label").alias("m")).select("entity_id", "rho", (F.col("m") / 1000 * (1 + F.col("entity_id") % 3 * (1 - F.col("rho")) * F.col("rho"))).alias("r2"))
+        view(s, d, "activity").withColumn("rn", F.explode(F.array(*map(F.lit, scores.BLENDS)))).withColumn("rs", F.explode(F.array(*map(F.lit, scores.BLENDS)))).groupBy("entity_id", "rn", "rs").agg(F.expr(f"{R2} as r2")).withColumnsRenamed({"rn": "national", "rs": "school"})
     )
 )
 
