@@ -161,6 +161,65 @@ def test_enriched_entities(spark):
         geo.enrich(entities, fixes, areas, tiers, areas.where("area_id = 1").select("area_id")).collect()
 
 
+def joined_rows(df):
+    """Rows that the joins of the plan that ran have put out."""
+    def walk(node):
+        inner = node.executedPlan() if hasattr(node, "executedPlan") and "AdaptiveSparkPlan" in node.nodeName() else node.plan() if "QueryStage" in node.nodeName() else None
+        if inner is not None:
+            yield from walk(inner)
+            return
+        if "Join" in node.nodeName() and node.metrics().contains("numOutputRows"):
+            yield node.metrics().apply("numOutputRows").value()
+        for k in range(node.children().size()):
+            yield from walk(node.children().apply(k))
+
+    return list(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def test_grouped_pulls_keep_their_error_and_save_work(spark):
+    """Against every place, for all tiers and regions; with ten times the places the pairs hardly grow."""
+    rng = random.Random(2)
+    towns = [(k % 6, rng.uniform(-60, 60), rng.uniform(-170, 170)) for k in range(60)]
+
+    def places(n):
+        return [(r, max(-90.0, min(90.0, la + rng.gauss(0, 0.3))), lo + rng.gauss(0, 0.3), float(rng.choice([0, 1, 50, 4000]))) for r, la, lo in rng.choices(towns, k=n)]
+
+    entities = spark.createDataFrame([(k, la + 0.01, lo, t, None if k % 2 else 300.0) for k, ((_, la, lo), t) in enumerate(zip(towns, 10 * list(geo.REACH)))], "entity_id int, latitude double, longitude double, tier string, _reach double").withColumn("_reach", F.coalesce("_reach", geo.by_tier(F.col("tier"), geo.REACH)))
+    work = []
+    for n in (600, 6000):
+        table = spark.createDataFrame(places(n), "region_id int, lat double, lon double, pop double")
+        want = {(r.entity_id, r.region_id): r["_pull"] for r in geo.exact_pulls(entities, table).collect()}
+        for error in (0.2, 0.02):
+            got = {(r.entity_id, r.region_id): r["_pull"] for r in geo.pulls_within(entities, table, error).collect()}
+            assert set(got) == {k for k, v in want.items()} and all(want[k] / (1 + error) <= v <= want[k] * (1 + error) + 1e-12 for k, v in got.items())
+        grouped = geo.pulls_within(entities, table, 0.2)
+        grouped.collect()
+        work.append(sum(joined_rows(grouped)))
+    assert work[1] < 60 * 6000 / 2 and work[1] < 6 * work[0]
+    areas = spark.createDataFrame([(k, "AA", 1000.0, 0.0, 0.0, 1.0) for k in range(7)], "region_id int, country string, population double, lat double, lon double, affluence double")
+    named = entities.withColumnRenamed("_reach", "reach_km").withColumn("country", F.lit("AA"))
+    table = table.unionAll(spark.createDataFrame([(6, 1.0, 1.0, 0.0)], table.schema))
+    a, b = ({(r.entity_id, r.region_id): r.prior_weight for r in geo.market_prior(named, table, areas, error).collect()} for error in (0.0, 0.01))
+    assert set(a) == set(b) and all(b[k] == pytest.approx(v, rel=0.021, abs=1e-12) for k, v in a.items()) and a[0, 6] == b[0, 6] == 0
+
+
+def test_days_kept_by_year_and_entity_need_no_exchange(spark):
+    from tidecal.sources import layout
+
+    days_ = spark.range(4000).selectExpr("cast(id % 20 as int) as entity_id", "cast(9000 + id div 20 * 5 as int) as day", "cast(id % 83 as double) as label").withColumn("date", F.date_from_unix_date("day"))
+    layout.write_days(days_, "kept_days", 4)
+    try:
+        kept = layout.read_days(spark, "kept_days")
+        framed = history.drift(history.prior_year(kept))
+        assert "Exchange" not in plan_of(framed) and "Window" in plan_of(framed)
+        key = lambda df: sorted((r.entity_id, r.day, r.py364, r.drift7) for r in df.select("entity_id", "day", "py364", "drift7").collect() if r.py364 is not None)
+        assert key(framed) == key(history.drift(history.prior_year(days_)))
+        one = layout.read_days(spark, "kept_days", (1996, 1996))
+        assert one.count() == days_.where("year(date) = 1996").count() and all("year=1996" in f for f in one.inputFiles()) and len(one.inputFiles()) == 4
+    finally:
+        spark.sql("drop table kept_days")
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 

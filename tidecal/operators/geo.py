@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,21 +33,68 @@ def decay(km: Column, tier: Column, reach: Column) -> Column:
     return F.when(tier == "intercontinental", 0.5 * near + 0.5 / F.pow(1 + km / reach, 3)).otherwise(near)
 
 
-def market_prior(entities: DataFrame, places: DataFrame, regions: DataFrame) -> DataFrame:
+#: Levels of the pyramid over places, coarse to fine: a cell of level k is 2 ** k grid cells wide.
+LEVELS = (6, 3, 0)
+
+
+def _pull(km: Column) -> Column:
+    return decay(km, F.col("tier"), F.col("_reach"))
+
+
+def exact_pulls(entities: DataFrame, places: DataFrame) -> DataFrame:
+    """entity_id, region_id, _pull: people of a region's places times their decay, every entity with every place."""
+    pairs = places.select("region_id", "lat", "lon", "pop").crossJoin(entities)
+    return pairs.groupBy("entity_id", "region_id").agg(F.sum(F.col("pop") * _pull(haversine(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon")))).alias("_pull"))
+
+
+def pulls_within(entities: DataFrame, places: DataFrame, error: float, cell: float = 0.5, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+    """exact_pulls() but for a relative error: far groups of places count as if they were at their middle.
+
+    A region's places lie in a pyramid of cells. Within a cell no distance is more than its radius (half the diagonal of
+    what it holds) from the one to its middle, so the decay lies between two values; where these are at most 1 + error
+    apart, the middle stands for all. Else the cell is taken apart, in the end into places, which count exactly. An entity
+    so meets the places around it and a few cells of the rest.
+    """
+    keyed = places.where("pop > 0").select("region_id", "lat", "lon", "pop", F.floor(F.col("lon") / cell).alias("x"), F.floor(F.col("lat") / cell).alias("y"))
+
+    def nodes(level: int) -> DataFrame:
+        box = [f(c).alias(f"_{n}_{c}") for c in ("lat", "lon") for n, f in (("min", F.min), ("max", F.max))]
+        held = keyed.groupBy("region_id", *[F.shiftright(c, level).alias(c) for c in "xy"]).agg(F.sum("pop").alias("pop"), *box)
+        middle = {c: (F.col(f"_min_{c}") + F.col(f"_max_{c}")) / 2 for c in ("lat", "lon")}
+        half = [F.radians(F.col(f"_max_{c}") - F.col(f"_min_{c}")) / 2 for c in ("lat", "lon")]
+        return held.withColumns(middle | {"_radius": EARTH_KM * F.sqrt(half[0] * half[0] + half[1] * half[1])}).drop(*[f"_{n}_{c}" for n in ("min", "max") for c in ("lat", "lon")])
+
+    front, done = entities.crossJoin(nodes(levels[0])), []
+    for level, below in zip(levels, [*levels[1:], None]):
+        km = haversine(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon"))
+        met = front.withColumn("_km", km)
+        close = _pull(F.greatest(F.lit(0.0), F.col("_km") - F.col("_radius"))) <= (1 + error) * _pull(F.col("_km") + F.col("_radius"))
+        done.append(met.where(close).groupBy("entity_id", "region_id").agg(F.sum(F.col("pop") * _pull(F.col("_km"))).alias("_pull")))
+        rest = met.where(~close).drop("_km", "_radius", "lat", "lon", "pop").withColumnsRenamed({"x": "_x", "y": "_y"})
+        step = level - (below if below is not None else 0)
+        parts = nodes(below) if below is not None else keyed
+        front = rest.join(parts.withColumns({"_x": F.shiftright("x", step), "_y": F.shiftright("y", step)}), ["region_id", "_x", "_y"]).drop("_x", "_y")
+    last = front.groupBy("entity_id", "region_id").agg(F.sum(F.col("pop") * _pull(haversine(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon")))).alias("_pull"))
+    return reduce(DataFrame.unionByName, [*done, last]).groupBy("entity_id", "region_id").agg(F.sum("_pull").alias("_pull"))
+
+
+def market_prior(entities: DataFrame, places: DataFrame, regions: DataFrame, error: float = 0.0) -> DataFrame:
     """Weight of every region for every entity (1 for each entity), and the distance to the region's centre.
 
     entities: entity_id, latitude, longitude, tier, country and reach_km (its own reach, or null); places: region_id, lat,
     lon, pop; regions: region_id, country, population, lat, lon, affluence. A region pulls with its population times the
-    mean decay of its places by their population, its affluence, and the tier's factor in the entity's own country. Every
-    entity meets every place once, and pairs are summed in the task that makes them: the work is entities times places.
-    Spark sends the smaller side to all tasks if it is small, and else exchanges both.
+    mean decay of its places by their population, its affluence, and the tier's factor in the entity's own country.
+
+    error 0: every entity meets every place once, and pairs are summed in the task that makes them; the work is entities
+    times places. Else far places count by groups (pulls_within()), each pull to within the relative error.
     """
     reach = F.coalesce("reach_km", by_tier(F.col("tier"), REACH))
-    pairs = places.select("region_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "pop").crossJoin(entities.select("entity_id", "latitude", "longitude", "tier", reach.alias("_reach")))
-    km = haversine(F.col("latitude"), F.col("longitude"), F.col("_lat"), F.col("_lon"))
-    pulled = pairs.groupBy("entity_id", "region_id").agg(F.sum(F.col("pop") * decay(km, F.col("tier"), F.col("_reach"))).alias("_pull"))
+    narrow = entities.select("entity_id", "latitude", "longitude", "tier", reach.alias("_reach"))
+    pulled = pulls_within(narrow, places, error) if error > 0 else exact_pulls(narrow, places)
     total = places.groupBy("region_id").agg(F.sum("pop").alias("_total"))
-    named = pulled.join(total, "region_id").join(regions.withColumnRenamed("country", "_country"), "region_id").join(entities.select("entity_id", "latitude", "longitude", "tier", "country"), "entity_id")
+    # A region without people still has a row: its pull is 0.
+    every = pulled if error == 0 else total.select("region_id").crossJoin(narrow.select("entity_id")).join(pulled, ["entity_id", "region_id"], "left").fillna(0.0, ["_pull"])
+    named = every.join(total, "region_id").join(regions.withColumnRenamed("country", "_country"), "region_id").join(entities.select("entity_id", "latitude", "longitude", "tier", "country"), "entity_id")
     home = F.when(F.col("_country") == F.col("country"), by_tier(F.col("tier"), AT_HOME)).otherwise(1.0)
     out = named.withColumn("w", F.col("population") * F.col("_pull") / F.greatest("_total", F.lit(1e-9)) * F.col("affluence") * home)
     centre = haversine(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon"))

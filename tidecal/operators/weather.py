@@ -20,10 +20,14 @@ def flag(condition: Column) -> Column:
     return condition.cast("double")
 
 
+FLAGS = ["wet", "very_wet", "hot", "cold", "frost"]
+
+
 def weather_flags(df: DataFrame) -> DataFrame:
-    return df.withColumns(
-        {"wet": flag(F.col("precip") >= 1), "very_wet": flag(F.col("precip") >= 10), "hot": flag(F.col("temp_max") >= 30), "cold": flag(F.col("temp_max") <= 5), "frost": flag(F.col("temp_min") <= 0), "sun_hours": F.col("sunshine") / 3600.0}
-    )
+    """Adds the five flags and sun_hours, each as far as its value is a column."""
+    found = {"wet": ("precip", lambda x: x >= 1), "very_wet": ("precip", lambda x: x >= 10), "hot": ("temp_max", lambda x: x >= 30), "cold": ("temp_max", lambda x: x <= 5), "frost": ("temp_min", lambda x: x <= 0)}
+    flags = {name: flag(test(F.col(c))) for name, (c, test) in found.items() if c in df.columns}
+    return df.withColumns(flags | ({"sun_hours": F.col("sunshine") / 3600.0} if "sunshine" in df.columns else {}))
 
 
 def _guarded(value: Column, frame, least: int) -> Column:
@@ -53,6 +57,18 @@ def anomaly(df: DataFrame, value: str, reach: int = 7) -> DataFrame:
     return df.withColumn("doy", F.least(F.dayofyear("date"), F.lit(365))).join(usual, ["entity_id", "doy"], "left").withColumn("anomaly", F.col(value) - F.col("usual"))
 
 
+#: What a day's weather is to models: values, flags, what the days before were like, and how unusual the day is.
+FEATURES = ["temp_max", "temp_min", "precip", "sun_hours", "wet", "very_wet", "hot", "cold", "frost", "rain_prev3", "wet_prev7", "temp_anomaly", "rain_anomaly"]
+
+
+def features(station: DataFrame) -> DataFrame:
+    """FEATURES of every station day (entity_id, day, date, temp_max, temp_min, precip, sunshine); look-ahead is left out."""
+    out = look_back(weather_flags(station)).withColumn("doy", F.least(F.dayofyear("date"), F.lit(365)))
+    for value, name in (("temp_max", "temp_anomaly"), ("precip", "rain_anomaly")):
+        out = out.join(climatology(station, value), ["entity_id", "doy"], "left").withColumn(name, F.col(value) - F.col("usual")).drop("usual")
+    return out.select("entity_id", "day", *FEATURES)
+
+
 def prefer(first: DataFrame, second: DataFrame) -> DataFrame:
     """Rows of `first` of the entities in `second`, then the rows of `second` for other days; wx_source tells which."""
     inside = first.join(second.select("entity_id").distinct(), "entity_id", "left_semi").withColumn("wx_source", F.lit("archive"))
@@ -61,9 +77,10 @@ def prefer(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def swap_forecast(df: DataFrame, forecast: DataFrame, values: list[str], missing_flag: float | None = None, anomalies: dict[str, str] | None = None) -> DataFrame:
-    """Replaces all values by the forecast's where every one is there; recomputes the flags. swapped tells where.
+    """Replaces all values by the forecast's where every one is there; recomputes flags and sun hours. swapped tells where.
 
     anomalies (column -> value column) keep their climatology: what was subtracted from the old value is from the new one.
+    missing_flag stands where a flag's value is unknown. Columns on the days before stay as observed.
     """
     anomalies = anomalies or {}
     df = df.withColumns({f"_c_{a}": F.col(v) - F.col(a) for a, v in anomalies.items()})
@@ -74,8 +91,8 @@ def swap_forecast(df: DataFrame, forecast: DataFrame, values: list[str], missing
         there = there & F.col(f"_f_{v}").isNotNull()
     out = out.withColumn("swapped", there).withColumns({v: F.when(F.col("swapped"), F.col(f"_f_{v}")).otherwise(F.col(v)) for v in values}).drop(*[f"_f_{v}" for v in values])
     out = out.withColumns({a: F.col(v) - F.col(f"_c_{a}") for a, v in anomalies.items()}).drop(*[f"_c_{a}" for a in anomalies])
-    flags = {"wet": flag(F.col("precip") >= 1), "hot": flag(F.col("temp_max") >= 30)}
-    return out.withColumns({k: F.coalesce(c, F.lit(missing_flag)) if missing_flag is not None else c for k, c in flags.items()})
+    out = weather_flags(out)
+    return out if missing_flag is None else out.fillna(missing_flag, FLAGS)
 
 
 def without_weather(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import days, evaluation, fitting, frames, models, scores, status
+from ..operators import days, evaluation, fitting, frames, models, scores, status, weather
 from . import states
 from .adapters import view
 from .registry import query
@@ -12,7 +12,7 @@ from .registry import query
 KEY = ["entity_id", "day"]
 CUT = 10_600
 BASIC = ["dow", "month", "wave_sin", "wave_cos", "months_open", "has_event", "national_score", "school_score", "national_log_until", "school_log_until"]
-HISTORY, WEATHER = ["py364", "py_mean", "drift1", "drift7", "drift14"], ["temp_max", "wet"]
+HISTORY, WEATHER = ["py364", "py_mean", "drift1", "drift7", "drift14"], weather.FEATURES
 COLUMNS = [*BASIC, *HISTORY, *WEATHER]
 
 

@@ -9,16 +9,21 @@ from ..sources.contracts import Contract, report
 from .adapters import oracle, view
 from .days import DRIFTS, FRAMES, KEY, MEAN, SPINE
 from .registry import query
-from .surroundings import EITHER, FAN, ROUND4
+from .surroundings import EITHER, ROUND4, WEATHER
 
 cal = lambda s, d: view(s, d, "calendar")
-MERGED = f"{FAN}, cc as (select code, day, type, {EITHER} as share from fan group by 1, 2, 3), cw as (select code, day, {ROUND4.format('national')}, {ROUND4.format('school')} from cc group by 1, 2), mg as (select * from cw where national > 1e-6 or school > 1e-6)"
+#: The calendar merge over all regions: urgent rows are verified and replace those of their code, day and type.
+MERGED = f"""vr as (select * from source_rows where name = '1-URGENT'), ur as (select code, day, type, share from source_rows s where name <> '1-URGENT' and not exists (select 1 from vr where vr.code = s.code and vr.day = s.day and vr.type = s.type) union all select code, day, type, share from vr),
+ cm as (select code, day, type, {EITHER} as share from ur group by 1, 2, 3), fn as (select cm.* from cm where code in (select code from regions) union all select r.code, day, type, share from cm join regions r on r.country = cm.code),
+ cc as (select code, day, type, {EITHER} as share from fn group by 1, 2, 3), cw as (select code, day, {ROUND4.format('national')}, {ROUND4.format('school')} from cc group by 1, 2), mg as (select * from cw where national > 1e-6 or school > 1e-6)"""
 SCORES = f"{MERGED}, sm as (select entity_id, day, sum(prior * national) as n, sum(prior * school) as s from markets join mg using (code) group by 1, 2), sc as (select a.entity_id, a.day, greatest(0, least(1, coalesce(n, 0)))::double as national_score, greatest(0, least(1, coalesce(s, 0)))::double as school_score from activity a left join sm using (entity_id, day))"
 
 
 def merged(s, d):
-    src, reg = view(s, d, "source_rows"), view(s, d, "regions")
-    return holidays.sparse(holidays.overlap_combine(holidays.fan_out(src, reg), ["code", "day", "type"]), ["code", "day"])
+    """Region calendars by the whole merge, with all regions and no code renamed; urgent rows are the verified ones."""
+    src, regions = view(s, d, "source_rows"), view(s, d, "regions").select("code", "country", F.lit(1).alias("n_children"))
+    none = s.sql("select '' as code, '' as new_code, 1.0D as factor where false")
+    return holidays.merge(src.where("name <> '1-URGENT'"), regions, none, verified=src.where("name = '1-URGENT'"))["calendar"]
 
 
 def daily(s, d):
@@ -151,7 +156,8 @@ DATES = f"""company, tier, isodow(d) - 1 as dow, (isodow(d) >= 6)::int as weeken
 IN_WINDOW = f"(d between date '{frames.WINDOW[0]}' and date '{frames.WINDOW[1]}')::int as in_window"
 FLAGS = "(coalesce(events, '') <> '')::int as has_event, " + ", ".join(f"regexp_matches(lower(coalesce(events, '')), '{p}')::int as event_{k}" for k, p in days.EVENT_GROUPS.items())
 BASES = ("calendar", "entities", "markets", "source_rows", "regions", "station")
-STATION = "wx as (select entity_id as station_id, day, temp_max, (precip >= 1)::int::double as wet from station)"
+STATION = f"{WEATHER}, wx as (select entity_id as station_id, * exclude (entity_id) from wf)"
+WX = ", ".join(f"wx.{c}" for c in weather.FEATURES)
 SEEN = ["company", "tier", *frames.CALENDAR]
 EVENT_COLUMNS = ["has_event", *[f"event_{k}" for k in days.EVENT_GROUPS]]
 
@@ -168,7 +174,7 @@ def spine_of_labels(s, d):
 
 def stations(s, d, shift: int = 0):
     """Station days by entity, `shift` days later."""
-    station = weather.weather_flags(view(s, d, "station")).select(F.col("entity_id").alias("station_id"), (F.col("day") + shift).alias("day"), "temp_max", "wet")
+    station = weather.features(view(s, d, "station")).withColumn("day", F.col("day") + shift).withColumnRenamed("entity_id", "station_id")
     return station.join(view(s, d, "entities").select("entity_id", (F.col("entity_id") % 5).alias("station_id")), "station_id").drop("station_id")
 
 
@@ -185,7 +191,7 @@ def ahead(s, d):
     return frames.future_rows(cal(s, d), view(s, d, "entities"), holidays_of(s, d), stations(s, d, 140).withColumn("wx_source", F.lit("station")))
 
 
-FEATURES = [*SEEN, "in_window", "open_min", "close_min", "duration", *EVENT_COLUMNS, *frames.HOLIDAYS, "py364", "py_mean", "drift1", "drift7", "drift14", "temp_max", "wet"]
+FEATURES = [*SEEN, "in_window", "open_min", "close_min", "duration", *EVENT_COLUMNS, *frames.HOLIDAYS, "py364", "py_mean", "drift1", "drift7", "drift14", *weather.FEATURES]
 query(
     "feature_frame",
     oracle(
@@ -193,7 +199,7 @@ query(
         md as (select entity_id, median(o) as mo, median(c) as mc, median(du) as mdu from ld group by 1),
         p as (select a.*, x.label as py357, y.label as py364, z.label as py371 from ld a {' '.join(f'left join la {t} on {t}.entity_id = a.entity_id and {t}.day = a.day - {k}' for t, k in (('x', 357), ('y', 364), ('z', 371)))}),
         g as (select *, {MEAN} as py_mean, label - py364 as gap from p), f as (select *, {DRIFTS} from g {FRAMES})
-        select f.entity_id, f.day, f.label, {DATES}, {IN_WINDOW}, coalesce(o, mo)::double as open_min, coalesce(c, mc)::double as close_min, coalesce(du, mdu)::double as duration, {FLAGS}, {', '.join('ho.' + c for c in frames.HOLIDAYS)}, py364, py_mean, drift1, drift7, drift14, temp_max, wet
+        select f.entity_id, f.day, f.label, {DATES}, {IN_WINDOW}, coalesce(o, mo)::double as open_min, coalesce(c, mc)::double as close_min, coalesce(du, mdu)::double as duration, {FLAGS}, {', '.join('ho.' + c for c in frames.HOLIDAYS)}, py364, py_mean, drift1, drift7, drift14, {WX}
         from f join entities e using (entity_id) left join md using (entity_id) left join ho on ho.entity_id = f.entity_id and ho.day = f.day left join wx on wx.station_id = f.entity_id % 5 and wx.day = f.day""",
         *BASES,
     ),
@@ -221,7 +227,7 @@ query(
         ev as (select entity_id, day, (coalesce(events, '') <> '')::int as has_event, case when status in ('open', 'closed') then (status = 'open')::int::double end as was_open from calendar)
         select sd.entity_id, sd.last_day, sd.day::int as day, (sd.day - sd.last_day)::int as days_ahead, d as date, {DATES}, 0 as in_window, (select max_by(label, day) from la where la.entity_id = sd.entity_id) as last_label, coalesce(ev.has_event, 0) as has_event, ev.was_open as open_last_year,
           py364, py_mean, drift1, drift7, drift14, coalesce(io.v, 1.0) as rate, coalesce(io.v, 1.0) >= 0.5 as is_open, oo.v as open_min, co.v as close_min, case when co.v < oo.v then (co.v - oo.v) / 60 + 24 else (co.v - oo.v) / 60 end as duration,
-          {', '.join('ho.' + c for c in frames.HOLIDAYS)}, wx.temp_max, wx.wet, case when wx.station_id is null then 'none' else 'station' end as wx_source
+          {', '.join('ho.' + c for c in frames.HOLIDAYS)}, {WX}, case when wx.station_id is null then 'none' else 'station' end as wx_source
         from sd join fd using (entity_id, day) join io using (entity_id, day) join oo using (entity_id, day) join co using (entity_id, day) join entities e using (entity_id) left join ho on ho.entity_id = sd.entity_id and ho.day = sd.day
         left join ev on ev.entity_id = sd.entity_id and ev.day = sd.day - 364 left join wx on wx.station_id = sd.entity_id % 5 and wx.day + 140 = sd.day""",
         *BASES,

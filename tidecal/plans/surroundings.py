@@ -45,14 +45,32 @@ query(
         "station",
     ),
 )(lambda s, d: weather.prefer(st(s, d).where("precip is not null"), st(s, d).where("sunshine <= 14400")).select(*KEY, "temp_max", "wx_source"))
+#: All weather columns of a station day, as weather.features() gives them.
+WEATHER = f"""fl as (select entity_id, day, least(dayofyear(date), 365) as doy, temp_max, temp_min, precip, sunshine, {FLAGS}, case when count(precip) over a >= 2 then sum(precip) over a end as rain_prev3, case when count(precip) over b >= 5 then sum((precip >= 1)::int) over b end::double as wet_prev7
+   from station window a as (partition by entity_id order by day rows between 3 preceding and 1 preceding), b as (partition by entity_id order by day rows between 7 preceding and 1 preceding)),
+ mc as (select entity_id, doy, avg(temp_max) as t, avg(precip) as p from fl group by 1, 2), xc as (select entity_id, ((doy - 1 + k) % 365 + 365) % 365 + 1 as doy, t, p from mc, (select unnest(range(-7, 8)) as k)),
+ uc as (select entity_id, doy, case when count(t) = 15 then avg(t) end as t, case when count(p) = 15 then avg(p) end as p from xc group by 1, 2),
+ wf as materialized (select fl.*, temp_max - t as temp_anomaly, precip - p as rain_anomaly from fl left join uc on uc.entity_id = fl.entity_id and uc.doy = fl.doy)"""
+query("weather_features", oracle(f"with {WEATHER} select entity_id, day, {', '.join(weather.FEATURES)} from wf", "station"))(lambda s, d: weather.features(st(s, d)))
+
+
+def swapped(s, d):
+    """Station days with yesterday's weather as the forecast, where all four values of it are known."""
+    days = weather.features(st(s, d)).join(st(s, d).select(*KEY, "sunshine"), KEY)
+    return weather.swap_forecast(days, st(s, d).withColumn("day", F.col("day") + 1), ["temp_max", "temp_min", "precip", "sunshine"], 0.0, {"temp_anomaly": "temp_max", "rain_anomaly": "precip"})
+
+
 query(
     "forecast_weather_swap",
     oracle(
-        """with f as (select entity_id, day + 1 as day, temp_max as t, precip as p from station), j as (select s.*, t, p, t is not null and p is not null as swapped from station s left join f using (entity_id, day)),
-        r as (select entity_id, day, swapped, case when swapped then t else temp_max end as temp_max, case when swapped then p else precip end as precip from j) select *, (precip >= 1)::int::double as wet, (temp_max >= 30)::int::double as hot from r""",
+        f"""with {WEATHER}, f as (select entity_id, day + 1 as day, temp_max as t, temp_min as m, precip as p, sunshine as u from station), j as (select wf.*, t, m, p, u, t is not null and m is not null and p is not null and u is not null as swapped from wf left join f using (entity_id, day)),
+        r as (select entity_id, day, swapped, rain_prev3, wet_prev7, case when swapped then t else temp_max end as temp_max, case when swapped then m else temp_min end as temp_min, case when swapped then p else precip end as precip, case when swapped then u else sunshine end as sunshine,
+          temp_max - temp_anomaly as ct, precip - rain_anomaly as cp from j)
+        select entity_id, day, swapped, rain_prev3, wet_prev7, temp_max, temp_min, precip, sunshine / 3600 as sun_hours, coalesce(precip >= 1, false)::int::double as wet, coalesce(precip >= 10, false)::int::double as very_wet, coalesce(temp_max >= 30, false)::int::double as hot,
+          coalesce(temp_max <= 5, false)::int::double as cold, coalesce(temp_min <= 0, false)::int::double as frost, temp_max - ct as temp_anomaly, precip - cp as rain_anomaly from r""",
         "station",
     ),
-)(lambda s, d: weather.swap_forecast(st(s, d), st(s, d).withColumn("day", F.col("day") + 1), ["temp_max", "precip"]).select(*KEY, "swapped", "temp_max", "precip", "wet", "hot"))
+)(lambda s, d: swapped(s, d).select(*KEY, "swapped", *weather.FEATURES))
 query("blank_drift", oracle("select entity_id, day, null::double as drift1, label / 7 as drift7, label / 14 as drift14 from activity", "activity"))(
     lambda s, d: weather.blank_drift(view(s, d, "activity").withColumns({f"drift{h}": F.col("label") / h for h in (1, 7, 14)}), 7).select(*KEY, "drift1", "drift7", "drift14")
 )
@@ -218,6 +236,8 @@ PRIOR = f"""kmed as (select e.entity_id, p.home as region_id, greatest(p.pop, 0)
    from pulled join whole using (region_id) join areas a using (region_id) join entities e using (entity_id)),
  prior as (select entity_id, region_id, distance_km, w / sum(w) over (partition by entity_id) as prior_weight from weighed)"""
 prior = lambda s, d: geo.market_prior(ents(s, d), pts(s, d).select(F.col("home").alias("region_id"), "lat", "lon", F.greatest("pop", F.lit(0.0)).alias("pop")), view(s, d, "areas"))
+#: The pyramid takes groups of places for one at 5 % between their nearest and farthest; compared in tenths of a percent.
+query("market_prior_grouped", None)(lambda s, d: geo.market_prior(ents(s, d), pts(s, d).select(F.col("home").alias("region_id"), "lat", "lon", F.greatest("pop", F.lit(0.0)).alias("pop")), view(s, d, "areas"), error=0.05))
 query("market_prior", oracle(f"with {PRIOR} select * from prior", "points", "entities", "areas"))(prior)
 query(
     "top_mass",

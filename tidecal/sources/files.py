@@ -98,7 +98,7 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 def write_log(df: DataFrame, path: str) -> None:
     """The log by (made_on, source): the partitions that df holds are replaced as pairs, all others stay.
 
-    append_log() gives the log's own meaning, by which every row goes whose made_on and whose source occur in a batch, be it
-    in different rows; write its result to a new path where a batch holds several sources.
+    A plain table for readers that know no versions. The log's own meaning, by which every row goes whose made_on and whose
+    source occur in a batch, be it in different rows, is that of append_log() and of versions.VersionedLog, its atomic sink.
     """
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("made_on", "source").parquet(path)
