@@ -212,6 +212,14 @@ def test_mix_of_equal_sizes_and_a_new_source(spark):
     assert len({x for r in u for x in r[1:]}) == 4 and all(0 <= x < 1 for r in u for x in r[1:])
 
 
+def test_ties_of_the_mixing_order_share_what_is_taken(spark):
+    """Rows equal in mixed id, id and size: the same numbers are taken whatever the order they come in."""
+    rows = [(7, "one two three", "a", k) for k in range(30)] + [(None, "four five six", "a", k) for k in range(9)] + [(7 + 2**31, "seven eight nine", "a", 0)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, more int")
+    a, b = (sorted(((r.doc_id or -1), r.size, r.taken, r.target) for r in mixing.mix(x).collect()) for x in (docs, docs.orderBy(F.desc("more")).repartition(5)))
+    assert a == b and len(a) == 44 and abs(sum(x[2] for x in a) - a[0][3]) <= 3 and {x[2] for x in a} <= {0, 3, 6}
+
+
 def test_emit_tells_repeated_rows_apart_and_keeps_columns(spark):
     rows = [(1, "a b c", "s", "x", 7, 1)] * 4 + [(None, "d e", None, "y", 8, 2)] * 3 + [(1, "other text of the id", "s", "z", 9, 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies string, number long, row long")

@@ -1,6 +1,7 @@
 """Registered queries and the pipeline against plain loops over whole tables, for what SQL doesn't express."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -51,6 +52,19 @@ def test_op1(spark, sf, documents):
     assert set(quality_rules.FEATURES) >= {c.split()[0] for rule in rules if rule for c in rule.split(" and ")}
 
 
+def keeps_short_words(notice, found):
+    """Words of up to four letters stand unchanged in what was found, in their order."""
+    at, have = 0, found.split(" ")
+    for word in notice.split(" "):
+        if len(word) <= 4:
+            while at < len(have) and have[at] != word:
+                at += 1
+            if at == len(have):
+                return False
+            at += 1
+    return True
+
+
 def test_op5(spark, sf, documents):
     for r in queries.op5_license_scans(spark, sf).collect():
         text = documents[r.doc_id].text or ""
@@ -61,8 +75,8 @@ def test_op5(spark, sf, documents):
         assert r.base_labels == ",".join(sorted({x for _, x in places}))
         joined, fuzzy = " ".join(found), set()
         for notice, label in licenses.NOTICES.items():
-            m = regex.search(rf"(?b)(?<![^ ])(?:{notice}){{e<={licenses.edits_allowed(notice)}}}(?![^ ])", joined)
-            if m and licenses.tells(notice, m[0]):
+            m = regex.search(rf"(?b)(?<![^ ])(?:{notice}){{e<={min(3, len(notice) // 10)}}}(?![^ ])", joined)
+            if m and keeps_short_words(notice, m[0]):
                 fuzzy.add(label)
         assert set(filter(None, r.labels.split(","))) == {x for _, x in places} | fuzzy
         for span in filter(None, r.spans.split(",")):
@@ -83,20 +97,57 @@ def plain_spans(text):
     return sorted((m.start(), pii.KINDS.index(kind), kind, m.end()) for kind, m in out)
 
 
-def test_op6(spark, sf, documents):
-    added = 0
-    for r in queries.op6_pii(spark, sf).collect():
-        text = documents[r.doc_id].text or ""
+def made_up(kind, s):
+    """The make-up of a span that the tagger adds, stated anew: kind by kind."""
+    digits = re.sub("[^0-9]", "", s)
+    if s != s.strip():
+        return False
+    if kind == "email":
+        return bool(re.search(r"\w\s?(@|\(at\)|\[at\])\s?\w", s)) and "." in s
+    if kind == "ip":
+        return bool(re.fullmatch(r"\d{1,3}(?:[.:-]\d{1,3}){3}", s)) and all(int(x) < 256 for x in re.findall(r"\d+", s))
+    if kind == "card":
+        doubled = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(digits))]
+        return 12 <= len(digits) <= 19 and sum(x - 9 * (x > 9) for x in doubled) % 10 == 0
+    return 9 <= len(digits) <= 15 and set(s) <= set("+0123456789() ./-")
+
+
+def luhn_number(rng):
+    d = [rng.randint(1, 9)] + [rng.randint(0, 9) for _ in range(14)]
+    return "".join(map(str, d)) + next(str(c) for c in range(10) if sum(x - 9 * (x > 9) for x in [v * (1 + k % 2) for k, v in enumerate(reversed([*d, c]))]) % 10 == 0)
+
+
+def test_op6(spark):
+    """The whole table with planted documents: base spans as the patterns, planted forms found, nothing else made up."""
+    rng = random.Random(5)
+    planted = {}
+    for k in range(80):
+        form, name, card = k % 4, f"{rng.choice(['anna', 'jo', 'max'])}.{rng.choice(['berg', 'lee', 'rossi'])}{rng.choice(['', 7, 42])}", luhn_number(rng)
+        n = [str(rng.randint(0, 9)) for _ in range(10)]
+        kind, span = (
+            ("email", f"{name}{rng.choice(['(at)', ' @ ', '[at]'])}mail{k}.org"), ("ip", rng.choice(":-").join(str(rng.randint(0, 255)) for _ in range(4))),
+            ("card", rng.choice("._/").join(card[i : i + 4] for i in range(0, 16, 4))), ("phone", rng.choice(["{}-{}-{}", "({}) {}-{}", "{} {} {}"]).format("5" + "".join(n[:2]), "".join(n[2:5]), "".join(n[5:9]))),
+        )[form]
+        text = "the note that we found says only this much, " + span + " and then goes on for a while"
+        planted[1_000_000 + k] = (text, f"{kind}:44:{44 + len(span)}")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    both = docs.unionByName(spark.createDataFrame([(i, t, "en", "planted", len(t)) for i, (t, _) in planted.items()], docs.schema))
+    texts = {r.doc_id: r.text or "" for r in both.collect()}
+    added, hit = 0, 0
+    # As the query does it, but that the tagger isn't fitted on the planted texts, whose spans the patterns miss.
+    for r in pii.find_pii(both, pii.fit(docs)).collect():
+        text = texts[r.doc_id]
         base = plain_spans(text)
         assert [getattr(r, f"n_{k}") for k in pii.KINDS] == [sum(x[2] == k for x in base) for k in pii.KINDS]
         written = [f"{kind}:{a}:{b}" for a, _, kind, b in base]
         assert r.base_sha256 == hashlib.sha256(",".join(written).encode()).hexdigest()
         spans = r.spans.split(",") if r.spans else []
         assert set(written) <= set(spans) and [int(x.split(":")[1]) for x in spans] == sorted(int(x.split(":")[1]) for x in spans)
-        added += len(spans) - len(written)
         for kind, a, b in (x.split(":") for x in set(spans) - set(written)):
-            assert pii.plausible(text, int(a), pii.KINDS.index(kind), int(b))
-    assert added >= 0
+            assert made_up(kind, text[int(a) : int(b)])
+            added += r.doc_id not in planted
+        hit += r.doc_id in planted and planted[r.doc_id][1] in spans
+    assert hit >= 64 and added <= 10, (hit, added)
 
 
 def test_pipeline_by_plain_loops(spark, sf, documents):

@@ -20,13 +20,17 @@ _own_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where it is unset, a local session (one machine) gets a temporary folder and a cluster the warehouse, which it shares.
+    Where it is unset, a local session (one machine) gets a temporary folder and a cluster the warehouse if that lies in a
+    shared file system; a cluster without either is an error, as each machine would see files of its own.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if "://" not in shared or shared.startswith("file:"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        return shared
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="tidecal-")

@@ -5,7 +5,7 @@ within the bad rows, from bounded sketches. What is learned comes from one small
 every feature, grow or prune half). It has a row for each combination that occurs, and all labelled rows count in it.
 
 Defined cases: a null or empty text has no words and zero counts, so it fails the base rule. Repeated rows give repeated
-rows. Rows without a label, or with a null label, are not learned from. Without labelled rows of both classes the list is
+rows. Rows without a label, or with a null label, are not learned from; an id with both labels counts as low quality. Without labelled rows of both classes the list is
 empty and only the base rule decides. Columns other than doc_id and text are ignored.
 """
 
