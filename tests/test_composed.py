@@ -205,6 +205,24 @@ def test_comparison_chooses_on_validation_days(spark):
     assert {k.split(",")[0] for k in got} == {"forest", "ridge", "mean"} and "ridge, penalty 0.1" in got and len({r.n for r in got.values()}) == 1
 
 
+def test_all_models_are_compared_on_the_same_rows(spark):
+    frame = labelled_frame(spark, entities=3, n=400).withColumn("split", F.when(F.col("day") < 9250, "train").when(F.col("day") < 9320, "valid").otherwise("test"))
+    frame = frame.withColumns({"month": F.month("date"), "py364": F.when(F.col("day") % 2 == 0, F.col("label")), "score": (F.col("day") % 9 == 0).cast("double"), "out": F.col("day") < 9020})
+    got = {(r.split, r.model): r for r in models.compare_all(frame, [*COLUMNS, "score"], HISTORY, ["score"], "score", "out", depth=4, iterations=2).collect()}
+    names = {"global mean", "entity mean", "entity x weekday mean", "entity x weekday x month mean", "same weekday last year", "boosted", "boosted, no last year", "boosted, no identity", "boosted, no holidays", "forest", "ridge", "mean of forest and boosted"}
+    assert set(got) == {(split, name) for split in ("valid", "test") for name in names}
+    for split in ("valid", "test"):
+        assert len({r.n for k, r in got.items() if k[0] == split}) == 1
+    rows = frame.collect()
+    seen = [r.label for r in rows if r.split == "train"]
+    mean = sum(seen) / len(seen)
+    asked = [r for r in rows if r.split == "valid"]
+    assert got["valid", "global mean"].mae == pytest.approx(sum(abs(r.label - mean) for r in asked) / len(asked)) and got["valid", "global mean"].r2 <= 1e-9
+    weekday = {k: [r.label for r in rows if r.split == "train" and (r.entity_id, r.dow) == k] for k in {(r.entity_id, r.dow) for r in rows}}
+    want = [abs(r.label - (r.py364 if r.py364 is not None else sum(weekday[r.entity_id, r.dow]) / len(weekday[r.entity_id, r.dow]))) for r in asked]
+    assert got["valid", "same weekday last year"].mae == pytest.approx(sum(want) / len(want))
+
+
 def test_history_goes_with_error_by_fold(spark):
     rows = [(f, e, 50.0 + e, 50.0) for f in (1, 2) for e in range(1, 5)]
     errors = spark.createDataFrame(rows, "fold int, entity_id int, prediction double, label double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import hours_open, minutes
@@ -47,9 +47,12 @@ def time_split(df: DataFrame, train_end: str, valid_end: str) -> DataFrame:
     return df.withColumn("split", F.when(F.col("date") <= F.lit(train_end).cast("date"), "train").when(F.col("date") <= F.lit(valid_end).cast("date"), "valid").otherwise("test"))
 
 
-def calendar_features(df: DataFrame, entities: DataFrame, window: tuple[str, str]) -> DataFrame:
-    """Weekday (Monday 0), weekend, month, ISO week, year, annual wave, months since opening, hemisphere, window flag."""
-    out = df.join(entities.select("entity_id", "latitude", "first_year", "first_month"), "entity_id", "left")
+def calendar_features(df: DataFrame, entities: DataFrame, window: tuple[str, str] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Weekday (Monday 0), weekend, month, ISO week, year, annual wave, months since opening, hemisphere, window flag.
+
+    carry: columns of entities that the rows take along in the same join. Without a window no day is in it.
+    """
+    out = df.join(entities.select("entity_id", *carry, "latitude", "first_year", "first_month"), "entity_id", "left")
     wave = 2 * F.pi() * F.dayofyear("date") / 365.25
     return out.withColumns(
         {
@@ -62,17 +65,16 @@ def calendar_features(df: DataFrame, entities: DataFrame, window: tuple[str, str
             "wave_cos": F.cos(wave),
             "months_open": (F.year("date") - F.col("first_year")) * 12 + F.month("date") - F.col("first_month"),
             "south": (F.col("latitude") < 0).cast("int"),
-            "in_window": between_days(*window).cast("int"),
+            "in_window": between_days(*window).cast("int") if window else F.lit(0),
         }
     ).drop("latitude", "first_year", "first_month")
 
 
 def hours_features(df: DataFrame) -> DataFrame:
-    """Adds open_min, close_min and duration; gaps take the entity's median."""
+    """Adds open_min, close_min and duration; gaps take the entity's median, a window by entity like those of its history."""
     out = df.withColumns({"open_min": minutes(F.col("opens")), "close_min": minutes(F.col("closes"))}).withColumn("duration", hours_open(F.col("open_min"), F.col("close_min")))
     names = ("open_min", "close_min", "duration")
-    middle = out.groupBy("entity_id").agg(*[F.median(c).alias(f"_{c}") for c in names])
-    return out.join(middle, "entity_id").withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_{c}")) for c in names}).drop(*[f"_{c}" for c in names])
+    return out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.median(c).over(Window.partitionBy("entity_id"))) for c in names})
 
 
 def event_flags(df: DataFrame, groups: dict[str, str] | None = None) -> DataFrame:

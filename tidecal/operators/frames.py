@@ -1,6 +1,7 @@
 """The composed frames: features of labelled days, of open and closed days, and of future days.
 
-All windows of a frame are over one entity's days, so they share one exchange by entity and one sort by day.
+All windows of a frame are over one entity's days, so they share one exchange by entity and one sort by day. Entities are joined
+once; scores and weather are joined by entity and day.
 """
 
 from __future__ import annotations
@@ -15,8 +16,6 @@ from .history import at_lag, drift, future_drift, future_spine, holiday_distance
 
 KEY = ["entity_id", "day"]
 KINDS = ("national", "school")
-#: The window of days that calendar_features() flags.
-WINDOW = ("1997-03-01", "1998-12-31")
 #: What a day has from scores: the score, days to the next and since the last holiday, and their capped logarithms.
 HOLIDAYS = [f"{k}_{c}" for k in KINDS for c in ("score", "until", "since", "log_until", "log_since")]
 CALENDAR = ["dow", "weekend", "month", "week", "year", "wave_sin", "wave_cos", "months_open", "south"]
@@ -34,20 +33,19 @@ def holiday_columns(scores: DataFrame, kinds: tuple[str, ...] = KINDS, above: fl
     return out
 
 
-def attributes(rows: DataFrame, entities: DataFrame, window: tuple[str, str]) -> DataFrame:
-    """Rows with what their entity is and what their date is."""
-    named = rows.join(entities.select("entity_id", "company", "tier"), "entity_id", "left")
-    return calendar_features(named, entities, window)
+def attributes(rows: DataFrame, entities: DataFrame, window: tuple[str, str] | None) -> DataFrame:
+    """Rows with what their entity is and what their date is; window: the days that in_window marks."""
+    return calendar_features(rows, entities, window, carry=("company", "tier"))
 
 
-def feature_frame(calendar: DataFrame, entities: DataFrame, holidays: DataFrame, weather: DataFrame, window: tuple[str, str] = WINDOW) -> DataFrame:
+def feature_frame(calendar: DataFrame, entities: DataFrame, holidays: DataFrame, weather: DataFrame, window: tuple[str, str] | None = None) -> DataFrame:
     """One row for each labelled day: attributes, date, hours, events, holidays, last year, drift and weather."""
     rows = event_flags(hours_features(attributes(labelled(calendar), entities, window)))
     rows = prior_year(rows.join(holidays, KEY, "left"))
     return drift(rows).join(weather, KEY, "left")
 
 
-def status_frame(calendar: DataFrame, entities: DataFrame, holidays: DataFrame, window: tuple[str, str] = WINDOW) -> DataFrame:
+def status_frame(calendar: DataFrame, entities: DataFrame, holidays: DataFrame, window: tuple[str, str] | None = None) -> DataFrame:
     """One row for each open or closed day of entities with scores: attributes, date, hours, events, holidays, and status and hours of last year."""
     rows = status.open_rows(calendar).join(holidays.select("entity_id").distinct(), "entity_id", "left_semi")
     rows = rows.withColumns({c: minutes(F.col(text)).cast("double") for c, text in (("open_min", "opens"), ("close_min", "closes"))})
@@ -57,7 +55,7 @@ def status_frame(calendar: DataFrame, entities: DataFrame, holidays: DataFrame,
     return event_flags(attributes(out, entities, window)).join(holidays, KEY, "left")
 
 
-def future_rows(calendar: DataFrame, entities: DataFrame, holidays: DataFrame, weather: DataFrame | None = None, days: int = 30, asof: int | None = None, window: tuple[str, str] = WINDOW) -> DataFrame:
+def future_rows(calendar: DataFrame, entities: DataFrame, holidays: DataFrame, weather: DataFrame | None = None, days: int = 30, asof: int | None = None, window: tuple[str, str] | None = None) -> DataFrame:
     """Features of future days of active entities, by what was known at the end of day `asof` (the last day of all if None).
 
     holidays may hold future days, as calendars are known ahead. weather: entity_id, day, wx_source and its columns; rows

@@ -12,7 +12,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .evaluation import error_by, history_gate
+from .evaluation import error_by, global_mean, group_mean, history_gate
 
 MISSING = -999.0
 
@@ -269,6 +269,49 @@ def compare(rows: DataFrame, columns: list[str], depths: tuple[int, ...] = (5, 7
     return error_by(pair.select("label", F.explode(named).alias("m")).select("label", "m.*"), ["model"])
 
 
+def boosted(train: DataFrame, rows: DataFrame, columns: list[str], out: str, identity: bool = True, iterations: int = 8) -> DataFrame:
+    """rows with one more column: boosted trees on these columns, with or without the entity's mean."""
+    means = EntityMeans(train, {"mean": F.col("label")})
+    entity = tuple(means.names) if identity else ()
+    trees = GBTRegressor(featuresCol="inputs", labelCol="label", maxIter=iterations, maxDepth=5, stepSize=0.3, maxBins=64, seed=3)
+    model = tree_pipeline(trees, columns, entity).fit(_named(means.learned, columns))
+    return _score(model, means.known(rows) if identity else rows, columns, out).drop(*entity)
+
+
+def with_baselines(train: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows (entity_id, dow, month, py364) with the means of all, of the entity, by weekday, by weekday and month, and last year's day."""
+    out = global_mean(train, rows).withColumnRenamed("prediction", "global mean")
+    for name, keys in (("entity mean", []), ("entity x weekday mean", ["dow"]), ("entity x weekday x month mean", ["dow", "month"])):
+        out = group_mean(train, out, keys).withColumnRenamed("prediction", name)
+    return out.withColumn("same weekday last year", F.coalesce("py364", "entity x weekday mean"))
+
+
+def compare_all(rows: DataFrame, columns: list[str], history: list[str], holidays: list[str], holiday: str, excluded: str | None = None, depth: int = 7, penalty: float = 0.1, iterations: int = 8) -> DataFrame:
+    """Error of baselines, linear model, trees and their variants, on validation and on test rows: split, model, n, mae, rmse, bias, r2.
+
+    rows: split (train, valid, test). For validation all are fitted on the training rows, for test on both. Models that
+    learn leave out rows that the column `excluded` marks; baselines don't. Variants of the boosted trees: without last
+    year, with it, without identity, without holidays. All predictions of a split stand on one row, so each has its rows.
+    """
+    rows, found = rows.cache(), []  # every fit and score reads it
+    plain = [c for c in columns if c not in history]
+    for name, known in (("valid", ["train"]), ("test", ["train", "valid"])):
+        seen, asked = rows.where(F.col("split").isin(*known)).drop("split"), rows.where(F.col("split") == name).drop("split")
+        learned = seen.where(~F.coalesce(F.col(excluded).cast("boolean"), F.lit(False))) if excluded else seen
+        out = with_baselines(seen, asked)
+        for label, used, identity in (("boosted, no last year", plain, True), ("boosted", columns, True), ("boosted, no identity", plain, False), ("boosted, no holidays", [c for c in columns if c not in holidays], True)):
+            out = boosted(learned, out, used, label, identity, iterations)
+        for label, table in (("forest", forest(learned, asked, columns, depth)), ("ridge", ridge(learned, asked, columns, penalty, holiday))):
+            out = out.join(table.select("entity_id", "day", F.col("prediction").alias(label)), ["entity_id", "day"])
+        models = [c for c in out.columns if c not in asked.columns]
+        each = [(c, F.col(c)) for c in models] + [("mean of forest and boosted", (F.col("forest") + F.col("boosted")) / 2)]
+        cases = F.array(*[F.struct(F.lit(c).alias("model"), clipped(v).alias("prediction")) for c, v in each])
+        found.append(out.select("label", F.explode(cases).alias("m")).select(F.lit(name).alias("split"), "label", "m.*"))
+    gap, label = F.col("prediction") - F.col("label"), F.col("label")
+    r2 = 1 - F.sum(gap * gap) / (F.sum(label * label) - F.sum(label) * F.sum(label) / F.count(F.lit(1)))
+    return found[0].unionByName(found[1]).groupBy("split", "model").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(gap)).alias("mae"), F.sqrt(F.avg(gap * gap)).alias("rmse"), F.avg(gap).alias("bias"), r2.alias("r2"))
+
+
 def status_model(frame: DataFrame, rows: DataFrame, columns: list[str], iterations: int = 5) -> DataFrame:
     """Chance to be open, and opening and closing minutes on a half-hour grid, learned from open rows."""
     trees = {"maxIter": iterations, "maxBins": 64, "seed": 3, "featuresCol": "inputs"}

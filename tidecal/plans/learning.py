@@ -16,9 +16,20 @@ HISTORY, WEATHER = ["py364", "py_mean", "drift1", "drift7", "drift14"], weather.
 COLUMNS = [*BASIC, *HISTORY, *WEATHER]
 
 
+_kept: list = []
+
+
+def kept(df):
+    """df in the cache, in place of what an earlier query left there; that is computed again should anything still read it."""
+    while _kept:
+        _kept.pop().unpersist()
+    _kept.append(df.cache())
+    return _kept[0]
+
+
 def frame(s, d):
     """The feature frame's model columns, kept while a query's fits and scores read them."""
-    return states.features(s, d).select(*KEY, "date", "label", "in_window", *COLUMNS).cache()
+    return kept(states.features(s, d).select(*KEY, "date", "label", "in_window", *COLUMNS))
 
 
 def _gated(s, d):
@@ -66,9 +77,16 @@ def model_comparison(s, d):
     return models.compare(rows, COLUMNS, depths=(5, 7), penalties=(0.1, 1.0), holiday="national_score")
 
 
+@query("model_zoo")
+def model_zoo(s, d):
+    """Error of all kinds of models and baselines on validation and test days."""
+    rows = days.time_split(frame(s, d), "1996-12-31", "1997-12-31")
+    return models.compare_all(rows, COLUMNS, HISTORY, [c for c in BASIC if c.startswith(("national", "school"))], "national_score", "in_window", iterations=4)
+
+
 @query("status_predictions")
 def status_predictions(s, d):
-    rows = states.statuses(s, d).cache()
+    rows = kept(states.statuses(s, d))
     columns = ["dow", "month", "has_event", "school_score", "is_open_364", "is_open_mean", "close_min_364"]
     wanted = [*KEY, "date", "is_open", "open_min", "close_min", *columns]
     return models.status_model(rows.where(F.col("day") <= CUT).select(*wanted), rows.where(F.col("day") > CUT).select(*wanted), columns)
@@ -86,7 +104,7 @@ def closing_predictions(s, d):
 
 def fit_inputs(s, d):
     """Labelled days outside the excluded window, events, markets, the whole region calendar, and the years of school calendars."""
-    rows = days.labelled(view(s, d, "calendar")).where(~days.between_days(*frames.WINDOW)).select(*KEY, "date", "label")
+    rows = days.labelled(view(s, d, "calendar")).where(~days.between_days(*states.WINDOW)).select(*KEY, "date", "label")
     school = view(s, d, "source_rows").where("type = 'school'").select(F.split("code", "-")[0].alias("country"), F.year("date").alias("year")).distinct().join(view(s, d, "regions"), "country").select("code", "year")
     return rows, states.chosen(s, d).select(*KEY, "rn"), view(s, d, "markets").select("entity_id", "code", "prior"), states.merged(s, d), school
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import days, frames, history, holidays, models, scores, status, weather
 from ..sources.contracts import Contract, report
 from .adapters import oracle, view
-from .days import DRIFTS, FRAMES, KEY, MEAN, SPINE
+from .days import DRIFTS, FRAMES, KEY, MEAN, SPINE, WINDOW
 from .registry import query
 from .surroundings import EITHER, ROUND4, WEATHER
 
@@ -153,7 +153,7 @@ HOLIDAYS = f"""{MERGED}, kd as (select entity_id, day from calendar union select
 #: Date features of a row with date d, and its entity e.
 DATES = f"""company, tier, isodow(d) - 1 as dow, (isodow(d) >= 6)::int as weekend, month(d) as month, weekofyear(d) as week, year(d) as year, sin(2 * pi() * dayofyear(d) / 365.25) as wave_sin, cos(2 * pi() * dayofyear(d) / 365.25) as wave_cos,
  (year(d) - first_year) * 12 + month(d) - first_month as months_open, (latitude < 0)::int as south"""
-IN_WINDOW = f"(d between date '{frames.WINDOW[0]}' and date '{frames.WINDOW[1]}')::int as in_window"
+IN_WINDOW = f"(d between date '{WINDOW[0]}' and date '{WINDOW[1]}')::int as in_window"
 FLAGS = "(coalesce(events, '') <> '')::int as has_event, " + ", ".join(f"regexp_matches(lower(coalesce(events, '')), '{p}')::int as event_{k}" for k, p in days.EVENT_GROUPS.items())
 BASES = ("calendar", "entities", "markets", "source_rows", "regions", "station")
 STATION = f"{WEATHER}, wx as (select entity_id as station_id, * exclude (entity_id) from wf)"
@@ -179,16 +179,16 @@ def stations(s, d, shift: int = 0):
 
 
 def features(s, d):
-    return frames.feature_frame(cal(s, d), view(s, d, "entities"), holidays_of(s, d), stations(s, d))
+    return frames.feature_frame(cal(s, d), view(s, d, "entities"), holidays_of(s, d), stations(s, d), window=WINDOW)
 
 
 def statuses(s, d):
-    return frames.status_frame(cal(s, d), view(s, d, "entities"), holidays_of(s, d))
+    return frames.status_frame(cal(s, d), view(s, d, "entities"), holidays_of(s, d), window=WINDOW)
 
 
 def ahead(s, d):
     """Future days; station days 140 days before stand in for forecasts."""
-    return frames.future_rows(cal(s, d), view(s, d, "entities"), holidays_of(s, d), stations(s, d, 140).withColumn("wx_source", F.lit("station")))
+    return frames.future_rows(cal(s, d), view(s, d, "entities"), holidays_of(s, d), stations(s, d, 140).withColumn("wx_source", F.lit("station")), window=WINDOW)
 
 
 FEATURES = [*SEEN, "in_window", "open_min", "close_min", "duration", *EVENT_COLUMNS, *frames.HOLIDAYS, "py364", "py_mean", "drift1", "drift7", "drift14", *weather.FEATURES]
