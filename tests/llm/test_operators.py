@@ -88,7 +88,9 @@ def test_sql(spark, sf, name):
     order = list(want.columns)
     a, b = (x.sort_values(order, ignore_index=True) for x in (want, got))
     for c in order:
-        assert (a[c] == b[c]).all() or np.allclose(a[c].astype(float), b[c].astype(float))
+        there = a[c].notna()
+        assert (there == b[c].notna()).all() and len(a) == len(b)
+        assert (a[c][there] == b[c][there]).all() or np.allclose(a[c][there].astype(float), b[c][there].astype(float))
 
 
 def words(t):
