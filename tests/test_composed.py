@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidecal.operators import days, evaluation, fitting, frames, geo, holidays, models, scores, weather
+from tidecal.operators import days, evaluation, fitting, frames, geo, history, holidays, models, scores, weather
 
 ENTITIES = "entity_id int, company string, tier string, latitude double, first_year int, first_month int"
 CALENDAR = "entity_id int, day int, label double, status string, predicted boolean, opens string, closes string, events string"
@@ -115,6 +115,24 @@ def test_calendar_merge(spark):
     assert cover == {("A", 1970): (1, 1), ("A", 1971): (1, 0), ("B", 1970): (1, 1), ("B", 1971): (1, 0)}
 
 
+def test_merge_of_null_shares_and_regions_named_like_countries(spark):
+    rows = [("A-1", 1, "school", None), ("B-7", 1, "school", None), ("B-8", 2, "school", 1.0), (None, 1, "school", 1.0), ("C", 3, "national", 1.0), ("A", 4, "other", 1.0)]
+    source = spark.createDataFrame(rows, "code string, day int, type string, share double").withColumn("date", F.date_from_unix_date("day"))
+    # C is a region of A and the country of C-1 as well: its code means the region.
+    regions = spark.createDataFrame([("A-1", "A", 1), ("B", "B", 4), ("C", "A", 1), ("C-1", "C", 1)], "code string, country string, n_children int")
+    found = holidays.merge(source, regions, spark.createDataFrame([], "code string, new_code string, factor double"))
+    assert {tuple(r) for r in found["calendar"].collect()} == {("B", 2, 0.0, 0.25), ("C", 3, 1.0, 0.0)}
+    assert [tuple(r) for r in found["dropped"].collect()] == [(None, 1)]
+
+
+def test_no_frame_reaches_to_the_end_of_its_rows(spark):
+    days = spark.range(2000).selectExpr("1 as entity_id", "cast(id as int) as day", "case when id % 500 = 0 then 1.0 else 0.0 end as score", "0.3 as prior", "0.2 as fitted", "concat('c', id) as code", "cast(id as int) as year", "1.0 as value")
+    for df in (history.holiday_distance(days), scores.blend(days, 0.5), holidays.nearest_year(days, days, ["entity_id"])):
+        assert "currentrow$(), unboundedfollowing" not in df._jdf.queryExecution().optimizedPlan().toString()
+    far = {r.day: (r.days_until, r.days_since) for r in history.holiday_distance(days).collect()}
+    assert far == {k: (-k % 500 if k <= 1500 else None, k % 500) for k in range(2000)}
+
+
 def test_market_prior_follows_its_rule(spark):
     entities = spark.createDataFrame([(1, 0.0, 0.0, "local", "X", None), (2, 0.0, 0.0, "intercontinental", "Q", 100.0)], "entity_id int, latitude double, longitude double, tier string, country string, reach_km double")
     places = spark.createDataFrame([(1, 0.0, 1.0, 10.0), (1, 0.0, 3.0, 30.0), (2, 0.0, 2.0, 5.0)], "region_id int, lat double, lon double, pop double")

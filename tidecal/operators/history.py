@@ -48,9 +48,13 @@ def rank_index(df: DataFrame, value: str = "volume") -> DataFrame:
 
 
 def holiday_distance(df: DataFrame, score: str = "score", above: float = 0.2, most: int = 180) -> DataFrame:
-    """Adds days_until, days_since (0 on the day, null without one) and their capped logarithms."""
+    """Adds days_until, days_since (0 on the day, null without one) and their capped logarithms.
+
+    Both look back, one of them along falling days: a frame that reaches to the end would be summed anew for each row, which
+    is the square of an entity's days. Rows of one day see each other.
+    """
     flagged = F.when(F.col(score) > above, F.col("day"))
-    ahead, back = by_day().rowsBetween(0, Window.unboundedFollowing), by_day().rowsBetween(Window.unboundedPreceding, 0)
+    ahead, back = (w.rangeBetween(Window.unboundedPreceding, 0) for w in (Window.partitionBy("entity_id").orderBy(F.desc("day")), by_day()))
     out = df.withColumns({"days_until": F.min(flagged).over(ahead) - F.col("day"), "days_since": F.col("day") - F.max(flagged).over(back)})
     return out.withColumns({f"log_{c}": F.when(F.col(c).isNotNull(), F.log1p(F.least(F.col(c), F.lit(most)))) for c in ("days_until", "days_since")})
 

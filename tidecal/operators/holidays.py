@@ -15,10 +15,14 @@ def supersede(rows: DataFrame, replaced: DataFrame, verified: DataFrame, keys: l
     return rows.join(replaced.select(*keys).distinct(), keys, "left_anti").unionByName(verified)
 
 
+def spared(share: Column) -> Column:
+    """Logarithm of the part of people without a break; a share is cut to 0-1 (just below), a null one is 0."""
+    return F.log1p(-F.least(F.greatest(share, F.lit(0.0)), F.lit(CEILING)))
+
+
 def either(shares: Column) -> Column:
     """Share of people with any of several independent breaks, as an aggregate."""
-    clipped = F.least(F.greatest(shares, F.lit(0.0)), F.lit(CEILING))
-    return 1 - F.exp(F.sum(F.log1p(-clipped)))
+    return 1 - F.exp(F.sum(spared(shares)))
 
 
 def overlap_combine(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,15 +60,19 @@ def coverage(rows: DataFrame, regions: DataFrame) -> DataFrame:
 
 def sparse(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One column for each kind, 0 where there is none, rounded to 4; rows of zeros are left out."""
-    wide = rows.groupBy(*keys).pivot("type", ["national", "school"]).agg(F.max("share")).fillna(0.0, ["national", "school"])
-    wide = wide.withColumns({c: F.floor(F.col(c) * 10_000 + 0.5) / 10_000 for c in ("national", "school")})
-    return wide.where("national > 1e-6 or school > 1e-6")
+    return not_zero(rows.groupBy(*keys).pivot("type", ["national", "school"]).agg(F.max("share")).fillna(0.0, ["national", "school"]))
+
+
+def not_zero(wide: DataFrame) -> DataFrame:
+    """national and school rounded to 4; rows of zeros are left out."""
+    return wide.withColumns({c: F.floor(F.col(c) * 10_000 + 0.5) / 10_000 for c in ("national", "school")}).where("national > 1e-6 or school > 1e-6")
 
 
 def remap(rows: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Codes renamed by a table (code, new_code, factor); shares times the factor, at most 1."""
+    """Codes renamed by a table (code, new_code, factor); shares times the factor, at most 1; a null share stays null."""
     out = rows.join(mapping, "code", "left")
-    return out.withColumns({"share": F.least(F.lit(1.0), F.col("share") * F.coalesce("factor", F.lit(1.0))), "code": F.coalesce("new_code", "code")}).drop("new_code", "factor")
+    scaled = F.col("share") * F.coalesce("factor", F.lit(1.0))
+    return out.withColumns({"share": F.when(scaled.isNotNull(), F.least(F.lit(1.0), scaled)), "code": F.coalesce("new_code", "code")}).drop("new_code", "factor")
 
 
 def interval_days(df: DataFrame) -> DataFrame:
@@ -92,8 +100,8 @@ def nearest_year(wanted: DataFrame, known: DataFrame, keys: list[str]) -> DataFr
     """
     value = F.struct(F.col("year").alias("known_year"), "value")
     both = wanted.select(*keys, "year").distinct().withColumn("_known", F.lit(None).cast(known.select(value).schema[0].dataType)).unionByName(known.groupBy(*keys, "year").agg(F.min("value").alias("value")).select(*keys, "year", value.alias("_known")))
-    years = Window.partitionBy(*keys).orderBy("year")
-    found = both.withColumns({"_back": F.max("_known").over(years.rangeBetween(Window.unboundedPreceding, 0)), "_ahead": F.min("_known").over(years.rangeBetween(0, Window.unboundedFollowing))})
+    rising, falling = (Window.partitionBy(*keys).orderBy(year).rangeBetween(Window.unboundedPreceding, 0) for year in (F.asc("year"), F.desc("year")))
+    found = both.withColumns({"_back": F.max("_known").over(rising), "_ahead": F.min("_known").over(falling)})
     back, ahead = F.col("year") - F.col("_back.known_year"), F.col("_ahead.known_year") - F.col("year")
     best = F.when(back.isNull() | (ahead < back), F.col("_ahead")).otherwise(F.col("_back"))
     return found.where("_known is null and (_back is not null or _ahead is not null)").select(*keys, "year", best.alias("b")).select(*keys, "year", "b.known_year", "b.value")
@@ -192,23 +200,27 @@ def merge(rows: DataFrame, regions: DataFrame, mapping: DataFrame, filled: DataF
         has = rows.where("type = 'national'").select(country_of(F.col("code")).alias("country")).distinct()
         rows = rows.unionByName(filled.withColumn("country", country_of(F.col("code"))).join(has, "country", "left_anti").select(*rows.columns))
     combined = overlap_combine(remap(rows, mapping), ["code", "date", "day", "type"])
-    here = regions.select(F.col("code").alias("region"), "country")
-    own = combined.join(here, combined.code == here.region).select("region", "date", "day", "type", "share", "country")
-    rest = combined.join(here, combined.code == here.region, "left_anti")
-    nationwide = rest.where(~F.col("code").contains("-")).join(here, F.col("code") == F.col("country")).select("region", "date", "day", "type", "share", "country")
-    single = regions.where("code = country").select(F.col("code").alias("region"), "country", "n_children")
-    below = rest.where(F.col("code").contains("-")).withColumn("country", country_of(F.col("code"))).join(single, "country")
-    parts = below.groupBy("region", "date", "day", "type", "country").agg(F.least(F.lit(CEILING), F.sum(F.col("share") / F.col("n_children"))).alias("share"))
-    spread = own.unionByName(nationwide).unionByName(parts.select(*own.columns))
-    calendar = sparse(overlap_combine(spread.withColumnRenamed("region", "code"), ["code", "day", "type"]), ["code", "day"])
-    known = regions.select("country").distinct()
-    lone = single.select(F.col("country").alias("_single"))
-    lost = rest.withColumn("country", country_of(F.col("code"))).join(known.withColumn("_known", F.lit(True)), "country", "left").join(lone, F.col("country") == F.col("_single"), "left")
-    reached = F.when(F.col("code").contains("-"), F.col("_single").isNotNull()).otherwise(F.coalesce("_known", F.lit(False)))
-    dropped = lost.where(~reached).groupBy("country").agg(F.count(F.lit(1)).alias("n"))
+    # Where a code leads: a region to itself, a country that is no region to all its regions.
+    here = regions.select("code", F.col("code").alias("region"), "country")
+    nationwide = here.where(~F.col("country").contains("-")).withColumn("code", F.col("country")).join(here.select("code"), "code", "left_anti")
+    whole = regions.where("code = country").select(F.col("code").alias("_parent"), F.col("code").alias("_whole"), "n_children")
+    # Only a code that leads nowhere looks for its parent; all others look for themselves, so that no key is shared by most rows.
+    parent = F.when(F.col("region").isNull() & F.col("code").contains("-"), country_of(F.col("code"))).otherwise(F.col("code"))
+    routed = combined.join(here.unionByName(nationwide), "code", "left").withColumn("_parent", parent).join(whole, "_parent", "left")
+    routed = routed.withColumns({"_own": F.col("region").isNotNull(), "region": F.coalesce("region", "_whole"), "country": F.coalesce("country", "_whole")})
+    reached = routed.where("region is not null")
+
+    def share_of(kind: str) -> Column:
+        own = F.sum(F.when((F.col("type") == kind) & F.col("_own"), spared(F.col("share"))))
+        children = F.sum(F.when((F.col("type") == kind) & ~F.col("_own"), F.col("share") / F.col("n_children")))
+        return (1 - F.exp(F.coalesce(own, F.lit(0.0)) + spared(children))).alias(kind)
+
+    kinds = ("national", "school")
+    calendar = not_zero(reached.groupBy(F.col("region").alias("code"), "day").agg(*map(share_of, kinds)))
+    dropped = routed.where("region is null").groupBy(country_of(F.col("code")).alias("country")).agg(F.count(F.lit(1)).alias("n"))
     years = rows.select(F.year("date").alias("year")).distinct()
-    by = spread.groupBy("country", F.year("date").alias("year")).agg(*[F.max((F.col("type") == t).cast("int")).alias(t) for t in ("national", "school")])
-    flags = known.crossJoin(years).join(by, ["country", "year"], "left").fillna(0, ["national", "school"])
+    by = reached.groupBy("country", F.year("date").alias("year")).agg(*[F.max((F.col("type") == t).cast("int")).alias(t) for t in kinds])
+    flags = regions.select("country").distinct().crossJoin(years).join(by, ["country", "year"], "left").fillna(0, list(kinds))
     flags = flags.withColumn("national", F.max("national").over(Window.partitionBy("country")))
     return {"calendar": calendar, "coverage": flags, "dropped": dropped}
 

@@ -71,11 +71,12 @@ def blend(df: DataFrame, rho: float, kappa: float = CAP_TIMES, floor: float = CA
     entity, fit = entity_window(), F.coalesce("fitted", F.lit(0.0))
     total = F.sum(fit).over(entity)
     out = df.withColumn("_w", F.when(total > 1e-9, (1 - rho) * F.col("prior") + rho * fit / total).otherwise(F.col("prior"))).withColumn("_cap", kappa * F.col("prior") + floor)
-    order = entity.orderBy((F.col("_cap") / F.nullif("_w", F.lit(0.0))).asc_nulls_last(), "code")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
+    ratio = F.col("_cap") / F.nullif("_w", F.lit(0.0))
+    before = entity.orderBy(ratio.asc_nulls_last(), "code").rowsBetween(Window.unboundedPreceding, -1)
+    after = entity.orderBy(ratio.desc_nulls_first(), F.desc("code")).rowsBetween(Window.unboundedPreceding, 0)
     level = (1 - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.nullif(F.sum("_w").over(after), F.lit(0.0))
     out = out.withColumns({"_level": level, "_fitted": total > 1e-9, "_caps": F.sum("_cap").over(entity)})
-    right = F.min(F.when((F.col("_w") > 0) & (F.col("_level") * F.col("_w") <= F.col("_cap") * (1 + 1e-12)), F.struct((F.col("_cap") / F.nullif("_w", F.lit(0.0))).alias("r"), "code", "_level"))).over(entity)["_level"]
+    right = F.min(F.when((F.col("_w") > 0) & (F.col("_level") * F.col("_w") <= F.col("_cap") * (1 + 1e-12)), F.struct(ratio.alias("r"), "code", "_level"))).over(entity)["_level"]
     weight = F.when(~F.col("_fitted"), F.col("prior")).when(F.col("_caps") <= 1, F.col("_cap") / F.col("_caps")).otherwise(F.least("_cap", right * F.col("_w")))
     return out.withColumn("weight", weight).drop("_w", "_cap", "_level", "_fitted", "_caps")
 

@@ -44,11 +44,19 @@ def look_ahead(df: DataFrame) -> DataFrame:
     return df.withColumns({"rain_next3": _guarded(F.col("precip"), by_day().rowsBetween(1, 3), 2), "temp_next": F.lead("temp_max").over(by_day()), "rain_next": F.lead("precip").over(by_day())})
 
 
-def climatology(df: DataFrame, value: str, reach: int = 7) -> DataFrame:
-    """Mean of a value by entity and day of the year (366 counts as 365), over +-reach days around the year; null unless all are there."""
-    daily = df.groupBy("entity_id", F.least(F.dayofyear("date"), F.lit(365)).alias("doy")).agg(F.avg(value).alias("_m"))
+def climatologies(df: DataFrame, values: dict[str, str], reach: int = 7) -> DataFrame:
+    """Means of values (value -> name) by entity and day of the year (366 counts as 365), over +-reach days around the year.
+
+    A mean is null unless all days are there. All values take one aggregation by day and one around it.
+    """
+    daily = df.groupBy("entity_id", F.least(F.dayofyear("date"), F.lit(365)).alias("doy")).agg(*[F.avg(v).alias(name) for v, name in values.items()])
     spread = daily.withColumn("doy", F.explode(F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda k: F.pmod(F.col("doy") - 1 + k, F.lit(365)) + 1)))
-    return spread.groupBy("entity_id", "doy").agg(F.when(F.count("_m") == 2 * reach + 1, F.avg("_m")).alias("usual"))
+    return spread.groupBy("entity_id", "doy").agg(*[F.when(F.count(name) == 2 * reach + 1, F.avg(name)).alias(name) for name in values.values()])
+
+
+def climatology(df: DataFrame, value: str, reach: int = 7) -> DataFrame:
+    """climatologies() of one value, as usual."""
+    return climatologies(df, {value: "usual"}, reach)
 
 
 def anomaly(df: DataFrame, value: str, reach: int = 7) -> DataFrame:
@@ -64,8 +72,8 @@ FEATURES = ["temp_max", "temp_min", "precip", "sun_hours", "wet", "very_wet", "h
 def features(station: DataFrame) -> DataFrame:
     """FEATURES of every station day (entity_id, day, date, temp_max, temp_min, precip, sunshine); look-ahead is left out."""
     out = look_back(weather_flags(station)).withColumn("doy", F.least(F.dayofyear("date"), F.lit(365)))
-    for value, name in (("temp_max", "temp_anomaly"), ("precip", "rain_anomaly")):
-        out = out.join(climatology(station, value), ["entity_id", "doy"], "left").withColumn(name, F.col(value) - F.col("usual")).drop("usual")
+    out = out.join(climatologies(station, {"temp_max": "_temp", "precip": "_rain"}), ["entity_id", "doy"], "left")
+    out = out.withColumns({"temp_anomaly": F.col("temp_max") - F.col("_temp"), "rain_anomaly": F.col("precip") - F.col("_rain")})
     return out.select("entity_id", "day", *FEATURES)
 
 

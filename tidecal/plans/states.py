@@ -162,16 +162,13 @@ SEEN = ["company", "tier", *frames.CALENDAR]
 EVENT_COLUMNS = ["has_event", *[f"event_{k}" for k in days.EVENT_GROUPS]]
 
 
-def holidays_of(s, d):
+def holidays_of(s, d, calendar=None):
     """Holiday columns of all days of the calendar and of the future."""
-    keys = cal(s, d).select(*KEY).unionByName(spine_of_labels(s, d).select(*KEY)).distinct()
+    calendar = cal(s, d) if calendar is None else calendar
+    keys = calendar.select(*KEY).unionByName(history.future_spine(days.labelled(calendar)).select(*KEY)).distinct()
     return frames.holiday_columns(scores.daily_scores(view(s, d, "markets").withColumnRenamed("prior", "weight"), merged(s, d), keys))
 
 
-def spine_of_labels(s, d):
-    return history.future_spine(days.labelled(cal(s, d)))
-
-
 def stations(s, d, shift: int = 0):
     """Station days by entity, `shift` days later."""
     station = weather.features(view(s, d, "station")).withColumn("day", F.col("day") + shift).withColumnRenamed("entity_id", "station_id")
@@ -179,16 +176,19 @@ def stations(s, d, shift: int = 0):
 
 
 def features(s, d):
-    return frames.feature_frame(cal(s, d), view(s, d, "entities"), holidays_of(s, d), stations(s, d), window=WINDOW)
+    calendar = cal(s, d)
+    return frames.feature_frame(calendar, view(s, d, "entities"), holidays_of(s, d, calendar), stations(s, d), window=WINDOW)
 
 
 def statuses(s, d):
-    return frames.status_frame(cal(s, d), view(s, d, "entities"), holidays_of(s, d), window=WINDOW)
+    calendar = cal(s, d)
+    return frames.status_frame(calendar, view(s, d, "entities"), holidays_of(s, d, calendar), window=WINDOW)
 
 
 def ahead(s, d):
     """Future days; station days 140 days before stand in for forecasts."""
-    return frames.future_rows(cal(s, d), view(s, d, "entities"), holidays_of(s, d), stations(s, d, 140).withColumn("wx_source", F.lit("station")), window=WINDOW)
+    calendar = cal(s, d)
+    return frames.future_rows(calendar, view(s, d, "entities"), holidays_of(s, d, calendar), stations(s, d, 140).withColumn("wx_source", F.lit("station")), window=WINDOW)
 
 
 FEATURES = [*SEEN, "in_window", "open_min", "close_min", "duration", *EVENT_COLUMNS, *frames.HOLIDAYS, "py364", "py_mean", "drift1", "drift7", "drift14", *weather.FEATURES]
