@@ -124,6 +124,62 @@ def test_rules_find_a_planted_threshold(spark):
         assert all(r.kept == (not r.bad) for r in found)
 
 
+def covering_by_rows(rows, names, cuts, most_rules, most_conditions, precision, least):
+    """Sequential covering over plain rows: grow by information gain, keep the prefix of most worth on the prune half."""
+    fits = lambda r, rule: all((r[n] > c) == above for n, above, c in rule)
+    split = lambda these: (sum(r["bad"] for r in these), sum(not r["bad"] for r in these))
+    rules = []
+    while len(rules) < most_rules:
+        grow, prune, rule = [r for r in rows if r["grow"]], [r for r in rows if not r["grow"]], []
+        while len(rule) < most_conditions:
+            inside = [r for r in grow if fits(r, rule)]
+            p, n = split(inside)
+            gains = []
+            for name in names if p and n else ():
+                for c in cuts[name]:
+                    for above in (True, False):
+                        q, m = split([r for r in inside if (r[name] > c) == above])
+                        gains.append((q * (np.log2(q / (q + m)) - np.log2(p / (p + n))) if q else 0.0, (name, above, c)))
+            best = max((g for g, _ in gains), default=0.0)
+            if best <= 1e-9:
+                break
+            rule.append(next(x for g, x in gains if g >= best - 1e-12))
+        worths = []
+        for k in range(1, len(rule) + 1):
+            p, n = split([r for r in prune if fits(r, rule[:k])])
+            worths.append((p - n) / (p + n) if p + n else -1.0)
+        rule = rule[: 1 + worths.index(max(worths))] if rule else rule
+        p, n = split([r for r in prune if fits(r, rule)])
+        if not rule or p + n == 0 or p / (p + n) < precision or p + split([r for r in grow if fits(r, rule)])[0] < least:
+            break
+        rules.append(rule)
+        rows = [r for r in rows if not fits(r, rule)]
+    return rules
+
+
+def test_covering_equals_plain_rows(spark):
+    schema = "doc_id long, n_words long, n_distinct_words long, n_repeat_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_shouts long, bad boolean"
+    rng, long_lists = np.random.default_rng(5), 0
+    for noise in (0.0, 0.1, 0.3):
+        rows = []
+        for k in range(600):
+            symbols, shouts, repeats = (int(x) for x in rng.integers(0, 20, 3))
+            bad = (symbols > 15) or (shouts > 12 and repeats < 8)
+            rows.append((k, 100, int(rng.integers(40, 60)), repeats, 500, symbols, 0, 5, shouts, bool(bad != (rng.random() < noise))))
+        stats = spark.createDataFrame(rows, schema)
+        names = list(quality_rules.FEATURES)
+        half = (F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(3)) > 0).alias("grow")
+        plain = [r.asDict() for r in stats.select("bad", half, *[quality_rules.feature(n).alias(n) for n in names]).collect()]
+        cuts = {}
+        for n in names:
+            each = [sorted(r[n] for r in plain if r["bad"] == b) for b in (True, False)]
+            cuts[n] = sorted({round(float(v[int(np.ceil(q * len(v))) - 1]), 3) for v in each for q in quality_rules.QUANTILES})
+        found = [list(r.conditions) for r in quality_rules.learn(stats, least_precision=0.6)]
+        assert found == covering_by_rows(plain, names, cuts, 8, 4, 0.6, 5)
+        long_lists += len(found) > 1 and max(map(len, found)) > 1
+    assert long_lists
+
+
 def test_boundaries_are_optimal():
     rng = np.random.default_rng(1)
     for _ in range(20):

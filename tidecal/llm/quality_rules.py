@@ -1,8 +1,10 @@
 """Quality rules: a decision list learned by sequential covering, applied as ordered Spark conditional expressions.
 
 Only DataFrame operations touch the rows. Thresholds are chosen among the quantiles of every feature within the good and
-within the bad rows, from bounded sketches. What is learned comes from one small table: the labelled rows counted by (bin of
-every feature, grow or prune half). It has a row for each combination that occurs, and all labelled rows count in it.
+within the bad rows, from bounded sketches. All labelled rows are counted into cells (bin of every feature, grow or prune half),
+which stay a table on the cluster. A step of growing asks it for one histogram of good and bad rows by feature and bin, within
+what the rule covers so far; pruning asks for the counts of each shortened rule. So the driver holds at most a row for each
+feature and bin, whatever the number of rows and of cells that occur.
 
 Defined cases: a null or empty text has no words and zero counts, so it fails the base rule. Repeated rows give repeated
 rows. Rows without a label, or with a null label, are not learned from; an id with both labels counts as low quality. Without labelled rows of both classes the list is
@@ -17,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, bind, materialise
+from .common import WORD, bind, drop_table, materialise
 
 #: Name -> expression over the statistics; compared after rounding to three digits.
 FEATURES = {
@@ -107,49 +109,65 @@ def learn(labelled: DataFrame, most_rules: int = 8, most_conditions: int = 4, le
     cuts = {n: sorted({round(float(c), 3) for r in per_class for c in r[n] or ()}) for n in names}
     bins = [sum((F.when(feature(n) > c, 1).otherwise(0) for c in cuts[n]), F.lit(0)).alias(n) for n in names]
     half = (F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(3)) > 0).alias("grow")
-    table = labelled.select(half, *bins, F.col("bad").cast("long").alias("bad")).groupBy("grow", *names).agg(F.sum("bad").alias("p"), F.sum(1 - F.col("bad")).alias("n")).collect()
-    cells = [(r["grow"], tuple(r[n] for n in names), r["p"], r["n"]) for r in table]
+    cells = materialise(labelled.select(half, *bins, F.col("bad").cast("long").alias("bad")).groupBy("grow", *names).agg(F.sum("bad").alias("p"), F.sum(1 - F.col("bad")).alias("n")))
 
-    literals = [(k, above, j) for k, n in enumerate(names) for j in range(len(cuts[n])) for above in (True, False)]
+    def meets(literal: tuple[str, bool, int]) -> Column:
+        name, above, j = literal
+        return (F.col(name) > j) == F.lit(above)
 
-    def meets(cell, literal) -> bool:
-        k, above, j = literal
-        return (cell[1][k] > j) == above
+    def all_met(conditions) -> Column:
+        met = F.lit(True)
+        for literal in conditions:
+            met = met & meets(literal)
+        return met
 
-    def totals(these) -> tuple[int, int]:
-        return sum(c[2] for c in these), sum(c[3] for c in these)
+    def histograms(inside: DataFrame) -> tuple[dict[str, list[list[int]]], int, int]:
+        """Bad and good rows by feature and bin, and of all."""
+        each = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("bin")) for n in names]))
+        found = {n: [[0, 0] for _ in range(len(cuts[n]) + 1)] for n in names}
+        for r in inside.select(each.alias("at"), "p", "n").groupBy("at").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).collect():
+            found[r.at.feature][r.at.bin] = [r.p, r.n]
+        return found, sum(c[0] for c in found[names[0]]), sum(c[1] for c in found[names[0]])
+
+    def best_literal(inside: DataFrame) -> tuple[str, bool, int] | None:
+        """The condition of largest gain in information over the bad rows, the first of equals; None if none gains."""
+        found, p0, n0 = histograms(inside)
+        best, most = None, 1e-9
+        if not p0 or not n0:
+            return None
+        before = math.log2(p0 / (p0 + n0))
+        for name in names:
+            below_p = below_n = 0
+            for j in range(len(cuts[name])):
+                below_p, below_n = below_p + found[name][j][0], below_n + found[name][j][1]
+                for above, p, n in ((True, p0 - below_p, n0 - below_n), (False, below_p, below_n)):
+                    if p and (gain := p * (math.log2(p / (p + n)) - before)) > most:
+                        best, most = (name, above, j), gain
+        return best
 
     rules: list[Rule] = []
+    left = cells
     while len(rules) < most_rules:
-        grow, prune = [c for c in cells if c[0]], [c for c in cells if not c[0]]
-        chosen: list[tuple[int, bool, int]] = []
-        inside = grow
-        while len(chosen) < most_conditions:
-            p0, n0 = totals(inside)
-            if not p0 or not n0:
-                break
-            best, gain = None, 1e-9
-            for literal in literals:
-                p1, n1 = totals([c for c in inside if meets(c, literal)])
-                if p1 and (g := p1 * (math.log2(p1 / (p1 + n1)) - math.log2(p0 / (p0 + n0)))) > gain:
-                    best, gain = literal, g
-            if best is None:
-                break
-            chosen.append(best)
-            inside = [c for c in inside if meets(c, best)]
-
-        def worth(size: int, held=prune, conditions=tuple(chosen)) -> tuple[float, int]:
-            p, n = totals([c for c in held if all(meets(c, x) for x in conditions[:size])])
-            return ((p - n) / (p + n) if p + n else -1.0), -size
-
-        size = max(range(1, len(chosen) + 1), key=worth, default=0)
-        kept = chosen[:size]
-        p, n = totals([c for c in prune if all(meets(c, x) for x in kept)]) if kept else (0, 0)
-        pg, _ = totals([c for c in grow if all(meets(c, x) for x in kept)]) if kept else (0, 0)
-        if p + n == 0 or p / (p + n) < least_precision or p + pg < least_rows:
+        chosen: list[tuple[str, bool, int]] = []
+        while len(chosen) < most_conditions and (literal := best_literal(left.where("grow").where(all_met(chosen)))) is not None:
+            chosen.append(literal)
+        if not chosen:
+            break
+        # For each length of the rule: bad and good rows of the prune half, and bad ones of the grow half.
+        sums = []
+        for size in range(1, len(chosen) + 1):
+            inside = all_met(chosen[:size])
+            for name, which in (("p", ~F.col("grow")), ("n", ~F.col("grow")), ("p", F.col("grow"))):
+                sums.append(F.coalesce(F.sum(F.when(inside & which, F.col(name))), F.lit(0)))
+        got = list(left.agg(*[c.alias(f"c{k}") for k, c in enumerate(sums)]).first())
+        counts = [tuple(got[3 * k : 3 * k + 3]) for k in range(len(chosen))]
+        size = max(range(1, len(chosen) + 1), key=lambda k: ((counts[k - 1][0] - counts[k - 1][1]) / (counts[k - 1][0] + counts[k - 1][1]) if counts[k - 1][0] + counts[k - 1][1] else -1.0, -k))
+        p, n, grown = counts[size - 1]
+        if p + n == 0 or p / (p + n) < least_precision or p + grown < least_rows:
             break
-        rules.append(Rule(tuple((names[k], above, cuts[names[k]][j]) for k, above, j in kept)))
-        cells = [c for c in cells if not all(meets(c, x) for x in kept)]
+        rules.append(Rule(tuple((name, above, cuts[name][j]) for name, above, j in chosen[:size])))
+        left = left.where(~all_met(chosen[:size]))
+    drop_table(cells)
     return rules
 
 
