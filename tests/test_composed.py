@@ -125,6 +125,12 @@ def test_merge_of_null_shares_and_regions_named_like_countries(spark):
     assert [tuple(r) for r in found["dropped"].collect()] == [(None, 1)]
 
 
+def test_a_score_at_the_limit_is_no_holiday_whatever_its_last_digit(spark):
+    rows = [(1, k, s, 0.0) for k, s in enumerate((0.2, float(np.nextafter(0.2, 1)), 0.1, 0.2001))]
+    found = frames.holiday_columns(spark.createDataFrame(rows, "entity_id int, day int, national_score double, school_score double"))
+    assert [(r.national_until, r.national_since, r.school_until) for r in found.orderBy("day").collect()] == [(3, None, None), (2, None, None), (1, None, None), (0, 0, None)]
+
+
 def test_no_frame_reaches_to_the_end_of_its_rows(spark):
     days = spark.range(2000).selectExpr("1 as entity_id", "cast(id as int) as day", "case when id % 500 = 0 then 1.0 else 0.0 end as score", "0.3 as prior", "0.2 as fitted", "concat('c', id) as code", "cast(id as int) as year", "1.0 as value")
     for df in (history.holiday_distance(days), scores.blend(days, 0.5), holidays.nearest_year(days, days, ["entity_id"])):

@@ -21,14 +21,19 @@ HOLIDAYS = [f"{k}_{c}" for k in KINDS for c in ("score", "until", "since", "log_
 CALENDAR = ["dow", "weekend", "month", "week", "year", "wave_sin", "wave_cos", "months_open", "south"]
 
 
+#: Scores are sums over regions whose order differs from run to run: less than this over a limit is no difference.
+SUM_ERROR = 1e-9
+
+
 def holiday_columns(scores: DataFrame, kinds: tuple[str, ...] = KINDS, above: float = 0.2) -> DataFrame:
     """Scores of every entity-day with their distances to holidays; a day is a holiday where its unrounded score is above.
 
+    A score at the limit is none, whatever the last digit of its sum (SUM_ERROR).
     scores (entity_id, day, <kind>_score) have a row for every day that is asked for, and for those between.
     """
     out = scores
     for kind in kinds:
-        found = holiday_distance(out, f"{kind}_score", above)
+        found = holiday_distance(out, f"{kind}_score", above + SUM_ERROR)
         out = found.withColumnsRenamed({"days_until": f"{kind}_until", "days_since": f"{kind}_since", "log_days_until": f"{kind}_log_until", "log_days_since": f"{kind}_log_since"})
     return out
 

@@ -148,7 +148,7 @@ AHEAD = f"{LABELS}, {SPINE.replace('from activity', 'from la')}"
 #: Scores of all days of the calendar and of the future, with distances, as frames.holiday_columns() has them.
 HOLIDAYS = f"""{MERGED}, kd as (select entity_id, day from calendar union select entity_id, day from sp), sm as (select entity_id, day, sum(prior * national) as n, sum(prior * school) as s from markets join mg using (code) group by 1, 2),
  sc as materialized (select k.entity_id, k.day, greatest(0, least(1, coalesce(n, 0)))::double as national_score, greatest(0, least(1, coalesce(s, 0)))::double as school_score from kd k left join sm using (entity_id, day)),
- hd as (select *, {', '.join(f"min(case when {k}_score > 0.2 then day end) over (partition by entity_id order by day rows between current row and unbounded following) - day as {k}_until, day - max(case when {k}_score > 0.2 then day end) over (partition by entity_id order by day) as {k}_since" for k in frames.KINDS)} from sc),
+ hd as (select *, {', '.join(f"min(case when {k}_score > 0.200000001 then day end) over (partition by entity_id order by day rows between current row and unbounded following) - day as {k}_until, day - max(case when {k}_score > 0.200000001 then day end) over (partition by entity_id order by day) as {k}_since" for k in frames.KINDS)} from sc),
  ho as materialized (select *, {', '.join(f"case when {k}_{c} is not null then ln(1 + least({k}_{c}, 180)) end as {k}_log_{c}" for k in frames.KINDS for c in ('until', 'since'))} from hd)"""
 #: Date features of a row with date d, and its entity e.
 DATES = f"""company, tier, isodow(d) - 1 as dow, (isodow(d) >= 6)::int as weekend, month(d) as month, weekofyear(d) as week, year(d) as year, sin(2 * pi() * dayofyear(d) / 365.25) as wave_sin, cos(2 * pi() * dayofyear(d) / 365.25) as wave_cos,
