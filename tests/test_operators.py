@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidecal.functions import calendar as cal
 from tidecal.operators import evaluation, geo, history, holidays, models, status, weather
-from tidecal.plans import registry
+from tidecal.plans import registry, states
+from tidecal.plans.adapters import view
 from tidecal.sources import contracts, files
 
 
@@ -103,6 +104,14 @@ def test_contract(spark):
         assert part in str(e.value)
 
 
+def test_allowed_values_name_none_in_the_query(spark, sf, monkeypatch):
+    """All days are open or closed: SQL's list of no values is null."""
+    calendar = view(spark, sf, "calendar").where("status <> 'unknown'")
+    monkeypatch.setattr(states, "cal", lambda s, d: calendar)
+    found = {r.rule: (r.n, r.found) for r in registry.queries()["contract_report"](spark, sf).collect()}
+    assert found["allowed:status"] == (0, None) and found["duplicate_keys"] == (0, "") and found["missing_columns"] == (1, "holiday") and found["range:label"][0] > 0
+
+
 def nearest_by_hand(lon, lat, areas):
     """(area, inside) over all segments of all areas."""
     best = None

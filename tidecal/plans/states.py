@@ -233,6 +233,13 @@ query(
         *BASES,
     ),
 )(ahead)
+
+def contracted(s, d):
+    """The calendar's report; a list of values is null where all are allowed, as in SQL."""
+    rules = report(cal(s, d), Contract(("entity_id", "day", "holiday"), ("entity_id", "day"), {"status": ("open", "closed")}, {"label": (5, 95)}))
+    return rules.withColumn("found", F.when(~F.col("rule").startswith("allowed:") | (F.col("n") > 0), F.col("found")))
+
+
 query(
     "contract_report",
     oracle(
@@ -240,7 +247,7 @@ query(
         select 'allowed:status' as rule, n, found from a union all select 'range:label', n, found from r union all select 'missing_columns', 1::bigint, 'holiday' union all select 'duplicate_keys', (count(*) - count(distinct (entity_id, day)))::bigint, '' from calendar""",
         "calendar",
     ),
-)(lambda s, d: report(cal(s, d), Contract(("entity_id", "day", "holiday"), ("entity_id", "day"), {"status": ("open", "closed")}, {"label": (5, 95)})))
+)(contracted)
 query(
     "training_blanks",
     oracle("select entity_id, day, [0, 1, 7, 14][1 + (entity_id * 7919 + day * 104729) % 1000003 % 4] as lag, (entity_id * 7919 + day * 104729) % 1000003 % 16 < 4 as no_weather from activity", "activity"),
