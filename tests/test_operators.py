@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidecal.functions import calendar as cal
 from tidecal.operators import evaluation, geo, history, holidays, models, status, weather
-from tidecal.plans import registry, states
+from tidecal.plans import adapters, registry, states
 from tidecal.plans.adapters import view
 from tidecal.sources import contracts, files
 
@@ -112,6 +112,17 @@ def test_allowed_values_name_none_in_the_query(spark, sf, monkeypatch):
     assert found["allowed:status"] == (0, None) and found["duplicate_keys"] == (0, "") and found["missing_columns"] == (1, "holiday") and found["range:label"][0] > 0
 
 
+def test_a_model_query_reads_the_large_tables_once(spark, sf):
+    """Within a query that shares, frames and fits read the written aggregates; outside each plan reads its tables."""
+    rows = lambda df: sorted(map(str, df.collect()))
+    plain = {name: rows(view(spark, sf, name)) for name in ("calendar", "markets")}
+    with adapters.sharing(True):
+        for df in (states.features(spark, sf), states.merged(spark, sf)):
+            assert not [f for f in df.inputFiles() if any(t in f for t in ("lineitem", "orders", "customer", "supplier"))]
+        assert view(spark, sf, "calendar") is view(spark, sf, "calendar") and {name: rows(view(spark, sf, name)) for name in plain} == plain
+    assert any("lineitem" in f for f in view(spark, sf, "calendar").inputFiles())
+
+
 def nearest_by_hand(lon, lat, areas):
     """(area, inside) over all segments of all areas."""
     best = None

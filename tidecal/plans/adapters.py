@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.scratch import materialise
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
@@ -127,13 +131,53 @@ def _with(names: tuple[str, ...], e: Dialect) -> str:
     return "WITH " + ", ".join(f"{n} AS ({VIEWS[n](e)})" for n in order)
 
 
+#: Tables that the parts of a running query share, by folder and name; None outside sharing().
+_shared: dict[tuple[str, str], DataFrame] | None = None
+
+
+@contextmanager
+def sharing(on: bool) -> Iterator[None]:
+    """A query's run; with `on`, its shared() tables are made once, however many of its plans and fits read them."""
+    global _shared
+    before, _shared = _shared, {} if on else None
+    try:
+        yield
+    finally:
+        _shared = before
+
+
+def shared(sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table of this name, written once within sharing(), else a plan for each call."""
+    if _shared is None:
+        return make()
+    if (sf_dir, name) not in _shared:
+        _shared[sf_dir, name] = materialise(make())
+    return _shared[sf_dir, name]
+
+
+#: Views that aggregate the large tables: entities by days or by regions, whatever the rows they come from.
+AGGREGATES = ("activity", "calendar", "station", "markets")
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One view as a DataFrame; the base tables are read where the view's plan uses them."""
-    text = _with((name,), SPARK)
+    if _shared is not None:
+        # Views that it needs stand for themselves, so that a shared one isn't computed within this one.
+        return shared(sf_dir, name, lambda: _view(spark, sf_dir, name, True)) if name in AGGREGATES else _view(spark, sf_dir, name, True)
+    return _view(spark, sf_dir, name, False)
+
+
+def _view(spark: SparkSession, sf_dir: str, name: str, apart: bool) -> DataFrame:
+    if apart:
+        for needed in NEEDS.get(name, []):
+            view(spark, sf_dir, needed).createOrReplaceTempView(needed)
+        text = VIEWS[name](SPARK)
+    else:
+        text = f"{_with((name,), SPARK)} SELECT * FROM {name}"
     for t in TABLES:
         if t in text:
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(f"{text} SELECT * FROM {name}")
+    return spark.sql(text)
 
 
 def oracle(body: str, *names: str) -> str:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..operators import days, evaluation, fitting, frames, models, scores, status, weather
+from ..sources.scratch import materialise
 from . import states
 from .adapters import view
-from .registry import query
+from .registry import query as registered
+
+query = partial(registered, share=True)
 
 KEY = ["entity_id", "day"]
 CUT = 10_600
@@ -20,10 +25,10 @@ _kept: list = []
 
 
 def kept(df):
-    """df in the cache, in place of what an earlier query left there; that is computed again should anything still read it."""
+    """df, written once and in the cache, in place of what an earlier query left there; that is read again should anything still need it."""
     while _kept:
         _kept.pop().unpersist()
-    _kept.append(df.cache())
+    _kept.append(materialise(df).cache())
     return _kept[0]
 
 

@@ -3,18 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .adapters import sharing
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register a function (spark, sf_dir) -> DataFrame under a name, with its SQL where there is one."""
+def query(name: str, sql: str | None = None, share: bool = False):
+    """Register a function (spark, sf_dir) -> DataFrame under a name, with its SQL where there is one.
+
+    share: what it reads more than once is made once (adapters.sharing()).
+    """
 
     def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            with sharing(share):
+                return f(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return f

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import days, frames, history, holidays, models, scores, status, weather
 from ..sources.contracts import Contract, report
-from .adapters import oracle, view
+from .adapters import oracle, shared, view
 from .days import DRIFTS, FRAMES, KEY, MEAN, SPINE, WINDOW
 from .registry import query
 from .surroundings import EITHER, ROUND4, WEATHER
@@ -21,6 +21,10 @@ SCORES = f"{MERGED}, sm as (select entity_id, day, sum(prior * national) as n, s
 
 def merged(s, d):
     """Region calendars by the whole merge, with all regions and no code renamed; urgent rows are the verified ones."""
+    return shared(d, "merged", lambda: _merged(s, d))
+
+
+def _merged(s, d):
     src, regions = view(s, d, "source_rows"), view(s, d, "regions").select("code", "country", F.lit(1).alias("n_children"))
     none = s.sql("select '' as code, '' as new_code, 1.0D as factor where false")
     return holidays.merge(src.where("name <> '1-URGENT'"), regions, none, verified=src.where("name = '1-URGENT'"))["calendar"]
