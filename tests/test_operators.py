@@ -112,6 +112,13 @@ def test_allowed_values_name_none_in_the_query(spark, sf, monkeypatch):
     assert found["allowed:status"] == (0, None) and found["duplicate_keys"] == (0, "") and found["missing_columns"] == (1, "holiday") and found["range:label"][0] > 0
 
 
+def test_points_meet_areas_without_being_grouped(spark):
+    ring = [[Row(lon=float(x), lat=float(y)) for x, y in ((0, 0), (5, 0), (5, 5), (0, 5), (0, 0))]]
+    areas = spark.createDataFrame([(1, ring)], "area_id int, rings array<array<struct<lon double, lat double>>>")
+    out = geo.assign_polygons(spark.range(100).selectExpr("id as point_id", "id % 10 + 0.5D as lon", "id / 20 as lat"), areas)
+    assert "keys=[point_id" not in plan_of(out) and out.count() == 100 and out.where("inside").count() == 50
+
+
 def test_a_model_query_reads_the_large_tables_once(spark, sf):
     """Within a query that shares, frames and fits read the written aggregates; outside each plan reads its tables."""
     rows = lambda df: sorted(map(str, df.collect()))

@@ -150,12 +150,12 @@ def segments(areas: DataFrame, keys: list[str]) -> DataFrame:
     return flat.select(*keys, F.col("s.a.lon").alias("x1"), F.col("s.a.lat").alias("y1"), F.col("s.b.lon").alias("x2"), F.col("s.b.lat").alias("y2"))
 
 
-def squared_distance(x: Column, y: Column) -> Column:
-    """Squared degree distance of a point to the segment x1, y1, x2, y2 of its row."""
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    along = F.coalesce(((x - F.col("x1")) * dx + (y - F.col("y1")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
+def squared_distance(x: Column, y: Column, s: Column) -> Column:
+    """Squared degree distance of a point to the segment s (x1, y1, x2, y2)."""
+    dx, dy = s["x2"] - s["x1"], s["y2"] - s["y1"]
+    along = F.coalesce(((x - s["x1"]) * dx + (y - s["y1"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
-    a, b = F.col("x1") + t * dx - x, F.col("y1") + t * dy - y
+    a, b = s["x1"] + t * dx - x, s["y1"] + t * dy - y
     return a * a + b * b
 
 
@@ -211,29 +211,37 @@ def assign_polygons(points: DataFrame, areas: DataFrame, cell: float = 2.0, with
 
     areas: area_id and rings (outer rings and holes alike; odd crossings over all of them are inside), as read_polygons()
     gives. within: columns that a point and its area must share, such as the country. Degrees are a plane, as on the map:
-    nothing wraps around. Inside: a point meets the areas whose box has its grid cell, and of each only the segments that
-    its line of latitude can cross. Outside: the point's cell knows the cells that can hold the nearest segment
-    (nearest_cells()), and the point meets those segments. Ties go to the least area_id. A point without coordinates has a
+    nothing wraps around. A grid cell has a list of the areas whose box has it, each with the segments that a line of
+    latitude through the cell can cross, and a list of the segments of all cells that can hold what is nearest to a point
+    in it (nearest_cells()). A point meets the lists of its cell, one row all the way: no table of points and segments is
+    made, sorted or grouped. Ties go to the least area_id. A point without coordinates has a
     null area; where there is no area to choose from, a point has no row.
     """
     lon, lat, keys = F.col("lon"), F.col("lat"), list(within)
+    cells = [*keys, "px", "py"]
     located = points.where("lon is not null and lat is not null").select("point_id", "lon", "lat", *keys).withColumns({"px": F.floor(lon / cell), "py": F.floor(lat / cell)})
     edges = segments(areas, ["area_id", *keys])
     box = edges.groupBy("area_id", *keys).agg(*[f(g(f"{c}1", f"{c}2")).alias(f"{name}_{c}") for c in "xy" for name, f, g in (("min", F.min, F.least), ("max", F.max, F.greatest))])
     for c in "xy":
         box = box.withColumn(f"p{c}", F.explode(_cells_between(f"min_{c}", f"max_{c}", cell)))
-    boxed = located.join(box.select("area_id", *keys, "px", "py"), [*keys, "px", "py"])
-    rows = edges.where("y1 <> y2").withColumn("py", F.explode(_cells_between("y1", "y2", cell))).drop(*keys)
-    crossing = ((F.col("y1") > lat) != (F.col("y2") > lat)) & (lon < F.col("x1") + (lat - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1")))
-    odd = boxed.join(rows, ["area_id", "py"]).where(crossing).groupBy("point_id", "area_id").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1")
-    inside = odd.groupBy("point_id").agg(F.min("area_id").alias("area_id"))
-    outside = located.join(inside, "point_id", "left_anti")
+    segment = F.struct("x1", "y1", "x2", "y2")
+    rows = edges.where("y1 <> y2").withColumn("py", F.explode(_cells_between("y1", "y2", cell)))
+    # A segment that ends well to the left of a cell isn't crossed by a ray to the right.
+    rayed = box.select("area_id", *cells).join(rows, ["area_id", *keys, "py"]).where(F.greatest("x1", "x2") >= (F.col("px") - 1) * cell)
+    boxed = rayed.groupBy(*cells, "area_id").agg(F.collect_list(segment).alias("s")).groupBy(*cells).agg(F.collect_list(F.struct("area_id", "s")).alias("boxed"))
+
+    def crossing(s: Column) -> Column:
+        return ((s["y1"] > lat) != (s["y2"] > lat)) & (lon < s["x1"] + (lat - s["y1"]) / (s["y2"] - s["y1"]) * (s["x2"] - s["x1"]))
+
+    odd = F.filter("boxed", lambda a: F.size(F.filter(a["s"], crossing)) % 2 == 1)
+    asked = located.join(boxed, cells, "left").withColumn("_in", F.array_min(F.transform(odd, lambda a: a["area_id"]))).drop("boxed")
     celled = segment_cells(edges, cell)
-    search = nearest_cells(outside.select(*keys, "px", "py").distinct(), celled.select(*keys, "cx", "cy").distinct(), within)
-    met = outside.join(search, [*keys, "px", "py"]).join(celled, [*keys, "cx", "cy"])
-    near = met.groupBy("point_id").agg(F.min(F.struct(squared_distance(lon, lat).alias("d"), "area_id"))["area_id"].alias("area_id"))
-    nowhere = points.where("lon is null or lat is null").select("point_id", F.lit(None).cast(areas.schema["area_id"].dataType).alias("area_id"))
-    return inside.withColumn("inside", F.lit(True)).unionByName(near.unionByName(nowhere).withColumn("inside", F.lit(False)))
+    search = nearest_cells(located.select(*cells).distinct(), celled.select(*keys, "cx", "cy").distinct(), within)
+    near = search.join(celled, [*keys, "cx", "cy"]).select(*cells, F.struct("area_id", "x1", "y1", "x2", "y2").alias("s")).distinct().groupBy(*cells).agg(F.collect_list("s").alias("near"))
+    best = F.array_min(F.transform("near", lambda s: F.struct(squared_distance(lon, lat, s).alias("d"), s["area_id"].alias("area_id"))))["area_id"]
+    found = asked.join(near, cells, "left").withColumn("area_id", F.when(F.col("_in").isNotNull(), F.col("_in")).otherwise(best)).where("area_id is not null")
+    nowhere = points.where("lon is null or lat is null").select("point_id", F.lit(None).cast(areas.schema["area_id"].dataType).alias("area_id"), F.lit(False).alias("inside"))
+    return found.select("point_id", "area_id", F.col("_in").isNotNull().alias("inside")).unionByName(nowhere)
 
 
 def assign_rectangles(points: DataFrame, rectangles: DataFrame) -> DataFrame:
