@@ -119,6 +119,12 @@ def test_points_meet_areas_without_being_grouped(spark):
     assert "keys=[point_id" not in plan_of(out) and out.count() == 100 and out.where("inside").count() == 50
 
 
+def test_no_line_of_the_large_table_is_sorted_for_the_calendar(spark, sf):
+    """Aggregates of lines keep numbers only, which are hashed; event names are compared once a day and name."""
+    plan = view(spark, sf, "calendar")._jdf.queryExecution().executedPlan().toString()
+    assert "l_tax" in plan and not [line for line in plan.splitlines() if "SortAggregate" in line and "l_tax" in line]
+
+
 def test_a_model_query_reads_the_large_tables_once(spark, sf):
     """Within a query that shares, frames and fits read the written aggregates; outside each plan reads its tables."""
     rows = lambda df: sorted(map(str, df.collect()))

@@ -12,6 +12,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import drop_table, materialise
 from .evaluation import error_by, global_mean, group_mean, history_gate
 
 MISSING = -999.0
@@ -96,6 +97,15 @@ def tree_pipeline(estimator, columns: list[str], entity: tuple[str, ...] = ()) -
     return Pipeline(stages=[VectorAssembler(inputCols=_inputs(columns, entity), outputCol="inputs"), estimator])
 
 
+def fit_on(rows: DataFrame, *pipelines: Pipeline) -> list[PipelineModel]:
+    """Models of the same rows, which are written once: trees pass over them some 40 times a fit, and read back they lie in as
+    many partitions as their bytes fill, not in one for each partition of the shuffle that made the entities' means."""
+    held = materialise(rows)
+    found = [p.fit(held) for p in pipelines]
+    drop_table(held)
+    return found
+
+
 def _named(df: DataFrame, columns: list[str], blank: tuple[str, ...] = (), missing: float = MISSING) -> DataFrame:
     """Model inputs beside the row's own columns; columns in blank count as missing."""
     out = prepared(df, columns, missing)
@@ -108,6 +118,12 @@ def _score(model: PipelineModel, df: DataFrame, columns: list[str], out: str, bl
     return found.select(*df.columns, (F.col("prediction") if value is None else value).alias(out))
 
 
+def learned_by(estimator, means: EntityMeans, columns: list[str], identity: bool = True) -> PipelineModel:
+    """Trees fitted on the rows that means were made of, with these or without them."""
+    entity = tuple(means.names) if identity else ()
+    return fit_on(_named(means.learned, columns).select(estimator.getLabelCol(), *_inputs(columns, entity)), tree_pipeline(estimator, columns, entity))[0]
+
+
 class GatedModel:
     """An entity's own model where it has enough history, else one without identity and history columns."""
 
@@ -121,14 +137,12 @@ class GatedModel:
         upto = train.where(F.col("day") <= cutoff_day)
         learned = upto.where(~F.coalesce(F.col(excluded).cast("boolean"), F.lit(False))) if excluded else upto
         means = EntityMeans(learned, {"mean": F.col("label")})
-        rows = _named(blanked(means.learned, [c for c in weather if c in columns]), columns).cache()
+        rows = _named(blanked(means.learned, [c for c in weather if c in columns]), columns)
 
         def trees() -> GBTRegressor:
             return GBTRegressor(featuresCol="inputs", labelCol="label", maxIter=iterations, maxDepth=5, stepSize=0.3, maxBins=64, seed=3)
 
-        full = tree_pipeline(trees(), columns, tuple(means.names)).fit(rows)
-        fallback = tree_pipeline(trees(), [c for c in columns if c not in history]).fit(rows)
-        rows.unpersist()
+        full, fallback = fit_on(rows.select("label", *_inputs(columns, tuple(means.names))), tree_pipeline(trees(), columns, tuple(means.names)), tree_pipeline(trees(), [c for c in columns if c not in history]))
         return cls(full, fallback, history_gate(train, cutoff_day, least_years), columns, means)
 
     def score(self, rows: DataFrame, lags: dict[str, Column | int | None]) -> DataFrame:
@@ -220,7 +234,7 @@ def replay(frame: DataFrame, first: int, last: int, columns: list[str], history:
 def forest(train: DataFrame, rows: DataFrame, columns: list[str], depth: int = 7) -> DataFrame:
     estimator = RandomForestRegressor(featuresCol="inputs", labelCol="label", numTrees=12, maxDepth=depth, maxBins=64, seed=3)
     means = EntityMeans(train, {"mean": F.col("label")})
-    return tree_pipeline(estimator, columns, tuple(means.names)).fit(_named(means.learned, columns)).transform(_named(means.known(rows), columns)).select("entity_id", "day", "label", "prediction")
+    return learned_by(estimator, means, columns).transform(_named(means.known(rows), columns)).select("entity_id", "day", "label", "prediction")
 
 
 def ablation(train: DataFrame, rows: DataFrame, sets: dict[str, list[str]]) -> DataFrame:
@@ -274,7 +288,7 @@ def boosted(train: DataFrame, rows: DataFrame, columns: list[str], out: str, ide
     means = EntityMeans(train, {"mean": F.col("label")})
     entity = tuple(means.names) if identity else ()
     trees = GBTRegressor(featuresCol="inputs", labelCol="label", maxIter=iterations, maxDepth=5, stepSize=0.3, maxBins=64, seed=3)
-    model = tree_pipeline(trees, columns, entity).fit(_named(means.learned, columns))
+    model = learned_by(trees, means, columns, identity)
     return _score(model, means.known(rows) if identity else rows, columns, out).drop(*entity)
 
 
@@ -317,7 +331,7 @@ def status_model(frame: DataFrame, rows: DataFrame, columns: list[str], iteratio
     trees = {"maxIter": iterations, "maxBins": 64, "seed": 3, "featuresCol": "inputs"}
     def fitted(estimator, known: DataFrame, target: str) -> tuple[PipelineModel, EntityMeans]:
         means = EntityMeans(known, {"mean": F.col(target)})
-        return tree_pipeline(estimator, columns, tuple(means.names)).fit(_named(means.learned, columns)), means
+        return learned_by(estimator, means, columns), means
 
     model, means = fitted(GBTClassifier(labelCol="is_open", **trees), frame.where("is_open is not null"), "is_open")
     out = _score(model, means.known(rows.select("entity_id", "day", *columns)), columns, "open_chance", value=vector_to_array("probability")[1]).drop(*means.names)
@@ -332,6 +346,6 @@ def closing_category(train: DataFrame, rows: DataFrame, columns: list[str]) -> D
     index = StringIndexer(inputCol="category", outputCol="target", handleInvalid="keep").fit(train)
     estimator = RandomForestClassifier(featuresCol="inputs", labelCol="target", numTrees=10, maxDepth=6, maxBins=64, seed=3)
     means = EntityMeans(index.transform(train), {f"share{k}": F.col("target") == k for k in range(len(index.labels))})
-    model = tree_pipeline(estimator, columns, tuple(means.names)).fit(_named(means.learned, columns))
+    model = learned_by(estimator, means, columns)
     names = F.array(*[F.lit(x) for x in index.labels])
     return model.transform(_named(means.known(rows), columns)).select("entity_id", "day", F.get(names, F.col("prediction").cast("int")).alias("category"))

@@ -48,16 +48,31 @@ def _activity(name: str, key: str, join: str):
     return sql
 
 
+def _day_facts(e: Dialect) -> str:
+    """What the calendar takes from an entity's lines of a day.
+
+    On Spark event names are keys before they are compared: an aggregate that keeps a string sorts all lines, where one of
+    numbers hashes them.
+    """
+    facts = "max(l_tax) as tax, max(l_discount) as disc, min(l_linenumber) as line0,\n        max(l_linenumber) as line1"
+    name, lines = "case when p_type = 'PROMO' then p_name end", "from lineitem join supplier on l_suppkey = s_suppkey join part on l_partkey = p_partkey"
+    day = "s_nationkey as entity_id, cast(l_shipdate as date) as date"
+    if not e.spark:
+        return f"""
+      select {day}, {facts}, max({name}) as events
+      {lines} group by 1, 2"""
+    return f"""
+      select entity_id, date, max(tax) as tax, max(disc) as disc, min(line0) as line0, max(line1) as line1, max(event) as events
+      from (select {day}, {name} as event, {facts} {lines} group by 1, 2, 3) n group by 1, 2"""
+
+
 def _calendar(e: Dialect) -> str:
     return f"""
     select a.entity_id, a.date, a.day, cast(a.label as double) as label, case when t.tax = 0 then 'unknown' else 'open' end as status,
       t.disc = 0 as predicted,
       case when a.volume < 5 then null else {e.hhmm("480 + 60 * floor((t.line0 - 1) / 2) + case when t.line0 % 2 = 0 then 30 else 0 end")} end as opens,
       case when a.volume < 5 then null else {e.hhmm("((19 + t.line1) % 24) * 60")} end as closes, t.events
-    from activity a join (
-      select s_nationkey as entity_id, cast(l_shipdate as date) as date, max(l_tax) as tax, max(l_discount) as disc, min(l_linenumber) as line0,
-        max(l_linenumber) as line1, max(case when p_type = 'PROMO' then p_name end) as events
-      from lineitem join supplier on l_suppkey = s_suppkey join part on l_partkey = p_partkey group by 1, 2) t
+    from activity a join ({_day_facts(e)}) t
       on a.entity_id = t.entity_id and a.date = t.date
     union all
     select s.entity_id, {e.date('s.day')} as date, s.day, cast(null as double), 'closed', false, null, null, null
