@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidecal.operators import days, evaluation, fitting, frames, geo, history, holidays, models, scores, weather
+from tidecal.sources.scratch import materialise
 
 ENTITIES = "entity_id int, company string, tier string, latitude double, first_year int, first_month int"
 CALENDAR = "entity_id int, day int, label double, status string, predicted boolean, opens string, closes string, events string"
@@ -333,6 +334,17 @@ def test_capped_blend_is_one_level(spark):
     assert fitting.poured(np.array([0.5, 0.5]), np.array([0.1, 0.3])).tolist() == pytest.approx([0.25, 0.75])
 
 
+def test_shifted_calendars_are_dealt_by_day_before_they_meet_markets(spark):
+    """The join with markets multiplies rows, so these stay in the partition of their day; lists hold what they held."""
+    markets = materialise(spark.createDataFrame([(e, f"c{k}", k) for e in (1, 2) for k in range(3)], "entity_id int, code string, idx int"))
+    calendar = spark.createDataFrame([(f"c{k}", d, (d + k) % 3 / 2, d % 2 / 2) for k in range(3) for d in range(10)], "code string, day int, national double, school double")
+    got = fitting.feature_days(markets, calendar, (0, 4))
+    assert "hashpartitioning(entity_id" not in got._jdf.queryExecution().executedPlan().toString()
+    held = {(r.entity_id, r.day, *f) for r in got.collect() for f in zip(r.f_shift, r.f_school, r.f_idx, r.f_x)}
+    wanted = {(e, (d + s) % 10, i, kind, k, x) for e in (1, 2) for k in range(3) for d in range(10) for i, s in enumerate((0, 4)) for kind, x in enumerate(((d + k) % 3 / 2, d % 2 / 2)) if x}
+    assert held == wanted
+
+
 def test_gram_blocks_are_the_sums_of_dense_products(spark):
     """Controls, features and targets, by fold and month or year, against a dense matrix product; shifts move features alone."""
     rng = np.random.default_rng(9)
@@ -424,6 +436,19 @@ def test_entity_means_hold_no_label_of_their_own_fold(spark):
     assert met[99][0] == pytest.approx(every) and met[3][0] == pytest.approx((sum(y for e, _, y in rows if e == 3) + 20 * every) / 80) and met[3][1] > 0.8
 
 
+def test_fits_pass_over_as_many_partitions_as_their_bytes_fill(spark, monkeypatch):
+    """Two entities' rows are not read in 64 tasks on every pass because the shuffle before had 64 partitions."""
+    seen, fit = [], models.Pipeline.fit
+    monkeypatch.setattr(models.Pipeline, "fit", lambda self, df, *a: (seen.append(df.rdd.getNumPartitions()), fit(self, df, *a))[1])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        models.GatedModel.fit(labelled_frame(spark), COLUMNS, HISTORY, 9440, iterations=1)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(seen) == 2 and max(seen) <= 8
+
+
 def test_twenty_thousand_entities_fit(spark):
     """Entities are numbers to the trees: no category limits them, and the level of each is learned."""
     frame = spark.range(100_000).selectExpr("cast(id % 20000 as int) as entity_id", "cast(id div 20000 as int) as day", "cast((id % 20000) % 90 + (id div 20000) as double) as label", "cast(id % 7 as int) as dow", "date_add(date'1995-01-01', cast(id div 20000 as int)) as date")

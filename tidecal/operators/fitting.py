@@ -92,6 +92,8 @@ def feature_days(markets: DataFrame, calendar: DataFrame, shifts: tuple[int, ...
     low, length = span.a or 0, (span.b or 0) - (span.a or 0) + 1
     moved = calendar.select("code", "day", F.posexplode(F.array(*map(F.lit, shifts))).alias("k", "shift"), "national", "school")
     moved = moved.withColumn("day", (F.lit(low) + F.pmod(F.col("day") - low + F.col("shift"), F.lit(length))).cast(calendar.schema["day"].dataType))
+    # Dealt by day before the join with markets multiplies the rows: few files hold a calendar, and its lists then stay where they are.
+    moved = moved.repartition(int(calendar.sparkSession.conf.get("spark.sql.shuffle.partitions")), "day")
     kinds = F.array(*[F.struct(F.lit(k).alias("school"), F.col(c).cast("double").alias("x")) for k, c in enumerate(("national", "school"))])
     long = markets.select("entity_id", "code", "idx").join(moved, "code").select("entity_id", "day", "k", "idx", F.explode(kinds).alias("f")).where("f.x <> 0")
     lists = long.groupBy("entity_id", "day").agg(F.collect_list(F.struct("k", "f.school", "idx", "f.x")).alias("f"))
