@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidecal.functions import calendar as cal
 from tidecal.operators import evaluation, geo, history, holidays, models, status, weather
-from tidecal.plans import adapters, registry, states
+from tidecal.plans import adapters, learning, registry, states
 from tidecal.plans.adapters import view
 from tidecal.sources import contracts, files
 
@@ -125,6 +125,12 @@ def test_no_line_of_the_large_table_is_sorted_for_the_calendar(spark, sf):
     assert "l_tax" in plan and not [line for line in plan.splitlines() if "SortAggregate" in line and "l_tax" in line]
 
 
+def test_closing_rows_are_written_once(spark, sf):
+    """The indexer, the entities' means, the fit and the scores read one table, not the plan of medians and terciles."""
+    registry.queries()["closing_predictions"](spark, sf)
+    assert "category" in learning._kept[0].columns and not [f for f in learning._kept[0].inputFiles() if "lineitem" in f]
+
+
 def test_a_model_query_reads_the_large_tables_once(spark, sf):
     """Within a query that shares, frames and fits read the written aggregates; outside each plan reads its tables."""
     rows = lambda df: sorted(map(str, df.collect()))

@@ -101,7 +101,7 @@ def status_predictions(s, d):
 def closing_predictions(s, d):
     rows = days.hours_features(days.event_flags(view(s, d, "calendar").where("status = 'open'")))
     rows = status.closing_terciles(rows).where("category is not null").withColumns({"dow": F.weekday("date"), "month": F.month("date")})
-    wanted = rows.select(*KEY, "category", "dow", "month", "open_min", "has_event", "close_min")
+    wanted = kept(rows.select(*KEY, "category", "dow", "month", "open_min", "has_event", "close_min"))
     train, test = wanted.where(F.col("day") <= CUT), wanted.where(F.col("day") > CUT)
     found = models.closing_category(train, test, ["dow", "month", "open_min", "has_event"])
     return status.closing_decode(train, found).select(*KEY, "category", F.col("decoded").alias("close_min"))
