@@ -142,6 +142,46 @@ def test_a_model_query_reads_the_large_tables_once(spark, sf):
     assert any("lineitem" in f for f in view(spark, sf, "calendar").inputFiles())
 
 
+@pytest.fixture(scope="module")
+def odd_sf(spark, sf, tmp_path_factory):
+    """The small tables with parts that occur twice or not at all, and orders without a priority, a status or a customer."""
+    out = str(tmp_path_factory.mktemp("odd"))
+    for name in adapters.TABLES:
+        df = spark.read.parquet(f"{sf}/{name}.parquet")
+        if name == "part":
+            df = df.where("p_partkey % 7 <> 0").unionByName(df.where("p_partkey % 5 = 0").withColumns({"p_type": F.lit("PROMO"), "p_name": F.concat(F.lit("z "), "p_name")}))
+        if name == "orders":
+            odd = lambda k, c: F.when(F.col("o_orderkey") % k != 0, F.col(c))
+            df = df.withColumns({"o_orderpriority": odd(11, "o_orderpriority"), "o_orderstatus": odd(13, "o_orderstatus"), "o_custkey": odd(17, "o_custkey")})
+        df.write.parquet(f"{out}/{name}.parquet")
+    return out
+
+
+def test_shared_aggregates_are_those_of_their_views(spark, odd_sf):
+    """What a sharing query makes in common passes is what each view makes by itself, on odd rows as well."""
+    names = ("activity", "calendar", "station", "markets")
+    made = lambda: {name: sorted(map(str, view(spark, odd_sf, name).collect())) for name in names} | {"merged": sorted(map(str, states.merged(spark, odd_sf).collect()))}
+    plain, types = made(), {name: view(spark, odd_sf, name).dtypes for name in names}
+    with adapters.sharing(True):
+        assert made() == plain and {name: view(spark, odd_sf, name).dtypes for name in names} == types
+
+
+def test_a_sharing_query_passes_over_the_large_tables_few_times(spark, sf, monkeypatch):
+    """Lines and orders are each read for their table of days and for the markets, which sort no line."""
+    plans, write = [], adapters.materialise
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(adapters, "materialise", seen)
+    with adapters.sharing(True):
+        learning.fit_inputs(spark, sf), states.features(spark, sf)
+    large = [p for p in plans if "/lineitem.parquet" in p]
+    assert sum(p.count("/lineitem.parquet") for p in plans) == 2 and sum(p.count("/orders.parquet") for p in plans) == 2
+    assert [p for p in large if "/orders.parquet" in p and "ShuffledHashJoin" in p] and not [p for p in large if "SortMergeJoin" in p]
+
+
 def nearest_by_hand(lon, lat, areas):
     """(area, inside) over all segments of all areas."""
     best = None

@@ -35,15 +35,19 @@ class Dialect:
 SPARK, DUCK = Dialect(True), Dialect(False)
 
 
-def _activity(name: str, key: str, join: str):
-    def sql(e: Dialect) -> str:
-        return f"""
+def _ranked(e: Dialect, volumes: str) -> str:
+    return f"""
         select entity_id, date, {e.day('date')} as day, volume,
           cast(greatest(1.0, floor(100.0 * (rk + (ties - 1) / 2.0) / n + 0.5)) as double) as label
         from (select *, rank() over (partition by entity_id order by volume) as rk, count(*) over (partition by entity_id, volume) as ties,
                 count(*) over (partition by entity_id) as n
-              from (select {key} as entity_id, cast(l_shipdate as date) as date, cast(sum(l_quantity) as double) as volume
-                    from lineitem join supplier on l_suppkey = s_suppkey {join} group by 1, 2) a) b"""
+              from ({volumes}) a) b"""
+
+
+def _activity(name: str, key: str, join: str):
+    def sql(e: Dialect) -> str:
+        return _ranked(e, f"""select {key} as entity_id, cast(l_shipdate as date) as date, cast(sum(l_quantity) as double) as volume
+                    from lineitem join supplier on l_suppkey = s_suppkey {join} group by 1, 2""")
 
     return sql
 
@@ -66,13 +70,13 @@ def _day_facts(e: Dialect) -> str:
       from (select {day}, {name} as event, {facts} {lines} group by 1, 2, 3) n group by 1, 2"""
 
 
-def _calendar(e: Dialect) -> str:
+def _calendar(e: Dialect, facts: str | None = None) -> str:
     return f"""
     select a.entity_id, a.date, a.day, cast(a.label as double) as label, case when t.tax = 0 then 'unknown' else 'open' end as status,
       t.disc = 0 as predicted,
       case when a.volume < 5 then null else {e.hhmm("480 + 60 * floor((t.line0 - 1) / 2) + case when t.line0 % 2 = 0 then 30 else 0 end")} end as opens,
       case when a.volume < 5 then null else {e.hhmm("((19 + t.line1) % 24) * 60")} end as closes, t.events
-    from activity a join ({_day_facts(e)}) t
+    from activity a join ({facts or _day_facts(e)}) t
       on a.entity_id = t.entity_id and a.date = t.date
     union all
     select s.entity_id, {e.date('s.day')} as date, s.day, cast(null as double), 'closed', false, null, null, null
@@ -131,6 +135,40 @@ VIEWS = {
 }
 NEEDS = {"calendar": ["activity"], "lagged": ["activity"], "log": ["lagged"]}
 
+#: How a sharing query makes these views instead, on Spark: from two tables of days, each one pass over the large ones.
+#: line_days: lines by entity, day and event; volume counts every line, the facts those whose part is known (parts of one key
+#: are one part to it). order_days: orders by nation, day and what source_rows makes of them. markets meet orders by hash, as
+#: their keys occur once, and are summed by numbers: no line is sorted, and no code made for each line.
+SHARED_VIEWS = {
+    "line_days": """
+    select s_nationkey as entity_id, cast(l_shipdate as date) as date, event, sum(l_quantity) as volume, count(known) as n_known, max(case when known then l_tax end) as tax,
+      max(case when known then l_discount end) as disc, min(case when known then l_linenumber end) as line0, max(case when known then l_linenumber end) as line1
+    from lineitem join supplier on l_suppkey = s_suppkey
+    left join (select p_partkey, true as known, max(case when p_type = 'PROMO' then p_name end) as event from part where p_partkey is not null group by 1) p on l_partkey = p_partkey group by 1, 2, 3""",
+    "activity": _ranked(SPARK, "select entity_id, date, cast(sum(volume) as double) as volume from line_days group by 1, 2"),
+    "calendar": _calendar(SPARK, """select entity_id, date, max(tax) as tax, max(disc) as disc, min(line0) as line0, max(line1) as line1, max(event) as events
+      from line_days where n_known > 0 group by 1, 2"""),
+    "order_days": """
+    select n_regionkey, n_nationkey, cast(o_orderdate as date) as date, coalesce(o_orderstatus = 'P', false) as wide, o_orderpriority = '1-URGENT' as urgent,
+      coalesce(o_orderpriority like '1%' or o_orderpriority like '2%', false) as national, count(*) as n, max(o_totalprice) as most, min(o_totalprice) as least,
+      min(o_orderkey) as first, sum(log1p(-least(greatest(cast((o_orderkey % 10) / 10.0 as double), 0.0D), 1 - 1e-9D))) as spared
+    from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, 2, 3, 4, 5, 6""",
+    "station": f"""
+    select entity_id, date, {SPARK.day('date')} as day, temp_max, temp_min, precip, sunshine from (
+      select n_regionkey as entity_id, date, floor(max(most) / 1000 + 0.5) / 10 as temp_max, floor(min(least) / 1000 + 0.5) / 10 - 10 as temp_min,
+        cast(case when sum(n) > 3 then null else min(first) % 13 end as double) as precip, cast(3600.0 * sum(n) as double) as sunshine
+      from order_days group by 1, 2) s""",
+    "source_days": f"""
+    select code, date, {SPARK.day('date')} as day, type, urgent, 1 - exp(sum(spared)) as share
+    from (select case when wide then concat('R', n_regionkey) else concat('R', n_regionkey, '-', n_nationkey) end as code, date,
+            case when national then 'national' else 'school' end as type, urgent, spared from order_days) o group by code, date, type, urgent""",
+    "markets": """
+    select entity_id, concat('R', n_regionkey, '-', n_nationkey) as code, concat('R', n_regionkey) as country, n_nationkey as region_id, q / sum(q) over (partition by entity_id) as prior from (
+      select /*+ shuffle_hash(o) */ s_nationkey as entity_id, n_regionkey, n_nationkey, cast(sum(l_quantity) as double) as q from lineitem join supplier on l_suppkey = s_suppkey
+      join (select o_orderkey, n_regionkey, n_nationkey from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey) o on l_orderkey = o_orderkey group by 1, 2, 3) m""",
+}
+SHARED_NEEDS = {"activity": ["line_days"], "calendar": ["activity", "line_days"], "station": ["order_days"], "source_days": ["order_days"]}
+
 
 def _with(names: tuple[str, ...], e: Dialect) -> str:
     order: list[str] = []
@@ -171,7 +209,7 @@ def shared(sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
 
 
 #: Views that aggregate the large tables: entities by days or by regions, whatever the rows they come from.
-AGGREGATES = ("activity", "calendar", "station", "markets")
+AGGREGATES = tuple(SHARED_VIEWS)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -182,11 +220,15 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _view(spark, sf_dir, name, False)
 
 
+def is_sharing() -> bool:
+    return _shared is not None
+
+
 def _view(spark: SparkSession, sf_dir: str, name: str, apart: bool) -> DataFrame:
     if apart:
-        for needed in NEEDS.get(name, []):
+        for needed in (SHARED_NEEDS if name in SHARED_VIEWS else NEEDS).get(name, []):
             view(spark, sf_dir, needed).createOrReplaceTempView(needed)
-        text = VIEWS[name](SPARK)
+        text = SHARED_VIEWS[name] if name in SHARED_VIEWS else VIEWS[name](SPARK)
     else:
         text = f"{_with((name,), SPARK)} SELECT * FROM {name}"
     for t in TABLES:

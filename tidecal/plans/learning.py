@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import days, evaluation, fitting, frames, models, scores, status, weather
 from ..sources.scratch import materialise
 from . import states
-from .adapters import view
+from .adapters import is_sharing, view
 from .registry import query as registered
 
 query = partial(registered, share=True)
@@ -110,7 +110,7 @@ def closing_predictions(s, d):
 def fit_inputs(s, d):
     """Labelled days outside the excluded window, events, markets, the whole region calendar, and the years of school calendars."""
     rows = days.labelled(view(s, d, "calendar")).where(~days.between_days(*states.WINDOW)).select(*KEY, "date", "label")
-    school = view(s, d, "source_rows").where("type = 'school'").select(F.split("code", "-")[0].alias("country"), F.year("date").alias("year")).distinct().join(view(s, d, "regions"), "country").select("code", "year")
+    school = view(s, d, "source_days" if is_sharing() else "source_rows").where("type = 'school'").select(F.split("code", "-")[0].alias("country"), F.year("date").alias("year")).distinct().join(view(s, d, "regions"), "country").select("code", "year")
     return rows, states.chosen(s, d).select(*KEY, "rn"), view(s, d, "markets").select("entity_id", "code", "prior"), states.merged(s, d), school
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import days, frames, history, holidays, models, scores, status, weather
 from ..sources.contracts import Contract, report
-from .adapters import oracle, shared, view
+from .adapters import is_sharing, oracle, shared, view
 from .days import DRIFTS, FRAMES, KEY, MEAN, SPINE, WINDOW
 from .registry import query
 from .surroundings import EITHER, ROUND4, WEATHER
@@ -25,8 +25,12 @@ def merged(s, d):
 
 
 def _merged(s, d):
-    src, regions = view(s, d, "source_rows"), view(s, d, "regions").select("code", "country", F.lit(1).alias("n_children"))
+    regions = view(s, d, "regions").select("code", "country", F.lit(1).alias("n_children"))
     none = s.sql("select '' as code, '' as new_code, 1.0D as factor where false")
+    if is_sharing():  # rows of a code, day and type are combined already
+        src = view(s, d, "source_days")
+        return holidays.merge(src.where("not urgent"), regions, none, verified=src.where("urgent"))["calendar"]
+    src = view(s, d, "source_rows")
     return holidays.merge(src.where("name <> '1-URGENT'"), regions, none, verified=src.where("name = '1-URGENT'"))["calendar"]
 
 
