@@ -2,6 +2,7 @@ import datetime
 
 import math
 import random
+import threading
 
 import pytest
 from pyspark.sql import Row
@@ -182,6 +183,35 @@ def test_a_sharing_query_passes_over_the_large_tables_few_times(spark, sf, monke
     assert [p for p in large if "/orders.parquet" in p and "ShuffledHashJoin" in p] and not [p for p in large if "SortMergeJoin" in p]
 
 
+def test_fits_that_do_not_need_each_other_run_side_by_side(spark, monkeypatch):
+    """Models of one table, refits of a replay and the targets of the status model meet at a barrier that one alone never passes."""
+    rows = days(spark, [(k, k) for k in range(30)])
+
+    class Fit:
+        def __init__(self, barrier):
+            self.barrier = barrier
+
+        def fit(self, held):
+            self.barrier.wait(60)
+            return held.count()
+
+    barrier = threading.Barrier(2)
+    assert models.fit_on(rows, Fit(barrier), Fit(barrier)) == [30, 30]
+    barrier = threading.Barrier(2)
+
+    class Gated:
+        def predict(self, made, lag):
+            return made.withColumns({"prediction": F.lit(1.0), "low_confidence": F.lit(False)})
+
+    monkeypatch.setattr(models.GatedModel, "fit", lambda *a, **k: barrier.wait(60) >= 0 and Gated())
+    assert models.replay(rows, 0, 19, [], [], [], leads=(1,), refit=10).count() == 20
+    barrier = threading.Barrier(3)
+    monkeypatch.setattr(models, "learned_by", lambda *a, **k: barrier.wait(60) >= 0 and None)
+    monkeypatch.setattr(models, "_score", lambda model, df, columns, out, **k: df.withColumn(out, F.lit(1.0)))
+    frame = rows.withColumns({"is_open": F.lit(1), "open_min": F.lit(1.0), "close_min": F.lit(1.0)})
+    assert models.status_model(frame, rows, []).count() == 30
+
+
 def nearest_by_hand(lon, lat, areas):
     """(area, inside) over all segments of all areas."""
     best = None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -12,7 +12,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import drop_table, materialise
+from ..sources.scratch import drop_table, materialise, together
 from .evaluation import error_by, global_mean, group_mean, history_gate
 
 MISSING = -999.0
@@ -99,9 +99,10 @@ def tree_pipeline(estimator, columns: list[str], entity: tuple[str, ...] = ()) -
 
 def fit_on(rows: DataFrame, *pipelines: Pipeline) -> list[PipelineModel]:
     """Models of the same rows, which are written once: trees pass over them some 40 times a fit, and read back they lie in as
-    many partitions as their bytes fill, not in one for each partition of the shuffle that made the entities' means."""
+    many partitions as their bytes fill, not in one for each partition of the shuffle that made the entities' means. The
+    models don't know of each other, and are fitted side by side."""
     held = materialise(rows)
-    found = [p.fit(held) for p in pipelines]
+    found = together(rows.sparkSession, [partial(p.fit, held) for p in pipelines])
     drop_table(held)
     return found
 
@@ -218,17 +219,19 @@ def replay(frame: DataFrame, first: int, last: int, columns: list[str], history:
     """Back-dated predictions made on days first to last, as log rows: made_day, entity_id, day, lead_days, prediction, source.
 
     A model is fitted every `refit` days on labels up to the day before; it predicts for all days made until the next fit,
-    with labels known lead + 1 days before the day predicted. One fit and one plan a refit, whatever the rows.
+    with labels known lead + 1 days before the day predicted. One fit and one plan a refit, whatever the rows; refits run
+    side by side, a few at a time.
     """
     frame = frame.cache()  # every refit reads it
     made = frame.withColumn("lead", F.explode(F.array(*map(F.lit, leads)))).withColumn("made_day", F.col("day") - F.col("lead"))
-    out = []
-    for start in range(first, last + 1, refit):
+
+    def predicted(start: int) -> DataFrame:
         model = GatedModel.fit(frame, columns, history, start - 1, tuple(weather), **options)
         rows = made.where(F.col("made_day").between(start, min(last, start + refit - 1)))
         found = model.predict(weather_of_lead(rows, archived, weather), F.col("lead") + 1)
-        out.append(found.select("made_day", "entity_id", "day", F.col("lead").alias("lead_days"), "prediction", "low_confidence", F.lit("backtest").alias("source")))
-    return reduce(DataFrame.unionByName, out)
+        return found.select("made_day", "entity_id", "day", F.col("lead").alias("lead_days"), "prediction", "low_confidence", F.lit("backtest").alias("source"))
+
+    return reduce(DataFrame.unionByName, together(frame.sparkSession, [partial(predicted, start) for start in range(first, last + 1, refit)]))
 
 
 def forest(train: DataFrame, rows: DataFrame, columns: list[str], depth: int = 7) -> DataFrame:
@@ -333,10 +336,12 @@ def status_model(frame: DataFrame, rows: DataFrame, columns: list[str], iteratio
         means = EntityMeans(known, {"mean": F.col(target)})
         return learned_by(estimator, means, columns), means
 
-    model, means = fitted(GBTClassifier(labelCol="is_open", **trees), frame.where("is_open is not null"), "is_open")
+    minutes = ("open_min", "close_min")
+    fits = [partial(fitted, GBTClassifier(labelCol="is_open", **trees), frame.where("is_open is not null"), "is_open")]
+    fits += [partial(fitted, GBTRegressor(labelCol=x, **trees), frame.where(f"is_open = 1 and {x} is not null"), x) for x in minutes]
+    (model, means), *others = together(frame.sparkSession, fits)
     out = _score(model, means.known(rows.select("entity_id", "day", *columns)), columns, "open_chance", value=vector_to_array("probability")[1]).drop(*means.names)
-    for target in ("open_min", "close_min"):
-        model, means = fitted(GBTRegressor(labelCol=target, **trees), frame.where(f"is_open = 1 and {target} is not null"), target)
+    for target, (model, means) in zip(minutes, others):
         out = _score(model, means.known(out), columns, target, value=F.bround(F.col("prediction") / 30) * 30).drop(*means.names)
     return out.select("entity_id", "day", "open_chance", "open_min", "close_min")
 

@@ -58,9 +58,9 @@ def backtest_report(s, d):
 @query("backfill_log")
 def backfill_log(s, d):
     """Back-dated predictions of 600 days, with a new fit every 300; what stations saw a day or a week before stands in for forecasts."""
-    station = states.stations(s, d)
-    archived = station.withColumn("weather_lead", F.explode(F.array(F.lit(1), F.lit(7)))).withColumn("day", F.col("day") + F.col("weather_lead"))
-    return models.replay(frame(s, d), 10_100, 10_699, COLUMNS, HISTORY, WEATHER, archived, refit=300, iterations=4, excluded="in_window")
+    rows = frame(s, d)
+    archived = states.stations(s, d).withColumn("weather_lead", F.explode(F.array(F.lit(1), F.lit(7)))).withColumn("day", F.col("day") + F.col("weather_lead"))
+    return models.replay(rows, 10_100, 10_699, COLUMNS, HISTORY, WEATHER, archived, refit=300, iterations=4, excluded="in_window")
 
 
 @query("rf_predictions")
@@ -109,6 +109,7 @@ def closing_predictions(s, d):
 
 def fit_inputs(s, d):
     """Labelled days outside the excluded window, events, markets, the whole region calendar, and the years of school calendars."""
+    states.ready(s, d, station=False)
     rows = days.labelled(view(s, d, "calendar")).where(~days.between_days(*states.WINDOW)).select(*KEY, "date", "label")
     school = view(s, d, "source_days" if is_sharing() else "source_rows").where("type = 'school'").select(F.split("code", "-")[0].alias("country"), F.year("date").alias("year")).distinct().join(view(s, d, "regions"), "country").select("code", "year")
     return rows, states.chosen(s, d).select(*KEY, "rn"), view(s, d, "markets").select("entity_id", "code", "prior"), states.merged(s, d), school

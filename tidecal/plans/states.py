@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import days, frames, history, holidays, models, scores, status, weather
 from ..sources.contracts import Contract, report
+from ..sources.scratch import together
 from .adapters import is_sharing, oracle, shared, view
 from .days import DRIFTS, FRAMES, KEY, MEAN, SPINE, WINDOW
 from .registry import query
@@ -170,6 +171,13 @@ SEEN = ["company", "tier", *frames.CALENDAR]
 EVENT_COLUMNS = ["has_event", *[f"event_{k}" for k in days.EVENT_GROUPS]]
 
 
+def ready(s, d, station: bool = True) -> None:
+    """In a query that shares, the tables that its frames read: lines by day, markets, and orders by day, made side by side."""
+    if is_sharing():
+        wanted = [lambda: view(s, d, "calendar"), lambda: view(s, d, "markets"), lambda: (merged(s, d), station and view(s, d, "station"))]
+        together(s, wanted)  # no two of them need the same table
+
+
 def holidays_of(s, d, calendar=None):
     """Holiday columns of all days of the calendar and of the future."""
     calendar = cal(s, d) if calendar is None else calendar
@@ -184,17 +192,20 @@ def stations(s, d, shift: int = 0):
 
 
 def features(s, d):
+    ready(s, d)
     calendar = cal(s, d)
     return frames.feature_frame(calendar, view(s, d, "entities"), holidays_of(s, d, calendar), stations(s, d), window=WINDOW)
 
 
 def statuses(s, d):
+    ready(s, d, station=False)
     calendar = cal(s, d)
     return frames.status_frame(calendar, view(s, d, "entities"), holidays_of(s, d, calendar), window=WINDOW)
 
 
 def ahead(s, d):
     """Future days; station days 140 days before stand in for forecasts."""
+    ready(s, d)
     calendar = cal(s, d)
     return frames.future_rows(calendar, view(s, d, "entities"), holidays_of(s, d, calendar), stations(s, d, 140).withColumn("wx_source", F.lit("station")), window=WINDOW)
 

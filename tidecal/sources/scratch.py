@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
@@ -51,6 +54,19 @@ def materialise(df: DataFrame, **options: str) -> DataFrame:
     return out
 
 
+#: Jobs that run beside each other: small ones leave most cores idle.
+BESIDE = 4
+
+
+def together(spark: SparkSession, makers: Iterable[Callable]) -> list:
+    """What each maker returns, in their order; their Spark jobs run beside each other, from as many threads as BESIDE."""
+    tasks = [inheritable_thread_target(spark)(make) for make in makers]
+    if len(tasks) < 2:
+        return [task() for task in tasks]
+    with ThreadPool(min(BESIDE, len(tasks))) as pool:
+        return pool.map(lambda task: task(), tasks, 1)
+
+
 def drop_table(df: DataFrame) -> None:
     """Remove a table made by materialise() that nothing reads any more."""
     path = getattr(df, "_tidecal_path", None)
