@@ -224,6 +224,51 @@ def test_replay_never_sees_labels_of_its_own_days(spark):
     assert {(r.lead, r.temp_max) for r in rows} == {(1, 5.0), (30, None)}
 
 
+def dense_ridge(train, asked, numbers, scores, penalty=10.0):
+    """Predictions by (entity, day) of a ridge on one dense matrix: scaled numbers, and dummies of entity, weekday, month and the entity's weekdays, months and holidays."""
+    def groups(r):
+        e, week, month = r.entity_id, r.date.weekday(), r.date.month
+        return [("e", e), ("w", week), ("m", month), ("ew", e, week), ("em", e, month), *[(c, e, (r[c] or 0) > 0.2 + frames.SUM_ERROR) for c in scores]]
+
+    known = {g: k for k, g in enumerate(sorted({g for r in train for g in groups(r)}, key=str))}
+    values = lambda found: np.array([[v for c in numbers for v in (float(r[c] or 0), float(r[c] is None))] for r in found])
+    mean, spread = values(train).mean(0), values(train).std(0)
+
+    def matrix(found):
+        dummies = np.zeros((len(found), len(known)))
+        for i, r in enumerate(found):
+            dummies[i, [known[g] for g in groups(r) if g in known]] = 1
+        return np.hstack([(values(found) - mean) / np.where(spread > 0, spread, 1), dummies])
+
+    x, y = matrix(train), np.array([r.label for r in train])
+    centre = x.mean(0)
+    w = np.linalg.solve((x - centre).T @ (x - centre) + penalty * np.eye(x.shape[1]), (x - centre).T @ (y - y.mean()))
+    return {(r.entity_id, r.day): p for r, p in zip(asked, (matrix(asked) - centre) @ w + y.mean())}
+
+
+def test_ridge_is_the_exact_solution_with_all_its_dummies(spark):
+    frame = labelled_frame(spark).withColumns({"label": F.col("label") + F.when((F.col("day") % 9 == 0) & (F.col("entity_id") == 1), 15).otherwise(0), "temp_max": F.when(F.col("day") % 8 > 0, F.col("temp_max"))})
+    frame = frame.withColumns({"national": (F.col("day") % 9 == 0).cast("double"), "school": F.when(F.col("day") % 50 < 9, 0.6), "fixed": F.lit(0.1)})
+    train, asked = frame.where("day < 9455"), frame.where("day >= 9455")
+    asked = asked.unionByName(asked.where("entity_id = 1").withColumn("entity_id", F.lit(9)))  # an entity without a training row
+    numbers = ["temp_max", "drift1", "national", "fixed"]
+    for scores_, penalty in (("national", 0.1), (("national", "school"), 10.0), (None, 10.0)):
+        got = models.ridge(train, asked, numbers, penalty, scores_).collect()
+        want = dense_ridge(train.collect(), asked.collect(), numbers, [scores_] if isinstance(scores_, str) else scores_ or (), penalty)
+        assert len(got) == len(want) == asked.count() and all(r.prediction == pytest.approx(want[r.entity_id, r.day], abs=1e-7) for r in got)
+
+
+def test_ridge_query_has_entities_holidays_and_hours(spark, sf):
+    from tidecal.plans import learning, registry, states
+
+    rows = states.features(spark, sf).collect()
+    train, asked = [r for r in rows if r.day <= learning.CUT], [r for r in rows if r.day > learning.CUT]
+    want = dense_ridge(train, asked, learning.NUMBERS, ("national_score", "school_score"))
+    got = registry.queries()["ridge_predictions"](spark, sf).collect()
+    assert {"open_min", "close_min", "duration", "has_event", "in_window", "national_log_since", "school_log_until"} <= set(learning.NUMBERS)
+    assert len(got) == len(want) > 0 and all(r.prediction == pytest.approx(want[r.entity_id, r.day], abs=1e-6) for r in got)
+
+
 def test_comparison_chooses_on_validation_days(spark):
     frame = labelled_frame(spark, entities=2, n=400).withColumn("split", F.when(F.col("day") < 9250, "train").when(F.col("day") < 9320, "valid").otherwise("test"))
     got = {r.model: r for r in models.compare(frame, ["dow", "temp_max"], depths=(3,), penalties=(0.1, 100.0)).collect()}

@@ -6,14 +6,16 @@ from functools import partial, reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import drop_table, materialise, together
 from .evaluation import error_by, global_mean, group_mean, history_gate
+from .frames import SUM_ERROR
+from .linear import EntityRidge
 
 MISSING = -999.0
 
@@ -253,19 +255,20 @@ def yearly_backtest(rows: DataFrame, columns: list[str], years: list[int]) -> Da
     return reduce(DataFrame.unionByName, found)
 
 
-def ridge(train: DataFrame, rows: DataFrame, columns: list[str], penalty: float = 0.1, holiday: str | None = None, above: float = 0.2) -> DataFrame:
-    """Linear regression with dummies of entity x weekday, entity x month and, given a score column, entity x holiday."""
-    crosses = {"by_dow": F.concat_ws("_", "entity_id", F.weekday("date")), "by_month": F.concat_ws("_", "entity_id", F.month("date"))}
-    if holiday:
-        crosses["by_holiday"] = F.concat_ws("_", "entity_id", (F.coalesce(holiday, F.lit(0.0)) > above).cast("int"))
-    ready = lambda df: _named(df, columns, missing=0.0).withColumns(crosses)
-    steps = [StringIndexer(inputCols=list(crosses), outputCols=[f"{c}_i" for c in crosses], handleInvalid="keep"), OneHotEncoder(inputCols=[f"{c}_i" for c in crosses], outputCols=[f"{c}_o" for c in crosses], handleInvalid="keep")]
-    steps += [VectorAssembler(inputCols=_inputs(columns), outputCol="numbers"), StandardScaler(inputCol="numbers", outputCol="scaled"), VectorAssembler(inputCols=["scaled", *[f"{c}_o" for c in crosses]], outputCol="inputs")]
-    model = Pipeline(stages=[*steps, LinearRegression(featuresCol="inputs", labelCol="label", elasticNetParam=0.0, regParam=penalty, solver="l-bfgs", maxIter=20)]).fit(ready(train))
-    return model.transform(ready(rows)).select("entity_id", "day", "label", "prediction")
+def ridge(train: DataFrame, rows: DataFrame, columns: list[str], penalty: float = 10.0, holiday: str | tuple[str, ...] | None = None, above: float = 0.2) -> DataFrame:
+    """Ridge regression on numbers and on dummies of entity, weekday, month, entity x weekday, entity x month and, given score columns, entity x holiday of each.
+
+    The penalty stands beside the sum of squared errors. Numbers are scaled, dummies are not.
+    """
+    shared = {"_dow": 7, "_month": 12}
+    scores = [holiday] if isinstance(holiday, str) else list(holiday or ())
+    flags = {f"_holiday{k}": (F.coalesce(c, F.lit(0.0)) > above + SUM_ERROR).cast("int") for k, c in enumerate(scores)}
+    ready = lambda df: _named(df, columns, missing=0.0).withColumns({"_dow": F.weekday("date"), "_month": F.month("date") - 1, **flags})
+    model = EntityRidge(ready(train), _inputs(columns), shared, shared | dict.fromkeys(flags, 2), penalty)
+    return model.predict(ready(rows)).select("entity_id", "day", "label", "prediction")
 
 
-def compare(rows: DataFrame, columns: list[str], depths: tuple[int, ...] = (5, 7), penalties: tuple[float, ...] = (0.01, 0.1, 1.0), holiday: str | None = None) -> DataFrame:
+def compare(rows: DataFrame, columns: list[str], depths: tuple[int, ...] = (5, 7), penalties: tuple[float, ...] = (1.0, 10.0, 100.0), holiday: str | tuple[str, ...] | None = None) -> DataFrame:
     """Test error of forest, ridge and their mean; rows: split (train, valid, test).
 
     Depth and penalty are those with the least error on the validation rows after fitting on the training rows; then both
@@ -303,7 +306,7 @@ def with_baselines(train: DataFrame, rows: DataFrame) -> DataFrame:
     return out.withColumn("same weekday last year", F.coalesce("py364", "entity x weekday mean"))
 
 
-def compare_all(rows: DataFrame, columns: list[str], history: list[str], holidays: list[str], holiday: str, excluded: str | None = None, depth: int = 7, penalty: float = 0.1, iterations: int = 8) -> DataFrame:
+def compare_all(rows: DataFrame, columns: list[str], history: list[str], holidays: list[str], holiday: str | tuple[str, ...], excluded: str | None = None, depth: int = 7, penalty: float = 10.0, iterations: int = 8) -> DataFrame:
     """Error of baselines, linear model, trees and their variants, on validation and on test rows: split, model, n, mae, rmse, bias, r2.
 
     rows: split (train, valid, test). For validation all are fitted on the training rows, for test on both. Models that

@@ -19,6 +19,10 @@ CUT = 10_600
 BASIC = ["dow", "month", "wave_sin", "wave_cos", "months_open", "has_event", "national_score", "school_score", "national_log_until", "school_log_until"]
 HISTORY, WEATHER = ["py364", "py_mean", "drift1", "drift7", "drift14"], weather.FEATURES
 COLUMNS = [*BASIC, *HISTORY, *WEATHER]
+#: Both holidays; and what the ridge has as numbers: weekday and month are dummies there.
+HOLIDAYS = ("national_score", "school_score")
+MORE = ["weekend", "in_window", "open_min", "close_min", "duration", "national_log_since", "school_log_since"]
+NUMBERS = [*[c for c in COLUMNS if c not in ("dow", "month")], *MORE]
 
 
 _kept: list = []
@@ -32,9 +36,9 @@ def kept(df):
     return _kept[0]
 
 
-def frame(s, d):
+def frame(s, d, columns=("in_window", *COLUMNS)):
     """The feature frame's model columns, kept while a query's fits and scores read them."""
-    return kept(states.features(s, d).select(*KEY, "date", "label", "in_window", *COLUMNS))
+    return kept(states.features(s, d).select(*KEY, "date", "label", *columns))
 
 
 def _gated(s, d):
@@ -71,22 +75,22 @@ def rf_predictions(s, d):
 
 @query("ridge_predictions")
 def ridge_predictions(s, d):
-    rows = frame(s, d)
-    return models.ridge(rows.where(F.col("day") <= CUT), rows.where(F.col("day") > CUT), COLUMNS)
+    rows = frame(s, d, NUMBERS)
+    return models.ridge(rows.where(F.col("day") <= CUT), rows.where(F.col("day") > CUT), NUMBERS, holiday=HOLIDAYS)
 
 
 @query("model_comparison")
 def model_comparison(s, d):
     """Error on test days of the forest and the ridge that did best on validation days, and of their mean."""
     rows = days.time_split(frame(s, d), "1996-12-31", "1997-12-31")
-    return models.compare(rows, COLUMNS, depths=(5, 7), penalties=(0.1, 1.0), holiday="national_score")
+    return models.compare(rows, COLUMNS, depths=(5, 7), penalties=(10.0, 100.0), holiday=HOLIDAYS)
 
 
 @query("model_zoo")
 def model_zoo(s, d):
     """Error of all kinds of models and baselines on validation and test days."""
     rows = days.time_split(frame(s, d), "1996-12-31", "1997-12-31")
-    return models.compare_all(rows, COLUMNS, HISTORY, [c for c in BASIC if c.startswith(("national", "school"))], "national_score", "in_window", iterations=4)
+    return models.compare_all(rows, COLUMNS, HISTORY, [c for c in BASIC if c.startswith(("national", "school"))], HOLIDAYS, "in_window", iterations=4)
 
 
 @query("status_predictions")
